@@ -2,6 +2,24 @@
 
 from __future__ import annotations
 
+_NEAR = r"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+g AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                             WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b, c = x.n AND c = y.n AS same FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-6),
+e AS (SELECT a, b, same FROM l UNION ALL SELECT b, a, same FROM l),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+k AS (SELECT doc_id, least(doc_id, (SELECT min(b) FROM e WHERE e.a = d.doc_id AND e.same)) AS class_id FROM documents d)
+SELECT d.doc_id, k.class_id, least(d.doc_id, (SELECT min(b) FROM r WHERE r.a = d.doc_id)) AS group_id,
+       1 + (SELECT count(*) FROM e WHERE e.a = d.doc_id AND e.same) AS n_copies,
+       (SELECT count(*) FROM e WHERE e.a = d.doc_id) AS n_links,
+       (SELECT count(DISTINCT x.class_id) FROM e JOIN k x ON x.doc_id = e.b WHERE e.a = d.doc_id AND NOT e.same) AS n_text_links
+FROM documents d JOIN k USING (doc_id)
+"""
+
 _MIX = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -44,4 +62,4 @@ FROM l LEFT JOIN f USING (k) GROUP BY doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": _MIX, "op3_line_dedup": _LINES}
+    return {"op1_ngram_jaccard_join": _NEAR, "op2_mixing": _MIX, "op3_line_dedup": _LINES}
