@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import line_dedup, mixing, near_dup, quality
-from marginalia.llm.base import checkpointed
+from marginalia.llm import bpe, line_dedup, mixing, near_dup, packed, quality
+from marginalia.llm.base import checkpointed, shared_dir
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -38,5 +40,22 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    how = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    x = bpe.decode(bpe.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), *how).drop("text"), *how)
+    return x.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
+
+
+def op8_packed_tokens(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    path = path or public_tokenizers.path("word_bpe_49k.json")
+    bits = packed.bits_for(packed.word_encoder(path).tokenizer.get_vocab_size(True))
+    out = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    manifest = packed.write_tokens(_read(spark, sf_dir, "documents"), out, lambda: packed.word_encoder(path), bits, end_id=1)
+    return packed.read_tokens(spark, manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_mixing, op3_line_dedup, op5_quality_rules)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_mixing, op3_line_dedup, op5_quality_rules, op6_byte_bpe, op8_packed_tokens)}
