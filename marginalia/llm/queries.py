@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import bpe, line_dedup, mixing, near_dup, packed, quality
+from marginalia.llm import bpe, line_dedup, mixing, near_dup, packed, quality, topk
 from marginalia.llm.base import checkpointed, shared_dir
 
 
@@ -49,6 +49,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> D
     )
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 def op8_packed_tokens(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     path = path or public_tokenizers.path("word_bpe_49k.json")
     bits = packed.bits_for(packed.word_encoder(path).tokenizer.get_vocab_size(True))
@@ -58,4 +63,4 @@ def op8_packed_tokens(spark: SparkSession, sf_dir: str, path: str | None = None)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_mixing, op3_line_dedup, op5_quality_rules, op6_byte_bpe, op8_packed_tokens)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_mixing, op3_line_dedup, op5_quality_rules, op6_byte_bpe, op7_exact_top_k, op8_packed_tokens)}
