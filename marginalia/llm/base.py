@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,3 +77,39 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20)
             total += n
         if at < len(lengths):
             yield batch.slice(at)
+
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
+def units_of(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Texts cut after every word: the code of each unit, what the codes stand for, and where texts end.
+
+    A unit is a word with the blanks before it, or the blanks at the end of a text; the units of a
+    text make up the text. The last array counts the units up to the end of each text. Null is empty.
+    """
+    column = pa.compute.fill_null(texts.cast(pa.string()), "")
+    _, at, values = column.buffers()
+    at = np.frombuffer(at, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(values or b"", np.uint8)[at[0] : at[-1]]
+    at -= at[0]
+    blank = _BLANK[data]
+    is_end = np.zeros(len(data) + 1, bool)
+    is_end[1:-1] = blank[1:] & ~blank[:-1]
+    is_end[at] = True
+    ends = np.flatnonzero(is_end[1:]) + 1
+    places = np.concatenate([[0], ends]).astype(np.int32)
+    cut = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+    return cut.indices.to_numpy(), cut.dictionary.to_pylist(), np.searchsorted(ends, at[1:], "right")
+
+
+def strung(codes: np.ndarray, values: list[bytes], ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 32-bit numbers that the codes stand for, one after another, and where each text's end (0 first)."""
+    pool = np.frombuffer(b"".join(values), "<u4")
+    sizes = np.array([len(v) for v in values], np.int64) // 4
+    starts, n = np.cumsum(sizes) - sizes, sizes[codes]
+    after = np.cumsum(n)
+    total = int(after[-1]) if len(after) else 0
+    flat = pool[np.repeat(starts[codes] - (after - n), n) + np.arange(total)]
+    return flat, np.concatenate([[0], after])[np.concatenate([[0], ends])]

@@ -1,16 +1,16 @@
 """Byte-level BPE: texts to token ids and back.
 
 A partition's texts are cut into units (blanks, then what follows up to the next blank), of which most
-repeat; only units not met before are cut further by the tokenizer's pattern, and only pieces not met
-before are encoded. That is a recursive DuckDB query: every position's pair of adjacent tokens joins the
-merge table, and every round contracts each piece's leftmost pair of least rank, until no piece has a
-pair left. Decoding joins token rows with the vocabulary and aggregates the bytes in
-order. What is remembered between batches is bounded.
+repeat; only units not met lately are cut further, by the tokenizer's pattern, and encoded. That is a
+recursive DuckDB query: every position's pair of adjacent tokens joins the merge table, and every round
+contracts each piece's leftmost pair of least rank, until no piece has a pair left. Decoding joins token
+rows with the vocabulary and aggregates the bytes in order. What is remembered is bounded.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -20,30 +20,43 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from marginalia.llm.base import row_schema, sliced, with_columns
+from marginalia.llm.base import row_schema, sliced, strung, units_of, with_columns
 
 #: White space as Unicode has it; fixed values.
-_SPACE = r"\t-\r\x20\x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-_UNIT = regex.compile(rf"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
-#: Remembered units and pieces a worker; then the memory is emptied.
-REMEMBERED = 600_000
+_ODD_SPACE = "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+_SPACE = r"\t-\r\x20" + _ODD_SPACE
+_UNIT = re.compile(rf"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+_ODD = re.compile(f"[{_ODD_SPACE}]")
+#: Units that a worker remembers; those not met while half as many others came are forgotten.
+REMEMBERED = 1_200_000
+#: Bytes of text that are encoded together, unless one text has more.
+BATCH_BYTES = 4 << 20
 #: Rounds of one recursive query; longer pieces take several.
 ROUNDS = 48
 #: Bytes of the pieces of one recursive query, unless a single piece has more.
 QUERY_BYTES = 1 << 20
 
+#: n counts the rounds, and is -1 in the row that a piece without a pair ends with.
 _ENCODE = f"""
 WITH RECURSIVE step(n, piece, toks) AS (
   SELECT 0, piece, toks FROM tokens
   UNION ALL
-  SELECT n + 1, s.piece, list_concat(toks[1:place - 1], [tok], toks[place + 2:len(toks)])
-  FROM step s JOIN (
+  SELECT CASE WHEN tok IS NULL THEN -1 ELSE n + 1 END, s.piece,
+         CASE WHEN tok IS NULL THEN toks ELSE list_concat(toks[1:place - 1], [tok], toks[place + 2:len(toks)]) END
+  FROM step s LEFT JOIN (
     SELECT piece, min((m.rank << 32) | place) AS best, best & 4294967295 AS place, best >> 32 AS tok
     FROM (
       SELECT piece, place, (toks[place] << 20) | toks[place + 1] AS pair
-      FROM (SELECT piece, toks, unnest(range(1, len(toks))) AS place FROM step WHERE n < {ROUNDS}))
-    JOIN merges m USING (pair) GROUP BY piece) b ON b.piece = s.piece)
-SELECT piece, max(n)::BIGINT AS n, arg_max(toks, n) AS toks FROM step GROUP BY piece ORDER BY piece
+      FROM (SELECT piece, toks, unnest(range(1, len(toks))) AS place FROM step WHERE n BETWEEN 0 AND {ROUNDS - 1}))
+    JOIN merges m USING (pair) GROUP BY piece) b ON b.piece = s.piece
+  WHERE n BETWEEN 0 AND {ROUNDS - 1})
+SELECT piece, n, toks FROM step WHERE n IN (-1, {ROUNDS})
+"""
+
+
+#: Sorted rows reach the aggregate in their order, as the connection has one thread.
+_DECODE = """
+SELECT text, string_agg(hex, '') FROM (SELECT text, hex FROM token_rows JOIN vocabulary USING (tok) ORDER BY text, pos) GROUP BY text
 """
 
 
@@ -56,24 +69,33 @@ class Vocabulary:
         self.pattern = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^{_SPACE}\p{{L}}\p{{N}}]").replace(r"\S", rf"[^{_SPACE}]").replace(r"\s", rf"[{_SPACE}]"))
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         self.units: dict[str, bytes] = {}
-        self.pieces: dict[bytes, bytes] = {}
+        self.older: dict[str, bytes] = {}
         pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         a, b, r = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         self.db.execute("SET temp_directory = ''")
         self._fill("merges", pa.table({"pair": a << 20 | b, "rank": r}))
         ids = sorted(self.ranks.items(), key=lambda x: x[1])
-        self._fill("vocabulary", pa.table({"tok": pa.array([r for _, r in ids], pa.int64()), "hex": [t.hex() for t, _ in ids]}))
+        self._fill("vocabulary", pa.table({"tok": pa.array([r for _, r in ids], pa.int32()), "hex": [t.hex() for t, _ in ids]}))
 
     def _fill(self, name: str, rows: pa.Table) -> None:
         self.db.register("arrow_rows", rows)
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM arrow_rows")
         self.db.unregister("arrow_rows")
 
-    def encode_pieces(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+    def pieces_of(self, unit: str) -> list[str]:
+        """What the tokenizer's pattern finds. Letters after at most one space, and a stop after them, need no search."""
+        word = unit[1:] if unit[0] == " " else unit
+        if word.isalpha():
+            return [unit]
+        if word[-1:] in {".", ","} and word[:-1].isalpha():
+            return [unit[:-1], unit[-1]]
+        return self.pattern.findall(unit)
+
+    def encode_pieces(self, pieces: set[bytes]) -> dict[bytes, bytes]:
         """Ids of each piece, as little-endian 32-bit numbers. One that is in the vocabulary is its own token."""
         done = {p: self.ranks[p].to_bytes(4, "little") for p in pieces if p in self.ranks}
-        todo = sorted((p for p in set(pieces) if p and p not in done), key=len)
+        todo = sorted((p for p in pieces if p not in done), key=len)
         start = 0
         while start < len(todo):
             stop, total = start, 0
@@ -97,34 +119,39 @@ class Vocabulary:
             start = stop
         return done
 
-    def encode_units(self, units: set[str]) -> None:
-        """Remembers the ids, as little-endian 32-bit numbers, of units that are new."""
-        fresh = [u for u in units if u not in self.units]
-        if len(self.units) + len(fresh) > REMEMBERED:
-            self.units = {u: self.units[u] for u in units if u in self.units}
-        cut = {u: [p.encode() for p in self.pattern.findall(u)] for u in fresh}
-        new = {p for ps in cut.values() for p in ps if p not in self.pieces}
-        if len(self.pieces) + len(new) > REMEMBERED // 2:
-            self.pieces, new = {}, {p for ps in cut.values() for p in ps}
-        self.pieces |= self.encode_pieces(list(new))
-        own = self.pieces
-        for u, ps in cut.items():
-            self.units[u] = b"".join([own[p] for p in ps])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts, as little-endian 32-bit numbers."""
-        units = [_UNIT.findall(t) for t in texts]
-        self.encode_units(set().union(*units))
-        own = self.units
-        return [b"".join([own[u] for u in us]) for us in units]
+    def encode_units(self, units: list[str]) -> list[bytes]:
+        """Ids of each unit, as little-endian 32-bit numbers."""
+        if len(self.units) > REMEMBERED // 2:
+            self.older, self.units = self.units, {}
+        own, older = self.units, self.older
+        fresh = set(units).difference(own)
+        back = fresh.intersection(older)
+        own.update((u, older[u]) for u in back)
+        fresh -= back
+        cut = [[p.encode() for p in self.pieces_of(u)] for u in fresh]
+        known = self.encode_pieces({p for ps in cut for p in ps})
+        for u, ps in zip(fresh, cut, strict=True):
+            own[u] = known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
+        return [own[u] for u in units]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts, one after another, and where each text's end (0 first)."""
+        codes, units, ends = units_of(texts)
+        units = [u.decode() for u in units]
+        if any(map(_ODD.search, units)):  # white space that is no blank may join with blanks of the next unit
+            cut = [_UNIT.findall(t or "") for t in texts.to_pylist()]
+            units = list(dict.fromkeys(u for us in cut for u in us))
+            place = {u: k for k, u in enumerate(units)}
+            codes, ends = np.array([place[u] for us in cut for u in us], np.int64), np.cumsum([len(us) for us in cut])
+        return strung(codes, self.encode_units(units), ends)
 
     def decode(self, lists: pa.Array) -> list[bytes]:
         """The bytes of each list of ids: token rows, joined with the vocabulary, aggregated in order."""
         sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         flat = lists.flatten().to_numpy(zero_copy_only=False)
-        self.db.register("token_rows", pa.table({"text": np.repeat(np.arange(len(lists)), sizes), "pos": np.arange(len(flat)), "tok": flat.astype(np.int64)}))
-        rows = self.db.execute(
-            "SELECT text, string_agg(hex, '' ORDER BY pos) FROM token_rows JOIN vocabulary USING (tok) GROUP BY text").fetchall()
+        self.db.register("token_rows", pa.table({
+            "text": np.repeat(np.arange(len(lists), dtype="i4"), sizes), "pos": np.arange(len(flat), dtype="i4"), "tok": flat.astype("i4")}))
+        rows = self.db.execute(_DECODE).fetchall()
         self.db.unregister("token_rows")
         out = [b""] * len(lists)
         for k, x in rows:
@@ -137,22 +164,23 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(path, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", bytes_col: str | None = None) -> DataFrame:
     """docs with the token ids of the whole text; an empty list for a null or empty one.
 
-    path is a file every executor can open, such as one of an installed package. Special tokens are
-    never produced. All rows and columns stay; ids_col must be a new name.
+    With bytes_col, a new name, the ids are decoded again in the same pass, as decode does. path is a
+    file every executor can open, such as one of an installed package. Special tokens are never
+    produced. All rows and columns stay; ids_col must be a new name.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(path, pattern)
-        for batch in sliced(batches, text_col, 8 << 20):
-            ids = own.encode([t or "" for t in batch.column(text_col).to_pylist()])
-            ends = np.cumsum([0] + [len(x) // 4 for x in ids])
-            flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-            yield with_columns(batch, **{ids_col: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)})
+        for batch in sliced(batches, text_col, BATCH_BYTES):
+            ids, ends = own.encode(batch.column(text_col))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view("<i4")))
+            more = {bytes_col: pa.array(own.decode(lists), pa.binary())} if bytes_col else {}
+            yield with_columns(batch, **{ids_col: lists}, **more)
 
-    return docs.mapInArrow(run, row_schema(docs, f"`{ids_col}` array<int>"))
+    return docs.mapInArrow(run, row_schema(docs, f"`{ids_col}` array<int>" + (f", `{bytes_col}` binary" if bytes_col else "")))
 
 
 def decode(docs: DataFrame, path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:

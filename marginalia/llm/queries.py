@@ -41,8 +41,8 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
-    how = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    x = bpe.decode(bpe.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), *how).drop("text"), *how)
+    path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    x = bpe.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN, bytes_col="decoded")
     return x.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
