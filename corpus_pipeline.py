@@ -43,8 +43,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, the text's token ids and their number, and whether they decode to the text."""
-    how = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    x = bpe.decode(bpe.encode(docs, *how), *how)
+    x = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, bytes_col="decoded")
     whole = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "utf-8")
     return x.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", whole.alias("decodes"))
 
