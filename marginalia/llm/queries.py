@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import bpe, line_dedup, mixing, near_dup, packed, quality, topk
+from marginalia.llm import bpe, chat, html_text, line_dedup, mixing, near_dup, packed, quality, secrets, topk
 from marginalia.llm.base import checkpointed, shared_dir
 
 
@@ -34,6 +34,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(_read(spark, sf_dir, "conversations")).drop("text")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measures = checkpointed(quality.measured(_read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")).drop("text"))
     return quality.judge(measures).select(
@@ -62,5 +66,18 @@ def op8_packed_tokens(spark: SparkSession, sf_dir: str, path: str | None = None)
     return packed.read_tokens(spark, manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = secrets.scan(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    count = lambda *is_: F.size(F.filter("found", lambda s: s["kind"].isin(*is_))).cast("long")
+    return x.select(
+        "doc_id", *[count(k).alias(f"n_{k}") for k in secrets.BASE], F.sha2(secrets.told(F.col("found"), lambda s: s["base"]), 256).alias("base_sha256"),
+        secrets.told(F.col("found")).alias("spans"), secrets.told(F.col("found"), lambda s: s["verdict"] == "live").alias("live_spans"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_mixing, op3_line_dedup, op5_quality_rules, op6_byte_bpe, op7_exact_top_k, op8_packed_tokens)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_mixing, op3_line_dedup, op4_chat_format, op5_quality_rules, op6_byte_bpe, op7_exact_top_k, op8_packed_tokens, op9_html_text, op10_secret_scan)}
