@@ -31,12 +31,12 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.base import sliced
+from marginalia.llm.base import BLANKS, sliced, strung, units_of
 
 MAGIC = b"MGTOKEN1"
 BLOCK = 1 << 16
-#: Words whose ids a worker remembers; then only those of the batch at hand are kept.
-REMEMBERED = 600_000
+#: Words whose ids a worker remembers; those not met while half as many others came are forgotten.
+REMEMBERED = 1_500_000
 
 
 def bits_for(vocab_size: int) -> int:
@@ -153,21 +153,26 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words: dict[bytes, bytes] = {}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as little-endian 32-bit numbers."""
-        split = [t.encode().split() for t in texts]
-        used = set().union(*split)
-        own = self.words
-        fresh = [w for w in used if w not in own]
-        if len(own) + len(fresh) > REMEMBERED:
-            own = self.words = {w: own[w] for w in used if w in own}
-        for k in range(0, len(fresh), 20_000):
-            part = fresh[k : k + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                own[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([own[w] for w in ws]) for ws in split]
+        self.words: dict[bytes, bytes] = {b"": b""}
+        self.older: dict[bytes, bytes] = {}
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, one after another, and where each text's end (0 first)."""
+        codes, units, ends = units_of(texts)
+        words = [u.strip(BLANKS.encode()) for u in units]
+        if len(self.words) > REMEMBERED // 2:
+            self.older, self.words = self.words, {b"": b""}
+        own, older = self.words, self.older
+        fresh = set(words).difference(own)
+        back = fresh.intersection(older)
+        own.update((w, older[w]) for w in back)
+        new = list(fresh - back)
+        lists = [[w.decode() for w in new[k : k + 500]] for k in range(0, len(new), 500)]
+        for k, e in enumerate(self.tokenizer.encode_batch(lists, is_pretokenized=True, add_special_tokens=False)):
+            raw, at = np.array(e.ids, "<u4").tobytes(), 0
+            for w, end in zip(new[500 * k : 500 * k + 500], (np.cumsum(np.bincount(np.array(e.word_ids, int), minlength=len(lists[k]))) * 4).tolist(), strict=True):
+                own[w], at = raw[at:end], end
+        return strung(codes, [own[w] for w in words], ends)
 
 
 @cache
@@ -176,36 +181,37 @@ def word_encoder(path: str) -> WordEncoder:
 
 
 def write_tokens(
-    docs: DataFrame, out_uri: str, encoder: Callable[[], Callable[[list[str]], list[bytes]]], bits: int, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, out_uri: str, encoder: Callable[[], Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]], bits: int, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> list[dict]:
     """Writes docs in ascending order of id and returns the manifest: of each file shard, uri, docs, tokens, start.
 
-    encoder() gives, in a worker, the function from texts to ids. out_uri is a folder that all
-    executors share. A null id comes first; rows of one id follow by text, null first. A null or
+    encoder() gives, in a worker, the function from texts to ids, all in one array, and their ends. out_uri is a folder that all
+    executors share. A null id comes first; rows of one id follow by a hash of the text, then by text. A null or
     empty text has only the end id. An empty table writes nothing. Ids are 64-bit integers.
     """
     run = uuid.uuid4().hex[:8]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = b"" if end_id is None else end_id.to_bytes(4, "little")
+        end = np.array([] if end_id is None else [end_id], "<u4")
         encode, writer, shard, uri = encoder(), None, None, ""
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", 4 << 20):
             if writer is None:
                 shard = batch.column("shard")[0].as_py()
                 uri = f"{out_uri}/{run}-{shard:06d}-{uuid.uuid4().hex[:8]}.tok"
                 fs, path = pa.fs.FileSystem.from_uri(uri)
                 fs.create_dir(path.rpartition("/")[0], recursive=True)
                 writer = Writer(fs.open_output_stream(path), bits)
-            ids = encode([t or "" for t in batch.column("text").to_pylist()])
-            for doc_id, raw in zip(batch.column("id").to_pylist(), ids, strict=True):
-                writer.add(doc_id, np.frombuffer(raw + end, "<u4"))
+            ids, ends = encode(batch.column("text"))
+            for doc_id, a, z in zip(batch.column("id").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                writer.add(doc_id, np.concatenate([ids[a:z], end]))
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pydict({"shard": [shard], "uri": [uri], "docs": [len(writer.ids)], "tokens": [writer.n]})
 
     ordered = (
         docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-        .repartitionByRange("id", "text").sortWithinPartitions("id", "text").withColumn("shard", F.spark_partition_id().cast("long"))
+        .withColumn("tie", F.xxhash64("text"))
+        .repartitionByRange("id", "tie").sortWithinPartitions("id", "tie", "text").drop("tie").withColumn("shard", F.spark_partition_id().cast("long"))
     )
     files = sorted((r.asDict() for r in ordered.mapInArrow(write, "shard bigint, uri string, docs bigint, tokens bigint").collect()), key=lambda r: r["shard"])
     start = 0
