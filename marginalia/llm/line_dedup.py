@@ -143,33 +143,37 @@ def dedup_lines(
         suspects.join(first, "lb_key").filter("lb_id > lb_first").groupBy("lb_id").agg(F.collect_set("lb_key").alias("lb_drop"))
     )
 
-    def flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, text_col):
-            found = suspects_of(batch.column(text_col).to_pylist())
-            yield with_columns(batch, lb_some=pa.array([bool(f) for f in found]))
+    def cut_lines(batch: pa.RecordBatch, drop_of: list[list[bytes] | None]) -> pa.RecordBatch:
+        texts, n_lines, n_dropped = [], [], []
+        for text, drop in zip(batch.column(text_col).to_pylist(), drop_of, strict=True):
+            own = (text or "").encode().split(b"\n")
+            gone = set(drop or ())
+            kept = [x for x in own if digest(key_of(x)) not in gone] if gone else own
+            texts.append(b"\n".join(kept).decode())
+            n_lines.append(len(own))
+            n_dropped.append(len(own) - len(kept))
+        batch = batch.set_column(batch.schema.names.index(text_col), text_col, pa.array(texts, batch.schema.field(text_col).type))
+        return with_columns(batch, ("lb_drop",), n_lines=pa.array(n_lines, pa.int64()), n_dropped=pa.array(n_dropped, pa.int64()))
+
+    def split(with_suspects: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in sliced(batches, text_col):
+                found = suspects_of(batch.column(text_col).to_pylist())
+                some = batch.filter(pa.array([bool(f) == with_suspects for f in found], pa.bool_()))
+                if some.num_rows:
+                    yield some if with_suspects else cut_lines(some, [None] * some.num_rows)
+
+        return run
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, text_col):
-            texts, n_lines, n_dropped = [], [], []
-            drop_of = batch.column("lb_drop").to_pylist()
-            for text, drop in zip(batch.column(text_col).to_pylist(), drop_of, strict=True):
-                own = (text or "").encode().split(b"\n")
-                gone = set(drop or ())
-                kept = [x for x in own if digest(key_of(x)) not in gone] if gone else own
-                texts.append(b"\n".join(kept).decode())
-                n_lines.append(len(own))
-                n_dropped.append(len(own) - len(kept))
-            at = batch.schema.names.index(text_col)
-            batch = batch.set_column(at, text_col, pa.array(texts, batch.schema.field(text_col).type))
-            yield with_columns(batch, ("lb_drop",), n_lines=pa.array(n_lines, pa.int64()), n_dropped=pa.array(n_dropped, pa.int64()))
-
-    known = docs.mapInArrow(flagged, row_schema(docs, "lb_some boolean"))
-    none = F.lit(None).cast("array<binary>")
-    alone = known.filter(~F.col("lb_some")).drop("lb_some").withColumn("lb_drop", none)
-    own_id = F.coalesce(F.col(id_col), last)
-    hit = known.filter("lb_some").drop("lb_some").withColumn("lb_own", own_id)
+            yield cut_lines(batch, batch.column("lb_drop").to_pylist())
+
+    out = row_schema(docs, "n_lines bigint, n_dropped bigint")
+    alone = docs.mapInArrow(split(False), out)
+    hit = docs.mapInArrow(split(True), docs.schema).withColumn("lb_own", F.coalesce(F.col(id_col), last))
     met = hit.join(drops, F.col("lb_own") == F.col("lb_id"), "left").drop("lb_own", "lb_id")
-    return alone.unionByName(met).mapInArrow(cut, row_schema(docs, "n_lines bigint, n_dropped bigint"))
+    return alone.unionByName(met.mapInArrow(cut, out))
 
 
 def digest(key: bytes) -> bytes:

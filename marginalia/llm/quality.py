@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.base import WORD, checkpointed, let
+from marginalia.llm.base import WORD, checkpointed, let, written
 
 #: Measure: (multiple of the interquartile range, least margin above the upper quartile).
 FENCES = {"symbol_rate": (4.0, 0.25), "repeat_rate": (4.0, 0.45), "dup_line_rate": (4.0, 0.5), "word_length": (4.0, 4.0)}
@@ -106,7 +106,7 @@ def _fence(m: str) -> Column:
 
 
 def _q(sketch: str, rank: float) -> Column:
-    return F.kll_sketch_get_quantile_double(sketch, F.lit(rank))
+    return F.when(F.kll_sketch_get_n_double(sketch) > 0, F.kll_sketch_get_quantile_double(sketch, F.lit(rank)))
 
 
 def judge(
@@ -126,7 +126,7 @@ def judge(
     none of the new columns. No name may begin with q_.
     """
     if "n_repeat_words" not in docs.columns:
-        docs = measured(docs, text_col)
+        docs = written(measured(docs, text_col))  # else the measures would be taken for the fences and again for the verdicts
     keys = {"q_lang": F.coalesce(F.concat(F.lit("="), F.col(lang_col).cast("string")), F.lit("")), "q_source": F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))}
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     x = with_rates(docs).withColumns(keys | {"base_failed": failed})

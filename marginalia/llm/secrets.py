@@ -66,12 +66,16 @@ def more_spans(text: str) -> list[tuple[int, str, int, str]]:
     return found
 
 
-def looks_random(value: str, bits: float = 3.0) -> bool:
-    """Whether the characters of a value vary as those of a key do: bits of entropy a character, and two classes at least."""
+def looks_random(value: str, bits: float = 3.0, share: float = 0.85) -> bool:
+    """Whether the characters of a value vary as those of a key do.
+
+    They have bits of entropy each, or in a short value this share of what its length allows, and are
+    of two classes at least.
+    """
     counts = Counter(value)
     entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
     classes = sum(any(f(c) for c in counts) for f in (str.islower, str.isupper, str.isdigit))
-    return entropy >= bits and classes >= 2
+    return entropy >= min(bits, share * math.log2(len(value))) and classes >= 2
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", copied_by: int = 2) -> DataFrame:
