@@ -63,7 +63,7 @@ def citations(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     values = F.map_values(F.try_variant_get("v", "$", "map<string,variant>"))
     items = F.coalesce(get("$"), get("$.citations"), get("$.items"), get("$.quotes"), values)
     field = lambda i, n: F.nullif(F.try_variant_get(i, f"$.{n}", "string"), F.lit(""))
-    said = lambda i: F.coalesce(field(i, "citation_text"), field(i, "text"), field(i, "quote"), field(i, "citation"), F.try_variant_get(i, "$", "string"))
+    said = lambda i: F.coalesce(field(i, "citation_text"), field(i, "text"), field(i, "quote"), field(i, "citation"), F.when(F.schema_of_variant(i) == "STRING", F.try_variant_get(i, "$", "string")))
     x = x.select("path", F.explode(F.transform(items, said)).alias("citation_text"))
     return x.filter(text("citation_text") != "")
 
