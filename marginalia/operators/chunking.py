@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import ColumnOrName, _c, sanitize, squeeze, strip, text, unit_id, word_count
+from marginalia.functions.text import ColumnOrName, _c, let, sanitize, squeeze, strip, text, unit_id, word_count
 
 _TITLE = r"(?:[ \t]+([^\n]{1,180})|[ \t]*\n[ \t]*([^\n]{1,180}))?"
 UNIT = r"[ \t]*((?:unit|chapter)\s+\d+[a-zA-Z0-9-]*)" + _TITLE
@@ -71,7 +71,7 @@ def split_units(docs: DataFrame, min_words: int = 80) -> DataFrame:
 
     units = F.filter(F.transform(parts, unit), lambda u: word_count(u["text"]) >= min_words)
     whole = F.array(F.struct("document_id", F.lit("Full Document").alias("title"), sanitize("full_text").alias("text")))
-    x = docs.select(F.col("document_id").alias("base_id"), F.posexplode(F.when(F.size(units) > 0, units).otherwise(whole)).alias("unit_idx", "u"))
+    x = docs.select(F.col("document_id").alias("base_id"), F.posexplode(let(units, lambda u: F.when(F.size(u) > 0, u).otherwise(whole))).alias("unit_idx", "u"))
     return x.select("base_id", "unit_idx", "u.*")
 
 

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import citation_markers, first_words, is_citation_page, locator, squeeze, strip, strip_citations, text, word_count
+from marginalia.functions.text import citation_markers, first_words, is_citation_page, let, locator, squeeze, strip, strip_citations, text, word_count
+
+
+#: Requests that are answered in one pass; pass more of them in blocks.
+BROADCAST_REQUESTS = 4096
 
 
 def citation_pages(pages: DataFrame) -> DataFrame:
@@ -28,6 +32,25 @@ def pick(citations: DataFrame, by: tuple[str, ...], seed: str = "") -> DataFrame
     return x.select(*by, cleaned.alias("citation"), locator("original").alias("page"), word_count(cleaned).alias("word_count"), F.col("original").alias("citation_original"))
 
 
+def of_documents(citations: DataFrame, documents: DataFrame, requests: DataFrame, seed: str = "") -> DataFrame:
+    """One citation for each request (request_id, subject) from the documents (document_id, subject) whose subject holds its own.
+
+    citations has document_id. What is asked for otherwise does not steer the choice.
+    """
+    if requests.limit(BROADCAST_REQUESTS + 1).count() > BROADCAST_REQUESTS:
+        raise ValueError(f"more than {BROADCAST_REQUESTS} requests; pass them in blocks")
+    fits = F.lower(documents["subject"]).contains(F.lower(F.col("wanted")))
+    wanted = requests.select("request_id", F.col("subject").alias("wanted"))
+    pairs = documents.join(F.broadcast(wanted), fits).select("request_id", "document_id")
+    return pick(pairs.join(citations, "document_id"), ("request_id",), seed)
+
+
+def of_documents_dual(citations: DataFrame, documents: DataFrame, requests: DataFrame, seed: str = "") -> DataFrame:
+    """request_id, topic_citation, theme_citation: two choices for each request."""
+    a, b = (of_documents(citations, documents, requests, f"{seed}{k}").select("request_id", F.col("citation").alias(f"{k}_citation")) for k in ("topic", "theme"))
+    return a.join(b, "request_id")
+
+
 # Special extractors ----------------------------------------------------------------------------
 
 _SPEAKER = r"(?iU)(?:\A|\n+)((?:Chorus|Creon)[ \t]*|[a-zA-Z]+(?:[ \t]+[a-zA-Z]+)?[ \t]+):"
@@ -39,27 +62,32 @@ _MARK = "\x01"
 
 def _starts(body: Column, pattern: str) -> Column:
     """Array of struct(at, marker): where each match begins (from 0), and its first group."""
-    parts = F.split(F.regexp_replace(body, pattern, _MARK + "$0"), _MARK)
-    sizes = F.transform(parts, lambda p: F.length(p))
-    found = F.transform(F.slice(parts, 2, 1 << 30), lambda p, i: F.struct(
-        F.aggregate(F.slice(sizes, F.lit(1), i + 1), F.lit(0), lambda a, n: a + n).alias("at"), F.regexp_extract(p, pattern.replace(r"(?:\A|\n+)", r"\A\n*", 1), 1).alias("marker")))
-    return found
+    marker = pattern.replace(r"(?:\A|\n+)", r"\A\n*", 1)
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,marker:string>>").alias("found"))
+
+    def found(parts: Column) -> Column:
+        step = lambda a, p: F.struct(
+            (a["at"] + F.length(p)).alias("at"), F.concat(a["found"], F.array(F.struct(a["at"].alias("at"), F.regexp_extract(p, marker, 1).alias("marker")))).alias("found"))
+        return F.slice(F.aggregate(parts, empty, step)["found"], 2, 1 << 30)
+
+    return let(F.split(F.regexp_replace(body, pattern, _MARK + "$0"), _MARK), found)
 
 
 def _take(body: Column, start: Column, end_pattern: str, skip: Column, capped_at_end: bool, most: int) -> Column:
     """struct(text, until): the piece from start to the end mark, or its first words."""
-    rest = F.substring(body, start + 1, F.length(body))
-    tail = F.substring(rest, skip + 1, F.length(rest))
-    at = F.regexp_instr(tail, F.lit(end_pattern))
-    ended = at > 0
-    raw = F.when(ended, F.left(rest, skip + at - 1)).otherwise(rest)
-    words = first_words(raw, most)
-    long = word_count(raw) > most
-    capped = long if capped_at_end else (long & ~ended)
-    return F.struct(
-        F.when(capped, words["text"]).otherwise(strip(raw)).alias("text"),
-        F.when(capped, start + words["end"]).when(ended, start + skip + at - 1).otherwise(F.length(body)).alias("until"),
-    )
+
+    def cut(rest: Column, at: Column, raw: Column, n: Column) -> Column:
+        capped = (n > most) if capped_at_end else (n > most) & (at == 0)
+        stop = F.when(at > 0, start + skip + at - 1).otherwise(F.length(body))
+        long = let(first_words(raw, most), lambda w: F.struct(w["text"].alias("text"), (start + w["end"]).alias("until")))
+        return F.when(capped, long).otherwise(F.struct(strip(raw).alias("text"), stop.alias("until")))
+
+    def piece(rest: Column) -> Column:
+        at = F.regexp_instr(F.substring(rest, skip + 1, F.length(rest)), F.lit(end_pattern))
+        raw = lambda a: F.when(a > 0, F.left(rest, skip + a - 1)).otherwise(rest)
+        return let(at, lambda a: let(raw(a), lambda r: let(word_count(r), lambda n: cut(rest, a, r, n))))
+
+    return let(F.substring(body, start + 1, F.length(body)), piece)
 
 
 def _greedy(candidates: Column) -> Column:
@@ -70,7 +98,7 @@ def _greedy(candidates: Column) -> Column:
 
 
 def _special(docs: DataFrame, body: Column, pieces: Column) -> DataFrame:
-    x = docs.withColumn("piece", F.explode(_greedy(pieces)))
+    x = docs.withColumn("piece", F.explode(let(pieces, _greedy)))
     x = x.filter("piece.good AND piece.text <> ''")
     return x.select("block_name", F.lit("Unknown/Full Document").alias("unit_name"), "source_pdf", F.lit("Full Text").alias("pdf_page"), F.lit(1).alias("citations_count"), F.array("piece.marker").alias("matched_markers"), F.col("piece.text").alias("citation_text"))
 
@@ -84,8 +112,8 @@ def dialogues(docs: DataFrame, most: int = 210) -> DataFrame:
     starts = F.filter(_starts(body, _SPEAKER), lambda s: F.lower(strip(s["marker"])) != "analysis")
 
     def piece(s: Column) -> Column:
-        t = _take(body, s["at"], _SPEECH_END, F.lit(0), True, most)
-        return F.struct(s["at"].alias("at"), F.concat(strip(s["marker"]), F.lit(":")).alias("marker"), t["text"].alias("text"), t["until"].alias("until"), F.lit(True).alias("good"))
+        taken = _take(body, s["at"], _SPEECH_END, F.lit(0), True, most)
+        return let(taken, lambda t: F.struct(s["at"].alias("at"), F.concat(strip(s["marker"]), F.lit(":")).alias("marker"), t["text"].alias("text"), t["until"].alias("until"), F.lit(True).alias("good")))
 
     return _special(docs, body, F.transform(starts, piece))
 
@@ -97,8 +125,8 @@ def verses(docs: DataFrame, most: int = 210) -> DataFrame:
     def piece(s: Column) -> Column:
         marker = strip(squeeze(s["marker"]))
         newlines = F.length(F.regexp_extract(F.substring(body, s["at"] + 1, F.length(body)), r"\A\n*", 0))
-        t = _take(body, s["at"], _VERSE_END, newlines + F.length(s["marker"]), False, most)
-        bad = F.left(t["text"], F.lit(50)).rlike(r"(?U)\d+(?:\.\d+)+") & ~marker.rlike(r"(?U)\A\d+(?:\.\d+)+")
-        return F.struct(s["at"].alias("at"), marker.alias("marker"), t["text"].alias("text"), t["until"].alias("until"), (~bad).alias("good"))
+        taken = _take(body, s["at"], _VERSE_END, newlines + F.length(s["marker"]), False, most)
+        good = lambda t: ~F.left(t["text"], F.lit(50)).rlike(r"(?U)\d+(?:\.\d+)+") | marker.rlike(r"(?U)\A\d+(?:\.\d+)+")
+        return let(taken, lambda t: F.struct(s["at"].alias("at"), marker.alias("marker"), t["text"].alias("text"), t["until"].alias("until"), good(t).alias("good")))
 
     return _special(docs, body, F.transform(_starts(body, _VERSE), piece))

@@ -95,3 +95,14 @@ def numbered(x: DataFrame, by: tuple[str, ...], order: str, name: str = "row_no"
 def first_rows(x: DataFrame, by: str, order: str, most: ColumnOrName) -> DataFrame:
     """At most so many rows of each group."""
     return numbered(x, (by,), order, "nth").filter(F.col("nth") <= _c(most)).drop("nth")
+
+
+def page_number(wanted: ColumnOrName, total: ColumnOrName) -> Column:
+    """A page within 1 and the total."""
+    return F.greatest(F.lit(1), F.least(_c(wanted), _c(total)))
+
+
+def chat_form(subject: ColumnOrName, language: ColumnOrName, class_level: ColumnOrName, chapter: ColumnOrName, topic: ColumnOrName, theme: ColumnOrName) -> Column:
+    """A form's fields as JSON, with the text to talk about: topic and theme, one empty line between."""
+    body = F.concat_ws("\n\n", blank_to_null(_c(topic)), blank_to_null(_c(theme)))
+    return F.to_json(F.struct(chat_subject(subject, class_level).alias("subject"), _c(language).alias("language"), _c(class_level).alias("class_level"), _c(chapter).alias("chapter"), body.alias("chunk_text")))

@@ -331,3 +331,15 @@ def _(x):
 @query("txt12_verses")
 def _(x):
     return citations.verses(_plays(x, "Verse:\n", "Glossary "))
+
+
+@query("ret3_dual_citations", rf"""
+WITH c AS (SELECT DISTINCT lang, {strip_sql('text')} AS o FROM documents),
+f AS (SELECT r.lang AS request_id, arg_min(o, md5('topic' || o)) AS a, arg_min(o, md5('theme' || o)) AS b FROM (SELECT DISTINCT lang FROM documents) r JOIN c ON c.lang = r.lang GROUP BY r.lang)
+SELECT request_id, length(a) >= 0 AS has_topic, a = b AS same FROM f""")
+def _(x):
+    cites = x.documents.select(F.col("doc_id").alias("document_id"), F.col("text").alias("citation_text"))
+    docs = x.documents.select(F.col("doc_id").alias("document_id"), F.col("lang").alias("subject"))
+    asked = x.documents.select(F.col("lang").alias("request_id"), F.col("lang").alias("subject")).distinct()
+    y = citations.of_documents_dual(cites, docs, asked)
+    return y.select("request_id", F.col("topic_citation").isNotNull().alias("has_topic"), (F.col("topic_citation") == F.col("theme_citation")).alias("same"))

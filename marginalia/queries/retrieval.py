@@ -267,3 +267,14 @@ def _(x):
     return chat(t, _model).select("conv_id", strip(F.regexp_extract("reply", "<Question>(.*?)</Question>", 1)).alias("question"))
 
 
+
+
+@query("udf4_score_vector", """
+SELECT doc_id, s AS ncert, s AS dok, 1.0::DOUBLE AS language_score, CASE WHEN s < 1.5 OR 1.0 < 1.5 THEN 0.0 ELSE s END::DOUBLE AS alignment_score
+FROM (SELECT doc_id, round_even((1 + 2 * (length(source) % 4)) / (1 + length(source) % 4), 2)::DOUBLE AS s FROM documents)""")
+def _(x):
+    from marginalia.plans.generation import score
+
+    rows = x.documents.select("doc_id", F.lit("123").alias("question"), F.lit("").alias("answer"), F.lit("en").alias("language"), F.col("source").alias("judge_prompt"))
+    y = score(rows, _model, {n: ("judge", (1, 2)) for n in ("ncert", "qtype", "guard", "validity", "dok")})
+    return y.select("doc_id", "ncert", "dok", "language_score", "alignment_score")

@@ -311,3 +311,26 @@ def _(x):
 @query("prj21_score_of_five", "SELECT doc_id AS row_index, greatest(0, least(100, round(coalesce(CASE WHEN doc_id % 5 > 0 THEN doc_id % 11 / 2 END, 0) / 5 * 100)))::INTEGER AS percent FROM documents")
 def _(x):
     return _questions(x).select("row_index", score_percent(F.coalesce("alignment_score", F.lit(0.0))).alias("percent"))
+
+
+@query("cfg2_chat_form", """
+SELECT doc_id, '{"subject":"' || CASE WHEN doc_id % 3 = 0 THEN 'Maths' WHEN 8 + doc_id % 5 = 10 THEN 'Science' ELSE source END || '","language":"' || lang || '","class_level":' || (8 + doc_id % 5) || ',"chapter":"c","chunk_text":"topic' || CASE WHEN doc_id % 2 = 0 THEN '\\n\\ntheme' ELSE '' END || '"}' AS form,
+  greatest(1, least(doc_id % 9, 5))::BIGINT AS page FROM documents""")
+def _(x):
+    n = F.col("doc_id")
+    form = requests.chat_form(F.when(n % 3 == 0, "Mathematics").otherwise(F.col("source")), "lang", 8 + n % 5, F.lit("c"), F.lit("topic"), F.when(n % 2 == 0, "theme").otherwise(""))
+    return x.documents.select("doc_id", form.alias("form"), requests.page_number(n % 9, F.lit(5)).cast("long").alias("page"))
+
+
+@query("set6_append_once", "SELECT doc_id, source FROM documents")
+def _(x):
+    held = x.documents.filter("doc_id % 3 = 0").select("doc_id", "source")
+    more = x.documents.select("doc_id", "source")
+    return held.unionByName(more.join(held.select("doc_id"), "doc_id", "left_anti"))
+
+
+@query("top11_newest_first", "SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id)::INTEGER AS place FROM events WHERE user_id = 7")
+def _(x):
+    from pyspark.sql import Window
+
+    return x.events.filter("user_id = 7").withColumn("place", F.row_number().over(Window.orderBy(F.desc("ts"), "event_id"))).select("event_id", "place")
