@@ -68,12 +68,12 @@ def language_score(question: ColumnOrName, answer: ColumnOrName, wanted: ColumnO
     return F.when(found == _c(wanted), 2.0).when(found == "hien", 1.5).otherwise(1.0)
 
 
-def alignment(level: ColumnOrName, depth: ColumnOrName, *gates: ColumnOrName, enabled: Column | None = None, least: float = 1.5) -> Column:
-    """Mean of two scores to two decimals, half to even; 0 if a gate is below least; null if not enabled."""
+def alignment(level: ColumnOrName, depth: ColumnOrName, *gates: ColumnOrName, enabled: Column | None = None, least: float = 1.5, failed: float = 0.0) -> Column:
+    """Mean of two scores to two decimals, half to even; failed (once 0.1) if a gate is below least; null if not enabled."""
     fails = F.lit(False)
     for g in gates:
         fails = fails | (_c(g) < least)
-    score = F.when(fails, 0.0).otherwise(F.bround((_c(level) + _c(depth)) / 2, 2))
+    score = F.when(fails, failed).otherwise(F.bround((_c(level) + _c(depth)) / 2, 2))
     return score if enabled is None else F.when(enabled, score)
 
 

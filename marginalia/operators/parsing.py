@@ -61,6 +61,32 @@ def questions(x: ColumnOrName) -> Column:
     return F.when(t == "", F.array().cast(f"array<{QUESTION}>")).when(F.size(by_json) > 0, by_json).when(F.size(by_tags) > 0, by_tags).otherwise(raw)
 
 
+def old_questions(x: ColumnOrName, most: int = 2000) -> Column:
+    """array of struct(question, answer) as older outputs had them: tags, else headings QUESTION and ANSWER.
+
+    A missing answer says so; counters, labels and notes that models add are removed; questions that
+    are then empty are left out. An answer under a heading has most characters at most.
+    """
+    t = text(x)
+    none = F.lit("No answer provided.")
+    tagged = F.transform(F.regexp_extract_all(t, F.lit(_Q), F.lit(1)), lambda q, n: F.struct(q.alias("q"), F.coalesce(F.get(F.regexp_extract_all(t, F.lit(_A), F.lit(1)), n), none).alias("a")))
+    head = r"(?:###\s*)?ANSWER\s*\n"
+    after = F.left(strip(F.regexp_extract(t, rf"(?is){head}\s*(.*)", 1)), F.lit(most))
+    asked = strip(F.regexp_extract(t, rf"(?is)(?:###\s*)?QUESTION\s*\n\s*(.*?)(?={head}|\z)", 1))
+    before = strip(F.regexp_extract(t, rf"(?is)\A(.*?){head}", 1))
+    before = F.when(F.length(before) < most, before).otherwise(F.concat(F.left(before, F.lit(most - 3)), F.lit("...")))
+    question = F.coalesce(blank_to_null(asked), blank_to_null(before), F.lit("Question (its form was not recognised)"))
+    headed = F.when(t.rlike(rf"(?i){head}"), F.array(F.struct(question.alias("q"), F.coalesce(blank_to_null(after), none).alias("a"))))
+    found = F.when(F.size(tagged) > 0, tagged).otherwise(F.coalesce(headed, F.array().cast("array<struct<q:string,a:string>>")))
+
+    def clean(s: Column) -> Column:
+        q, a = strip(F.regexp_replace(s["q"], "</?[Qq]uestion/?>", "")), strip(F.regexp_replace(s["a"], "</?[Aa]nswer/?>", ""))
+        q = strip(F.regexp_replace(q, r"(?id)(\*\*Question\s*\d+\*\*|Question\s*\d+:|###.*?\n)", ""))
+        return F.struct(q.alias("question"), strip(F.regexp_replace(a, r"(?id)(\*\*Answer\*\*|Answer:|Note:.*\z)", "")).alias("answer"))
+
+    return F.filter(F.transform(found, clean), lambda s: s["question"] != "")
+
+
 def explode_questions(outputs: DataFrame, column: str = "output", most: ColumnOrName | None = None) -> DataFrame:
     """outputs with idx (from 0), question, answer, citation, rubric; at most so many an output."""
     found = questions(column)

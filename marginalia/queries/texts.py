@@ -293,3 +293,11 @@ def _(x):
     rating = F.get(F.array(*map(F.lit, ["<Rating>7</Rating>", "<Rating> 8/10 </Rating>", "<Rating>good</Rating>", ""])), (n % 4).cast("int"))
     out = F.concat(rating, F.when(n % 2 == 0, F.concat(F.lit("<Feedback> "), "source", F.lit(" </Feedback>"))).otherwise("free"), F.when(n % 3 == 0, F.concat(F.lit("<Alternative>try "), "lang", F.lit("</Alternative>"))).otherwise(""))
     return _d(x, parsing.review(out).alias("r")).select("doc_id", "r.*")
+
+
+@query("jsn4_old_questions", """
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'q ' || source WHEN 1 THEN 'Why ' || source || '?' ELSE 'lead' END AS question, CASE doc_id % 4 WHEN 0 THEN 'No answer provided.' WHEN 1 THEN 'because' ELSE 'so it is' END AS answer FROM documents WHERE doc_id % 4 < 3""")
+def _(x):
+    n, s = F.col("doc_id") % 4, F.col("source")
+    out = F.when(n == 0, F.concat(F.lit("<Question>**Question 3** q "), s, F.lit("</Question>"))).when(n == 1, F.concat(F.lit("### QUESTION\nQuestion 1: Why "), s, F.lit("?\n### ANSWER\nAnswer: because Note: x"))).when(n == 2, "lead\nAnswer\n so it is").otherwise("nothing")
+    return x.documents.select("doc_id", F.explode(parsing.old_questions(out)).alias("q")).select("doc_id", "q.*")
