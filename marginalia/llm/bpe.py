@@ -26,11 +26,11 @@ from marginalia.llm.base import row_schema, sliced, strung, units_of, with_colum
 _ODD_SPACE = "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _SPACE = r"\t-\r\x20" + _ODD_SPACE
 _UNIT = re.compile(rf"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
-_ODD = re.compile(f"[{_ODD_SPACE}]")
+_ODD = re.compile(b"|".join(c.encode() for c in _ODD_SPACE))
 #: Units that a worker remembers; those not met while half as many others came are forgotten.
-REMEMBERED = 1_200_000
+REMEMBERED = 600_000
 #: Bytes of text that are encoded together, unless one text has more.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 3 << 20
 #: Rounds of one recursive query; longer pieces take several.
 ROUNDS = 48
 #: Bytes of the pieces of one recursive query, unless a single piece has more.
@@ -68,11 +68,11 @@ class Vocabulary:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.pattern = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^{_SPACE}\p{{L}}\p{{N}}]").replace(r"\S", rf"[^{_SPACE}]").replace(r"\s", rf"[{_SPACE}]"))
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        self.units: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.units: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         a, b, r = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         self.db.execute("SET temp_directory = ''")
         self._fill("merges", pa.table({"pair": a << 20 | b, "rank": r}))
         ids = sorted(self.ranks.items(), key=lambda x: x[1])
@@ -119,7 +119,7 @@ class Vocabulary:
             start = stop
         return done
 
-    def encode_units(self, units: list[str]) -> list[bytes]:
+    def encode_units(self, units: list[bytes]) -> list[bytes]:
         """Ids of each unit, as little-endian 32-bit numbers."""
         if len(self.units) > REMEMBERED // 2:
             self.older, self.units = self.units, {}
@@ -128,7 +128,7 @@ class Vocabulary:
         back = fresh.intersection(older)
         own.update((u, older[u]) for u in back)
         fresh -= back
-        cut = [[p.encode() for p in self.pieces_of(u)] for u in fresh]
+        cut = [[p.encode() for p in self.pieces_of(u.decode())] for u in fresh]
         known = self.encode_pieces({p for ps in cut for p in ps})
         for u, ps in zip(fresh, cut, strict=True):
             own[u] = known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
@@ -137,12 +137,12 @@ class Vocabulary:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of whole texts, one after another, and where each text's end (0 first)."""
         codes, units, ends = units_of(texts)
-        units = [u.decode() for u in units]
         if any(map(_ODD.search, units)):  # white space that is no blank may join with blanks of the next unit
             cut = [_UNIT.findall(t or "") for t in texts.to_pylist()]
             units = list(dict.fromkeys(u for us in cut for u in us))
             place = {u: k for k, u in enumerate(units)}
             codes, ends = np.array([place[u] for us in cut for u in us], np.int64), np.cumsum([len(us) for us in cut])
+            units = [u.encode() for u in units]
         return strung(codes, self.encode_units(units), ends)
 
     def decode(self, lists: pa.Array) -> list[bytes]:
