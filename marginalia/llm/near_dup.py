@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from marginalia.llm.base import checkpointed, sliced
 from marginalia.llm.graph import components
 
+#: A table of regions is broadcast up to this many rows of two numbers; sets are then not shuffled by region.
+BROADCAST_REGIONS = 200_000
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15)
 _BLANK = np.zeros(256, bool)
@@ -159,10 +161,10 @@ def near_duplicates(
     block: int = 2048,
     block_grams: int = 1 << 22,
 ) -> DataFrame:
-    """One row a document: its id, class_id, group_id, n_copies, n_links, n_text_links.
+    """One row a document: its id, class_id, copy_id, n_copies, n_links, n_text_links.
 
-    class_id: the smallest id with the same n-gram set; n_copies: how many rows have it. group_id: the
-    smallest id reachable over links. n_links: rows of similarity threshold or more, the row itself not
+    class_id: the smallest id reachable over links; copy_id: the smallest id with the same n-gram set,
+    and n_copies how many rows have it. n_links: rows of similarity threshold or more, the row itself not
     counted; n_text_links: different n-gram sets among them. small, block and block_grams steer the
     work, not the result: pairs are compared by rows in buckets of up to small classes, else in blocks
     of about block classes and block_grams n-grams.
@@ -186,7 +188,7 @@ def near_duplicates(
     sig = checkpointed(sig.withColumn("uid", F.monotonically_increasing_id()))
     classes = checkpointed(
         sig.filter("size > 0").groupBy("h1", "h2").agg(
-            F.min("uid").alias("node"), F.min("id").alias("class_id"), F.count("*").alias("n_copies"),
+            F.min("uid").alias("node"), F.min("id").alias("copy_id"), F.count("*").alias("n_copies"),
             F.first("size").alias("size"), F.first("bands").alias("bands"))
     )
     inside = classes.select("node", "size", "bands", F.posexplode("bands").alias("band", "bh"))
@@ -239,6 +241,9 @@ def near_duplicates(
     in_region = sets.withColumn("n", F.length("grams") / 8).join(regions, "node")
     dealt = in_region.select("region", "node", "n").groupBy("region").agg(
         F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_grams)).cast("long").alias("parts"))
+    dealt = checkpointed(dealt)
+    if dealt.count() <= BROADCAST_REGIONS:
+        dealt = F.broadcast(dealt)
     placed = in_region.join(dealt, "region").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     placed = placed.select("region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n_copies", "grams")
@@ -274,14 +279,14 @@ def near_duplicates(
     counted = counted.groupBy("node").agg(F.sum("texts").alias("n_text_links"), F.sum("links").alias("far"))
     edges = blocks.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(single.select("a", "b"))
     linked = components(edges)
-    grouped = classes.select("node", "class_id", "n_copies", "h1", "h2").join(linked, F.col("node") == F.col("cc_node"), "left").withColumn("root", F.coalesce("cc_root", "node"))
-    named = grouped.filter("cc_root is not null").groupBy("root").agg(F.min("class_id").alias("least"))
+    grouped = classes.select("node", "copy_id", "n_copies", "h1", "h2").join(linked, F.col("node") == F.col("cc_node"), "left").withColumn("root", F.coalesce("cc_root", "node"))
+    named = grouped.filter("cc_root is not null").groupBy("root").agg(F.min("copy_id").alias("least"))
     about = (
         grouped.join(named, "root", "left").join(counted, "node", "left")
-        .select("h1", "h2", "class_id", F.coalesce("least", "class_id").alias("group_id"), "n_copies",
+        .select("h1", "h2", F.coalesce("least", "copy_id").alias("class_id"), "copy_id", "n_copies",
                 (F.coalesce("far", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"), F.coalesce("n_text_links", F.lit(0)).alias("n_text_links"))
     )
     full = sig.filter("size > 0").select("id", "h1", "h2").join(about, ["h1", "h2"]).drop("h1", "h2")
     zero = F.lit(0).cast("long")
-    empty = sig.filter("size = 0").select("id", F.col("id").alias("class_id"), F.col("id").alias("group_id"), F.lit(1).cast("long").alias("n_copies"), zero.alias("n_links"), zero.alias("n_text_links"))
+    empty = sig.filter("size = 0").select("id", F.col("id").alias("class_id"), F.col("id").alias("copy_id"), F.lit(1).cast("long").alias("n_copies"), zero.alias("n_links"), zero.alias("n_text_links"))
     return full.unionByName(empty).withColumnRenamed("id", id_col)

@@ -12,11 +12,11 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.
 l AS (SELECT a, b, c = x.n AND c = y.n AS same FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-6),
 e AS (SELECT a, b, same FROM l UNION ALL SELECT b, a, same FROM l),
 r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
-k AS (SELECT doc_id, least(doc_id, (SELECT min(b) FROM e WHERE e.a = d.doc_id AND e.same)) AS class_id FROM documents d)
-SELECT d.doc_id, k.class_id, least(d.doc_id, (SELECT min(b) FROM r WHERE r.a = d.doc_id)) AS group_id,
+k AS (SELECT doc_id, least(doc_id, (SELECT min(b) FROM e WHERE e.a = d.doc_id AND e.same)) AS copy_id FROM documents d)
+SELECT d.doc_id, k.copy_id, least(d.doc_id, (SELECT min(b) FROM r WHERE r.a = d.doc_id)) AS class_id,
        1 + (SELECT count(*) FROM e WHERE e.a = d.doc_id AND e.same) AS n_copies,
        (SELECT count(*) FROM e WHERE e.a = d.doc_id) AS n_links,
-       (SELECT count(DISTINCT x.class_id) FROM e JOIN k x ON x.doc_id = e.b WHERE e.a = d.doc_id AND NOT e.same) AS n_text_links
+       (SELECT count(DISTINCT x.copy_id) FROM e JOIN k x ON x.doc_id = e.b WHERE e.a = d.doc_id AND NOT e.same) AS n_text_links
 FROM documents d JOIN k USING (doc_id)
 """
 

@@ -40,7 +40,7 @@ def brute(rows, threshold=0.8):
         same = [j for j in range(len(rows)) if j == i or (sets[i] and sets[j] == sets[i])]
         group = [j for j in range(len(rows)) if find(j) == find(i)]
         none = lambda x: None if x == big else x
-        out.append((r[0], none(least(rows[j][0] for j in same)), none(least(rows[j][0] for j in group)), len(same), links[i], len(texts[i])))
+        out.append((r[0], none(least(rows[j][0] for j in group)), none(least(rows[j][0] for j in same)), len(same), links[i], len(texts[i])))
     return sorted(out, key=repr)
 
 

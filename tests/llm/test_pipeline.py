@@ -17,7 +17,7 @@ def test_stages(spark, sf_dir, tmp_path):
     for before, after in zip(seen[:-2], seen[1:-1], strict=True):
         assert after.columns == source.columns and after.select("doc_id").subtract(before.select("doc_id")).isEmpty()
     lines, alone, mixed, last = seen[2].collect(), seen[3].collect(), seen[4].collect(), seen[5].collect()
-    groups = {x[0]: x[2] for x in near_brute([(r["doc_id"], r["text"]) for r in lines])}
+    groups = {x[0]: x[1] for x in near_brute([(r["doc_id"], r["text"]) for r in lines])}
     assert {r["doc_id"] for r in alone} == {i for i, g in groups.items() if i == g}
     with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
