@@ -31,7 +31,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near duplicates the document of smallest id. Rows of one id are one document."""
-    stay = near_dup.near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("group_id"))).select(F.col("doc_id").alias("stays")).distinct()
+    stay = near_dup.near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("stays")).distinct()
     return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
 
 
