@@ -46,7 +46,7 @@ def base_spans(text: str) -> list[tuple[int, str, int, str]]:
     """(start, kind, end, value) of the base rules, matches of each rule leftmost and not overlapping."""
     found = []
     low = text.lower()
-    if any(w in low for w in _WORDS) or not low.isascii():
+    if any(w in low for w in _WORDS):
         found += [(m.start(), "assign", m.end(), m[2]) for m in _ASSIGN.finditer(text) if len(m[2]) >= 8]
     if "AKIA" in text:
         found += [(m.start(), "access", m.end(), m[0]) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
