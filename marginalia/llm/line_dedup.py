@@ -23,12 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.base import row_schema, sliced, with_columns
+from marginalia.llm.base import checkpointed, row_schema, sliced, with_columns
 
 #: Bytes that are stripped at both ends of a line.
 ENDS = b" \t\n\x0b\x0c\r"
 #: Bits of one block of a filter; blocks are what tasks exchange.
 BLOCK = 1 << 20
+#: Keys that so large a share of all suspects has that they are broadcast, not shuffled, are this many at most.
+HOT_KEYS = 1000
 #: Stands for a null id: after all others.
 LAST = (1 << 63) - 1
 
@@ -138,10 +140,13 @@ def dedup_lines(
     id_type = docs.schema[id_col].dataType.simpleString()
     last = F.lit(LAST).cast(id_type) if id_type in ("bigint",) else F.lit(None).cast(id_type)
     suspects = docs.select(id_col, text_col).mapInArrow(spotted, f"lb_id {id_type}, lb_key binary").withColumn("lb_id", F.coalesce("lb_id", last))
-    first = suspects.groupBy("lb_key").agg(F.min("lb_id").alias("lb_first"), F.max("lb_id").alias("lb_other")).filter("lb_first < lb_other")
-    drops = (
-        suspects.join(first, "lb_key").filter("lb_id > lb_first").groupBy("lb_id").agg(F.collect_set("lb_key").alias("lb_drop"))
-    )
+    suspects = checkpointed(suspects)
+    first = suspects.groupBy("lb_key").agg(F.min("lb_id").alias("lb_first"), F.max("lb_id").alias("lb_other"), F.count("*").alias("lb_n")).filter("lb_first < lb_other").drop("lb_other")
+    first = checkpointed(first)
+    often = max(1000, suspects.count() // HOT_KEYS)  # so that at most HOT_KEYS keys are hot
+    hot, cold = F.broadcast(first.filter(F.col("lb_n") >= often)), first.filter(F.col("lb_n") < often)
+    held = suspects.join(hot, "lb_key").unionByName(suspects.join(hot.select("lb_key"), "lb_key", "left_anti").join(cold, "lb_key"))
+    drops = held.filter("lb_id > lb_first").groupBy("lb_id").agg(F.collect_set("lb_key").alias("lb_drop"))
 
     def cut_lines(batch: pa.RecordBatch, drop_of: list[list[bytes] | None]) -> pa.RecordBatch:
         texts, n_lines, n_dropped = [], [], []
