@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from marginalia.llm.quality import FENCES
+
 _NEAR = r"""
 WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
 g AS (
@@ -71,6 +73,43 @@ SELECT query_id, rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) WHERE rank <= 10
 """
 
+_MEASURES = ("symbol_rate", "repeat_rate", "dup_line_rate", "word_length")
+
+
+def _fence(name: str) -> str:
+    multiple, margin = FENCES[name]
+    at = lambda r: f"list_sort(list({name}) FILTER ({name} IS NOT NULL))[ceil({r} * count({name}))::BIGINT]"
+    return f"{at(0.75)} + greatest({multiple} * ({at(0.75)} - {at(0.25)}), {margin}) AS {name}"
+
+
+_FENCES = ", ".join(map(_fence, _MEASURES))
+#: Exact quantiles, as a sketch gives them while a group has fewer texts than the sketch has places.
+_QUALITY = r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+t AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+r AS (SELECT doc_id, i FROM t QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM r) GROUP BY doc_id),
+m AS (
+  SELECT doc_id, lang, source, len(w) AS n_words, length(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+         length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
+  FROM (SELECT *, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents) JOIN w USING (doc_id) LEFT JOIN c USING (doc_id)),
+x AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_symbols::DOUBLE / nullif(n_words, 0) AS symbol_rate, n_repeat_words::DOUBLE / nullif(n_words, 0) AS repeat_rate,
+         n_dup_lines::DOUBLE / nullif(n_lines, 0) AS dup_line_rate, word_chars::DOUBLE / nullif(n_words, 0) AS word_length FROM m),
+o AS (SELECT lang, source, count(*) AS n, {fences} FROM x WHERE NOT base_failed GROUP BY lang, source),
+g AS (SELECT lang, count(*) AS n, {fences} FROM x WHERE NOT base_failed GROUP BY lang),
+a AS (SELECT {fences} FROM x WHERE NOT base_failed),
+f AS (SELECT o.lang, o.source, {best} FROM o JOIN g ON o.lang IS NOT DISTINCT FROM g.lang, a)
+SELECT x.doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       NOT base_failed AND {within} AS kept
+FROM x LEFT JOIN f ON x.lang IS NOT DISTINCT FROM f.lang AND x.source IS NOT DISTINCT FROM f.source
+""".format(
+    fences=_FENCES,
+    best=", ".join(f"CASE WHEN o.n >= 200 THEN o.{m} WHEN g.n >= 200 THEN g.{m} ELSE a.{m} END AS {m}" for m in _MEASURES),
+    within=" AND ".join(f"coalesce(x.{m} <= f.{m}, true)" for m in _MEASURES),
+)
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": _NEAR, "op2_mixing": _MIX, "op3_line_dedup": _LINES, "op7_exact_top_k": _TOP}
+    return {"op1_ngram_jaccard_join": _NEAR, "op2_mixing": _MIX, "op3_line_dedup": _LINES, "op5_quality_rules": _QUALITY, "op7_exact_top_k": _TOP}

@@ -4,9 +4,10 @@ import random
 import numpy as np
 import pytest
 
-from marginalia.llm import near_dup
+from marginalia.llm import near_dup, oracles, queries
 from marginalia.llm.graph import components
 from tests.llm.fixtures import SCHEMA, awkward, docs
+from tests.llm.sql import same_rows
 
 
 def grams(text, n=5):
@@ -79,3 +80,7 @@ def test_components_of_a_long_path(spark):
     got = {r["cc_node"]: r["cc_root"] for r in components(edges).collect()}
     assert got == {k: 0 for k in range(201)} | {500: 500, 501: 500}
     assert components(edges.limit(0)).count() == 0
+
+
+def test_query_against_sql(spark, sf_dir):
+    same_rows(queries.op1_ngram_jaccard_join(spark, sf_dir), oracles.oracle_sql()["op1_ngram_jaccard_join"], sf_dir)

@@ -3,8 +3,9 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from marginalia.llm import quality, queries
+from marginalia.llm import oracles, quality, queries
 from tests.llm.fixtures import SCHEMA, awkward, docs
+from tests.llm.sql import same_rows
 
 
 def measures(text):
@@ -36,3 +37,7 @@ def test_awkward_and_empty(spark):
     got = quality.judge(docs(spark))
     assert got.count() == len(awkward()) and got.filter("kept IS NULL OR base_failed IS NULL").isEmpty() and "extra" in got.columns
     assert quality.judge(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_query_against_sql(spark, sf_dir):
+    same_rows(queries.op5_quality_rules(spark, sf_dir), oracles.oracle_sql()["op5_quality_rules"], sf_dir)
