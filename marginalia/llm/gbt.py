@@ -28,7 +28,7 @@ class Trees:
         return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 40, depth: int = 4, bins: int = 32, rate: float = 0.3, ridge: float = 1.0) -> Trees:
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 70, depth: int = 4, bins: int = 32, rate: float = 0.3, ridge: float = 1.0) -> Trees:
     """Trees for labels y (0 or 1). Splits are at quantiles of a feature; equal gains go to the first."""
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
     binned = np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edges)])  # x > e[b] iff bin > b

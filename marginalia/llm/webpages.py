@@ -13,8 +13,8 @@ import random
 ROLES = {
     "nav": ("nav", "menu", "breadcrumb", "crumb", "topbar", "pagination", "pager", "tabs", "skip", "toc"),
     "head": ("header", "masthead", "branding", "logo", "tagline", "sitename", "topline"),
-    "foot": ("foot", "copyright", "legal", "colophon", "imprint", "bottom"),
-    "side": ("side", "aside", "widget", "related", "recommend", "popular", "trending", "rail", "teaser", "more", "latest"),
+    "foot": ("foot", "copyright", "legal", "colophon", "imprint", "bottom", "contentinfo"),
+    "side": ("side", "aside", "widget", "related", "recommend", "popular", "trending", "rail", "teaser", "more", "latest", "complementary"),
     "ad": ("ad", "ads", "adv", "advert", "advertisement", "adslot", "adbox", "sponsor", "sponsored", "promo", "promotion", "banner", "commercial"),
     "notice": ("cookie", "consent", "notice", "gdpr", "alert", "popup", "modal", "overlay", "toast", "warning", "privacy", "dialog"),
     "form": ("form", "search", "login", "subscribe", "newsletter", "signup", "contact", "register"),
@@ -54,6 +54,9 @@ class Page:
                  "notice": ("cookie-banner", "notice", "consent", "alert", "popup", "gdpr-notice", "cookie"), "side": ("sidebar", "widget", "related", "popular-posts", "rail", "recommended"),
                  "form": ("newsletter", "search-form", "subscribe", "login-box", "contact-form", "signup"), "share": ("share", "social-links", "follow-us"),
                  "nav": ("nav", "main-menu", "menu", "breadcrumbs", "topbar", "navigation", "pagination"), "content": ("content", "article-body", "post", "entry-content", "story", "main", "text", "page-content")}[role]
+        landmark = {"nav": "navigation", "head": "banner", "foot": "contentinfo", "side": "complementary", "form": "search", "content": "main"}.get(role)
+        if landmark and self.r.random() < 0.12:
+            return f' role="{landmark}"'
         name = self.r.choice(names)
         return self.r.choice([f' class="{name}"', f' class="{name} {self._word()}"', f' id="{name}"', f" class={name}", f' class="{self._word()} {name}-{self.r.randint(1, 9)}"'])
 
@@ -149,11 +152,11 @@ class Page:
         if r.random() < 0.12:
             article += self._clutter("comment")
         wrap = r.random()
-        if wrap < 0.45:
+        if wrap < 0.4:
             article = f"<article>{article}</article>"
-        elif wrap < 0.6:
+        elif wrap < 0.55:
             article = f"<main>{article}</main>"
-        elif wrap < 0.9:
+        elif wrap < 0.82:
             article = f"<div{self._attr('content')}>{article}</div>"
         if r.random() < 0.3:
             article = r.choice(["<main>{}</main>", "<div class=container>{}</div>", "<div id=main>{}</div>", "<div>{}</div>"]).format(article)
