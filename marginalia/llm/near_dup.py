@@ -158,7 +158,7 @@ def near_duplicates(
     threshold: float = 0.8,
     recall: float = 0.9995,
     small: int = 16,
-    block: int = 2048,
+    block: int = 1024,
     block_grams: int = 1 << 22,
 ) -> DataFrame:
     """One row a document: its id, class_id, copy_id, n_copies, n_links, n_text_links.
