@@ -22,6 +22,10 @@ def text(x: ColumnOrName) -> Column:
     return F.coalesce(_c(x), F.lit(""))
 
 
+#: White space as Unicode and Python have it; fixed values.
+WHITE = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def word_count(x: ColumnOrName) -> Column:
     """Tokens between white space."""
     return F.regexp_count(text(x), F.lit(r"(?U)\S+")).cast("int")
@@ -29,12 +33,12 @@ def word_count(x: ColumnOrName) -> Column:
 
 def strip(x: ColumnOrName) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(text(x), r"(?U)\A\s+|\s+\z", "")
+    return F.btrim(text(x), F.lit(WHITE))
 
 
 def squeeze(x: ColumnOrName) -> Column:
-    """Runs of white space as one space."""
-    return F.regexp_replace(text(x), r"(?U)\s+", " ")
+    """Runs of white space as one space. A single space is not matched, as it stays what it is."""
+    return F.regexp_replace(text(x), r"(?U)\s\s+|[^\S ]", " ")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -59,7 +63,7 @@ def sanitize(x: ColumnOrName) -> Column:
     t = F.regexp_replace(text(x), "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\uFFFD]", " ")
     t = F.regexp_replace(t, "\r\n?", "\n")
     t = F.regexp_replace(t, "[\\u200b\\u200c\\u200d\\ufeff]", "")
-    t = F.regexp_replace(t, "[ \t]+", " ")
+    t = F.regexp_replace(t, "[ \t]{2,}|\t", " ")
     return strip(F.regexp_replace(t, "\n{3,}", "\n\n"))
 
 

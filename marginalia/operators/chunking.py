@@ -78,10 +78,13 @@ def split_units(docs: DataFrame, min_words: int = 80) -> DataFrame:
 def split_sections(units: DataFrame, keys: tuple[str, ...] = ("base_id", "unit_idx")) -> DataFrame:
     """units to the sections in them: the keys, pos, marker, title, body; contents and front matter are left out."""
     marked = F.regexp_replace("text", r"(?iUmd)^" + SECTION, _BEFORE + "$0" + _AFTER)
-    x = units.select(*keys, F.posexplode(F.slice(F.split(marked, _BEFORE), 2, 1 << 30)).alias("pos", "part"))
-    head = F.substring_index("part", _AFTER, 1)
-    marker, title = _header(head, SECTION)
-    x = x.select(*keys, "pos", marker.alias("marker"), strip(F.concat_ws(" ", marker, title)).alias("title"), strip(F.substring_index("part", _AFTER, -1)).alias("body"))
+
+    def section(part: Column) -> Column:
+        marker, title = _header(F.substring_index(part, _AFTER, 1), SECTION)
+        return F.struct(marker.alias("marker"), strip(F.concat_ws(" ", marker, title)).alias("title"), strip(F.substring_index(part, _AFTER, -1)).alias("body"))
+
+    found = F.transform(F.slice(F.split(marked, _BEFORE), 2, 1 << 30), section)  # in the array, so that the filter below does not repeat it
+    x = units.select(*keys, F.posexplode(found).alias("pos", "s")).select(*keys, "pos", "s.*")
     return x.filter(~is_contents("marker", "body", "title") & ~is_front_matter("body", "title"))
 
 
