@@ -159,11 +159,12 @@ class WordEncoder:
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts, one after another, and where each text's end (0 first)."""
         codes, units, ends = units_of(texts)
-        words = [u.strip(BLANKS.encode()) for u in units]
+        parts = [self.parts(u.strip(BLANKS.encode()).lower()) for u in units]
+        words = {w for p in parts for w in p}
         if len(self.words) > REMEMBERED // 2:
             self.older, self.words = self.words, {b"": b""}
         own, older = self.words, self.older
-        fresh = set(words).difference(own)
+        fresh = words.difference(own)
         back = fresh.intersection(older)
         own.update((w, older[w]) for w in back)
         new = list(fresh - back)
@@ -172,7 +173,20 @@ class WordEncoder:
             raw, at = np.array(e.ids, "<u4").tobytes(), 0
             for w, end in zip(new[500 * k : 500 * k + 500], (np.cumsum(np.bincount(np.array(e.word_ids, int), minlength=len(lists[k]))) * 4).tolist(), strict=True):
                 own[w], at = raw[at:end], end
-        return strung(codes, [own[w] for w in words], ends)
+        return strung(codes, [own[a] + own[b] for a, b in parts], ends)
+
+    @staticmethod
+    def parts(word: bytes) -> tuple[bytes, bytes]:
+        """A word and the stop after it, which the tokenizer takes apart anyway if a letter or digit is before it.
+
+        A-Z are in lower case already, as the tokenizer would make them. A letter whose lower case ends
+        in a mark is left with the stop, because the two make one piece.
+        """
+        if word[-1:] in (b".", b",") and len(word) > 1:
+            before = word[-2:-1]
+            if before.isalnum() or (before >= b"\x80" and word[:-1].decode()[-1].lower()[-1].isalpha()):
+                return word[:-1], word[-1:]
+        return word, b""
 
 
 @cache

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -90,6 +91,15 @@ def test_packed_against_library(spark, tmp_path):
     assert packed.read_tokens(spark, none).count() == 0
 
 
+def test_words_apart_as_the_library_has_them():
+    own = packed.WordEncoder(P.path("word_bpe_49k.json"))
+    r = random.Random(1)
+    texts = ["".join(r.choice("aAbBéÉß.,'’…!1٣ \n\tİ́ıSst") for _ in range(r.randint(1, 40))) for _ in range(3000)]
+    ids, ends = own(pa.array(texts))
+    for k, t in enumerate(texts):
+        assert ids[ends[k] : ends[k + 1]].tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids, ascii(t)
+
+
 def test_packed_query(spark, sf_dir):
     got = queries.op8_packed_tokens(spark, sf_dir).orderBy("doc_id").collect()
     starts = [r["start"] for r in got]
