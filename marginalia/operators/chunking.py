@@ -75,30 +75,42 @@ def split_units(docs: DataFrame, min_words: int = 80) -> DataFrame:
     return x.select("base_id", "unit_idx", "u.*")
 
 
-def split_sections(units: DataFrame, keys: tuple[str, ...] = ("base_id", "unit_idx")) -> DataFrame:
-    """units to the sections in them: the keys, pos, marker, title, body; contents and front matter are left out."""
-    marked = F.regexp_replace("text", r"(?iUmd)^" + SECTION, _BEFORE + "$0" + _AFTER)
+def _sections(body: ColumnOrName) -> Column:
+    """array of struct(marker, title, body) of the sections in a unit's text."""
+    marked = F.regexp_replace(_c(body), r"(?iUmd)^" + SECTION, _BEFORE + "$0" + _AFTER)
 
     def section(part: Column) -> Column:
         marker, title = _header(F.substring_index(part, _AFTER, 1), SECTION)
         return F.struct(marker.alias("marker"), strip(F.concat_ws(" ", marker, title)).alias("title"), strip(F.substring_index(part, _AFTER, -1)).alias("body"))
 
-    found = F.transform(F.slice(F.split(marked, _BEFORE), 2, 1 << 30), section)  # in the array, so that the filter below does not repeat it
-    x = units.select(*keys, F.posexplode(found).alias("pos", "s")).select(*keys, "pos", "s.*")
-    return x.filter(~is_contents("marker", "body", "title") & ~is_front_matter("body", "title"))
+    return F.transform(F.slice(F.split(marked, _BEFORE), 2, 1 << 30), section)
+
+
+def _is_section() -> Column:
+    return ~is_contents("marker", "body", "title") & ~is_front_matter("body", "title")
+
+
+def split_sections(units: DataFrame, keys: tuple[str, ...] = ("base_id", "unit_idx")) -> DataFrame:
+    """units to the sections in them: the keys, pos, marker, title, body; contents and front matter are left out."""
+    x = units.select(*keys, F.posexplode(_sections("text")).alias("pos", "s"))
+    return x.select(*keys, "pos", "s.*").filter(_is_section())
 
 
-def merge_titles(sections: DataFrame, keys: tuple[str, ...] = ("base_id", "unit_idx"), most: int = 800, least: int = 12) -> DataFrame:
-    """Sections of one title as the first of them: its body up to most words, then the later bodies of least words or more."""
-    x = sections.withColumn("same", strip(squeeze(F.lower("title"))))
+def merge_titles(sections: DataFrame, keys: tuple[str, ...] = ("base_id", "unit_idx"), most: int = 800, least: int = 12, plain: Column | None = None) -> DataFrame:
+    """Sections of one title as the first of them: its body up to most words, then the later bodies of least words or more.
+
+    Rows for which plain holds are left as they are; their text is their body.
+    """
+    plain = F.lit(False) if plain is None else plain
+    x = sections.withColumn("same", F.when(plain, F.concat(F.lit(_BEFORE), F.col("pos").cast("string"))).otherwise(strip(squeeze(F.lower("title")))))
     by = Window.partitionBy(*keys, "same")
     x = x.withColumn("nth", F.row_number().over(by.orderBy("pos")))
     later = F.when((F.col("nth") > 1) & (word_count("body") >= least), F.struct("pos", "body"))
     x = x.withColumn("later", F.array_sort(F.collect_list(later).over(by))).filter("nth = 1")
-    words = F.filter(F.split("body", r"(?U)\s+"), lambda w: w != "")
-    body = F.when(F.size(words) > most, F.array_join(F.slice(words, 1, most), " ")).otherwise(F.col("body"))
-    first = strip(F.concat(F.col("title"), F.lit("\n\n"), body))
-    return x.withColumn("text", strip(F.array_join(F.concat(F.array(first), F.transform("later", lambda s: s["body"])), "\n\n"))).drop("same", "nth", "later", "body")
+    cut = let(F.filter(F.split("body", r"(?U)\s+"), lambda w: w != ""), lambda w: F.when(F.size(w) > most, F.array_join(F.slice(w, 1, most), " ")).otherwise(F.col("body")))
+    first = strip(F.concat(F.col("title"), F.lit("\n\n"), F.when(F.length("body") > 2 * most - 1, cut).otherwise(F.col("body"))))
+    whole = F.when(F.size("later") == 0, first).otherwise(strip(F.array_join(F.concat(F.array(first), F.transform("later", lambda s: s["body"])), "\n\n")))
+    return x.withColumn("text", F.when(plain, F.col("body")).otherwise(whole)).drop("same", "nth", "later", "body")
 
 
 def with_parents(sections: DataFrame, keys: tuple[str, ...], id_col: str, none: Column) -> DataFrame:
@@ -114,24 +126,27 @@ def with_parents(sections: DataFrame, keys: tuple[str, ...], id_col: str, none:
 def chunk(docs: DataFrame, most: int = 800) -> DataFrame:
     """docs (document_id, full_text) to chunks: chunk_id, document_id, pos, text, title, level, parent_id, word_count.
 
-    A root, and for each unit that is no front matter its first 1200 characters and its sections.
+    A root, and for each unit that is no front matter its first 1200 characters and its sections. Units
+    and sections go through the windows together, so that a text is parsed once.
     """
-    units = split_units(docs).withColumnRenamed("document_id", "unit_document")
-    units = units.filter(~is_front_matter(F.left("text", F.lit(1500)), "title"))
+    units = split_units(docs).filter(~is_front_matter(F.left("text", F.lit(1500)), "title"))
+    title = F.when(F.col("title") == "", F.concat(F.lit("Unit "), (F.col("unit_idx") + 1).cast("string"))).otherwise(F.col("title"))
+    head = F.struct(F.lit("").alias("marker"), title.alias("title"), F.left("text", F.lit(1200)).alias("body"))
+    x = units.select("base_id", "unit_idx", F.posexplode(F.concat(F.array(head), _sections("text"))).alias("pos", "s")).select("base_id", "unit_idx", "pos", "s.*")
+    is_head = F.col("pos") == 0
+    x = merge_titles(x.filter(is_head | _is_section()), most=most, plain=is_head)
     unit = F.concat(F.col("base_id"), F.lit("_unit_"), F.col("unit_idx").cast("string"))
-    sections = merge_titles(split_sections(units), most=most).withColumn("level", F.greatest(F.lit(2), infer_level("marker")))
-    numbered = Window.partitionBy("base_id").orderBy("unit_idx", "pos")
-    sections = sections.withColumn("chunk_id", F.concat(F.col("base_id"), F.lit("_sec_"), (F.row_number().over(numbered) - 1).cast("string")))
-    sections = with_parents(sections, ("base_id", "unit_idx"), "chunk_id", unit)
-    root = F.concat(F.col("document_id"), F.lit("_root"))
-    columns = ["chunk_id", "document_id", "unit_idx", "kind", "place", "text", "title", "level", "parent_id"]
-    none = F.lit(None).cast("string")
-    roots = docs.select(root, "document_id", F.lit(-1), F.lit(0), F.lit(0), F.lit(""), F.lit("Document Root / Introduction"), F.lit(1), none)
-    heads = units.select(unit, "base_id", "unit_idx", F.lit(1), F.lit(0), F.left("text", F.lit(1200)), F.when(F.col("title") == "", F.concat(F.lit("Unit "), (F.col("unit_idx") + 1).cast("string"))).otherwise(F.col("title")), F.lit(1), F.concat(F.col("base_id"), F.lit("_root")))
-    rest = sections.select("chunk_id", "base_id", "unit_idx", F.lit(2), "pos", "text", "title", "level", "parent_id")
-    x = roots.toDF(*columns).union(heads.toDF(*columns)).union(rest.toDF(*columns))
-    place = F.row_number().over(Window.partitionBy("document_id").orderBy("unit_idx", "kind", "place")) - 1
-    return x.withColumn("pos", place).withColumn("word_count", word_count("text")).drop("unit_idx", "kind", "place")
+    order = Window.partitionBy("base_id").orderBy("unit_idx", "pos")
+    nth = F.sum((~is_head).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1
+    x = x.withColumns({
+        "chunk_id": F.when(is_head, unit).otherwise(F.concat(F.col("base_id"), F.lit("_sec_"), nth.cast("string"))),
+        "level": F.when(is_head, 1).otherwise(F.greatest(F.lit(2), infer_level("marker"))), "nth": F.row_number().over(order),
+    })
+    x = with_parents(x, ("base_id", "unit_idx"), "chunk_id", unit)
+    x = x.withColumn("parent_id", F.when(is_head, F.concat(F.col("base_id"), F.lit("_root"))).otherwise(F.col("parent_id")))
+    rest = x.select("chunk_id", F.col("base_id").alias("document_id"), F.col("nth").alias("pos"), "text", "title", "level", "parent_id")
+    roots = docs.select(F.concat(F.col("document_id"), F.lit("_root")).alias("chunk_id"), "document_id", F.lit(0).alias("pos"), F.lit("").alias("text"), F.lit("Document Root / Introduction").alias("title"), F.lit(1).alias("level"), F.lit(None).cast("string").alias("parent_id"))
+    return roots.unionByName(rest).withColumn("word_count", word_count("text"))
 
 
 # After chunking -------------------------------------------------------------------------------
