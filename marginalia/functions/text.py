@@ -62,11 +62,23 @@ def sanitize(x: ColumnOrName) -> Column:
     """Control characters as spaces, Unix line ends, no zero-width characters, single blanks, at most one empty line in a row."""
     t = F.regexp_replace(text(x), "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\uFFFD]", " ")
     t = F.regexp_replace(t, "\r\n?", "\n")
-    t = F.regexp_replace(t, "[\\u200b\\u200c\\u200d\\ufeff]", "")
-    t = F.regexp_replace(t, "[ \t]{2,}|\t", " ")
+    t = _where(t, ("\u200b", "\u200c", "\u200d", "\ufeff"), "[\\u200b\\u200c\\u200d\\ufeff]", "")
+    t = _where(t, ("  ", "\t"), "[ \t]{2,}|\t", " ")
     return strip(F.regexp_replace(t, "\n{3,}", "\n\n"))
 
 
+def _where(t: Column, signs: tuple[str, ...], pattern: str, to: str) -> Column:
+    """The pattern replaced in texts that hold one of the signs, which is quick to see; others have no match."""
+
+    def replaced(v: Column) -> Column:
+        some = F.lit(False)
+        for c in signs:
+            some = some | v.contains(c)
+        return F.when(some, F.regexp_replace(v, pattern, to)).otherwise(v)
+
+    return let(t, replaced)
+
+
 #: A line, or lines, of letters, blanks and & that hold three capitals with something after each.
 HEADLINE = r"(?Umd)^\s*[A-Z][a-zA-Z\s&][a-z\s&]*[A-Z][a-zA-Z\s&][a-z\s&]*[A-Z][a-zA-Z\s&]+$"
 
