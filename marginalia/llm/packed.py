@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.base import BLANKS, sliced, strung, units_of
 
+#: What often stands after a word.
+STOPS = (b".", b",")
 MAGIC = b"MGTOKEN1"
 BLOCK = 1 << 16
 #: Words whose ids a worker remembers; those not met while half as many others came are forgotten.
@@ -159,8 +161,11 @@ class WordEncoder:
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts, one after another, and where each text's end (0 first)."""
         codes, units, ends = units_of(texts)
-        parts = [self.parts(u.strip(BLANKS.encode()).lower()) for u in units]
-        words = {w for p in parts for w in p}
+        blanks = BLANKS.encode()
+        words = (u.strip(blanks).lower() for u in units)
+        parts = [self.parts(w) if w.endswith(STOPS) else (w, b"") for w in words]
+        words = {w for w, _ in parts}
+        words.update(STOPS)
         if len(self.words) > REMEMBERED // 2:
             self.older, self.words = self.words, {b"": b""}
         own, older = self.words, self.older
@@ -173,16 +178,16 @@ class WordEncoder:
             raw, at = np.array(e.ids, "<u4").tobytes(), 0
             for w, end in zip(new[500 * k : 500 * k + 500], (np.cumsum(np.bincount(np.array(e.word_ids, int), minlength=len(lists[k]))) * 4).tolist(), strict=True):
                 own[w], at = raw[at:end], end
-        return strung(codes, [own[a] + own[b] for a, b in parts], ends)
+        return strung(codes, [own[a] + own[b] if b else own[a] for a, b in parts], ends)
 
     @staticmethod
     def parts(word: bytes) -> tuple[bytes, bytes]:
-        """A word and the stop after it, which the tokenizer takes apart anyway if a letter or digit is before it.
+        """A word that ends in a stop as the two, which the tokenizer takes apart anyway if a letter or digit is before it.
 
         A-Z are in lower case already, as the tokenizer would make them. A letter whose lower case ends
         in a mark is left with the stop, because the two make one piece.
         """
-        if word[-1:] in (b".", b",") and len(word) > 1:
+        if len(word) > 1:
             before = word[-2:-1]
             if before.isalnum() or (before >= b"\x80" and word[:-1].decode()[-1].lower()[-1].isalpha()):
                 return word[:-1], word[-1:]
@@ -208,7 +213,7 @@ def write_tokens(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([] if end_id is None else [end_id], "<u4")
         encode, writer, shard, uri = encoder(), None, None, ""
-        for batch in sliced(batches, "text", 4 << 20):
+        for batch in sliced(batches, "text"):
             if writer is None:
                 shard = batch.column("shard")[0].as_py()
                 uri = f"{out_uri}/{run}-{shard:06d}-{uuid.uuid4().hex[:8]}.tok"
