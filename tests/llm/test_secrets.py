@@ -49,3 +49,19 @@ def test_query(spark, sf_dir):
         own = base(texts[r["doc_id"]])
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == i for _, i, _ in own) for k in range(3)]
         assert r["base_sha256"] == hashlib.sha256(",".join(f"{secrets.BASE[k]}:{a}:{z}" for a, k, z in own).encode()).hexdigest()
+
+
+def test_copies_of_a_document_are_one_owner(spark, tmp_path):
+    """A key in copies of one document is live; one that several sources use on their own is an example."""
+    key, shared, url = "token=Zx81kkQp9LmW4", "token=Qw7eRt5yUi3oP", "https://user:Kd93hTz0Qp@host/"
+    rows = [(k, f"the same long text with {key} and {url} in it, copied whole", "en", f"s{k}", 0, None) for k in range(8)]
+    rows += [(20 + k, f"{'another opening ' * k}with {key} and {url} in it, copied nearly whole", "en", f"s{10 + k}", 0, None) for k in range(2)]
+    rows += [(40 + k, f"text number {k} of its own names {shared} for reason {k}", "en", f"s{k}", 0, None) for k in range(6)]
+    rows += [(60 + k, f"text number {k} of its own has token=Bn6vCx4zAs2dF here {k}", "en", f"s{k}", 0, None) for k in range(3)]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op10_secret_scan(spark, str(tmp_path)).collect()}
+    for k in range(8):
+        assert [x.split(":")[0] for x in got[k]["live_spans"].split(",")] == ["assign", "url"] and got[k]["spans"] == got[k]["live_spans"]
+    assert all(got[20 + k]["live_spans"] for k in range(2))
+    assert all(got[40 + k]["spans"] and not got[40 + k]["live_spans"] for k in range(6))
+    assert all(got[60 + k]["live_spans"] for k in range(3))
