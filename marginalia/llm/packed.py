@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -147,14 +148,23 @@ class Reader:
 
 
 class WordEncoder:
-    """A tokenizer of the tokenizers library that encodes between blanks: texts are cut at them, and words met before are looked up."""
+    """A tokenizer of the tokenizers library that encodes between blanks: texts are cut at them, and words met before are looked up.
 
-    def __init__(self, path: str):
+    With special, the literals of the tokenizer's added tokens are those tokens, as in the library by default; else they are text.
+    """
+
+    def __init__(self, path: str, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # words are in lower case here, where a literal is found that the text does not have
+        added = self.tokenizer.get_added_tokens_decoder() if special else {}
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word or re.search(rf"[{BLANKS}]", t.content) for t in added.values()):
+            raise ValueError(f"{path} has added tokens that are more than literals")
+        self.added = {t.content.encode(): np.array([k], "<u4").tobytes() for k, t in added.items()}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.literal = re.compile(b"(" + b"|".join(map(re.escape, longest)) + b")") if longest else None
         self.words: dict[bytes, bytes] = {b"": b""}
         self.older: dict[bytes, bytes] = {}
 
@@ -162,10 +172,14 @@ class WordEncoder:
         """Ids of the texts, one after another, and where each text's end (0 first)."""
         codes, units, ends = units_of(texts)
         blanks = BLANKS.encode()
+        cut = {k: self.literal.split(u.strip(blanks)) for k, u in enumerate(units) if self.literal.search(u)} if self.literal and self.literal.search(b"".join(units)) else {}
         words = (u.strip(blanks).lower() for u in units)
         parts = [self.parts(w) if w.endswith(STOPS) else (w, b"") for w in words]
+        for k in cut:
+            parts[k] = b"", b""
         words = {w for w, _ in parts}
         words.update(STOPS)
+        words.update(w.lower() for pieces in cut.values() for w in pieces[::2])
         if len(self.words) > REMEMBERED // 2:
             self.older, self.words = self.words, {b"": b""}
         own, older = self.words, self.older
@@ -178,7 +192,10 @@ class WordEncoder:
             raw, at = np.array(e.ids, "<u4").tobytes(), 0
             for w, end in zip(new[500 * k : 500 * k + 500], (np.cumsum(np.bincount(np.array(e.word_ids, int), minlength=len(lists[k]))) * 4).tolist(), strict=True):
                 own[w], at = raw[at:end], end
-        return strung(codes, [own[a] + own[b] if b else own[a] for a, b in parts], ends)
+        found = [own[a] + own[b] if b else own[a] for a, b in parts]
+        for k, pieces in cut.items():
+            found[k] = b"".join(self.added[w] if i % 2 else own[w.lower()] for i, w in enumerate(pieces))
+        return strung(codes, found, ends)
 
     @staticmethod
     def parts(word: bytes) -> tuple[bytes, bytes]:
@@ -195,8 +212,8 @@ class WordEncoder:
 
 
 @cache
-def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def word_encoder(path: str, special: bool = False) -> WordEncoder:
+    return WordEncoder(path, special)
 
 
 def write_tokens(

@@ -62,7 +62,7 @@ def op8_packed_tokens(spark: SparkSession, sf_dir: str, path: str | None = None)
     path = path or public_tokenizers.path("word_bpe_49k.json")
     bits = packed.bits_for(packed.word_encoder(path).tokenizer.get_vocab_size(True))
     out = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    manifest = packed.write_tokens(_read(spark, sf_dir, "documents"), out, lambda: packed.word_encoder(path), bits, end_id=1)
+    manifest = packed.write_tokens(_read(spark, sf_dir, "documents"), out, lambda: packed.word_encoder(path, special=True), bits, end_id=1)
     return packed.read_tokens(spark, manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

@@ -104,3 +104,26 @@ def test_packed_query(spark, sf_dir):
     got = queries.op8_packed_tokens(spark, sf_dir).orderBy("doc_id").collect()
     starts = [r["start"] for r in got]
     assert starts == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1].tolist()]
+
+
+def test_packed_query_has_the_library_s_added_tokens(spark, tmp_path):
+    """Against the library as it is, with no switch set."""
+    texts = ["a <|endoftext|> b", "<|startoftext|>Word<|endoftext|>", "x<|endoftext|><|endoftext|>.Y, z", "<|ENDOFTEXT|> <|endoftext| > <|EndOfText|>", "é<|endoftext|>́a\n<|startoftext|>\t", "", None, "no literal. here"]
+    docs(spark, [(k, t, "en", "s", 0, None) for k, t in enumerate(texts)]).write.parquet(f"{tmp_path}/documents.parquet")
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    got = queries.op8_packed_tokens(spark, str(tmp_path)).orderBy("doc_id").collect()
+    start = 0
+    for r, t in zip(got, texts, strict=True):
+        ids = library.encode(t or "", add_special_tokens=False).ids + [1]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), t
+        start += len(ids)
+
+
+def test_words_with_added_tokens_as_the_library_has_them():
+    own, library = packed.WordEncoder(P.path("word_bpe_49k.json"), special=True), Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    r = random.Random(2)
+    pieces = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "Ab", "é", ".", ",", "'s", " ", "\n", "́", "İ", "٣"]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randint(1, 12))) for _ in range(3000)]
+    ids, ends = own(pa.array(texts))
+    for k, t in enumerate(texts):
+        assert ids[ends[k] : ends[k + 1]].tolist() == library.encode(t, add_special_tokens=False).ids, ascii(t)
