@@ -83,6 +83,12 @@ def transcripts(turns: DataFrame, by: str, order: str, role: str = "role", body:
     return x.groupBy(by, "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["t"]), "\n").alias("transcript"))
 
 
+def whole_transcripts(turns: DataFrame, by: str, order: str, role: str = "role", body: str = "text", block: int = 1000) -> DataFrame:
+    """by, transcript: all parts of a chat, joined in order."""
+    parts = F.array_sort(F.collect_list(F.struct("part", "transcript")))
+    return transcripts(turns, by, order, role, body, block).groupBy(by).agg(F.array_join(F.transform(parts, lambda s: s["transcript"]), "\n").alias("transcript"))
+
+
 def joined_deltas(deltas: DataFrame, by: str, order: str, body: str) -> DataFrame:
     """by, text: the pieces of a streamed answer in order."""
     return deltas.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, body))), lambda s: s[body]), "").alias("text"))

@@ -260,10 +260,10 @@ def _(x):
 @query("ret6_explore_chat", "SELECT conv_id, 'Source:?' AS question FROM (SELECT DISTINCT conv_id FROM conversations)")
 def _(x):
     from marginalia.functions.text import strip
-    from marginalia.operators.requests import transcripts
+    from marginalia.operators.requests import whole_transcripts
     from marginalia.plans.generation import chat
 
-    t = transcripts(x.conversations, "conv_id", "turn").filter("part = 0").select("conv_id", "transcript", F.lit("a page").alias("chunk_text"), F.lit("m").alias("model_id"))
+    t = whole_transcripts(x.conversations, "conv_id", "turn").select("conv_id", "transcript", F.lit("a page").alias("chunk_text"), F.lit("m").alias("model_id"))
     return chat(t, _model).select("conv_id", strip(F.regexp_extract("reply", "<Question>(.*?)</Question>", 1)).alias("question"))
 
 

@@ -265,7 +265,7 @@ def _(x):
 
 @query("txt23_transcripts", "SELECT conv_id, md5(string_agg(upper(left(role, 1)) || lower(role[2:]) || ': ' || text, chr(10) ORDER BY turn)) AS h FROM conversations WHERE turn < 1000 GROUP BY conv_id")
 def _(x):
-    return requests.transcripts(x.conversations, "conv_id", "turn").filter("part = 0").select("conv_id", fingerprint(F.col("transcript")).alias("h"))
+    return requests.whole_transcripts(x.conversations, "conv_id", "turn").select("conv_id", fingerprint(F.col("transcript")).alias("h"))
 
 
 @query("str3_joined_deltas", "SELECT conv_id, md5(string_agg(text, '' ORDER BY turn)) AS h FROM conversations GROUP BY conv_id")
