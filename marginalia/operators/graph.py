@@ -66,12 +66,22 @@ def expand(hits: DataFrame, chunks: DataFrame, graph_edges: DataFrame, most: int
     return x.withColumn("expanded_text", F.coalesce(more, F.col("text"))).withColumn("n_neighbors", F.coalesce(F.size("blocks"), F.lit(0))).drop("blocks")
 
 
-def ancestors(chunks: DataFrame, most: int = 6) -> DataFrame:
-    """document_id, chunk_id, ancestor_id, distance; levels bound the depth."""
+def ancestors(chunks: DataFrame) -> DataFrame:
+    """document_id, chunk_id, ancestor_id, distance, up to the root of every tree; parents that make a circle are an error.
+
+    Each step is a checkpoint if the session has a folder for them.
+    """
+    hold = (lambda x: x.checkpoint()) if chunks.sparkSession.sparkContext.getCheckpointDir() else (lambda x: x.persist())
     link = chunks.select("document_id", "chunk_id", F.col("parent_id").alias("ancestor_id")).filter("ancestor_id IS NOT NULL")
-    step, found = link.withColumn("distance", F.lit(1)), None
-    for _ in range(most):
-        found = step if found is None else found.unionByName(step)
-        up = link.select("document_id", F.col("chunk_id").alias("at"), F.col("ancestor_id").alias("up"))
+    link = hold(link)
+    up = link.select("document_id", F.col("chunk_id").alias("at"), F.col("ancestor_id").alias("up"))
+    step = found = link.withColumn("distance", F.lit(1))
+    while True:
+        circle = step.filter("ancestor_id = chunk_id").select("document_id", "chunk_id").first()
+        if circle:
+            raise ValueError(f"chunk {circle['chunk_id']} of document {circle['document_id']} is its own ancestor")
         step = step.withColumnRenamed("ancestor_id", "at").join(up, ["document_id", "at"]).select("document_id", "chunk_id", F.col("up").alias("ancestor_id"), (F.col("distance") + 1).alias("distance"))
-    return found
+        step = hold(step)
+        if step.isEmpty():
+            return found
+        found = found.unionByName(step)

@@ -2,6 +2,9 @@
 
 import hashlib
 
+import pytest
+
+from marginalia.operators import graph
 from marginalia.queries import QUERIES
 
 
@@ -13,3 +16,25 @@ def test_transcripts_of_long_chats(spark, tmp_path):
     want = {c: hashlib.md5("\n".join(f"{'User' if k % 2 == 0 else 'Assistant'}: text {k}" for k in ks).encode()).hexdigest() for c, ks in turns.items()}
     assert {r["conv_id"]: r["h"] for r in QUERIES["txt23_transcripts"](spark, str(tmp_path)).collect()} == want
     assert {r["conv_id"] for r in QUERIES["ret6_explore_chat"](spark, str(tmp_path)).collect()} == set(turns)
+
+
+def test_ancestors_to_the_root(spark, tmp_path):
+    """A document of so many lines that the last have more than six ancestors."""
+    n = 3500
+    spark.createDataFrame([(1, "\n".join(map(str, range(n))))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    parent = {p: None if p % 7 == 5 else (p - 1) // 3 for p in range(1, n)}  # None: a parent that is not there
+    want = set()
+    for p in range(1, n):
+        at, far = p, 0
+        while at in parent:
+            at, far = parent[at], far + 1
+            want.add((f"d1_{p}", "gone" if at is None else f"d1_{at}", far))
+    assert max(far for _, _, far in want) > 6
+    got = [(r["chunk_id"], r["ancestor_id"], r["distance"]) for r in QUERIES["graph_ancestors"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_ancestors_in_a_circle(spark):
+    rows = [("d", "a", "c"), ("d", "b", "a"), ("d", "c", "b"), ("d", "x", "a")]
+    with pytest.raises(ValueError, match="its own ancestor"):
+        graph.ancestors(spark.createDataFrame(rows, "document_id string, chunk_id string, parent_id string"))
