@@ -6,9 +6,10 @@ and other languages are removed, and drop-off is relative to the best that is le
 
 from __future__ import annotations
 
+import math
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.scoring import cosine, norm
@@ -70,11 +71,11 @@ def without_glossary(x: DataFrame, title: str = "title") -> DataFrame:
     return x.filter(~F.coalesce(contains_ci(title, "glossary"), F.lit(False)))
 
 
-def language_filter(x: DataFrame, wanted: str | None) -> DataFrame:
-    """Hits in the wanted or an unknown language; all of a query's hits if there are none."""
+def language_filter(x: DataFrame, wanted: str | None, told: Column | None = None) -> DataFrame:
+    """Hits in the wanted or an unknown language; all of a query's hits if there are none. told is the language, the text's own by default."""
     if not wanted:
         return x
-    x = x.withColumn("fits", language("text").isin(wanted, "unknown"))
+    x = x.withColumn("fits", (language("text") if told is None else told).isin(wanted, "unknown"))
     return x.withColumn("any_fits", F.max("fits").over(Window.partitionBy("query_id"))).filter("fits OR NOT any_fits").drop("fits", "any_fits")
 
 
@@ -110,6 +111,36 @@ def retrieve(
     return expand(x, chunks.drop("embedding"), edges, max_neighbors) if edges is not None else x
 
 
+def in_blocks(queries: DataFrame) -> list[DataFrame]:
+    """queries (query_id, …; an id once) in blocks that score() takes."""
+    n, parts = queries.count(), 1
+    if n <= BROADCAST_QUERIES:
+        return [queries]
+    while True:
+        parts = max(parts + 1, math.ceil(n / BROADCAST_QUERIES), parts * 5 // 4)
+        block = F.pmod(F.xxhash64("query_id"), F.lit(parts))
+        if queries.groupBy(block).count().agg(F.max("count")).first()[0] <= BROADCAST_QUERIES:
+            return [queries.filter(block == k) for k in range(parts)]
+        if parts > n:
+            raise ValueError("queries share an id")
+
+
+def retrieve_many(chunks: DataFrame, queries: DataFrame, k: int = 5, language_wanted: str | None = None, dropoff: float | None = 0.20) -> DataFrame:
+    """What retrieve() gives, for any number of queries: block after block, and texts are joined to the hits alone.
+
+    Chunks have document_id, pos and chunk_id for a key. The work is chunks times queries.
+    """
+    key = ["document_id", "pos", "chunk_id"]
+    slim = chunks.select(*key, "embedding", word_count("text").alias("word_count"), language("text").alias("told"))
+    hits = None
+    for block in in_blocks(queries):
+        x = per_document_top(score(slim, block), k).filter("word_count > 5 AND word_count < 5000")
+        x = language_filter(x, language_wanted, F.col("told"))
+        x = top_k(drop_off(x, dropoff) if dropoff is not None else x, k).drop("told")
+        hits = x if hits is None else hits.unionByName(x)
+    return hits.join(chunks.drop("embedding"), key)
+
+
 def context(hits: DataFrame, column: str = "text", sep: str = "\n\n") -> DataFrame:
     """query_id, context: a query's hits joined in order of rank; at most k a query."""
     ordered = F.array_sort(F.collect_list(F.struct("rank", F.col(column).alias("t"))))

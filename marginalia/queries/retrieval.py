@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import scoring
 from marginalia.operators import retrieval, parsing
-from marginalia.queries.registry import CHUNKS, fingerprint, query, words
+from marginalia.queries.registry import CHUNKS, SQL, fingerprint, query, words
 
 
 def _scored(x):
@@ -88,6 +88,13 @@ def _(x):
     return y.select("query_id", "document_id", "pos", "chunk_id", "title", fingerprint(F.col("text")).alias("h"), F.round("sim", 6).alias("sim"), "rank", "word_count")
 
 
+@query("ret1_retrieve_many", SQL["ret1_retrieve"].replace("q.vec_id < 3", "q.vec_id % 50 = 0"))
+def _(x):
+    asked = x.embeddings.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    y = retrieval.retrieve_many(x.chunks(), asked, dropoff=0.95)
+    return y.select("query_id", "document_id", "pos", "chunk_id", "title", fingerprint(F.col("text")).alias("h"), F.round("sim", 6).alias("sim"), "rank", "word_count")
+
+
 @query("agg11_context", f"WITH {CHUNKS}, {_RANKED} SELECT query_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY rank)) AS h FROM ranked GROUP BY query_id")
 def _(x):
     return retrieval.context(retrieval.retrieve(x.chunks(), x.asked(), dropoff=0.95)).select("query_id", fingerprint(F.col("context")).alias("h"))

@@ -2,9 +2,10 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 
-from marginalia.operators import graph
+from marginalia.operators import graph, retrieval
 from marginalia.queries import QUERIES
 
 
@@ -38,3 +39,24 @@ def test_ancestors_in_a_circle(spark):
     rows = [("d", "a", "c"), ("d", "b", "a"), ("d", "c", "b"), ("d", "x", "a")]
     with pytest.raises(ValueError, match="its own ancestor"):
         graph.ancestors(spark.createDataFrame(rows, "document_id string, chunk_id string, parent_id string"))
+
+
+def test_retrieval_of_many_queries(spark, monkeypatch):
+    """Against brute force, with more queries than one block takes."""
+    monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", 7)
+    rng = np.random.default_rng(5)
+    v, n_words = rng.normal(size=(300, 8)), rng.integers(3, 12, 300)
+    chunks = spark.createDataFrame([(k % 4, k, f"c{k}", "t", " ".join(["w"] * int(n_words[k])), v[k].tolist()) for k in range(300)], "document_id int, pos long, chunk_id string, title string, text string, embedding array<double>")
+    asked = chunks.filter("pos % 6 = 0").selectExpr("pos AS query_id", "embedding AS query")
+    blocks = retrieval.in_blocks(asked)
+    assert len(blocks) >= 8 and max(b.count() for b in blocks) <= 7 and sum(b.count() for b in blocks) == 50
+    got = {(r["query_id"], r["rank"]): (r["pos"], r["text"], r["title"]) for r in retrieval.retrieve_many(chunks, asked, k=1, dropoff=0.95).collect()}
+    unit, want = v / np.linalg.norm(v, axis=1, keepdims=True), {}
+    for q in range(0, 300, 6):
+        sim = unit @ unit[q]
+        hits = [p for d in range(4) for p in sorted(range(d, 300, 4), key=lambda p: -sim[p])[:10] if n_words[p] > 5]
+        best = max(sim[p] for p in hits)
+        first = max(hits, key=lambda p: sim[p])
+        assert best > 0
+        want[q, 1] = (first, " ".join(["w"] * int(n_words[first])), "t")
+    assert got == want
