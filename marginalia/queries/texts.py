@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as t
 from marginalia.operators import chunking, parsing
-from marginalia.queries.registry import fingerprint, query, sanitize_sql, strip_sql, words
+from marginalia.queries.registry import SQL, fingerprint, query, sanitize_sql, strip_sql, words
 
 
 def _d(tables, *columns):
@@ -141,9 +141,9 @@ def _(x):
 _CITED_SQL = "'To be (p. 12) or (20) not ' || left(text, 200) || CASE doc_id % 4 WHEN 0 THEN ' (Canto II, 4)' WHEN 1 THEN ' p. 77 ' WHEN 2 THEN ' (nothing)' ELSE '' END"
 
 
-def _cited():
+def _cited(text=None):
     n = F.col("doc_id") % 4
-    return F.concat(F.lit("To be (p. 12) or (20) not "), F.left("text", F.lit(200)), F.when(n == 0, " (Canto II, 4)").when(n == 1, " p. 77 ").when(n == 2, " (nothing)").otherwise(""))
+    return F.concat(F.lit("To be (p. 12) or (20) not "), F.left("text", F.lit(200)) if text is None else text, F.when(n == 0, " (Canto II, 4)").when(n == 1, " p. 77 ").when(n == 2, " (nothing)").otherwise(""))
 
 
 @query("txt8_strip_citations", rf"""
@@ -159,6 +159,16 @@ def _(x):
     return _d(x, t.locator(F.regexp_replace(_cited(), r"^To be \(p\. 12\)", "")).alias("locator"))
 
 
+@query("txt8_strip_citations_whole", f"SELECT doc_id, md5(cleaned) AS h FROM ({SQL['txt8_strip_citations'].replace('left(text, 200)', 'text')})")
+def _(x):
+    return _d(x, fingerprint(t.strip_citations(_cited(F.col("text")))).alias("h"))
+
+
+@query("txt9_locator_whole", f"SELECT doc_id, md5(locator) AS h FROM ({SQL['txt9_locator'].replace('left(text, 200)', 'text')})")
+def _(x):
+    return _d(x, fingerprint(t.locator(F.regexp_replace(_cited(F.col("text")), r"^To be \(p\. 12\)", ""))).alias("h"))
+
+
 @query("txt10_first_words", rf"""
 SELECT doc_id, md5({strip_sql('h')}) AS h, length(h)::INTEGER AS stop FROM (SELECT doc_id, regexp_extract(text, '^\s*(?:\S+\s+){{0,209}}\S+') AS h FROM documents)""")
 def _(x):
@@ -216,6 +226,11 @@ def _(x):
     return _d(x, fingerprint(t.strip_thinking(F.concat(F.lit("<think>"), F.left("text", F.lit(50)), F.lit("</think> "), "source", F.lit("<think>x</think>")))).alias("h"))
 
 
+@query("txt19_strip_thinking_whole", SQL["txt19_strip_thinking"].replace("left(text, 50)", "text"))
+def _(x):
+    return _d(x, fingerprint(t.strip_thinking(F.concat(F.lit("<think>"), "text", F.lit("</think> "), "source", F.lit("<think>x</think>")))).alias("h"))
+
+
 @query("txt20_html_escape", "SELECT doc_id, md5(replace(replace(replace(replace(replace('<a href=\"x\">' || text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')) AS h FROM documents")
 def _(x):
     return _d(x, fingerprint(t.html_escape(F.concat(F.lit('<a href="x">'), "text"))).alias("h"))
@@ -228,6 +243,11 @@ def _(x):
     return _d(x, t.wrap_label(F.left("text", (20 * (F.col("doc_id") % 5)).cast("int"))).alias("label"))
 
 
+@query("txt21_wrap_label_whole", SQL["txt21_wrap_label"].replace("left(text, 20 * (doc_id % 5))", "text"))
+def _(x):
+    return _d(x, t.wrap_label("text").alias("label"))
+
+
 _DEPTH_SQL = "['Bloom Level 1', 'understanding', 'apply it', 'Bloom level 4', 'Evaluate', 'create', 'other'][doc_id % 7 + 1]"
 
 

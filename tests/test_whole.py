@@ -60,3 +60,14 @@ def test_retrieval_of_many_queries(spark, monkeypatch):
         assert best > 0
         want[q, 1] = (first, " ".join(["w"] * int(n_words[first])), "t")
     assert got == want
+
+
+def test_citations_after_the_first_200_characters(spark, tmp_path):
+    body = "word " * 100 + "end (Canto V, 9) and (33) on"
+    spark.createDataFrame([(3, body, "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    one = lambda name: QUERIES[name](spark, str(tmp_path)).first()["h"]
+    assert one("txt8_strip_citations_whole") == md5("To be or not " + "word " * 100 + "end and on")
+    assert one("txt9_locator_whole") == md5("Canto V, 9")
+    assert one("txt19_strip_thinking_whole") == md5("s")
+    assert QUERIES["txt21_wrap_label_whole"](spark, str(tmp_path)).first()["label"] == "word word word word\nword word word word..."
