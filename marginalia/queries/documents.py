@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marginalia.operators import catalog, chunking, citations, graph
-from marginalia.queries.registry import MARKED, TREE, fingerprint, query, sanitize_sql, strip_sql, words
+from marginalia.queries.registry import MARKED, SQL, TREE, fingerprint, query, sanitize_sql, strip_sql, words
 
 _UNITS = rf"""
 units AS (
@@ -185,6 +185,13 @@ def _(x):
     return y.select("document_id", "pos", "n_neighbors", fingerprint(F.col("expanded_text")).alias("h"))
 
 
+@query("jn4_graph_expand_whole", SQL["jn4_graph_expand"].replace("WHERE t.pos % 3 = 1 GROUP", "GROUP"))
+def _(x):
+    c = chunking.repair_parents(x.tree())
+    y = graph.expand(c.select("document_id", "pos", "chunk_id", "text"), c, graph.edges(c))
+    return y.select("document_id", "pos", "n_neighbors", fingerprint(F.col("expanded_text")).alias("h"))
+
+
 @query("graph_ancestors", f"""
 WITH RECURSIVE {TREE}, up AS (
   SELECT document_id, chunk_id, parent_id AS ancestor_id, 1 AS distance FROM tree WHERE parent_id IS NOT NULL
@@ -202,6 +209,14 @@ def _(x):
     return graph.isolated(nodes, e).select(F.col("name").alias("id"))
 
 
+@query("set5_isolated_nodes_whole", SQL["set5_isolated_nodes"].replace(" AND pos % 2 = 0", ""))
+def _(x):
+    t = x.tree()
+    nodes = t.select(F.col("chunk_id").alias("id"), F.concat(F.col("document_id"), F.lit(":"), F.col("pos").cast("string")).alias("name"))
+    e = t.filter("parent_id IS NOT NULL").select(F.col("parent_id").alias("src"), F.lit("none").alias("dst"))
+    return graph.isolated(nodes, e).select(F.col("name").alias("id"))
+
+
 @query("flt16_hierarchy_edges", f"WITH {TREE}, {_REPAIRED}, {_EDGES} SELECT relation, count(*)::BIGINT AS n FROM edges WHERE relation IN ('HAS_ROOT', 'CONTAINS', 'HAS_CHILD') GROUP BY relation")
 def _(x):
     e = graph.edges(chunking.repair_parents(x.tree()))

@@ -8,7 +8,7 @@ from marginalia.functions.scoring import score_percent
 from marginalia.functions.text import QUESTION_TYPES
 from marginalia.operators import export, requests, store
 from marginalia.plans import api
-from marginalia.queries.registry import fingerprint, query, strip_sql
+from marginalia.queries.registry import SQL, fingerprint, query, strip_sql
 
 
 def _questions(x):
@@ -168,6 +168,11 @@ def _(x):
     return export.print_pages(_questions(x).filter("row_index % 7 < 3")).select("row_index", "row_no", "page_no")
 
 
+@query("snk12_print_pages_whole", SQL["snk12_print_pages"].replace(" WHERE doc_id % 7 < 3", ""))
+def _(x):
+    return export.print_pages(_questions(x)).select("row_index", "row_no", "page_no")
+
+
 @query("prj17_list_view", rf"""
 SELECT doc_id AS row_index, CASE WHEN doc_id % 4 = 0 THEN 'Council' ELSE 'Single' END AS mode, CASE WHEN doc_id % 3 = 1 THEN 'RAG' ELSE 'Direct' END AS rag,
   md5(replace(replace(replace(replace(replace(CASE WHEN length(l) > 120 THEN left(l, 120) || '...' ELSE l END, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')) AS preview
@@ -334,3 +339,10 @@ def _(x):
     from pyspark.sql import Window
 
     return x.events.filter("user_id = 7").withColumn("place", F.row_number().over(Window.orderBy(F.desc("ts"), "event_id"))).select("event_id", "place")
+
+
+@query("top11_newest_first_whole", "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id)::INTEGER AS place FROM events")
+def _(x):
+    from pyspark.sql import Window
+
+    return x.events.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), "event_id"))).select("event_id", "user_id", "place")

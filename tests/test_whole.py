@@ -71,3 +71,13 @@ def test_citations_after_the_first_200_characters(spark, tmp_path):
     assert one("txt9_locator_whole") == md5("Canto V, 9")
     assert one("txt19_strip_thinking_whole") == md5("s")
     assert QUERIES["txt21_wrap_label_whole"](spark, str(tmp_path)).first()["label"] == "word word word word\nword word word word..."
+
+
+def test_every_chunk_node_question_and_event(spark, sf_dir):
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    run = lambda name: QUERIES[name](spark, sf_dir)
+    lines = read("documents").selectExpr("sum(size(split(text, '\\n')))").first()[0]
+    assert run("jn4_graph_expand_whole").count() == lines
+    assert run("snk12_print_pages_whole").count() == read("documents").count()
+    assert run("top11_newest_first_whole").filter("place = 1").count() == read("events").select("user_id").distinct().count()
+    assert run("set5_isolated_nodes_whole").filter("substring_index(id, ':', -1) % 2 = 1").count() > 0
