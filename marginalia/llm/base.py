@@ -7,7 +7,7 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +21,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint.
-
-    The folder is the one the cluster names in spark.checkpoint.dir. Only where none is set, as in
-    tests on one machine, a temporary folder is used.
-    """
+    """df with its lineage cut by a reliable checkpoint in the shared folder."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
@@ -38,26 +34,56 @@ def written(df: DataFrame) -> DataFrame:
 
     For wide rows: unlike a checkpoint it is compressed, and later reads take only the columns they use.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "table")
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder; what is there when the driver ends is removed."""
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the session may have ended before
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share."""
-    return (
-        spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        or spark.sparkContext.getCheckpointDir()
-        or tempfile.mkdtemp(prefix="marginalia-")
-    )
+    """The folder that the driver and all executors share: what the cluster names in spark.checkpoint.dir.
+
+    A temporary folder stands in for it only where driver and executors are one process; elsewhere the
+    lack of the setting is an error.
+    """
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if named:
+        return named
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="marginalia-")
+
+
+def cleared(df: DataFrame, new: Iterable[str], used: Iterable[str], prefix: str = "") -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with nothing in the way of an operator's columns, and what gives its own columns their names back.
+
+    A column that has the name of one of the operator's new columns gives way: the operator's takes its
+    place. Columns whose names begin with the prefix of the operator's working columns are kept under
+    others meanwhile. Names count without regard to case, as Spark has them. The columns that the operator
+    reads must have neither kind of name; that is an error at once.
+    """
+    new, used = {c.lower() for c in new}, {c.lower() for c in used}
+    taken = lambda c: bool(prefix) and c.lower().startswith(prefix)
+    if wrong := sorted(c for c in used if c in new or taken(c)):
+        raise ValueError(f"columns that are read must not have the names of new or working columns: {wrong}")
+    df = df.drop(*[c for c in df.columns if c.lower() in new])
+    away = {c: f"own{k}_{c}" for k, c in enumerate(df.columns) if taken(c)}
+    while set(map(str.lower, away.values())) & {c.lower() for c in df.columns}:
+        away = {c: f"own_{x}" for c, x in away.items()}
+    return df.withColumnsRenamed(away), lambda out: out.withColumnsRenamed({x: c for c, x in away.items()})
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marginalia.llm.quality import FENCES
+from marginalia.llm.quality import BOTH_SIDES, FINE, PRIOR, REACH
 
 _NEAR = r"""
 WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
@@ -73,18 +73,24 @@ SELECT query_id, rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) WHERE rank <= 10
 """
 
-_MEASURES = ("symbol_rate", "repeat_rate", "dup_line_rate", "word_length")
+#: Where the level of a measure lies; the sketches' buckets are its whole numbers.
+_LEVELS = {
+    "symbol_rate": "(n_symbols + 1)::DOUBLE / (n_words + 1)", "repeat_rate": "(n_repeat_words + 1)::DOUBLE / (n_words + 1)",
+    "dup_line_rate": "(n_dup_lines + 1)::DOUBLE / (n_lines + 1)", "word_length": "word_chars::DOUBLE / nullif(n_words, 0)"}
 
 
-def _fence(name: str) -> str:
-    multiple, margin = FENCES[name]
-    at = lambda r: f"list_sort(list({name}) FILTER ({name} IS NOT NULL))[ceil({r} * count({name}))::BIGINT]"
-    return f"{at(0.75)} + greatest({multiple} * ({at(0.75)} - {at(0.25)}), {margin}) AS {name}"
+def _quartiles(by: str) -> str:
+    keys = f"{by}, measure" if by else "measure"
+    return f"""SELECT {keys}, any_value(total) AS n, min(b) FILTER (upto >= 0.25 * total) AS low, min(b) FILTER (upto >= 0.75 * total) AS high FROM (
+    SELECT *, sum(c) OVER (PARTITION BY {keys} ORDER BY b) AS upto, sum(c) OVER (PARTITION BY {keys}) AS total FROM (SELECT {keys}, b, sum(c) AS c FROM h GROUP BY ALL)) GROUP BY ALL"""
 
 
-_FENCES = ", ".join(map(_fence, _MEASURES))
-#: Exact quantiles, as a sketch gives them while a group has fewer texts than the sketch has places.
-_QUALITY = r"""
+def _drawn(x: str, to: str) -> str:
+    return ", ".join(f"({x}.n::DOUBLE * {x}.{c} + {PRIOR} * {to}.{c}) / ({x}.n + {PRIOR}) AS {c}" for c in ("low", "high"))
+
+
+_BEYOND = " OR ".join([f"x.{m} > f.{m}_top" for m in REACH] + [f"x.{m} < f.{m}_bottom" for m in BOTH_SIDES])
+_QUALITY = rf"""
 WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
 t AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
 r AS (SELECT doc_id, i FROM t QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
@@ -94,21 +100,18 @@ m AS (
          length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')) AS n_symbols,
          len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
   FROM (SELECT *, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents) JOIN w USING (doc_id) LEFT JOIN c USING (doc_id)),
-x AS (
-  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_symbols::DOUBLE / nullif(n_words, 0) AS symbol_rate, n_repeat_words::DOUBLE / nullif(n_words, 0) AS repeat_rate,
-         n_dup_lines::DOUBLE / nullif(n_lines, 0) AS dup_line_rate, word_chars::DOUBLE / nullif(n_words, 0) AS word_length FROM m),
-o AS (SELECT lang, source, count(*) AS n, {fences} FROM x WHERE NOT base_failed GROUP BY lang, source),
-g AS (SELECT lang, count(*) AS n, {fences} FROM x WHERE NOT base_failed GROUP BY lang),
-a AS (SELECT {fences} FROM x WHERE NOT base_failed),
-f AS (SELECT o.lang, o.source, {best} FROM o JOIN g ON o.lang IS NOT DISTINCT FROM g.lang, a)
+x AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {", ".join(f"CASE WHEN n_words > 0 THEN {FINE} * ln({v}) END AS {m}" for m, v in _LEVELS.items())} FROM m),
+h AS (SELECT lang, source, measure, ceil(v)::BIGINT AS b, count(*) AS c FROM (
+  UNPIVOT (SELECT lang, source, {", ".join(REACH)} FROM x WHERE NOT base_failed) ON {", ".join(REACH)} INTO NAME measure VALUE v) GROUP BY ALL),
+o AS ({_quartiles("lang, source")}), g AS ({_quartiles("lang")}), a AS ({_quartiles("")}),
+gg AS (SELECT g.lang, measure, {_drawn("g", "a")} FROM g JOIN a USING (measure)),
+oo AS (SELECT o.lang, o.source, o.measure, {_drawn("o", "gg")} FROM o JOIN gg ON o.measure = gg.measure AND o.lang IS NOT DISTINCT FROM gg.lang),
+f AS (SELECT lang, source, {", ".join(f"max(high + {r} * (high - low)) FILTER (measure = '{m}') AS {m}_top" for m, r in REACH.items())},
+  {", ".join(f"max(low - 1 - {REACH[m]} * (high - low)) FILTER (measure = '{m}') AS {m}_bottom" for m in BOTH_SIDES)} FROM oo GROUP BY lang, source)
 SELECT x.doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-       NOT base_failed AND {within} AS kept
+       NOT base_failed AND NOT coalesce({_BEYOND}, false) AS kept
 FROM x LEFT JOIN f ON x.lang IS NOT DISTINCT FROM f.lang AND x.source IS NOT DISTINCT FROM f.source
-""".format(
-    fences=_FENCES,
-    best=", ".join(f"CASE WHEN o.n >= 200 THEN o.{m} WHEN g.n >= 200 THEN g.{m} ELSE a.{m} END AS {m}" for m in _MEASURES),
-    within=" AND ".join(f"coalesce(x.{m} <= f.{m}, true)" for m in _MEASURES),
-)
+"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,22 +1,38 @@
 """Quality rules with adaptive thresholds, in DataFrame operations only.
 
-Measures of every text are set against fences that follow the text's own language and source: the
-upper quartile plus a multiple of the interquartile range, at least a margin. Quartiles come from KLL
-sketches, which merge: one sketch a group, aggregated on the map side first, so that a group of any
-size is a few kilobytes; groups with few texts use the sketch of their language, merged from its
-groups, or of the whole corpus. The fences are then joined to the texts.
+Every measure of a text is set against fences that follow from the text's own language and source: the
+quartiles of the group's texts, and beyond them a multiple of the distance between the two. There are
+no fixed cutoffs and no least margins. Rates are taken as logarithms with a smoothing count, so that a
+group in which most texts have none of something still has a spread, that of its texts' lengths.
+
+Quartiles come from quantile sketches that merge: counts of texts by logarithmic buckets (each one
+percent wide, so a sketch holds a few hundred counts whatever the group's size). Counts add up in any
+order, so reruns agree to the last bit; a language's sketch is the sum of its sources', the corpus's
+that of its languages. A group's quartiles are drawn towards its language's, and those towards the
+corpus's, by a weight of PRIOR texts; there is no size at which a group changes over from one to the
+other. The fences are then joined to the texts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.base import WORD, checkpointed, let, written
+from marginalia.llm.base import WORD, checkpointed, cleared, let, written
 
-#: Measure: (multiple of the interquartile range, least margin above the upper quartile).
-FENCES = {"symbol_rate": (4.0, 0.25), "repeat_rate": (4.0, 0.45), "dup_line_rate": (4.0, 0.5), "word_length": (4.0, 4.0)}
+#: Measure: how many distances between the quartiles the upper fence lies above the upper quartile.
+REACH = {"symbol_rate": 2.5, "repeat_rate": 3.0, "dup_line_rate": 3.0, "word_length": 3.0}
+#: Measures with a lower fence as well: words may be too short, but there cannot be too few symbols or repeats.
+BOTH_SIDES = ("word_length",)
+#: Texts that a language's quartiles count for in a group's, and the corpus's in a language's.
+PRIOR = 20
+#: Buckets of a sketch for a factor of e.
+FINE = 100
 BROADCAST_GROUPS = 100_000
+#: What measured() adds, in this order.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
 def repeated_words(words: Column, window: int = 3) -> Column:
@@ -51,8 +67,10 @@ def repeated_words(words: Column, window: int = 3) -> Column:
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words.
 
-    A null text has none of anything but one line. n_lines counts the lines with a word.
+    A null text has none of anything. n_lines counts the lines with a word. Columns of docs with these
+    names give way.
     """
+    docs, back = cleared(docs, COUNTS, (text_col,), "q_")
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)
     counts = let(
@@ -65,78 +83,82 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"),
         "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
     })
-    return x.withColumns({
+    return back(x.withColumns({
         "n_words": F.col("q_counts.n_words"), "n_repeat_words": F.col("q_counts.n_repeat_words"),
         "n_lines": F.col("q_lines.n"), "n_dup_lines": F.col("q_lines.n") - F.col("q_lines.d"),
-    }).drop("q_counts", "q_lines")
-
-
-def with_rates(x: DataFrame) -> DataFrame:
-    """x with the measures that have fences; null for a text without words."""
-    n = F.nullif(F.col("n_words").cast("double"), F.lit(0.0))
-    return x.withColumns({
-        "symbol_rate": F.col("n_symbols") / n, "repeat_rate": F.col("n_repeat_words") / n,
-        "dup_line_rate": F.col("n_dup_lines") / F.nullif(F.col("n_lines").cast("double"), F.lit(0.0)), "word_length": F.col("word_chars") / n,
-    })
-
-
-def fences(measures: DataFrame, groups: tuple[str, str] = ("q_lang", "q_source"), k: int = 1024, least: int = 200) -> DataFrame:
-    """One row a group: its key columns and fence_<measure>, from texts that passed the base rules."""
-    own = measures.groupBy(*groups).agg(F.count("*").alias("q_n"), *[F.kll_sketch_agg_double(m, F.lit(k)).alias(m) for m in FENCES])
-    own = checkpointed(own)
-    merged = [F.kll_merge_agg_double(m, F.lit(k)).alias(m) for m in FENCES]
-    lang = own.groupBy(groups[0]).agg(F.sum("q_n").alias("q_n"), *merged)
-    whole = own.agg(F.lit(0).alias("q_n"), *merged).select(*[_fence(m).alias(m) for m in FENCES]).first()
-
-    def fence(df: DataFrame, prefix: str) -> DataFrame:
-        keys = [c for c in groups if c in df.columns]
-        return df.select(*keys, F.col("q_n").alias(f"{prefix}n"), *[
-            _fence(m).alias(f"{prefix}{m}") for m in FENCES
-        ])
-
-    x = fence(own, "o_").join(fence(lang, "l_"), groups[0])
-    best = lambda m: F.when(F.col("o_n") >= least, F.col(f"o_{m}")).when(F.col("l_n") >= least, F.col(f"l_{m}")).otherwise(F.lit(whole[m]))
-    return x.select(*groups, *[best(m).alias(f"fence_{m}") for m in FENCES])
-
-
-def _fence(m: str) -> Column:
-    multiple, margin = FENCES[m]
-    spread = _q(m, 0.75) - _q(m, 0.25)
-    return _q(m, 0.75) + F.greatest(F.lit(multiple) * spread, F.lit(margin))
-
-
-def _q(sketch: str, rank: float) -> Column:
-    return F.when(F.kll_sketch_get_n_double(sketch) > 0, F.kll_sketch_get_quantile_double(sketch, F.lit(rank)))
+    }).drop("q_counts", "q_lines"))
+
+
+def with_levels(x: DataFrame) -> DataFrame:
+    """x with q_<measure>: the logarithms, in buckets, of the measures that have fences; null for a text without words."""
+    some = F.col("n_words") > 0
+    rate = lambda count, n: FINE * F.log((F.col(count) + 1) / (F.col(n) + 1))
+    levels = {
+        "symbol_rate": rate("n_symbols", "n_words"), "repeat_rate": rate("n_repeat_words", "n_words"),
+        "dup_line_rate": rate("n_dup_lines", "n_lines"), "word_length": FINE * F.log(F.col("word_chars") / F.col("n_words")),
+    }
+    return x.withColumns({f"q_{m}": F.when(some, v) for m, v in levels.items()})
+
+
+def sketches(levels: DataFrame) -> DataFrame:
+    """Counts by q_lang, q_source, q_measure and q_bucket: one quantile sketch for each group and measure."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.ceil(f"q_{m}").cast("long").alias("b")) for m in REACH]))
+    rows = levels.select("q_lang", "q_source", each.alias("q_e")).filter("q_e.b IS NOT NULL")
+    return rows.groupBy("q_lang", "q_source", F.col("q_e.m").alias("q_measure"), F.col("q_e.b").alias("q_bucket")).agg(F.count("*").alias("q_n"))
+
+
+def quartiles(sketch: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Of the sketches merged by these columns and the measure: q_total, q_low and q_high (the quartiles' buckets)."""
+    keys = [*by, "q_measure"]
+    whole = Window.partitionBy(*keys)
+    merged = sketch.groupBy(*keys, "q_bucket").agg(F.sum("q_n").alias("q_n"))
+    x = merged.withColumns({"q_upto": F.sum("q_n").over(whole.orderBy("q_bucket")), "q_total": F.sum("q_n").over(whole)})
+    at = lambda share: F.min(F.when(F.col("q_upto") >= share * F.col("q_total"), F.col("q_bucket")))
+    return x.groupBy(*keys).agg(F.first("q_total").alias("q_total"), at(0.25).alias("q_low"), at(0.75).alias("q_high"))
+
+
+def _drawn(x: DataFrame, to: DataFrame, by: list[str]) -> DataFrame:
+    """x with its quartiles drawn towards those of the wider group by PRIOR texts of it."""
+    wide = to.select(*by, F.col("q_low").alias("q_wide_low"), F.col("q_high").alias("q_wide_high"))
+    draw = lambda c: (F.col("q_total") * F.col(f"q_{c}") + PRIOR * F.col(f"q_wide_{c}")) / (F.col("q_total") + PRIOR)
+    return x.join(wide, by).withColumns({"q_low": draw("low"), "q_high": draw("high")}).drop("q_wide_low", "q_wide_high")
+
+
+def fences(levels: DataFrame) -> DataFrame:
+    """One row a group (q_lang, q_source): q_top_<measure> and q_bottom_<measure>, from the levels of texts that passed the base rules."""
+    sketch = checkpointed(sketches(levels))
+    corpus = quartiles(sketch, ())
+    lang = _drawn(quartiles(sketch, ("q_lang",)), corpus, ["q_measure"])
+    own = _drawn(quartiles(sketch, ("q_lang", "q_source")), lang, ["q_lang", "q_measure"])
+    spread = F.col("q_high") - F.col("q_low")
+    measure = F.col("q_measure")
+    of = lambda m, v: F.max(F.when(measure == m, v))
+    return own.groupBy("q_lang", "q_source").agg(
+        *[of(m, F.col("q_high") + r * spread).alias(f"q_top_{m}") for m, r in REACH.items()],
+        *[of(m, F.col("q_low") - 1 - REACH[m] * spread).alias(f"q_bottom_{m}") for m in BOTH_SIDES])
+
+
+def verdicts(measures: DataFrame, lang_col: str = "lang", source_col: str = "source", min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
+    """Rows of measured(), which are read twice, with base_failed and kept; see judge."""
+    measures, back = cleared(measures, ("base_failed", "kept"), (lang_col, source_col, *COUNTS), "q_")
+    group = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+    x = with_levels(measures).withColumns({"q_lang": group(lang_col), "q_source": group(source_col), "base_failed": failed})
+    table = checkpointed(fences(x.filter(~failed)))
+    table = F.broadcast(table) if table.count() <= BROADCAST_GROUPS else table
+    beyond = [F.col(f"q_{m}") > F.col(f"q_top_{m}") for m in REACH] + [F.col(f"q_{m}") < F.col(f"q_bottom_{m}") for m in BOTH_SIDES]
+    out = x.join(table, ["q_lang", "q_source"], "left").withColumn("kept", ~F.col("base_failed") & ~F.coalesce(reduce(Column.__or__, beyond), F.lit(False)))
+    return back(out.drop("q_lang", "q_source", *[f"q_{m}" for m in REACH], *[f"q_top_{m}" for m in REACH], *[f"q_bottom_{m}" for m in BOTH_SIDES]))
 
 
-def judge(
-    docs: DataFrame,
-    text_col: str = "text",
-    lang_col: str = "lang",
-    source_col: str = "source",
-    min_words: int = 50,
-    max_repeat_percent: int = 50,
-) -> DataFrame:
+def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
     """docs with the counts of measured, base_failed and kept.
 
     base_failed: fewer than min_words words, or more than max_repeat_percent of them in repeated
-    windows. kept: false for these, else whether every measure is within its group's fence. Texts
-    that failed take no part in the sketches. A null language or source is a group of its own. An
-    empty table stays empty. docs may be what measured returned, without its text; else it must have
-    none of the new columns. No name may begin with q_.
+    windows. kept: false for these, else whether every measure is within its group's fences. Texts
+    that failed take no part in the sketches. A null language or source is a group of its own; a null or
+    empty text fails. Repeated rows are texts each. An empty table stays empty. Columns of docs with the
+    names of the new ones give way to them; the read columns must not have such names.
     """
-    if "n_repeat_words" not in docs.columns:
-        docs = written(measured(docs, text_col))  # else the measures would be taken for the fences and again for the verdicts
-    keys = {"q_lang": F.coalesce(F.concat(F.lit("="), F.col(lang_col).cast("string")), F.lit("")), "q_source": F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))}
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    x = with_rates(docs).withColumns(keys | {"base_failed": failed})
-    table = checkpointed(fences(x.filter(~failed).select(*keys, *FENCES)))
-    table = F.broadcast(table) if table.count() <= BROADCAST_GROUPS else table
-    within = F.lit(True)
-    for m in FENCES:
-        within = within & F.coalesce(F.col(m) <= F.col(f"fence_{m}"), F.lit(True))
-    return (
-        x.join(table, list(keys), "left")
-        .withColumn("kept", ~F.col("base_failed") & within)
-        .drop(*keys, *FENCES, *[f"fence_{m}" for m in FENCES])
-    )
+    docs, _ = cleared(docs, (*COUNTS, "base_failed", "kept"), (text_col, lang_col, source_col))
+    return verdicts(written(measured(docs, text_col)), lang_col, source_col, min_words, max_repeat_percent)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import bpe, chat, html_text, line_dedup, mixing, near_dup, packed, quality, secrets, topk
-from marginalia.llm.base import checkpointed, shared_dir
+from marginalia.llm.base import checkpointed, scratch
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -40,7 +39,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measures = checkpointed(quality.measured(_read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")).drop("text"))
-    return quality.judge(measures).select(
+    return quality.verdicts(measures).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -61,7 +60,7 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_packed_tokens(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     path = path or public_tokenizers.path("word_bpe_49k.json")
     bits = packed.bits_for(packed.word_encoder(path).tokenizer.get_vocab_size(True))
-    out = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    out = scratch(spark, "tokens")
     manifest = packed.write_tokens(_read(spark, sf_dir, "documents"), out, lambda: packed.word_encoder(path, special=True), bits, end_id=1)
     return packed.read_tokens(spark, manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
 

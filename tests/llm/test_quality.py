@@ -1,6 +1,8 @@
+import random
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from marginalia.llm import oracles, quality, queries
@@ -28,7 +30,7 @@ def test_verdicts(spark, sf_dir):
     x = queries.op5_quality_rules(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
     good = x.filter("quality = 1 AND NOT base_failed").agg(F.avg(F.col("kept").cast("int"))).first()[0]
     junk = x.filter("quality = 0").agg(F.avg(F.col("kept").cast("int"))).first()[0]
-    assert good >= 0.99 and junk <= 0.05
+    assert good >= 0.98 and junk <= 0.05
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     assert x.filter(failed != F.col("base_failed")).isEmpty() and x.filter("base_failed AND kept").isEmpty()
 
@@ -37,6 +39,35 @@ def test_awkward_and_empty(spark):
     got = quality.judge(docs(spark))
     assert got.count() == len(awkward()) and got.filter("kept IS NULL OR base_failed IS NULL").isEmpty() and "extra" in got.columns
     assert quality.judge(spark.createDataFrame([], SCHEMA)).count() == 0
+    clash = docs(spark).withColumns({"n_words": F.lit(1000), "N_Repeat_Words": F.lit(0), "kept": F.lit("x"), "q_source": F.lit("mine"), "q_counts": F.lit(3)})
+    own = quality.judge(clash)
+    assert {r["q_source"] for r in own.collect()} == {"mine"} and "q_counts" in own.columns
+    names = ["doc_id", *quality.COUNTS, "base_failed", "kept"]
+    assert sorted(map(tuple, own.select(*names).collect()), key=repr) == sorted(map(tuple, got.select(*names).collect()), key=repr)
+    with pytest.raises(ValueError, match="kept"):
+        quality.judge(docs(spark).withColumnRenamed("text", "kept"), text_col="kept")
+
+
+def test_fences_follow_the_source(spark):
+    """The same text is kept in a source where symbols are common and dropped in one where they are not; reruns agree."""
+    r = random.Random(3)
+    some = lambda n, share: " ".join(f"w{r.randrange(5000)}" + ("#" if r.random() < share else "") for _ in range(n))
+    rows = [(k, some(r.randint(60, 400), 0.0), "en", "plain", 0, None) for k in range(400)]
+    rows += [(1000 + k, some(r.randint(60, 400), r.uniform(0.3, 0.9)), "en", "code", 0, None) for k in range(400)]
+    odd = some(200, 0.5)
+    rows += [(5000, odd, "en", "plain", 0, None), (5001, odd, "en", "code", 0, None), (5002, odd, "en", None, 0, None)]
+    judged = lambda: {x["doc_id"]: x["kept"] for x in quality.judge(docs(spark, rows)).collect()}
+    got = judged()
+    assert not got[5000] and got[5001] and judged() == got
+    assert sum(got.values()) >= 0.97 * len(rows)
+    x = quality.with_levels(quality.measured(docs(spark, rows))).withColumns({"q_lang": F.col("lang"), "q_source": F.coalesce("source", F.lit(""))})
+    assert quality.fences(x).select("q_top_symbol_rate").distinct().count() == 3
+
+
+def test_groups_of_the_tables_have_fences_of_their_own(spark, sf_dir):
+    x = quality.with_levels(quality.measured(spark.read.parquet(f"{sf_dir}/documents.parquet"))).withColumns({"q_lang": F.col("lang"), "q_source": F.col("source")})
+    f = quality.fences(x.filter("n_words >= 50"))
+    assert all(f.select(f"q_top_{m}").distinct().count() >= 0.5 * f.count() for m in quality.REACH)
 
 
 def test_query_against_sql(spark, sf_dir):
