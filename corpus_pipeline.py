@@ -6,14 +6,12 @@ executor costs a stage at most.
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import bpe, line_dedup, mixing, near_dup, quality
-from marginalia.llm.base import shared_dir
+from marginalia.llm.base import remove, scratch
 
 #: SQL cannot express the stages' sketches, bands and recursion; tests hold them against plain versions.
 ORACLE_SQL = None
@@ -58,9 +56,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over the documents of sf_dir; what is between stages lies in the shared folder."""
-    docs, out = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    """The last stage's rows over the documents of sf_dir.
+
+    What is between stages lies in the shared folder until the next stage is written, the last until the driver ends.
+    """
+    docs, out = spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch(spark, "corpus")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{out}/{k}")
         docs = spark.read.parquet(f"{out}/{k}")
+        if k:
+            remove(spark, f"{out}/{k - 1}")  # its successor is written
     return STAGES[-1][1](spark, docs, sf_dir)
