@@ -86,6 +86,13 @@ def cleared(df: DataFrame, new: Iterable[str], used: Iterable[str], prefix: str
     return df.withColumnsRenamed(away), lambda out: out.withColumnsRenamed({x: c for c, x in away.items()})
 
 
+def whole_numbers(df: DataFrame, column: str) -> None:
+    """An error unless the column holds whole numbers of at most 64 bits."""
+    kind = df.schema[column].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{column} must hold whole numbers, not {kind}")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once, however often body names it."""
     return F.transform(F.array(value), body)[0]
