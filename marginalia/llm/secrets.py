@@ -33,13 +33,15 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _LONG_HEX = re.compile(r"[0-9a-f]{32}")
+_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Further rules: what a text must hold, and the pattern whose last group, or whole match, is the value.
+#: Each begins where a run of its characters begins, or at a literal, so that no run is tried from every place in it.
 _RULES = {
-    "jwt": ("eyJ", re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
+    "jwt": ("eyJ", re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
     "pem": ("-----BEGIN ", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]{32,}?-----END [A-Z ]*PRIVATE KEY-----")),
     "bearer": ("earer ", re.compile(r"\b[Bb]earer ([A-Za-z0-9+/_.=~-]{20,})")),
-    "url": ("://", re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@]+:([^\s/:@]{6,})@")),
+    "url": ("://", re.compile(r"(?<=[A-Za-z0-9+.-])://[^\s/:@]+:([^\s/:@]{6,})@")),
     "prefix": ("_", re.compile(r"\b(?:gh[pousr]|sk_live|rk_live|glpat|xox[abprs])[_-][A-Za-z0-9_-]{16,}")),
 }
 
@@ -63,6 +65,8 @@ def more_spans(text: str) -> list[tuple[int, str, int, str]]:
     for kind, (need, rule) in _RULES.items():
         if need in text:
             for m in rule.finditer(text):
+                if kind == "url" and not _SCHEME.search(text, max(0, m.start() - 32), m.start()):
+                    continue
                 g = m.re.groups
                 found.append((m.start(g), kind, m.end(g), m[g]))
     return found

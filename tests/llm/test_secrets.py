@@ -1,5 +1,8 @@
 import hashlib
 import re
+import time
+
+import pytest
 
 from marginalia.llm import queries, secrets
 from tests.llm.fixtures import SCHEMA, docs
@@ -43,6 +46,22 @@ def test_base_spans_and_owners(spark):
     assert secrets.scan(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+@pytest.mark.parametrize("unit", ["x", "eyJ-", "ghp-", "token ", "http://x", "://a:", "AKIA", "-----BEGIN ", "Bearer "])
+def test_time_follows_the_length(unit):
+    took = []
+    for n in (1 << 18, 1 << 20):
+        text = "http://x " + unit * (n // len(unit))
+        start = time.process_time()
+        secrets.base_spans(text), secrets.more_spans(text)
+        took.append(time.process_time() - start)
+    assert took[1] <= 4 * 3 * took[0] + 0.3
+
+
+def test_urls():
+    values = lambda t: [v for _, k, _, v in secrets.more_spans(t) if k == "url"]
+    assert values("see git+ssh://me:Zx81kkQp9@host and 1://me:Zx81kkQp9@host ://me:Zx81kkQp9@host x.y://u:pass12@h") == ["Zx81kkQp9", "pass12"]
+
+
 def test_query(spark, sf_dir):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for r in queries.op10_secret_scan(spark, sf_dir).collect():
