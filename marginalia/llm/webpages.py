@@ -8,19 +8,20 @@ from __future__ import annotations
 
 import random
 
-#: Attribute tokens by what they usually mark; a token counts for a role if it begins with one of these
-#: (of "ad", if it is one of these). Fixed values.
-ROLES = {
-    "nav": ("nav", "menu", "breadcrumb", "crumb", "topbar", "pagination", "pager", "tabs", "skip", "toc"),
-    "head": ("header", "masthead", "branding", "logo", "tagline", "sitename", "topline"),
-    "foot": ("foot", "copyright", "legal", "colophon", "imprint", "bottom", "contentinfo"),
-    "side": ("side", "aside", "widget", "related", "recommend", "popular", "trending", "rail", "teaser", "more", "latest", "complementary"),
-    "ad": ("ad", "ads", "adv", "advert", "advertisement", "adslot", "adbox", "sponsor", "sponsored", "promo", "promotion", "banner", "commercial"),
-    "notice": ("cookie", "consent", "notice", "gdpr", "alert", "popup", "modal", "overlay", "toast", "warning", "privacy", "dialog"),
-    "form": ("form", "search", "login", "subscribe", "newsletter", "signup", "contact", "register"),
-    "comment": ("comment", "reply", "replies", "discussion", "disqus", "respond", "feedback", "thread", "reader"),
-    "share": ("share", "social", "follow", "tweet", "like"),
-    "content": ("content", "article", "post", "entry", "main", "story", "text", "body", "page", "prose"),
+#: Names that public sites commonly give to their parts; the pages to learn from draw on them. Fixed values.
+NAMES = {
+    "ad": ("ad", "ads", "adv", "advert", "advertisement", "sponsored", "sponsor", "promo", "promotion", "banner", "ad-slot", "adbox", "commercial"),
+    "head": ("header", "site-header", "masthead", "branding", "topline", "logo", "tagline", "sitename"),
+    "foot": ("footer", "site-footer", "copyright", "legal", "bottom", "colophon", "imprint"),
+    "comment": ("comments", "comment-list", "replies", "reply", "discussion", "reader-comments", "comment-thread", "disqus", "respond", "feedback"),
+    "notice": ("cookie-banner", "notice", "consent", "alert", "popup", "gdpr-notice", "cookie", "modal", "overlay", "toast", "warning", "privacy", "dialog"),
+    "side": ("sidebar", "side", "widget", "related", "popular-posts", "rail", "recommended", "trending", "teaser", "latest", "more", "aside"),
+    "form": ("newsletter", "search-form", "subscribe", "login-box", "contact-form", "signup", "register", "form"),
+    "share": ("share", "social-links", "follow-us", "tweet", "social"),
+    "nav": ("nav", "main-menu", "menu", "breadcrumbs", "topbar", "navigation", "pagination", "pager", "tabs", "skip", "toc", "crumb"),
+    "content": ("content", "article-body", "post", "entry-content", "story", "main", "text", "page-content", "article", "entry", "prose", "body"),
+    "title": ("title", "headline", "entry-title", "post-title", "heading", "article-title", "page-title"),
+    "lead": ("lead", "intro", "summary", "standfirst", "excerpt", "dek", "caption", "paragraph"),
 }
 
 
@@ -49,11 +50,7 @@ class Page:
         return text
 
     def _attr(self, role: str) -> str:
-        names = {"ad": ("ad", "ads", "advert", "sponsored", "promo", "banner", "ad-slot", "advertisement"), "head": ("header", "site-header", "masthead", "branding", "topline"),
-                 "foot": ("footer", "site-footer", "copyright", "legal", "bottom"), "comment": ("comments", "comment-list", "replies", "discussion", "reader-comments", "comment-thread"),
-                 "notice": ("cookie-banner", "notice", "consent", "alert", "popup", "gdpr-notice", "cookie"), "side": ("sidebar", "widget", "related", "popular-posts", "rail", "recommended"),
-                 "form": ("newsletter", "search-form", "subscribe", "login-box", "contact-form", "signup"), "share": ("share", "social-links", "follow-us"),
-                 "nav": ("nav", "main-menu", "menu", "breadcrumbs", "topbar", "navigation", "pagination"), "content": ("content", "article-body", "post", "entry-content", "story", "main", "text", "page-content")}[role]
+        names = NAMES[role]
         landmark = {"nav": "navigation", "head": "banner", "foot": "contentinfo", "side": "complementary", "form": "search", "content": "main"}.get(role)
         if landmark and self.r.random() < 0.12:
             return f' role="{landmark}"'
@@ -84,7 +81,7 @@ class Page:
     def _article(self) -> str:
         r, out = self.r, []
         if r.random() < 0.9:
-            title = f"<h1>{self._keep(self._title())}</h1>"
+            title = f"<h1{self._attr('title') if r.random() < 0.5 else ''}>{self._keep(self._title())}</h1>"
             if r.random() < 0.15:
                 title = f"<header>{title}" + (f"<p>{self._keep(' '.join(self._words(2, 6)))}</p>" if r.random() < 0.5 else "") + "</header>"
             out.append(title)
@@ -106,7 +103,7 @@ class Page:
             elif style < 0.5 and r.random() < 0.3:
                 out.append(f"<p><b>{self._para()}<br>")
             else:
-                out.append(f"<p>{self._para()}" + r.choice(["</p>", "</p>", "</p>", ""]))
+                out.append(f"<p{self._attr('lead') if r.random() < 0.08 else ''}>{self._para()}" + r.choice(["</p>", "</p>", "</p>", ""]))
             if r.random() < 0.06:
                 out.append(self._clutter(r.choice(["ad", "form", "side", "share", "notice"])))
         return "".join(out)
