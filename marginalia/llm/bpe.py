@@ -5,11 +5,17 @@ repeat; only units not met lately are cut further, by the tokenizer's pattern, a
 recursive DuckDB query: every position's pair of adjacent tokens joins the merge table, and every round
 contracts each piece's leftmost pair of least rank, until no piece has a pair left. Decoding joins token
 rows with the vocabulary and aggregates the bytes in order. What is remembered is bounded.
+
+A piece of thousands of letters takes as many rounds, so it is encoded in windows that overlap. Ids are
+the encoding of their text exactly if each two neighbours are that of theirs; so where two windows have
+a token in common, the one's ids up to it and the other's from it on are the ids of both together. Where
+they have none, the text is encoded again from a border of the first.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -36,6 +42,11 @@ ROUNDS = 48
 #: Bytes of the pieces of one recursive query, unless a single piece has more.
 QUERY_BYTES = 1 << 20
 
+#: A longer piece is encoded in windows that begin so many bytes apart, a number that the lengths of most repeating tokens divide.
+STRIDE = 960
+#: Bytes that a window shares with the next.
+OVERLAP = 128
+
 #: n counts the rounds, and is -1 in the row that a piece without a pair ends with.
 _ENCODE = f"""
 WITH RECURSIVE step(n, piece, toks) AS (
@@ -54,10 +65,7 @@ SELECT piece, n, toks FROM step WHERE n IN (-1, {ROUNDS})
 """
 
 
-#: Sorted rows reach the aggregate in their order, as the connection has one thread.
-_DECODE = """
-SELECT text, string_agg(hex, '') FROM (SELECT text, hex FROM token_rows JOIN vocabulary USING (tok) ORDER BY text, pos) GROUP BY text
-"""
+_DECODE = "SELECT text, string_agg(hex, '' ORDER BY pos) FROM token_rows JOIN vocabulary USING (tok) GROUP BY text"
 
 
 class Vocabulary:
@@ -76,6 +84,7 @@ class Vocabulary:
         self.db.execute("SET temp_directory = ''")
         self._fill("merges", pa.table({"pair": a << 20 | b, "rank": r}))
         ids = sorted(self.ranks.items(), key=lambda x: x[1])
+        self.sizes = {r: len(t) for t, r in ids}
         self._fill("vocabulary", pa.table({"tok": pa.array([r for _, r in ids], pa.int32()), "hex": [t.hex() for t, _ in ids]}))
 
     def _fill(self, name: str, rows: pa.Table) -> None:
@@ -95,7 +104,49 @@ class Vocabulary:
     def encode_pieces(self, pieces: set[bytes]) -> dict[bytes, bytes]:
         """Ids of each piece, as little-endian 32-bit numbers. One that is in the vocabulary is its own token."""
         done = {p: self.ranks[p].to_bytes(4, "little") for p in pieces if p in self.ranks}
-        todo = sorted((p for p in pieces if p not in done), key=len)
+        todo = [p for p in pieces if p not in done]
+        windows = {p: [p[k : k + STRIDE + OVERLAP] for k in range(0, max(1, len(p) - OVERLAP), STRIDE)] for p in todo if len(p) > STRIDE + OVERLAP}
+        found = self._contracted({p for p in todo if p not in windows} | {w for ws in windows.values() for w in ws})
+        for p in todo:
+            done[p] = self._joined(p, [found[w] for w in windows[p]]) if p in windows else found[p]
+        return done
+
+    def _ends(self, ids: bytes, start: int) -> list[int]:
+        """Where the tokens of a window that begins at start end."""
+        out = []
+        for tok in np.frombuffer(ids, "<u4").tolist():
+            start += self.sizes[tok]
+            out.append(start)
+        return out
+
+    def _joined(self, piece: bytes, parts: list[bytes]) -> bytes:
+        """Ids of a piece from those of its windows."""
+        ids, ends = parts[0], self._ends(parts[0], 0)
+        for k, part in enumerate(parts[1:], 1):
+            start, stop = k * STRIDE, min(len(piece), (k + 1) * STRIDE + OVERLAP)
+            back = OVERLAP
+            while True:
+                first = bisect.bisect_left(ends, start)  # a token of the window begins where one before ends, if at all
+                own = self._ends(part, start)
+                borders = {start: 0} | {e: j + 1 for j, e in enumerate(own[:-1])}
+                met = next(((i, j) for i in range(first, len(ends) - 1) if (j := borders.get(ends[i])) is not None and own[j] == ends[i + 1]), None)
+                if met:
+                    break
+                back *= 2  # nothing in common: the window is encoded anew from a border before it
+                start = ends[max(0, bisect.bisect_left(ends, ends[-1] - back) - 1)] if back < ends[-1] else 0
+                part = self._contracted({piece[start:stop]})[piece[start:stop]]
+                if start == 0:
+                    met = -1, 0
+                    own = self._ends(part, 0)
+                    break
+            i, j = met
+            ids, ends = ids[: 4 * (i + 1)] + part[4 * j :], ends[: i + 1] + own[j:]
+        return ids
+
+    def _contracted(self, pieces: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of each piece by the recursive query."""
+        done = {}
+        todo = sorted(pieces, key=len)
         start = 0
         while start < len(todo):
             stop, total = start, 0

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -46,6 +47,21 @@ def test_bpe_forgets_without_harm(reference, monkeypatch):
         assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [reference.encode_ordinary(t) for t in texts]
 
 
+def test_bpe_of_long_pieces(reference):
+    """Pieces of many windows, with and without tokens that windows share; four times the length takes about four times as long."""
+    own, r, took = bpe.Vocabulary(PATH, P.PATTERN), random.Random(5), []
+    some = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    texts = [some("etaoin", 9000), some("日本語の", 3000), *("abcdefghijkl"[:k] * 4000 for k in range(1, 13)), "-" * 12_345, some("ab", 7000) + "x" * 5000]
+    for t in texts:
+        assert own.encode(pa.array([t]))[0].tolist() == reference.encode_ordinary(t), t[:20]
+    for n in (1 << 15, 1 << 17):
+        t = some("abcdefghijklmnopqrstuvwxyz", n)
+        start = time.process_time()
+        assert own.encode(pa.array([t]))[0].tolist() == reference.encode_ordinary(t)
+        took.append(time.process_time() - start)
+    assert took[1] <= 4 * 2 * took[0] + 0.5
+
+
 def test_bpe_query(spark, sf_dir, reference):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for r in queries.op6_byte_bpe(spark, sf_dir).collect():
