@@ -103,14 +103,14 @@ def merge_titles(sections: DataFrame, keys: tuple[str, ...] = ("base_id", "unit_
     """
     plain = F.lit(False) if plain is None else plain
     x = sections.withColumn("same", F.when(plain, F.concat(F.lit(_BEFORE), F.col("pos").cast("string"))).otherwise(strip(squeeze(F.lower("title")))))
-    by = Window.partitionBy(*keys, "same")
-    x = x.withColumn("nth", F.row_number().over(by.orderBy("pos")))
-    later = F.when((F.col("nth") > 1) & (word_count("body") >= least), F.struct("pos", "body"))
-    x = x.withColumn("later", F.array_sort(F.collect_list(later).over(by))).filter("nth = 1")
+    rest = [c for c in x.columns if c not in (*keys, "same")]
+    long = F.when(word_count("body") >= least, F.struct("pos", "body"))
+    x = x.groupBy(*keys, "same").agg(F.min_by(F.struct(*rest), "pos").alias("head"), F.collect_list(long).alias("later")).select(*keys, "head.*", "later")
+    x = x.withColumn("later", F.array_sort(F.filter("later", lambda s: s["pos"] > F.col("pos"))))
     cut = let(F.filter(F.split("body", r"(?U)\s+"), lambda w: w != ""), lambda w: F.when(F.size(w) > most, F.array_join(F.slice(w, 1, most), " ")).otherwise(F.col("body")))
     first = strip(F.concat(F.col("title"), F.lit("\n\n"), F.when(F.length("body") > 2 * most - 1, cut).otherwise(F.col("body"))))
     whole = F.when(F.size("later") == 0, first).otherwise(strip(F.array_join(F.concat(F.array(first), F.transform("later", lambda s: s["body"])), "\n\n")))
-    return x.withColumn("text", F.when(plain, F.col("body")).otherwise(whole)).drop("same", "nth", "later", "body")
+    return x.withColumn("text", F.when(plain, F.col("body")).otherwise(whole)).drop("later", "body")
 
 
 def with_parents(sections: DataFrame, keys: tuple[str, ...], id_col: str, none: Column) -> DataFrame:
@@ -169,15 +169,13 @@ def fold_low_value(chunks: DataFrame, least: int = 12) -> DataFrame:
     by = Window.partitionBy("document_id").orderBy("pos")
     x = chunks.withColumn("keep", ~is_low_value("text", "title", least) | (F.row_number().over(by) == 1))
     x = x.withColumn("island", F.sum(F.col("keep").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    of = Window.partitionBy("document_id", "island")
-    head = F.first("parent_id").over(of.orderBy("pos")).alias("p"), F.first("level").over(of.orderBy("pos")).alias("l")
-    x = x.select("*", *head)
     body = strip("text")
-    fits = ~F.col("keep") & (F.col("parent_id").eqNullSafe(F.col("p")) | (F.col("level") == F.col("l"))) & (body != "")
-    more = F.array_sort(F.collect_list(F.when(fits, F.struct("pos", body.alias("t")))).over(of))
+    low = F.collect_list(F.when(~F.col("keep") & (body != ""), F.struct("pos", body.alias("t"), F.col("parent_id").alias("p"), F.col("level").alias("l"))))
+    x = x.groupBy("document_id", "island").agg(F.min_by(F.struct(*[c for c in chunks.columns if c != "document_id"]), "pos").alias("head"), low.alias("more")).select("document_id", "head.*", "more")
+    x = x.withColumn("more", F.array_sort(F.filter("more", lambda s: s["p"].eqNullSafe(F.col("parent_id")) | F.coalesce(s["l"] == F.col("level"), F.lit(False)))))
     joined = F.when(F.size("more") == 0, F.col("text")).otherwise(strip(F.array_join(F.concat(F.array("text"), F.transform("more", lambda s: s["t"])), "\n\n")))
-    x = x.withColumn("more", more).filter("keep").withColumn("text", joined)
-    return x.withColumn("word_count", word_count("text")).drop("keep", "island", "p", "l", "more")
+    x = x.withColumn("text", joined)
+    return x.withColumn("word_count", word_count("text")).drop("more")
 
 
 def repair_parents(chunks: DataFrame, nearest: bool = False) -> DataFrame:

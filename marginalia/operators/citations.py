@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from marginalia.functions.text import citation_markers, first_words, is_citation_page, let, locator, squeeze, strip, strip_citations, text, word_count
 
 
-#: Requests that are answered in one pass; pass more of them in blocks.
-BROADCAST_REQUESTS = 4096
+#: Different subjects asked for are broadcast up to this many; beyond, Spark chooses how subjects meet.
+BROADCAST_SUBJECTS = 4096
 
 
 def citation_pages(pages: DataFrame) -> DataFrame:
@@ -37,11 +37,13 @@ def of_documents(citations: DataFrame, documents: DataFrame, requests: DataFrame
 
     citations has document_id. What is asked for otherwise does not steer the choice.
     """
-    if requests.limit(BROADCAST_REQUESTS + 1).count() > BROADCAST_REQUESTS:
-        raise ValueError(f"more than {BROADCAST_REQUESTS} requests; pass them in blocks")
-    fits = F.lower(documents["subject"]).contains(F.lower(F.col("wanted")))
-    wanted = requests.select("request_id", F.col("subject").alias("wanted"))
-    pairs = documents.join(F.broadcast(wanted), fits).select("request_id", "document_id")
+    said = documents.select(F.lower("subject").alias("said")).distinct()
+    asked = requests.select(F.lower("subject").alias("asked")).distinct()
+    if asked.limit(BROADCAST_SUBJECTS + 1).count() <= BROADCAST_SUBJECTS:
+        asked = F.broadcast(asked)
+    fits = said.join(asked, F.col("said").contains(F.col("asked")))  # subjects, not documents or requests
+    wanted = requests.select("request_id", F.lower("subject").alias("asked")).join(fits, "asked")
+    pairs = wanted.join(documents.select("document_id", F.lower("subject").alias("said")), "said").select("request_id", "document_id")
     return pick(pairs.join(citations, "document_id"), ("request_id",), seed)
 
 

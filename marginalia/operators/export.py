@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.scoring import percent_band, score_color, score_percent
 from marginalia.functions.text import ColumnOrName, _c, html_escape, squeeze, strip, text
+from marginalia.operators.ordering import numbered
 
 RUBRIC = "struct<marks:array<struct<criterion:string,label:string,name:string,marks:string,score:string,value:string>>,key_points:array<string>,total:string>"
 #: Columns of the sheet and their headings; fixed values.
@@ -45,9 +46,9 @@ def sheet(questions: DataFrame, headings: bool = False) -> DataFrame:
 
 
 def print_pages(questions: DataFrame, order: str = "row_index", rows: int = 5) -> DataFrame:
-    """questions with row_no and page_no, so many rows a page; of one session or export."""
-    n = F.row_number().over(Window.orderBy(order))
-    return questions.withColumn("row_no", n).withColumn("page_no", F.floor((F.col("row_no") - 1) / rows).cast("int") + 1)
+    """questions with row_no and page_no, so many rows a page."""
+    x = numbered(questions, (order,), "row_no").withColumn("row_no", F.col("row_no").cast("int"))
+    return x.withColumn("page_no", F.floor((F.col("row_no") - 1) / rows).cast("int") + 1)
 
 
 def list_view(questions: DataFrame, preview: int = 120) -> DataFrame:

@@ -6,17 +6,18 @@ and other languages are removed, and drop-off is relative to the best that is le
 
 from __future__ import annotations
 
-import math
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from marginalia.functions.scoring import cosine, norm
 from marginalia.functions.text import contains_ci, language, word_count
 
-#: Queries are broadcast up to this many rows; more of them are dealt with the chunks' partitions by a join on blocks.
-BROADCAST_QUERIES = 4096
+#: Queries that a task meets at a time.
+QUERY_BLOCK = 4096
 
 
 def route(requests: DataFrame, hindi: tuple[str, ...]) -> DataFrame:
@@ -44,16 +45,40 @@ def candidates(documents: DataFrame, subject: str | None = None, chapter: str |
 
 
 def score(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """chunks (…, embedding) for each of queries (query_id, query): query_id and sim.
+    """chunks (…, embedding) for each of queries (query_id, query): query_id and sim, the cosine to 12 digits, so that equal vectors tie.
 
-    A stated set of queries against all chunks; queries are broadcast, after their number was checked.
+    A stated set of queries against all chunks. Queries are dealt into blocks of about QUERY_BLOCK rows and chunks
+    into parts, by hash; a part meets a block in one task as a product of matrices. So any number of
+    queries is one plan, and nothing is broadcast. Vectors are compared with those of their length; a zero
+    vector is like nothing. Null vectors and vectors with nulls take no part. What chunks carry is copied
+    to every query, so join texts to the hits that stay.
     """
-    if queries.limit(BROADCAST_QUERIES + 1).count() > BROADCAST_QUERIES:
-        raise ValueError(f"more than {BROADCAST_QUERIES} queries; pass them in blocks")
-    asked = queries.withColumn("query_norm", norm("query"))
-    own = chunks.withColumn("own_norm", norm("embedding"))
-    x = own.join(F.broadcast(asked), F.size("embedding") == F.size("query"))
-    return x.withColumn("sim", cosine("query", "embedding", "query_norm", "own_norm")).drop("query", "query_norm", "own_norm", "embedding")
+    carried = [c for c in chunks.columns if c != "embedding"]
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sound = lambda c: F.col(c).isNotNull() & F.forall(c, lambda x: x.isNotNull())
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("query_id", F.col("query").cast("array<double>").alias("query")).filter(sound("query"))
+    left = left.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("p", every(parts))
+    right = chunks.withColumn("embedding", F.col("embedding").cast("array<double>")).filter(sound("embedding"))
+    right = right.withColumn("p", F.pmod(F.xxhash64("embedding", *[c for c in ("document_id", "pos", "chunk_id") if c in carried]), F.lit(parts)).cast("int")).withColumn("b", every(blocks))
+
+    def meet(asked: pa.Table, own: pa.Table) -> pa.Table:
+        found = []
+        sizes = lambda t, c: t.column(c).combine_chunks().value_lengths().to_numpy()
+        matrix = lambda t, c, at, n: t.column(c).take(pa.array(at)).combine_chunks().flatten().to_numpy().reshape(-1, n)
+        n_asked, n_own = sizes(asked, "query"), sizes(own, "embedding")
+        for n in np.intersect1d(n_asked, n_own).tolist():
+            i, j = np.flatnonzero(n_asked == n), np.flatnonzero(n_own == n)
+            q, c = matrix(asked, "query", i, n), matrix(own, "embedding", j, n)
+            length = lambda m: np.maximum(np.sqrt((m * m).sum(1)), 0) + (m == 0).all(1)
+            sim = np.round(q @ c.T / (length(q)[:, None] * length(c)[None, :]), 12) + 0.0
+            rows = own.select(carried).take(pa.array(np.tile(j, len(i))))
+            found.append(rows.append_column("query_id", asked.column("query_id").take(pa.array(np.repeat(i, len(j))))).append_column("sim", pa.array(sim.ravel())))
+        return pa.concat_tables(found) if found else own.select(carried).slice(0, 0).append_column("query_id", asked.column("query_id").slice(0, 0)).append_column("sim", pa.array([], pa.float64()))
+
+    schema = T.StructType([f for f in chunks.schema.fields if f.name != "embedding"] + [queries.schema["query_id"], T.StructField("sim", T.DoubleType())])
+    return left.groupBy("b", "p").cogroup(right.groupBy("b", "p")).applyInArrow(meet, schema)
 
 
 def per_document_top(scored: DataFrame, k: int = 5, tie: str = "pos") -> DataFrame:
@@ -97,50 +122,23 @@ def top_k(x: DataFrame, k: int = 5, tie: tuple[str, ...] = ("document_id", "pos"
 def retrieve(
     chunks: DataFrame, queries: DataFrame, documents: DataFrame | None = None, k: int = 5, language_wanted: str | None = None, dropoff: float | None = 0.20, edges: DataFrame | None = None, max_neighbors: int = 6
 ) -> DataFrame:
-    """Ranked hits: chunks (document_id, pos, chunk_id, title, text, embedding) for queries (query_id, query).
+    """Ranked hits: chunks (document_id, pos, chunk_id, title, text, embedding; the first three are a key) for queries (query_id, query).
 
-    documents, if given, restricts the search before a vector is read. With edges, hits get
-    expanded_text and n_neighbors. An empty set of queries gives no rows.
+    documents, if given, restricts the search before a vector is read; if it is empty there are no hits.
+    With edges, hits get expanded_text and n_neighbors. An empty set of queries gives no rows. Texts are
+    joined to the hits that stay. The work is chunks times queries.
     """
     from marginalia.operators.graph import expand
 
+    key = ["document_id", "pos", "chunk_id"]
     pool = chunks.join(documents.select("document_id"), "document_id", "left_semi") if documents is not None else chunks
-    x = length_gate(per_document_top(score(pool, queries), k))
-    x = language_filter(x, language_wanted)
-    x = top_k(drop_off(x, dropoff) if dropoff is not None else x, k)
+    slim = pool.select(*key, "embedding", word_count("text").alias("word_count"), *([language("text").alias("told")] if language_wanted else []))
+    x = per_document_top(score(slim, queries), k).filter("word_count > 5 AND word_count < 5000")
+    x = language_filter(x, language_wanted, F.col("told")) if language_wanted else x
+    x = top_k(drop_off(x, dropoff) if dropoff is not None else x, k).drop("told").join(chunks.drop("embedding"), key)
     return expand(x, chunks.drop("embedding"), edges, max_neighbors) if edges is not None else x
 
 
-def in_blocks(queries: DataFrame) -> list[DataFrame]:
-    """queries (query_id, …; an id once) in blocks that score() takes."""
-    n, parts = queries.count(), 1
-    if n <= BROADCAST_QUERIES:
-        return [queries]
-    while True:
-        parts = max(parts + 1, math.ceil(n / BROADCAST_QUERIES), parts * 5 // 4)
-        block = F.pmod(F.xxhash64("query_id"), F.lit(parts))
-        if queries.groupBy(block).count().agg(F.max("count")).first()[0] <= BROADCAST_QUERIES:
-            return [queries.filter(block == k) for k in range(parts)]
-        if parts > n:
-            raise ValueError("queries share an id")
-
-
-def retrieve_many(chunks: DataFrame, queries: DataFrame, k: int = 5, language_wanted: str | None = None, dropoff: float | None = 0.20) -> DataFrame:
-    """What retrieve() gives, for any number of queries: block after block, and texts are joined to the hits alone.
-
-    Chunks have document_id, pos and chunk_id for a key. The work is chunks times queries.
-    """
-    key = ["document_id", "pos", "chunk_id"]
-    slim = chunks.select(*key, "embedding", word_count("text").alias("word_count"), language("text").alias("told"))
-    hits = None
-    for block in in_blocks(queries):
-        x = per_document_top(score(slim, block), k).filter("word_count > 5 AND word_count < 5000")
-        x = language_filter(x, language_wanted, F.col("told"))
-        x = top_k(drop_off(x, dropoff) if dropoff is not None else x, k).drop("told")
-        hits = x if hits is None else hits.unionByName(x)
-    return hits.join(chunks.drop("embedding"), key)
-
-
 def context(hits: DataFrame, column: str = "text", sep: str = "\n\n") -> DataFrame:
     """query_id, context: a query's hits joined in order of rank; at most k a query."""
     ordered = F.array_sort(F.collect_list(F.struct("rank", F.col(column).alias("t"))))

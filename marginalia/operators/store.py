@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marginalia.functions.text import ColumnOrName, _c, blank_to_null, strip
+from marginalia.operators.ordering import numbered
 
 SESSION = "id string, created_at timestamp, status string, total_requested int, total_generated int, parameters string"
 QUESTION = (
@@ -43,7 +44,7 @@ def new_questions(parsed: DataFrame, first_index: int = 0, key: Iterable[str] =
     x = x.withColumns({"question": strip("question"), "answer": strip("answer"), "id": F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]))})
     model = blank_to_null(F.col("model_id")) if "model_id" in x.columns else F.lit(None).cast("string")
     x = x.withColumn("model_id", F.coalesce(model, F.lit(default_model)))
-    x = x.withColumn("row_index", F.lit(first_index) + F.row_number().over(Window.orderBy(*keys)) - 1)
+    x = numbered(x, tuple(keys), "row_index").withColumn("row_index", F.col("row_index") + (first_index - 1))
     return evolve(x, QUESTION).select(*[F.col(n).cast(t) for n, t in fields(QUESTION)])
 
 

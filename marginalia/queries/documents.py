@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marginalia.operators import catalog, chunking, citations, graph
-from marginalia.queries.registry import MARKED, SQL, TREE, fingerprint, query, sanitize_sql, strip_sql, words
+from marginalia.queries.registry import MARKED, TREE, fingerprint, query, sanitize_sql, strip_sql, words
 
 _UNITS = rf"""
 units AS (
@@ -178,14 +178,7 @@ kept AS (
   SELECT n.document_id, n.chunk_id, '[' || c.title || ']' || chr(10) || {strip_sql('c.text')} AS block, row_number() OVER (PARTITION BY n.document_id, n.chunk_id ORDER BY n.o, n.near) AS nth
   FROM near n JOIN repaired c ON c.document_id = n.document_id AND c.chunk_id = n.near WHERE {words('c.text')} > 5)
 SELECT t.document_id, t.pos::INTEGER AS pos, count(k.nth)::INTEGER AS n_neighbors, md5(t.text || CASE WHEN count(k.nth) = 0 THEN '' ELSE chr(10) || chr(10) || '--- Related context ---' || chr(10) || chr(10) || string_agg(k.block, chr(10) || chr(10) ORDER BY k.nth) END) AS h
-FROM repaired t LEFT JOIN kept k ON k.document_id = t.document_id AND k.chunk_id = t.chunk_id AND k.nth <= 6 WHERE t.pos % 3 = 1 GROUP BY t.document_id, t.pos, t.text""")
-def _(x):
-    c = chunking.repair_parents(x.tree())
-    y = graph.expand(c.filter("pos % 3 = 1").select("document_id", "pos", "chunk_id", "text"), c, graph.edges(c))
-    return y.select("document_id", "pos", "n_neighbors", fingerprint(F.col("expanded_text")).alias("h"))
-
-
-@query("jn4_graph_expand_whole", SQL["jn4_graph_expand"].replace("WHERE t.pos % 3 = 1 GROUP", "GROUP"))
+FROM repaired t LEFT JOIN kept k ON k.document_id = t.document_id AND k.chunk_id = t.chunk_id AND k.nth <= 6 GROUP BY t.document_id, t.pos, t.text""")
 def _(x):
     c = chunking.repair_parents(x.tree())
     y = graph.expand(c.select("document_id", "pos", "chunk_id", "text"), c, graph.edges(c))
@@ -195,21 +188,13 @@ def _(x):
 @query("graph_ancestors", f"""
 WITH RECURSIVE {TREE}, up AS (
   SELECT document_id, chunk_id, parent_id AS ancestor_id, 1 AS distance FROM tree WHERE parent_id IS NOT NULL
-  UNION ALL SELECT u.document_id, u.chunk_id, t.parent_id, u.distance + 1 FROM up u JOIN tree t ON t.document_id = u.document_id AND t.chunk_id = u.ancestor_id WHERE t.parent_id IS NOT NULL AND u.distance < 6)
+  UNION ALL SELECT u.document_id, u.chunk_id, t.parent_id, u.distance + 1 FROM up u JOIN tree t ON t.document_id = u.document_id AND t.chunk_id = u.ancestor_id WHERE t.parent_id IS NOT NULL)
 SELECT document_id, chunk_id, ancestor_id, distance::INTEGER AS distance FROM up""")
 def _(x):
     return graph.ancestors(x.tree())
 
 
-@query("set5_isolated_nodes", f"WITH {TREE} SELECT t.document_id || ':' || pos AS id FROM tree t WHERE chunk_id NOT IN (SELECT parent_id FROM tree WHERE parent_id IS NOT NULL) AND pos % 2 = 0")
-def _(x):
-    t = x.tree()
-    nodes = t.filter("pos % 2 = 0").select(F.col("chunk_id").alias("id"), F.concat(F.col("document_id"), F.lit(":"), F.col("pos").cast("string")).alias("name"))
-    e = t.filter("parent_id IS NOT NULL").select(F.col("parent_id").alias("src"), F.lit("none").alias("dst"))
-    return graph.isolated(nodes, e).select(F.col("name").alias("id"))
-
-
-@query("set5_isolated_nodes_whole", SQL["set5_isolated_nodes"].replace(" AND pos % 2 = 0", ""))
+@query("set5_isolated_nodes", f"WITH {TREE} SELECT t.document_id || ':' || pos AS id FROM tree t WHERE chunk_id NOT IN (SELECT parent_id FROM tree WHERE parent_id IS NOT NULL)")
 def _(x):
     t = x.tree()
     nodes = t.select(F.col("chunk_id").alias("id"), F.concat(F.col("document_id"), F.lit(":"), F.col("pos").cast("string")).alias("name"))

@@ -26,8 +26,9 @@ class Tables:
         return self.embeddings.join(d, "vec_id").select(
             F.col("label").alias("document_id"), F.col("vec_id").alias("pos"), F.concat(F.lit("c"), F.col("vec_id").cast("string")).alias("chunk_id"), F.col("source").alias("title"), "text", "embedding")
 
-    def asked(self, n: int = 3) -> DataFrame:
-        return self.embeddings.filter(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    def asked(self) -> DataFrame:
+        """The stated set of queries, which grows with the table."""
+        return self.embeddings.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
     def marked(self) -> DataFrame:
         """Documents whose lines got headers of units and sections."""
@@ -68,9 +69,9 @@ CHUNKS = """chunks AS (
   SELECT e.label AS document_id, e.vec_id AS pos, 'c' || e.vec_id AS chunk_id, d.source AS title, d.text, e.embedding FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id),
 scored AS (
   SELECT q.vec_id AS query_id, c.* EXCLUDE (embedding),
-         list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))
-         / (sqrt(list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(c.embedding, lambda x: x::DOUBLE * x::DOUBLE)))) AS sim
-  FROM embeddings q JOIN chunks c ON q.vec_id < 3)"""
+         round(list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))
+         / (sqrt(list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(c.embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 12) AS sim
+  FROM embeddings q JOIN chunks c ON q.vec_id % 50 = 0)"""
 MARKED = r"""marked AS (
   SELECT 'd' || doc_id AS document_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, j:
     CASE WHEN (j - 1) % 12 = 0 THEN 'Unit ' || ((j - 1) // 12 + 1) || ' Part' || chr(10) || x

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import scoring
 from marginalia.operators import retrieval, parsing
-from marginalia.queries.registry import CHUNKS, SQL, fingerprint, query, words
+from marginalia.queries.registry import CHUNKS, fingerprint, query, strip_sql, words
 
 
-def _scored(x):
-    return retrieval.score(x.chunks(), x.asked())
+def _scored(x, *more):
+    return retrieval.score(x.chunks().select("document_id", "pos", "embedding", *more), x.asked())
 
 
 def _shown(y, *more):
@@ -41,16 +41,16 @@ _GATED = f"gated AS (SELECT *, {words('text')} AS word_count FROM topped WHERE {
 
 @query("flt4_length_gate", f"WITH {CHUNKS}, {_TOP}, {_GATED} SELECT query_id, document_id, pos, round(sim, 6) AS sim, word_count FROM gated")
 def _(x):
-    return _shown(retrieval.length_gate(retrieval.per_document_top(_scored(x), 1)), "word_count")
+    return _shown(retrieval.length_gate(retrieval.per_document_top(_scored(x), 1).join(x.chunks().select("document_id", "pos", "text"), ["document_id", "pos"])), "word_count")
 
 
 @query("flt5_without_glossary", f"WITH {CHUNKS} SELECT query_id, document_id, pos, round(sim, 6) AS sim FROM scored WHERE NOT contains(lower(title), 'src1')")
 def _(x):
-    y = _scored(x).withColumn("title", F.when(F.lower("title").contains("src1"), "My Glossary").otherwise(F.col("title")))
+    y = _scored(x, "title").withColumn("title", F.when(F.lower("title").contains("src1"), "My Glossary").otherwise(F.col("title")))
     return _shown(retrieval.without_glossary(y))
 
 
-_SCRIPT = "CASE WHEN pos % 11 = 3 AND query_id <> 2 THEN 'नमस्ते' ELSE text END"
+_SCRIPT = "CASE WHEN pos % 11 = 3 AND query_id % 100 <> 50 THEN 'नमस्ते' ELSE text END"
 
 
 @query("flt6_language_filter", rf"""
@@ -58,7 +58,7 @@ WITH {CHUNKS}, told AS (SELECT * EXCLUDE (text), {_SCRIPT} AS text FROM scored),
 fits AS (SELECT *, regexp_matches(text, '[\x{{0900}}-\x{{097F}}]') OR NOT regexp_matches(text, '[A-Za-z]') AS fit FROM told)
 SELECT query_id, document_id, pos, round(sim, 6) AS sim FROM fits QUALIFY fit OR NOT bool_or(fit) OVER (PARTITION BY query_id)""")
 def _(x):
-    y = _scored(x).withColumn("text", F.when((F.col("pos") % 11 == 3) & (F.col("query_id") != 2), "नमस्ते").otherwise(F.col("text")))
+    y = _scored(x, "text").withColumn("text", F.when((F.col("pos") % 11 == 3) & (F.col("query_id") % 100 != 50), "नमस्ते").otherwise(F.col("text")))
     return _shown(retrieval.language_filter(y, "hi"))
 
 
@@ -88,11 +88,29 @@ def _(x):
     return y.select("query_id", "document_id", "pos", "chunk_id", "title", fingerprint(F.col("text")).alias("h"), F.round("sim", 6).alias("sim"), "rank", "word_count")
 
 
-@query("ret1_retrieve_many", SQL["ret1_retrieve"].replace("q.vec_id < 3", "q.vec_id % 50 = 0"))
+@query("ret1_retrieve_expanded", f"""
+WITH {CHUNKS.replace("JOIN documents d ON d.doc_id = e.vec_id", "JOIN documents d ON d.doc_id = e.vec_id AND e.label % 2 = 0")}, {_RANKED},
+beside AS (SELECT r.query_id, r.document_id, r.chunk_id, '[' || c.title || ']' || chr(10) || {strip_sql('c.text')} AS block, row_number() OVER (PARTITION BY r.query_id, r.chunk_id ORDER BY c.pos > r.pos, CASE WHEN c.pos > r.pos THEN c.pos END, c.chunk_id) AS nth
+  FROM ranked r JOIN chunks c ON c.document_id = r.document_id AND c.pos <> r.pos AND c.pos // 100 = r.pos // 100 WHERE {words('c.text')} > 5)
+SELECT query_id, document_id, pos, rank, (SELECT count(*) FROM beside n WHERE n.query_id = r.query_id AND n.chunk_id = r.chunk_id AND n.nth <= 6)::INTEGER AS n_neighbors,
+  md5(text || coalesce((SELECT chr(10) || chr(10) || '--- Related context ---' || chr(10) || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY nth) FROM beside n WHERE n.query_id = r.query_id AND n.chunk_id = r.chunk_id AND n.nth <= 6), '')) AS h
+FROM ranked r""")
 def _(x):
-    asked = x.embeddings.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    y = retrieval.retrieve_many(x.chunks(), asked, dropoff=0.95)
-    return y.select("query_id", "document_id", "pos", "chunk_id", "title", fingerprint(F.col("text")).alias("h"), F.round("sim", 6).alias("sim"), "rank", "word_count")
+    c = x.chunks()
+    wanted = x.embeddings.select(F.col("label").alias("document_id")).distinct().filter("document_id % 2 = 0")
+    slim = c.select("document_id", "pos", "chunk_id")
+    o = slim.select("document_id", F.col("pos").alias("ord"), F.col("chunk_id").alias("dst"))
+    same = (F.floor(F.col("pos") / 100) == F.floor(F.col("ord") / 100)) & (F.col("ord") > F.col("pos"))
+    e = slim.join(o, "document_id").filter(same).select("document_id", F.col("chunk_id").alias("src"), "dst", F.lit("r").alias("relation"), "ord")
+    y = retrieval.retrieve(c, x.asked(), documents=wanted, dropoff=0.95, edges=e.filter("src <> dst"))
+    return y.select("query_id", "document_id", "pos", "rank", "n_neighbors", fingerprint(F.col("expanded_text")).alias("h"))
+
+
+@query("flt3_no_match", "SELECT 'none fits' AS filter, false AS any_hits UNION ALL SELECT 'no filter', true")
+def _(x):
+    none = x.embeddings.select(F.col("label").alias("document_id")).filter("document_id < 0")
+    hits = lambda said, **how: retrieval.retrieve(x.chunks(), x.asked(), dropoff=None, **how).agg((F.count("*") > 0).alias("any_hits")).select(F.lit(said).alias("filter"), "any_hits")
+    return hits("none fits", documents=none).unionByName(hits("no filter"))
 
 
 @query("agg11_context", f"WITH {CHUNKS}, {_RANKED} SELECT query_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY rank)) AS h FROM ranked GROUP BY query_id")
@@ -107,10 +125,11 @@ def _(x):
 
 
 @query("ret4_retrieve_dual", f"""
-WITH {CHUNKS}, {_RANKED} SELECT 0::BIGINT AS query_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY rank) FILTER (query_id = 0)) AS topic, md5(string_agg(text, chr(10) || chr(10) ORDER BY rank) FILTER (query_id = 1)) AS theme FROM ranked""")
+WITH {CHUNKS}, {_RANKED} SELECT query_id // 100 AS query_id, md5(coalesce(string_agg(text, chr(10) || chr(10) ORDER BY rank) FILTER (query_id % 100 = 0), '')) AS topic, md5(coalesce(string_agg(text, chr(10) || chr(10) ORDER BY rank) FILTER (query_id % 100 = 50), '')) AS theme FROM ranked GROUP BY ALL""")
 def _(x):
     q = x.asked()
-    y = retrieval.retrieve_dual(x.chunks(), q.filter("query_id = 0"), q.filter("query_id = 1").withColumn("query_id", F.lit(0).cast("long")), dropoff=0.95)
+    half = lambda r: q.filter(f"query_id % 100 = {r}").withColumn("query_id", F.floor(F.col("query_id") / 100))
+    y = retrieval.retrieve_dual(x.chunks(), half(0), half(50), dropoff=0.95)
     return y.select("query_id", fingerprint(F.col("topic_chunk")).alias("topic"), fingerprint(F.col("theme_chunk")).alias("theme"))
 
 

@@ -8,7 +8,7 @@ from marginalia.functions.scoring import score_percent
 from marginalia.functions.text import QUESTION_TYPES
 from marginalia.operators import export, requests, store
 from marginalia.plans import api
-from marginalia.queries.registry import SQL, fingerprint, query, strip_sql
+from marginalia.queries.registry import fingerprint, query, strip_sql
 
 
 def _questions(x):
@@ -163,12 +163,7 @@ def _(x):
     return export.sheet(_questions(x)).withColumn("question", F.md5("question"))
 
 
-@query("snk12_print_pages", "SELECT doc_id AS row_index, row_number() OVER (ORDER BY doc_id)::INTEGER AS row_no, ((row_number() OVER (ORDER BY doc_id) - 1) // 5 + 1)::INTEGER AS page_no FROM documents WHERE doc_id % 7 < 3")
-def _(x):
-    return export.print_pages(_questions(x).filter("row_index % 7 < 3")).select("row_index", "row_no", "page_no")
-
-
-@query("snk12_print_pages_whole", SQL["snk12_print_pages"].replace(" WHERE doc_id % 7 < 3", ""))
+@query("snk12_print_pages", "SELECT doc_id AS row_index, row_number() OVER (ORDER BY doc_id)::INTEGER AS row_no, ((row_number() OVER (ORDER BY doc_id) - 1) // 5 + 1)::INTEGER AS page_no FROM documents")
 def _(x):
     return export.print_pages(_questions(x)).select("row_index", "row_no", "page_no")
 
@@ -268,7 +263,7 @@ def _(x):
     return x.documents.select("doc_id", fingerprint(p).alias("h"))
 
 
-@query("txt23_transcripts", "SELECT conv_id, md5(string_agg(upper(left(role, 1)) || lower(role[2:]) || ': ' || text, chr(10) ORDER BY turn)) AS h FROM conversations WHERE turn < 1000 GROUP BY conv_id")
+@query("txt23_transcripts", "SELECT conv_id, md5(string_agg(upper(left(role, 1)) || lower(role[2:]) || ': ' || text, chr(10) ORDER BY turn)) AS h FROM conversations GROUP BY conv_id")
 def _(x):
     return requests.whole_transcripts(x.conversations, "conv_id", "turn").select("conv_id", fingerprint(F.col("transcript")).alias("h"))
 
@@ -334,14 +329,7 @@ def _(x):
     return held.unionByName(more.join(held.select("doc_id"), "doc_id", "left_anti"))
 
 
-@query("top11_newest_first", "SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id)::INTEGER AS place FROM events WHERE user_id = 7")
-def _(x):
-    from pyspark.sql import Window
-
-    return x.events.filter("user_id = 7").withColumn("place", F.row_number().over(Window.orderBy(F.desc("ts"), "event_id"))).select("event_id", "place")
-
-
-@query("top11_newest_first_whole", "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id)::INTEGER AS place FROM events")
+@query("top11_newest_first", "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id)::INTEGER AS place FROM events")
 def _(x):
     from pyspark.sql import Window
 

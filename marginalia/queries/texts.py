@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as t
 from marginalia.operators import chunking, parsing
-from marginalia.queries.registry import SQL, fingerprint, query, sanitize_sql, strip_sql, words
+from marginalia.queries.registry import fingerprint, query, sanitize_sql, strip_sql, words
 
 
 def _d(tables, *columns):
@@ -138,35 +138,25 @@ def _(x):
 
 # Citations, model output -----------------------------------------------------------------------
 
-_CITED_SQL = "'To be (p. 12) or (20) not ' || left(text, 200) || CASE doc_id % 4 WHEN 0 THEN ' (Canto II, 4)' WHEN 1 THEN ' p. 77 ' WHEN 2 THEN ' (nothing)' ELSE '' END"
+_CITED_SQL = "'To be (p. 12) or (20) not ' || text || CASE doc_id % 4 WHEN 0 THEN ' (Canto II, 4)' WHEN 1 THEN ' p. 77 ' WHEN 2 THEN ' (nothing)' ELSE '' END"
 
 
-def _cited(text=None):
+def _cited():
     n = F.col("doc_id") % 4
-    return F.concat(F.lit("To be (p. 12) or (20) not "), F.left("text", F.lit(200)) if text is None else text, F.when(n == 0, " (Canto II, 4)").when(n == 1, " p. 77 ").when(n == 2, " (nothing)").otherwise(""))
+    return F.concat(F.lit("To be (p. 12) or (20) not "), F.col("text"), F.when(n == 0, " (Canto II, 4)").when(n == 1, " p. 77 ").when(n == 2, " (nothing)").otherwise(""))
 
 
 @query("txt8_strip_citations", rf"""
-SELECT doc_id, regexp_replace(regexp_replace(regexp_replace({_CITED_SQL}, '(?i)\s*\((?:[^)]*\b(?:p\.?|pp\.?|page|pg|Prologue|Chapter|Canto|Book)\b[^)]*)\)', '', 'g'), '\s*\(\s*\d{{1,4}}\s*\)', '', 'g'), '^\s+|\s+$', '', 'g') AS cleaned FROM documents""")
+SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace({_CITED_SQL}, '(?i)\s*\((?:[^)]*\b(?:p\.?|pp\.?|page|pg|Prologue|Chapter|Canto|Book)\b[^)]*)\)', '', 'g'), '\s*\(\s*\d{{1,4}}\s*\)', '', 'g'), '^\s+|\s+$', '', 'g')) AS h FROM documents""")
 def _(x):
-    return _d(x, t.strip_citations(_cited()).alias("cleaned"))
+    return _d(x, fingerprint(t.strip_citations(_cited())).alias("h"))
 
 
 @query("txt9_locator", rf"""
-SELECT doc_id, coalesce(nullif(trim(regexp_extract(c, '(?i)\(([^)]*(?:\b(?:p\.?|pp\.?|page|pg|canto|book|prologue)\b)[^)]*)\)', 1)), ''), nullif(regexp_extract(c, '\b[pP]\.\s*(\d{{1,4}})\b', 1), '')) AS locator
+SELECT doc_id, md5(coalesce(nullif(trim(regexp_extract(c, '(?i)\(([^)]*(?:\b(?:p\.?|pp\.?|page|pg|canto|book|prologue)\b)[^)]*)\)', 1)), ''), nullif(regexp_extract(c, '\b[pP]\.\s*(\d{{1,4}})\b', 1), ''))) AS h
 FROM (SELECT doc_id, regexp_replace({_CITED_SQL}, '^To be \(p\. 12\)', '') AS c FROM documents)""")
 def _(x):
-    return _d(x, t.locator(F.regexp_replace(_cited(), r"^To be \(p\. 12\)", "")).alias("locator"))
-
-
-@query("txt8_strip_citations_whole", f"SELECT doc_id, md5(cleaned) AS h FROM ({SQL['txt8_strip_citations'].replace('left(text, 200)', 'text')})")
-def _(x):
-    return _d(x, fingerprint(t.strip_citations(_cited(F.col("text")))).alias("h"))
-
-
-@query("txt9_locator_whole", f"SELECT doc_id, md5(locator) AS h FROM ({SQL['txt9_locator'].replace('left(text, 200)', 'text')})")
-def _(x):
-    return _d(x, fingerprint(t.locator(F.regexp_replace(_cited(F.col("text")), r"^To be \(p\. 12\)", ""))).alias("h"))
+    return _d(x, fingerprint(t.locator(F.regexp_replace(_cited(), r"^To be \(p\. 12\)", ""))).alias("h"))
 
 
 @query("txt10_first_words", rf"""
@@ -221,12 +211,7 @@ def _(x):
 
 
 @query("txt19_strip_thinking", rf"""
-SELECT doc_id, md5({strip_sql("regexp_replace('<think>' || left(text, 50) || '</think> ' || source || '<think>x</think>', '(?s)<think>.*?</think>', '', 'g')")}) AS h FROM documents""")
-def _(x):
-    return _d(x, fingerprint(t.strip_thinking(F.concat(F.lit("<think>"), F.left("text", F.lit(50)), F.lit("</think> "), "source", F.lit("<think>x</think>")))).alias("h"))
-
-
-@query("txt19_strip_thinking_whole", SQL["txt19_strip_thinking"].replace("left(text, 50)", "text"))
+SELECT doc_id, md5({strip_sql("regexp_replace('<think>' || text || '</think> ' || source || '<think>x</think>', '(?s)<think>.*?</think>', '', 'g')")}) AS h FROM documents""")
 def _(x):
     return _d(x, fingerprint(t.strip_thinking(F.concat(F.lit("<think>"), "text", F.lit("</think> "), "source", F.lit("<think>x</think>")))).alias("h"))
 
@@ -238,12 +223,7 @@ def _(x):
 
 @query("txt21_wrap_label", r"""
 SELECT doc_id, CASE WHEN len(w) <= 4 THEN array_to_string(w, ' ') ELSE array_to_string(w[1:4], ' ') || chr(10) || array_to_string(w[5:8], ' ') || CASE WHEN len(w) > 8 THEN '...' ELSE '' END END AS label
-FROM (SELECT doc_id, regexp_extract_all(left(text, 20 * (doc_id % 5)), '\S+') AS w FROM documents)""")
-def _(x):
-    return _d(x, t.wrap_label(F.left("text", (20 * (F.col("doc_id") % 5)).cast("int"))).alias("label"))
-
-
-@query("txt21_wrap_label_whole", SQL["txt21_wrap_label"].replace("left(text, 20 * (doc_id % 5))", "text"))
+FROM (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents)""")
 def _(x):
     return _d(x, t.wrap_label("text").alias("label"))
 

@@ -5,8 +5,9 @@ import hashlib
 import numpy as np
 import pytest
 
-from marginalia.operators import graph, retrieval
+from marginalia.operators import citations, graph, ordering, retrieval
 from marginalia.queries import QUERIES
+from marginalia.sources import writers
 
 
 def test_transcripts_of_long_chats(spark, tmp_path):
@@ -43,14 +44,12 @@ def test_ancestors_in_a_circle(spark):
 
 def test_retrieval_of_many_queries(spark, monkeypatch):
     """Against brute force, with more queries than one block takes."""
-    monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", 7)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
     rng = np.random.default_rng(5)
     v, n_words = rng.normal(size=(300, 8)), rng.integers(3, 12, 300)
     chunks = spark.createDataFrame([(k % 4, k, f"c{k}", "t", " ".join(["w"] * int(n_words[k])), v[k].tolist()) for k in range(300)], "document_id int, pos long, chunk_id string, title string, text string, embedding array<double>")
     asked = chunks.filter("pos % 6 = 0").selectExpr("pos AS query_id", "embedding AS query")
-    blocks = retrieval.in_blocks(asked)
-    assert len(blocks) >= 8 and max(b.count() for b in blocks) <= 7 and sum(b.count() for b in blocks) == 50
-    got = {(r["query_id"], r["rank"]): (r["pos"], r["text"], r["title"]) for r in retrieval.retrieve_many(chunks, asked, k=1, dropoff=0.95).collect()}
+    got = {(r["query_id"], r["rank"]): (r["pos"], r["text"], r["title"]) for r in retrieval.retrieve(chunks, asked, k=1, dropoff=0.95).collect()}
     unit, want = v / np.linalg.norm(v, axis=1, keepdims=True), {}
     for q in range(0, 300, 6):
         sim = unit @ unit[q]
@@ -67,17 +66,44 @@ def test_citations_after_the_first_200_characters(spark, tmp_path):
     spark.createDataFrame([(3, body, "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
     one = lambda name: QUERIES[name](spark, str(tmp_path)).first()["h"]
-    assert one("txt8_strip_citations_whole") == md5("To be or not " + "word " * 100 + "end and on")
-    assert one("txt9_locator_whole") == md5("Canto V, 9")
-    assert one("txt19_strip_thinking_whole") == md5("s")
-    assert QUERIES["txt21_wrap_label_whole"](spark, str(tmp_path)).first()["label"] == "word word word word\nword word word word..."
+    assert one("txt8_strip_citations") == md5("To be or not " + "word " * 100 + "end and on")
+    assert one("txt9_locator") == md5("Canto V, 9")
+    assert one("txt19_strip_thinking") == md5("s")
+    assert QUERIES["txt21_wrap_label"](spark, str(tmp_path)).first()["label"] == "word word word word\nword word word word..."
 
 
 def test_every_chunk_node_question_and_event(spark, sf_dir):
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     run = lambda name: QUERIES[name](spark, sf_dir)
     lines = read("documents").selectExpr("sum(size(split(text, '\\n')))").first()[0]
-    assert run("jn4_graph_expand_whole").count() == lines
-    assert run("snk12_print_pages_whole").count() == read("documents").count()
-    assert run("top11_newest_first_whole").filter("place = 1").count() == read("events").select("user_id").distinct().count()
-    assert run("set5_isolated_nodes_whole").filter("substring_index(id, ':', -1) % 2 = 1").count() > 0
+    assert run("jn4_graph_expand").count() == lines
+    assert run("snk12_print_pages").count() == read("documents").count()
+    assert run("top11_newest_first").filter("place = 1").count() == read("events").select("user_id").distinct().count()
+    assert run("set5_isolated_nodes").filter("substring_index(id, ':', -1) % 2 = 1").count() > 0
+
+
+def test_numbers_do_not_depend_on_the_ranges(spark):
+    rows = [(k * 7919 % 5003, f"k{k % 50}") for k in range(5000)] + [(None, "x"), (3, None)]
+    x = spark.createDataFrame(rows, "a long, b string").repartition(5)
+    want = sorted(rows, key=lambda r: ((r[1] is not None, r[1] or ""), (r[0] is not None, r[0] or 0)))
+    for size in (10**6, 400, 37):
+        got = {(r["a"], r["b"]): r["n"] for r in ordering.numbered(x, ("b", "a"), "n", rows_a_task=size).collect()}
+        assert got == {r: k + 1 for k, r in enumerate(want)}
+    assert ordering.numbered(x.limit(0), ("b", "a"), "n").count() == 0
+
+
+def test_requests_beyond_a_broadcast(spark, monkeypatch):
+    cites = spark.createDataFrame([(k, f"citation {k}") for k in range(20)], "document_id int, citation_text string")
+    docs = spark.createDataFrame([(k, f"Course {k % 4}") for k in range(20)], "document_id int, subject string")
+    asked = spark.createDataFrame([(n, f"course {n % 5}") for n in range(30)], "request_id int, subject string")
+    want = citations.of_documents(cites, docs, asked).collect()
+    assert len(want) == 24
+    monkeypatch.setattr(citations, "BROADCAST_SUBJECTS", 2)
+    assert sorted(citations.of_documents(cites, docs, asked).collect()) == sorted(want)
+
+
+def test_null_keys_are_appended_once(spark, tmp_path):
+    x = spark.createDataFrame([(1, "a"), (None, "b"), (None, None)], "k int, v string")
+    for _ in range(2):
+        writers.append_new(x, f"{tmp_path}/t", ("k", "v"))
+    assert spark.read.parquet(f"{tmp_path}/t").count() == 3
