@@ -6,9 +6,12 @@ threshold and the wanted recall, go to buckets by their hash. Pairs of classes t
 verified on their full sets, in one of two ways that between them cover every such pair:
 
 * A bucket of up to small classes gives its pairs as such, each in the first band that the two share.
-* Larger buckets are joined to regions (connected by their members). The classes of a region are dealt
-  into blocks; each pair of blocks is compared in one task by products of 0/1 matrices, which gives
-  link counts and a spanning forest, so that no pair of a large group is ever a row.
+* The classes of larger buckets are dealt into blocks; each pair of blocks is compared in one task by
+  products of 0/1 matrices, which gives link counts and a spanning forest, so that no pair of a large group
+  is ever a row. What is compared together is either a bucket, of which each pair counts in the first band
+  that it shares, or all buckets of a region (connected by their members) at once, where that is less
+  work: in a group of near copies, which meet in most bands. A chain of buckets that have little in common
+  goes bucket by bucket, so the work never exceeds the pairs that share a large bucket, counted by band.
 
 Links of an exact copy to its like are counted, not listed.
 """
@@ -23,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.base import checkpointed, sliced
+from marginalia.llm.base import checkpointed, sliced, whole_numbers
 from marginalia.llm.graph import components
 
-#: A table of regions is broadcast up to this many rows of two numbers; sets are then not shuffled by region.
-BROADCAST_REGIONS = 200_000
+#: A table of groups is broadcast up to this many rows of three numbers; sets are then not shuffled by group.
+BROADCAST_GROUPS = 200_000
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15)
 _BLANK = np.zeros(256, bool)
@@ -146,6 +149,17 @@ def compare(a: list[np.ndarray], b: list[np.ndarray], threshold: float, columns:
     return both >= threshold * union - 1e-6
 
 
+def region_kinds(hot: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, region, whole: whether a region is compared at once, because that is no more pairs than its buckets have together.
+
+    hot: band, bh, held, hub of the buckets; nodes: cc_node and cc_root of the classes in them.
+    """
+    regions = nodes.select(F.col("cc_node").alias("node"), F.col("cc_root").alias("region"))
+    pairs = hot.join(regions, F.col("hub") == F.col("node")).groupBy("region").agg(F.sum(F.col("held").cast("double") * F.col("held")).alias("c"))
+    n = regions.groupBy("region").agg(F.count("*").cast("double").alias("n"))
+    return regions.join(n.join(pairs, "region").select("region", (F.col("n") * F.col("n") <= F.col("c")).alias("whole")), "region")
+
+
 def _set(packed: bytes) -> np.ndarray:
     return np.frombuffer(packed, _U)
 
@@ -173,6 +187,7 @@ def near_duplicates(
     text, or one without words, has no n-grams, is like nothing, and has itself as class and group. A
     null id is kept; it names a class or group only if no other id does. Repeated rows are copies.
     """
+    whole_numbers(docs, id_col)
     bands, rows = choose_bands(threshold, recall)
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,9 +210,10 @@ def near_duplicates(
     buckets = inside.groupBy("band", "bh").agg(F.count("*").alias("held"), F.min("node").alias("hub")).filter("held > 1")
     members = checkpointed(inside.join(buckets, ["band", "bh"]))
     large = members.filter(F.col("held") > small)
-    regions = components(large.select(F.col("node").alias("a"), F.col("hub").alias("b"))).select(F.col("cc_node").alias("node"), F.col("cc_root").alias("region"))
+    regions = checkpointed(region_kinds(buckets.filter(F.col("held") > small), components(large.select(F.col("node").alias("a"), F.col("hub").alias("b")))))
+    together = regions.filter("whole").select("node", "region")
 
-    few = members.filter(F.col("held") <= small).select("band", "bh", "node", "size", "bands").join(regions, "node", "left")
+    few = members.filter(F.col("held") <= small).select("band", "bh", "node", "size", "bands").join(together, "node", "left")
     x, y = (few.select("band", "bh", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "bands", "region")]) for s in "xy")
     first_shared = F.array_position(F.zip_with("bands_x", "bands_y", lambda p, q: p == q), True) == F.col("band") + 1
     pairs = x.join(y, ["band", "bh"]).filter(
@@ -238,18 +254,20 @@ def near_duplicates(
     rows_ = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(verify, "a bigint, b bigint, copies_a bigint, copies_b bigint")
     single = checkpointed(rows_)
 
-    in_region = sets.withColumn("n", F.length("grams") / 8).join(regions, "node")
-    dealt = in_region.select("region", "node", "n").groupBy("region").agg(
+    by_region = together.select("node", F.col("region").alias("g"), F.lit(-1).alias("band"), F.lit(None).cast("array<bigint>").alias("bands"))
+    by_bucket = large.join(regions.filter("NOT whole").select("node"), "node").select("node", F.col("bh").alias("g"), "band", "bands")
+    groups = sets.withColumn("n", F.length("grams") / 8).join(by_region.unionByName(by_bucket), "node")
+    dealt = groups.select("g", "band", "node", "n").groupBy("g", "band").agg(
         F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_grams)).cast("long").alias("parts"))
     dealt = checkpointed(dealt)
-    if dealt.count() <= BROADCAST_REGIONS:
+    if dealt.count() <= BROADCAST_GROUPS:
         dealt = F.broadcast(dealt)
-    placed = in_region.join(dealt, "region").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")))
+    placed = groups.join(dealt, ["g", "band"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    placed = placed.select("region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n_copies", "grams")
+    placed = placed.select("g", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n_copies", "grams", "bands")
 
     def cross(key: tuple, table: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
+        band, i, j = (k.as_py() for k in key[1:])
         own, node, copies = (table.column(c).to_numpy() for c in ("own", "node", "n_copies"))
         grams_ = [_set(g) for g in table.column("grams").to_pylist()]
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
@@ -259,6 +277,10 @@ def near_duplicates(
             near = compare([grams_[k] for k in left], [grams_[k] for k in right], threshold)
             if i == j:
                 np.fill_diagonal(near, False)
+            if band > 0:  # pairs that share an earlier band are compared there
+                hashes = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+                for earlier in range(band):
+                    near &= hashes[left, earlier][:, None] != hashes[right, earlier][None, :]
             texts[left], links[left] = near.sum(1), near @ copies[right]
             if i != j:
                 texts[right], links[right] = near.sum(0), near.T @ copies[left]
@@ -272,7 +294,7 @@ def near_duplicates(
                     break
         return pa.table({"node": node, "texts": texts, "links": links, "root": root})
 
-    blocks = checkpointed(placed.groupBy("region", "i", "j").applyInArrow(cross, "node bigint, texts bigint, links bigint, root bigint"))
+    blocks = checkpointed(placed.groupBy("g", "band", "i", "j").applyInArrow(cross, "node bigint, texts bigint, links bigint, root bigint"))
     counted = blocks.select("node", "texts", "links").unionByName(
         single.select(F.col("a").alias("node"), F.lit(1).cast("long").alias("texts"), F.col("copies_b").alias("links"))
     ).unionByName(single.select(F.col("b").alias("node"), F.lit(1).cast("long").alias("texts"), F.col("copies_a").alias("links")))

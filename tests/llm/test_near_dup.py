@@ -58,6 +58,40 @@ def test_against_all_pairs(spark, small, block):
     assert sorted((tuple(x) for x in got.collect()), key=repr) == brute(rows)
 
 
+@pytest.mark.parametrize("small,block", [(4, 16)])
+def test_a_chain_goes_bucket_by_bucket(spark, monkeypatch, small, block):
+    """Texts that each share most with their neighbours in a long row: one region, of which few pairs are candidates."""
+    seen = []
+    real = near_dup.region_kinds
+    monkeypatch.setattr(near_dup, "region_kinds", lambda *x: seen.append(real(*x)) or seen[-1])
+    w = [f"v{k}" for k in range(500)]
+    rows = [(k, " ".join(w[2 * k : 2 * k + 60]), "en", "s1", 0, None) for k in range(120)]
+    got = near_dup.near_duplicates(docs(spark, rows), small=small, block=block)
+    assert sorted((tuple(x) for x in got.collect()), key=repr) == brute(rows)
+    kinds = seen[0].collect()
+    large = max((sum(r["region"] == g for r in kinds), g) for g in {r["region"] for r in kinds})
+    assert large[0] >= 40 and not any(r["whole"] for r in kinds if r["region"] == large[1])
+
+
+def test_recall_on_pairs_at_the_threshold(spark):
+    """Pairs of similarity 0.8 to 0.85: at least 0.99 of them are found."""
+    r, rows = random.Random(8), []
+    for k in range(300):
+        base = [f"d{k}w{i}" for i in range(110)]
+        other = list(base)
+        at = r.randrange(10, 90)
+        other[at : at + 5] = [f"x{k}{i}" for i in range(5)]
+        rows += [(2 * k, " ".join(base), "en", "s", 0, None), (2 * k + 1, " ".join(other), "en", "s", 0, None)]
+    a, b = grams(rows[0][1]), grams(rows[1][1])
+    assert 0.8 <= len(a & b) / len(a | b) <= 0.85
+    assert near_dup.near_duplicates(docs(spark, rows)).filter("n_links = 1").count() >= 0.99 * len(rows)
+
+
+def test_ids_of_other_types_are_an_error(spark):
+    with pytest.raises(TypeError, match="doc_id"):
+        near_dup.near_duplicates(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_empty_table(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
