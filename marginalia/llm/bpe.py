@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from marginalia.llm.base import row_schema, sliced, strung, units_of, with_columns
+from marginalia.llm.base import cleared, row_schema, sliced, strung, units_of, with_columns
 
 #: White space as Unicode has it; fixed values.
 _ODD_SPACE = "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -220,8 +220,9 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
 
     With bytes_col, a new name, the ids are decoded again in the same pass, as decode does. path is a
     file every executor can open, such as one of an installed package. Special tokens are never
-    produced. All rows and columns stay; ids_col must be a new name.
+    produced. All rows and columns stay, but columns called ids_col or bytes_col, which give way.
     """
+    docs, _ = cleared(docs, [ids_col, *([bytes_col] if bytes_col else [])], (text_col,))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(path, pattern)
@@ -235,7 +236,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
 
 
 def decode(docs: DataFrame, path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
-    """docs with the bytes of the token ids; empty for a null or empty list. bytes_col must be a new name."""
+    """docs with the bytes of the token ids; empty for a null or empty list. A column called bytes_col gives way."""
+    docs, _ = cleared(docs, (bytes_col,), (ids_col,))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(path, pattern)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.base import checkpointed, row_schema, with_columns
+from marginalia.llm.base import checkpointed, cleared, row_schema, with_columns
 
 #: States of the automaton: nothing yet, and after a turn of each role. Fixed values.
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -146,17 +146,18 @@ def _runs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tup
 def format_chats(
     turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", open_: str = "<|{role}|>\n", close: str = "<|end|>\n"
 ) -> DataFrame:
-    """turns with new_role, action, n_inserted, cost (the turn's share) and rendered.
+    """turns with new_role, action, n_inserted, cost (the turn's share), place (from 1 in its conversation) and rendered.
 
-    The rendered pieces of a conversation, put together by turn, are the repaired chat: every turn is
+    The rendered pieces of a conversation, put together by place, are the repaired chat: every turn is
     open_, its text, close; a merged turn follows the one before after a newline. An empty turn has an
     empty text. Turns are ordered by turn number, then role, then text, nulls first; rows that repeat
     are turns each. A null or unknown role must be relabelled; a null text is empty; turns with a null
-    conversation are one conversation. An empty table stays empty. Names may not begin with ch_.
+    conversation are one conversation. An empty table stays empty. Columns of the new names give way.
 
     Of the choices with the least total cost the one is taken whose last states come first in the order
     nothing, system, user, assistant, and of equal actions the first in the order of choices.
     """
+    turns, back = cleared(turns, ("new_role", "action", "n_inserted", "cost", "place", "rendered"), (conv_col, turn_col, role_col, text_col), "ch_")
     spark = turns.sparkSession
     keys = {"ch_conv": F.coalesce(F.concat(F.lit("="), F.col(conv_col).cast("string")), F.lit(""))}
     order = ["ch_conv", turn_col, role_col, text_col]
@@ -170,24 +171,25 @@ def format_chats(
             row = key, pieces[0].column("ch_part")[0].as_py(), roles
             first, last = first or row, row
         for key, part, roles in ([first] if first is last else [first, last]) if first else []:
-            yield pa.RecordBatch.from_pydict({"conv": [key], "part": [part], "costs": [matrix(roles).ravel().tolist()]})
+            yield pa.RecordBatch.from_pydict({"conv": [key], "part": [part], "costs": [matrix(roles).ravel().tolist()], "n": [len(roles)]})
 
-    met: dict[str, list[tuple[int, np.ndarray]]] = {}
-    for row in placed.select("ch_conv", "ch_part", role_col).mapInArrow(borders, "conv string, part bigint, costs array<double>").collect():
-        met.setdefault(row["conv"], []).append((row["part"], np.array(row["costs"]).reshape(4, 4)))
-    fixed: dict[tuple[str, int], tuple[int, int | None, int]] = {}
+    met: dict[str, list[tuple[int, np.ndarray, int]]] = {}
+    for row in placed.select("ch_conv", "ch_part", role_col).mapInArrow(borders, "conv string, part bigint, costs array<double>, n bigint").collect():
+        met.setdefault(row["conv"], []).append((row["part"], np.array(row["costs"]).reshape(4, 4), row["n"]))
+    fixed: dict[tuple[str, int], tuple[int, int | None, int, int]] = {}
     for conv, parts in met.items():
         if len(parts) > 1:
             parts.sort(key=lambda p: p[0])
             cost, came = np.where(np.arange(4) == START, 0.0, np.inf), []
-            for _, m in parts:
+            for _, m, _ in parts:
                 both = cost[:, None] + m
                 came.append(both.argmin(0))
                 cost = both.min(0)
             end = min(range(4), key=lambda s: (cost[s] + _ending(s)[0], s))
-            state, last = end, True
-            for (part, _), by in zip(reversed(parts), reversed(came), strict=True):
-                fixed[conv, part] = int(by[state]), None if last else int(state), int(end)
+            state, last, before = end, True, sum(n for _, _, n in parts)
+            for (part, _, n), by in zip(reversed(parts), reversed(came), strict=True):
+                before -= n
+                fixed[conv, part] = int(by[state]), None if last else int(state), int(end), before
                 state, last = int(by[state]), False
     sent = spark.sparkContext.broadcast(fixed)
 
@@ -197,7 +199,7 @@ def format_chats(
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, pieces in _runs(batches, []):
             roles = [r for p in pieces for r in p.column(role_col).to_pylist()]
-            start, end, goal = sent.value.get((key, pieces[0].column("ch_part")[0].as_py()), (START, None, None))
+            start, end, goal, before = sent.value.get((key, pieces[0].column("ch_part")[0].as_py()), (START, None, None, 0))
             if end is None and goal is not None:
                 _, steps, _ = repair(roles, start, goal)
                 tail = _ending(goal)[1]
@@ -222,6 +224,6 @@ def format_chats(
                     news.append(ROLES[r])
                     gaps.append(len(gap) + (len(tail) if last else 0))
                     costs.append(sum(COSTS[a] for a in action.split("+") if a != "insert") + COSTS["insert"] * gaps[-1])
-                yield with_columns(p, ("ch_conv", "ch_part"), new_role=pa.array(news), action=pa.array(actions), n_inserted=pa.array(gaps, pa.int32()), cost=pa.array(costs, pa.int32()), rendered=pa.array(rendered))
+                yield with_columns(p, ("ch_conv", "ch_part"), new_role=pa.array(news), action=pa.array(actions), n_inserted=pa.array(gaps, pa.int32()), cost=pa.array(costs, pa.int32()), place=pa.array(range(before + at - len(costs) + 1, before + at + 1), pa.int64()), rendered=pa.array(rendered))
 
-    return placed.mapInArrow(render, row_schema(turns, "new_role string, action string, n_inserted int, cost int, rendered string"))
+    return back(placed.mapInArrow(render, row_schema(turns, "new_role string, action string, n_inserted int, cost int, place bigint, rendered string")))

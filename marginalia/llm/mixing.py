@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.base import checkpointed, n_words
+from marginalia.llm.base import checkpointed, cleared, n_words
 
 #: A table of sources is broadcast up to this many rows of some 100 bytes.
 BROADCAST_SOURCES = 100_000
@@ -135,8 +135,9 @@ def _literal(row) -> Column:
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", **how) -> DataFrame:
     """docs with mix_size, mix_source_size, mix_target and mix_copies (how often the mix takes the document).
 
-    docs must not hold columns of these names or names that begin with q_ . See plan_mix for the rest.
+    Columns of docs with these names give way; the others stay. See plan_mix for the rest.
     """
+    docs, back = cleared(docs, ("mix_size", "mix_source_size", "mix_target", "mix_copies"), (id_col, text_col, source_col), "q_")
     plan = plan_mix(docs, id_col, text_col, source_col, seed=seed, **how)
     if plan.count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
@@ -147,5 +148,5 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cut = F.col("q_cut")
     reached = F.struct(F.col("q_key"), F.col("mix_size").alias("q_n")) <= F.struct(cut["q_key"].alias("q_key"), cut["q_n"].alias("q_n"))
     copies = F.coalesce(cut["q_pass"] + reached.cast("int"), F.lit(0))
-    return x.withColumns({"mix_copies": copies, "mix_source_size": F.col("q_size"), "mix_target": F.col("q_target")}).drop(
-        "q_null", "q_source", "q_key", "q_size", "q_target", "q_cut")
+    x = x.withColumns({"mix_copies": copies, "mix_source_size": F.col("q_size"), "mix_target": F.col("q_target")})
+    return back(x.drop("q_null", "q_source", "q_key", "q_size", "q_target", "q_cut"))

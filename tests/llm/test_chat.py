@@ -79,18 +79,27 @@ def test_long_conversations_across_partitions(spark):
     for conv, own in groups.items():
         own.sort(key=lambda x: (none(x["turn"]), none(x["role"]), none(x["text"])))
         source = sorted(sources[conv], key=lambda x: (none(x[1]), none(x[2]), none(x[3])))
+        assert sorted(x["place"] for x in own) == list(range(1, len(own) + 1))
+        own.sort(key=lambda x: x["place"])
+        assert [(none(x["turn"]), none(x["role"]), none(x["text"])) for x in own] == [(none(x[1]), none(x[2]), none(x[3])) for x in source]
         assert sum(x["cost"] for x in own) == chat.repair([x[2] for x in source])[0]
         turns = rebuilt("".join(x["rendered"] for x in own))
         assert legal([role for role, _ in turns])
         said = "".join(t.replace("\n", "") for _, t in turns)
         assert said == "".join(x[3] or "" for x in source)
     assert chat.format_chats(chats(spark, rows).limit(0)).count() == 0
+    clash = chat.format_chats(chats(spark, rows[-3:]).selectExpr("*", "'mine' AS Action", "7 AS ch_part"))
+    assert "Action" not in clash.columns and {(x["action"], x["ch_part"]) for x in clash.collect()} <= {(a, 7) for a in ("keep", "merge", "insert", "relabel", "relabel+merge", "relabel+insert")}
 
 
 def test_query(spark, sf_dir):
     got = queries.op4_chat_format(spark, sf_dir)
     assert got.count() == spark.read.parquet(f"{sf_dir}/conversations.parquet").count()
-    groups = defaultdict(list)
+    groups, sources = defaultdict(list), defaultdict(list)
     for x in got.collect():
-        groups[x["conv_id"]].append((x["turn"], x["rendered"]))
-    assert all(legal([r for r, _ in rebuilt("".join(t for _, t in sorted(own)))]) for own in groups.values())
+        groups[x["conv_id"]].append((x["place"], x["rendered"], x["cost"]))
+    for x in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect():
+        sources[x["conv_id"]].append((x["turn"], x["role"]))
+    assert all(legal([r for r, _ in rebuilt("".join(t for _, t, _ in sorted(own)))]) for own in groups.values())
+    short = {c: [r for _, r in sorted(own)] for c, own in sources.items() if len(own) <= 4}
+    assert short and all(sum(x for _, _, x in groups[c]) == least_cost(roles) for c, roles in short.items())  # by trying everything

@@ -52,6 +52,8 @@ def test_awkward_rows(spark):
     for r in got.collect():
         assert r["mix_size"] == size(r["text"])
     assert mixing.mix_sources(spark.createDataFrame([], SCHEMA)).count() == 0
+    clash = mixing.mix_sources(docs(spark).selectExpr("*", "-1 AS Mix_Size", "'q' AS q_cut"))
+    assert {r["q_cut"] for r in clash.collect()} == {"q"} and all(r["mix_size"] == size(r["text"]) for r in clash.collect())
     only = docs(spark, [(1, None, "en", None, 0, None), (2, " ", "en", "a", 0, None)])
     assert {(r["mix_size"], r["mix_target"]) for r in mixing.mix_sources(only).collect()} == {(0, 0.0)}
 

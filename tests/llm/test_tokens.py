@@ -36,6 +36,8 @@ def test_bpe_against_tiktoken(spark, reference):
         assert r["ids"] == reference.encode_ordinary(r["text"] or "")
         assert bytes(r["decoded"]) == bytes(r["again"]) == (r["text"] or "").encode()
     assert bpe.encode(spark.createDataFrame([], SCHEMA), PATH, P.PATTERN).count() == 0
+    clash = bpe.encode(docs(spark, rows[:4]).selectExpr("*", "'mine' AS Ids"), PATH, P.PATTERN)
+    assert clash.columns[-1] == "ids" and all(r["ids"] == reference.encode_ordinary(r["text"] or "") for r in clash.collect())
 
 
 def test_bpe_forgets_without_harm(reference, monkeypatch):
