@@ -7,7 +7,7 @@ source whose target exceeds its size is served again from the start, up to max_r
 
 Cumulative sums over a source of any size: hash buckets of the source are summed first (map-side
 combined), their offsets are a window over at most n_buckets rows a source, and only the rows of one
-bucket are sorted in one task. The truncation point is found by range refinement of the virtual-time
+bucket are sorted in one task; buckets grow in number with the rows. The truncation point is found by range refinement of the virtual-time
 axis; the driver sees histograms of at most a few thousand rows. Because each source is served in the
 order of its queue, the outcome is one cut a source, so that texts are never shuffled: they meet the
 cuts in a join that is broadcast only after the number of sources has been checked.
@@ -15,6 +15,7 @@ cuts in a join that is broadcast only after the number of sources has been check
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,11 +26,18 @@ from marginalia.llm.base import checkpointed, cleared, n_words
 #: A table of sources is broadcast up to this many rows of some 100 bytes.
 BROADCAST_SOURCES = 100_000
 
+#: Rows of all sources for one of a source's hash buckets; there are 4096 buckets a source at least.
+ROWS_A_BUCKET = 16_384
+
 
 def _key(id_col: str, seed: str) -> Column:
     return F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
 
 
+def _size(text_col: str, size_col: str | None) -> Column:
+    return F.coalesce(F.col(size_col), F.lit(0)).cast("long") if size_col else n_words(F.col(text_col))
+
+
 def plan_mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -39,6 +47,7 @@ def plan_mix(
     budget: float = 1.5,
     max_repeat: int = 2,
     seed: str = "mix",
+    size_col: str | None = None,
 ) -> DataFrame:
     """One row a source: q_source, q_size, q_target, and the cut up to which its queue is served.
 
@@ -46,15 +55,18 @@ def plan_mix(
     all sizes; a target stops at max_repeat times its source's size and the excess is shared by
     weight among the rest. An empty table gives no rows. Texts without words have size 0 and take
     nothing. Repeated rows count each; rows equal in id, source and size are interchangeable.
+    With size_col sizes are read from that column (null: 0) and texts are not looked at.
     """
     none = F.col(source_col).isNull()
     slim = docs.select(
         none.cast("int").alias("q_null"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("q_source"),
-        n_words(F.col(text_col)).alias("q_n"),
+        _size(text_col, size_col).alias("q_n"),
         _key(id_col, seed).alias("q_key"),
     )
-    slim = checkpointed(slim.withColumn("q_bucket", F.substring("q_key", 1, 3)))
+    slim = checkpointed(slim)
+    digits = max(3, math.ceil(math.log(max(1, slim.count() / ROWS_A_BUCKET), 16)))
+    slim = slim.withColumn("q_bucket", F.substring("q_key", 1, digits))
     src, bucket = ["q_null", "q_source"], ["q_null", "q_source", "q_bucket"]
     sums = slim.groupBy(*bucket).agg(F.sum("q_n").alias("q_sum"))
     before = Window.partitionBy(*src).orderBy("q_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -132,21 +144,21 @@ def _literal(row) -> Column:
     )
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", **how) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", size_col: str | None = None, **how) -> DataFrame:
     """docs with mix_size, mix_source_size, mix_target and mix_copies (how often the mix takes the document).
 
     Columns of docs with these names give way; the others stay. See plan_mix for the rest.
     """
-    docs, back = cleared(docs, ("mix_size", "mix_source_size", "mix_target", "mix_copies"), (id_col, text_col, source_col), "q_")
-    plan = plan_mix(docs, id_col, text_col, source_col, seed=seed, **how)
+    docs, back = cleared(docs, ("mix_size", "mix_source_size", "mix_target", "mix_copies"), (id_col, size_col or text_col, source_col), "q_")
+    plan = plan_mix(docs, id_col, text_col, source_col, seed=seed, size_col=size_col, **how)
     if plan.count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
     x = docs.withColumns({
-        "q_null": F.col(source_col).isNull().cast("int"), "q_source": F.coalesce(F.col(source_col).cast("string"), F.lit("")),
-        "mix_size": n_words(F.col(text_col)), "q_key": _key(id_col, seed),
+        "q_null": F.col(source_col).isNull().cast("int"), "q_source": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "q_key": _key(id_col, seed),
     }).join(plan, ["q_null", "q_source"], "left")
-    cut = F.col("q_cut")
-    reached = F.struct(F.col("q_key"), F.col("mix_size").alias("q_n")) <= F.struct(cut["q_key"].alias("q_key"), cut["q_n"].alias("q_n"))
+    cut, size = F.col("q_cut"), _size(text_col, size_col)
+    # the size decides between rows of one id alone, so that most texts need not be looked at again
+    reached = (F.col("q_key") < cut["q_key"]) | ((F.col("q_key") == cut["q_key"]) & (size <= cut["q_n"]))
     copies = F.coalesce(cut["q_pass"] + reached.cast("int"), F.lit(0))
-    x = x.withColumns({"mix_copies": copies, "mix_source_size": F.col("q_size"), "mix_target": F.col("q_target")})
+    x = x.withColumns({"mix_size": size, "mix_copies": copies, "mix_source_size": F.col("q_size"), "mix_target": F.col("q_target")})
     return back(x.drop("q_null", "q_source", "q_key", "q_size", "q_target", "q_cut"))

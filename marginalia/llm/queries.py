@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import bpe, chat, html_text, line_dedup, mixing, near_dup, packed, quality, secrets, topk
-from marginalia.llm.base import checkpointed, scratch
+from marginalia.llm.base import checkpointed, n_words, scratch
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,7 +21,8 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = mixing.mix_sources(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    counted = checkpointed(_read(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size")))
+    x = mixing.mix_sources(counted, size_col="size")
     return x.select(
         "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"),
         (F.col("mix_size") * F.col("mix_copies")).alias("taken"),

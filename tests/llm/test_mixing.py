@@ -58,5 +58,15 @@ def test_awkward_rows(spark):
     assert {(r["mix_size"], r["mix_target"]) for r in mixing.mix_sources(only).collect()} == {(0, 0.0)}
 
 
+def test_sizes_of_a_column_and_finer_buckets(spark, monkeypatch):
+    rows = [(k, "w " * (1 + k * 7 % 40), None, f"s{k % 3}", 0, None) for k in range(2000)]
+    taken = lambda x: {(r["doc_id"], r["mix_size"], r["mix_copies"], r["mix_target"]) for r in x.collect()}
+    want = taken(mixing.mix_sources(docs(spark, rows)))
+    counted = docs(spark, rows).selectExpr("doc_id", "source", "CASE WHEN doc_id >= 0 THEN 1 + doc_id * 7 % 40 END AS size")
+    assert taken(mixing.mix_sources(counted, size_col="size")) == want
+    monkeypatch.setattr(mixing, "ROWS_A_BUCKET", 1 / 64)
+    assert taken(mixing.mix_sources(docs(spark, rows))) == want
+
+
 def test_query_against_sql(spark, sf_dir):
     same_rows(queries.op2_mixing(spark, sf_dir), oracles.oracle_sql()["op2_mixing"], sf_dir)
