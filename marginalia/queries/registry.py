@@ -95,3 +95,9 @@ def sanitize_sql(x: str) -> str:
     t = rf"regexp_replace({x}, '[\x00-\x08\x0b\x0c\x0e-\x1f\x{{FFFD}}]', ' ', 'g')"
     t = rf"regexp_replace(regexp_replace({t}, '\r\n?', chr(10), 'g'), '[\x{{200b}}\x{{200c}}\x{{200d}}\x{{feff}}]', '', 'g')"
     return strip_sql(rf"regexp_replace(regexp_replace({t}, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+def clean_page_sql(x: str) -> str:
+    t = rf"regexp_replace(regexp_replace({x}, '(?m)^\s*\d+\s*$', '', 'g'), '\.{{10,}}', '', 'g')"
+    t = rf"regexp_replace({t}, '(?im)^\s*(Reprint\s*\d{{4}}-\d{{2}}|not to be republished)\s*$', '', 'g')"
+    return strip_sql(rf"regexp_replace({t}, '(?m)^\s*([A-Z][a-zA-Z\s&]+){{3,}}\s*$', '', 'g')")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as t
 from marginalia.operators import chunking, parsing
-from marginalia.queries.registry import fingerprint, query, sanitize_sql, strip_sql, words
+from marginalia.queries.registry import clean_page_sql, fingerprint, query, sanitize_sql, strip_sql, words
 
 
 def _d(tables, *columns):
@@ -29,10 +29,7 @@ def _(x):
 _NOISE = "\n 12 \nReprint 2024-25\n..........x\nThe Big Long Heading\nNot to be republished\n7"
 
 
-@query("txt2_clean_page", r"""
-SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text || '%s',
-  '(?m)^\s*\d+\s*$', '', 'g'), '\.{10,}', '', 'g'), '(?im)^\s*(Reprint\s*\d{4}-\d{2}|not to be republished)\s*$', '', 'g'),
-  '(?m)^\s*([A-Z][a-zA-Z\s&]+){3,}\s*$', '', 'g'), '^\s+|\s+$', '', 'g')) AS h FROM documents""" % _NOISE)
+@query("txt2_clean_page", f"SELECT doc_id, md5({clean_page_sql(f"text || '{_NOISE}'")}) AS h FROM documents")
 def _(x):
     return _d(x, fingerprint(t.clean_page(F.concat("text", F.lit(_NOISE)))).alias("h"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,12 +12,17 @@ from pyspark.sql import functions as F
 from marginalia.functions.text import clean_page, text
 
 PAGES = "path string, page_no int, text string, error string"
+#: What a master index says of a document.
+ENTRY = (
+    "unit_title string, block_label string, source_pdf string, store_path string, total_pages int, total_chunks int, total_words int, "
+    "graph_nodes int, graph_edges int, embedding_model string, embedding_dim int, force_ocr boolean"
+)
 
 
 def files(spark: SparkSession, root: str, pattern: str = "*.pdf") -> DataFrame:
     """path, relative_path, length of the files below root whose names fit, in any folder; the archive's own folder is left out of relative_path."""
     x = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path", "length")
-    folder = root.rstrip("/").removeprefix("file:")
+    folder = re.sub(r"\Afile:/+", "/", root).rstrip("/")
     below = F.regexp_replace("path", r"\A.*?\Q" + folder + r"\E/?", "")
     parts = F.filter(F.split(below, "/"), lambda p: (F.lower(p) != "egyankosh") & (p != ""))
     return x.withColumn("relative_path", F.array_join(parts, "/"))
@@ -50,9 +56,11 @@ def full_texts(page_rows: DataFrame, sep: str = "\n\n") -> DataFrame:
     return page_rows.filter("error IS NULL").groupBy("path").agg(F.count("*").alias("total_pages"), F.array_join(F.transform(rows, lambda r: r["text"]), sep).alias("full_text"))
 
 
-def master_index(spark: SparkSession, path: str) -> DataFrame:
-    """A row a document of a master index file (a map from id to metadata)."""
-    x = spark.read.text(path, wholetext=True).select(F.from_json("value", "documents map<string, struct<unit_title:string,block_label:string,source_pdf:string,store_path:string,total_pages:int,total_chunks:int,total_words:int,graph_nodes:int,graph_edges:int,embedding_model:string,embedding_dim:int,force_ocr:boolean>>").alias("m"))
+def master_index(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A row a document of a master index: one file with a map from id to metadata, or with lines a JSON object a line, for indexes of any size."""
+    if lines:
+        return spark.read.schema(f"document_id string, {ENTRY}").json(path)
+    x = spark.read.text(path, wholetext=True).select(F.from_json("value", f"documents map<string, struct<{ENTRY}>>").alias("m"))
     return x.select(F.explode("m.documents").alias("document_id", "d")).select("document_id", "d.*")
 
 

@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.operators.store import last_wins
+from marginalia.sources.shared import exists
+
+
+def create(spark: SparkSession, path: str, schema: str) -> None:
+    """An empty table of the columns that schema names, unless there is a table."""
+    if not exists(spark, path):
+        spark.createDataFrame([], schema).write.parquet(path)
 
 
 def replace_documents(df: DataFrame, path: str, by: str = "document_id") -> None:
@@ -18,8 +25,7 @@ def replace_documents(df: DataFrame, path: str, by: str = "document_id") -> None
 def append_new(df: DataFrame, path: str, keys: tuple[str, ...]) -> None:
     """Appends the rows whose keys are not there, so that a second run adds nothing; null is a key like others."""
     spark = df.sparkSession
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+    if exists(spark, path):
         held = spark.read.parquet(path).select(*[F.col(k).alias(f"held_{n}") for n, k in enumerate(keys)]).distinct()
         df = df.join(held, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"held_{n}")) for n, k in enumerate(keys)]), "left_anti")
     df.dropDuplicates(list(keys)).write.mode("append").parquet(path)
