@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.sources.shared import remove, scratch, shared_dir  # noqa: F401
+
 #: A word is a longest run of characters other than these (space, tab to carriage return).
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,34 +38,6 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder; what is there when the driver ends is removed."""
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    atexit.register(remove, spark, path)
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # the session may have ended before
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: what the cluster names in spark.checkpoint.dir.
-
-    A temporary folder stands in for it only where driver and executors are one process; elsewhere the
-    lack of the setting is an error.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if named:
-        return named
-    if sc.master != "local" and not sc.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return tempfile.mkdtemp(prefix="marginalia-")
-
-
 def cleared(df: DataFrame, new: Iterable[str], used: Iterable[str], prefix: str = "") -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """df with nothing in the way of an operator's columns, and what gives its own columns their names back.
 
