@@ -6,6 +6,7 @@ that only a newline ends a line.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -91,10 +92,14 @@ def clean_page(x: ColumnOrName) -> Column:
     return strip(F.regexp_replace(t, HEADLINE, ""))
 
 
+#: Characters of a page whose font was read rightly: printable ASCII, white space, Devanagari.
+SOUND = r"[\x20-\x7E\s\u0900-\u097F]"
+
+
 def odd_share(x: ColumnOrName) -> Column:
     """Share of characters outside printable ASCII, white space and Devanagari; null for the empty text."""
     t = text(x)
-    odd = F.length(F.regexp_replace(t, r"(?U)[\x20-\x7E\s\u0900-\u097F]", ""))
+    odd = F.length(F.regexp_replace(t, "(?U)" + SOUND, ""))
     return odd / F.nullif(F.length(t), F.lit(0))
 
 
@@ -103,6 +108,11 @@ def is_garbage(x: ColumnOrName, threshold: float = 0.10, least: int = 50) -> Col
     return (F.length(text(x)) < least) | F.coalesce(odd_share(x) > threshold, F.lit(True))
 
 
+def garbage(t: str, threshold: float = 0.10, least: int = 50) -> bool:
+    """What is_garbage says, of a text that is no column."""
+    return len(t) < least or len(re.sub(SOUND, "", t)) / len(t) > threshold
+
+
 # Languages -------------------------------------------------------------------------------------
 
 _DEVANAGARI, _LATIN = "[\\u0900-\\u097F]", "[A-Za-z]"

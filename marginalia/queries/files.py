@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.text import word_count
 from marginalia.operators import store
-from marginalia.queries.registry import Tables, clean_page_sql, fingerprint, query, words
+from marginalia.queries.registry import Tables, clean_page_sql, fingerprint, query, strip_sql, words
 from marginalia.sources import readers, writers
 from marginalia.sources.shared import scratch
 
@@ -29,8 +29,8 @@ def _archive(x: Tables) -> str:
     return path
 
 
-def _pages(x: Tables) -> DataFrame:
-    return readers.pages(x.spark, _archive(x), lambda data: data.decode().split("\f"), "*.txt")
+def _pages(x: Tables, **how) -> DataFrame:
+    return readers.pages(x.spark, _archive(x), lambda data: data.decode().split("\f")[:-1], "*.txt", **how)
 
 
 def _folder(path: str):
@@ -51,6 +51,22 @@ def _(x):
     return _pages(x).select(_folder("path"), "page_no", fingerprint(F.col("text")).alias("h"))
 
 
+_STRIPPED = strip_sql("text")
+
+
+@query("src3_recognised_pages", rf"""
+SELECT folder, row_number() OVER (PARTITION BY folder ORDER BY doc_id)::INTEGER AS page_no, CASE WHEN bad THEN said ELSE md5(t) END AS h FROM (
+  SELECT *, 'page ' || (row_number() OVER (PARTITION BY folder ORDER BY doc_id) - 1) || ' again' AS said FROM (
+    SELECT c.*, length({_STRIPPED}) < 50 OR length(regexp_replace({_STRIPPED}, '[\x20-\x7E\s\x{{0900}}-\x{{097F}}]', '', 'g'))::DOUBLE / length({_STRIPPED}) > 0.1 AS bad
+    FROM ({_CLEAN}) c JOIN documents USING (doc_id)))
+WHERE bad OR t <> ''""")
+def _(x):
+    """Pages of garbage are read by other means, here by saying their place in the file."""
+    y = _pages(x, recognise=lambda data, place: f"page {place} again")
+    said = F.col("text").rlike(r"\Apage \d+ again\z")
+    return y.select(_folder("path"), "page_no", F.when(said, F.col("text")).otherwise(fingerprint(F.col("text"))).alias("h"))
+
+
 _FULL = f"SELECT folder, count(*) AS total_pages, md5(string_agg(t, chr(10) || chr(10) ORDER BY doc_id)) AS h FROM ({_CLEAN}) WHERE t <> '' GROUP BY folder"
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import clean_page, text
+from marginalia.functions.text import clean_page, garbage, text
 
 PAGES = "path string, page_no int, text string, error string"
 #: What a master index says of a document.
@@ -28,17 +28,29 @@ def files(spark: SparkSession, root: str, pattern: str = "*.pdf") -> DataFrame:
     return x.withColumn("relative_path", F.array_join(parts, "/"))
 
 
-def pages(spark: SparkSession, root: str, reader: Callable[[bytes], list[str]], pattern: str = "*.pdf") -> DataFrame:
+def pages(
+    spark: SparkSession, root: str, reader: Callable[[bytes], list[str]], pattern: str = "*.pdf", recognise: Callable[[bytes, int], str] | None = None, force: bool = False
+) -> DataFrame:
     """PAGES of each file, by a reader from bytes to pages; a file that fails gives one row with the error.
 
-    Pages are cleaned, and those that become empty are left out; page_no counts those that stay.
+    recognise, from bytes and a page's place in the file (from 0) to its text, is asked for the pages that
+    are garbage as the reader has them, or for all with force; a page on which it fails is empty. Pages are
+    cleaned, and those that become empty are left out; page_no counts those that stay.
     """
 
+    def again(data: bytes, place: int, page: str) -> str:
+        if recognise is None or not (force or garbage(page.strip())):
+            return page
+        try:
+            return recognise(data, place)
+        except Exception:  # one bad page must not cost the file
+            return ""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 try:
-                    found, error = list(enumerate(reader(row["content"]))), None
+                    found, error = [(k, again(row["content"], k, t)) for k, t in enumerate(reader(row["content"]))], None
                 except Exception as e:  # one bad file must not end the run
                     found, error = [(-1, None)], f"{type(e).__name__}: {e}"
                 n = len(found)

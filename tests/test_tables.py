@@ -152,6 +152,10 @@ def test_sources_and_sinks(spark, tmp_path):
     assert {r["relative_path"] for r in readers.files(spark, root).collect()} == {"one/a.pdf", "b.pdf", "bad.pdf"}
     pages = readers.pages(spark, root, lambda b: b.decode().split("\f"))
     assert pages.filter("error IS NOT NULL").count() == 1 and {(r["page_no"], r["text"]) for r in pages.filter("error IS NULL").collect()} == {(1, "first page here"), (2, "third page")}
+    asked = lambda data, k: {0: "read again"}[k]  # noqa: E731  fails for all but the first page
+    for force in (False, True):
+        again = readers.pages(spark, root, lambda b: ["", "x " * 40, "\u0416" * 60] if b[:1] == b"f" else b.decode().split(), recognise=asked, force=force)
+        assert {(r["page_no"], r["text"]) for r in again.filter("error IS NULL").collect()} == {(1, "read again"), *([] if force else [(2, ("x " * 40).strip())])}
     assert {r["full_text"] for r in readers.full_texts(pages).collect()} == {"first page here\n\nthird page"}
     writers.raw_text(pages, str(tmp_path / "raw"))
     assert spark.read.json(str(tmp_path / "raw")).filter("total_pages = 2").count() == 2
