@@ -114,5 +114,80 @@ FROM x LEFT JOIN f ON x.lang IS NOT DISTINCT FROM f.lang AND x.source IS NOT DIS
 """
 
 
+def _nearest(book: str) -> str:
+    """Of each part of each vector, distance and index of the nearest entry of a book."""
+    return f"""SELECT n, p, min([list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, k]) AS best
+  FROM parts JOIN {book} USING (p) GROUP BY n, p"""
+
+
+def _moved(book: str, near: str) -> str:
+    """The book after a round: entries at floor(sum / count) of their parts, those without parts as before."""
+    return f"""SELECT p, k, coalesce(z, y) AS y FROM {book} LEFT JOIN (
+    SELECT p, k, list((s - (s % c + c) % c) // c ORDER BY i) AS z
+    FROM (SELECT p, best[2] AS k, i, sum(x[i])::BIGINT AS s, count(*) AS c FROM {near} JOIN parts USING (n, p), range(1, 5) t(i) GROUP BY ALL) GROUP BY p, k) USING (p, k)"""
+
+
+#: Vectors of 64 dimensions.
+_CODES = f"""
+WITH v AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS n, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT n, p, e[4 * p + 1:4 * p + 4] AS x FROM v, range(16) t(p)),
+b0 AS (SELECT p, n - 1 AS k, x AS y FROM parts WHERE n <= 64),
+n0 AS MATERIALIZED ({_nearest("b0")}), b1 AS MATERIALIZED ({_moved("b0", "n0")}),
+n1 AS MATERIALIZED ({_nearest("b1")}), b2 AS MATERIALIZED ({_moved("b1", "n1")}),
+n2 AS MATERIALIZED ({_nearest("b2")}),
+c AS (SELECT n, lower(string_agg(printf('%02x', best[2]), '' ORDER BY p)) AS code, sum(best[1])::BIGINT AS error FROM n2 GROUP BY n)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, k)) FROM b2) AS codebooks_sha256
+FROM v JOIN c USING (n)
+"""
+
+
+def _crc32(text: str) -> str:
+    """The unsigned CRC-32 of a text's UTF-8, half a byte at a time; the table follows from the polynomial."""
+    table = []
+    for x in range(16):
+        for _ in range(4):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        table.append(x)
+    half = lambda c, x: f"xor(({c}) >> 4, ({table}::BIGINT[])[(xor(({c}), ({x})) & 15) + 1])"
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, x: {half(half('c', 'x'), 'x >> 4')}), 4294967295::BIGINT)"
+
+
+_SHARDS = f"""
+WITH RECURSIVE j(doc_id, state, shard, next) AS (
+  SELECT DISTINCT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 16))::UBIGINT::HUGEINT, -1::BIGINT, 0::BIGINT FROM documents
+  UNION ALL
+  SELECT doc_id, s, next, floor((next + 1)::DOUBLE * (2147483648::DOUBLE / ((s >> 33) + 1)::DOUBLE))::BIGINT
+  FROM (SELECT *, (state * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT AS s FROM j WHERE next < 24)),
+k AS (SELECT doc_id, shard, CASE WHEN next = 24 THEN 24 ELSE shard END AS grown_shard FROM j WHERE next >= 24),
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size, {_crc32("coalesce(text, '')")} AS text_crc32 FROM documents)
+SELECT d.doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, shard::INTEGER AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY d.doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard::INTEGER AS grown_shard
+FROM d JOIN k ON d.doc_id IS NOT DISTINCT FROM k.doc_id
+"""
+
+_RUNS = f"""
+WITH h AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w, {_crc32("doc_id::VARCHAR")} AS h FROM documents),
+a AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM h),
+d AS (
+  SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END]) END AS w FROM a),
+x AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM d),
+m AS (SELECT y.doc_id, y.i, z.i - y.i AS q FROM x y JOIN x z ON y.doc_id = z.doc_id AND y.word = z.word AND z.i > y.i AND 4 * (z.i - y.i) <= y.n),
+s AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM m) GROUP BY doc_id, q, g HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM s GROUP BY ALL),
+t AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS told,
+         list(struct_pack(start, length, period) ORDER BY length::DOUBLE / period DESC, start, period)[1] AS best FROM r GROUP BY doc_id),
+g AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+c AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.i) AS kept FROM x LEFT JOIN g ON x.doc_id = g.doc_id AND x.i = g.i WHERE g.i IS NULL GROUP BY x.doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.start::BIGINT AS start, best.length::BIGINT AS length, best.period::BIGINT AS period, (1000 * best.length // best.period)::BIGINT AS exponent_milli,
+       sha256(coalesce(told, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": _NEAR, "op2_mixing": _MIX, "op3_line_dedup": _LINES, "op5_quality_rules": _QUALITY, "op7_exact_top_k": _TOP}
+    return {"op1_ngram_jaccard_join": _NEAR, "op2_mixing": _MIX, "op3_line_dedup": _LINES, "op5_quality_rules": _QUALITY, "op7_exact_top_k": _TOP, "op11_vector_codes": _CODES, "op12_sharding": _SHARDS, "op13_periodic_runs": _RUNS}
