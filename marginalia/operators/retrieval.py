@@ -6,18 +6,85 @@ and other languages are removed, and drop-off is relative to the best that is le
 
 from __future__ import annotations
 
+import math
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marginalia.functions.text import contains_ci, language, word_count
+from marginalia.operators.names import cleared
 
-#: Queries that a task meets at a time.
-QUERY_BLOCK = 4096
+#: Queries that a task meets, and chunks, about.
+QUERY_BLOCK, PART_CHUNKS = 4096, 1 << 15
+#: Chunks of a document from which on it is dealt out in pieces of so many.
+SPLIT = 1 << 13
+#: Scores that a task has in hand at a time.
+CELLS = 1 << 21
+
+
+@dataclass(frozen=True)
+class Keep:
+    """What a ranking is going to keep, so that a task can leave the rest out; the ranking itself follows on what is left.
+
+    per_document: of each query and document so many of the best. The others hold for what passes that: usable
+    and preferred name columns of truth values (unusable chunks go; others than preferred ones go if there is a
+    preferred one), share keeps what lies within that share of the best, most so many of the best. unlike names
+    a column that must differ from the query's id.
+    """
+
+    per_document: int | None = None
+    share: float | None = None
+    most: int | None = None
+    usable: str | None = None
+    preferred: str | None = None
+    unlike: str | None = None
+
+    @property
+    def by_document(self) -> bool:
+        return self.per_document is not None
+
+
+def best(x: np.ndarray, k: int) -> np.ndarray:
+    """Which of a row's values are its k greatest, the first of equal ones; none that is minus infinity."""
+    if x.shape[1] <= k:
+        return x > -np.inf
+    edge = np.partition(x, x.shape[1] - k, axis=1)[:, x.shape[1] - k, None]
+    above, at = x > edge, x == edge
+    return above | (at & (np.cumsum(at, axis=1) <= k - above.sum(1, keepdims=True)) & (edge > -np.inf))
+
+
+def selected(sim: np.ndarray, keep: Keep, documents: list[tuple[int, int]], split: np.ndarray, usable: np.ndarray, preferred: np.ndarray) -> np.ndarray:
+    """Which of the scores (queries by chunks, in order of document and position) a ranking by keep may need.
+
+    documents are the stretches of one document each. Chunks of a document that other tasks have pieces of
+    (split) are kept as far as the document's best go, as their places among these are known only later.
+    """
+    stays = sim > -np.inf
+    if keep.by_document:
+        for a, b in documents:
+            if b - a > keep.per_document:
+                stays[:, a:b] = best(sim[:, a:b], keep.per_document)
+    if keep.share is None and keep.most is None:
+        return stays
+    later = stays & split
+    open_ = stays & usable & ~split
+    first = open_ & preferred
+    open_ = np.where(first.any(1, keepdims=True), first, open_)
+    x = np.where(open_, sim, -np.inf)
+    if keep.share is not None and x.shape[1]:
+        top = x.max(1, keepdims=True)
+        within = x >= np.where(top > 0, top * (1 - min(0.95, max(0.0, keep.share))) - 1e-9, top)  # the ranking decides on the border
+        x = np.where(within, x, -np.inf)
+        open_ = open_ & np.where(top > 0, within, best(x, 1))
+    if keep.most is not None:
+        open_ = best(np.where(open_, sim, -np.inf), max(1, keep.most))
+    return open_ | later
 
 
 def route(requests: DataFrame, hindi: tuple[str, ...]) -> DataFrame:
@@ -44,41 +111,91 @@ def candidates(documents: DataFrame, subject: str | None = None, chapter: str |
     return x.orderBy(order).limit(most)
 
 
-def score(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+def _dealt(chunks: DataFrame, keep: Keep | None) -> tuple[DataFrame, int]:
+    """chunks with p, the part of each, and rt_split, whether its document lies in several; and the number of parts.
+
+    Parts are counted from the rows. A document stays in one part where places within documents matter, but for
+    those of many chunks, which are dealt out in pieces.
+    """
+    spark = chunks.sparkSession
+    n = chunks.count()
+    parts = max(1, math.ceil(n / min(PART_CHUNKS, max(1024, n // (2 * spark.sparkContext.defaultParallelism)))))
+    row = [c for c in ("document_id", "pos", "chunk_id") if c in chunks.columns]
+    place = F.xxhash64(*row) if row else F.xxhash64("embedding")
+    if keep is None or not keep.by_document:
+        return chunks.withColumns({"p": F.pmod(place, F.lit(parts)).cast("int"), "rt_split": F.lit(False)}), parts
+    large = chunks.groupBy(F.col("document_id").alias("rt_document")).agg(F.ceil(F.count("*") / SPLIT).alias("rt_pieces")).filter("rt_pieces > 1")
+    if n // SPLIT <= 100_000:  # so many documents are that large at most
+        large = F.broadcast(large)
+    x = chunks.join(large, F.col("document_id").eqNullSafe(F.col("rt_document")), "left")
+    piece = F.when(F.col("rt_pieces").isNull(), F.lit(0)).otherwise(F.pmod(place, F.col("rt_pieces")))
+    x = x.withColumns({"p": F.pmod(F.xxhash64("document_id", piece), F.lit(parts)).cast("int"), "rt_split": F.col("rt_pieces").isNotNull()})
+    return x.drop("rt_document", "rt_pieces"), parts
+
+
+def score(chunks: DataFrame, queries: DataFrame, keep: Keep | None = None) -> DataFrame:
     """chunks (…, embedding) for each of queries (query_id, query): query_id and sim, the cosine to 12 digits, so that equal vectors tie.
 
-    A stated set of queries against all chunks. Queries are dealt into blocks of about QUERY_BLOCK rows and chunks
-    into parts, by hash; a part meets a block in one task as a product of matrices. So any number of
-    queries is one plan, and nothing is broadcast. Vectors are compared with those of their length; a zero
-    vector is like nothing. Null vectors and vectors with nulls take no part. What chunks carry is copied
-    to every query, so join texts to the hits that stay.
+    A stated set of queries against all chunks: without keep a row a pair, with keep those that a ranking by
+    it may need, as each task selects from its scores before it gives out a row. Queries are dealt into blocks
+    of about QUERY_BLOCK rows and chunks into parts of about PART_CHUNKS; a part meets a block in one task as
+    products of matrices. So any number of queries is one plan, and nothing is broadcast that grows with them.
+    Vectors are compared with those of their length; a zero vector is like nothing. Null vectors and vectors
+    with nulls take no part. Of queries of one id one counts, that of the largest vector. Own columns called
+    query_id or sim give way; what chunks carry is copied to every hit, so join texts to those that stay.
     """
-    carried = [c for c in chunks.columns if c != "embedding"]
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks, back = cleared(chunks, ("query_id", "sim", "p", "b"), ("embedding",), "rt_")
     sound = lambda c: F.col(c).isNotNull() & F.forall(c, lambda x: x.isNotNull())
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("query_id", F.col("query").cast("array<double>").alias("query")).filter(sound("query"))
-    left = left.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("p", every(parts))
+    left = queries.select("query_id", F.col("query").cast("array<double>").alias("query")).filter(sound("query")).groupBy("query_id").agg(F.max("query").alias("query"))
+    blocks = max(1, -(-left.count() // QUERY_BLOCK))
     right = chunks.withColumn("embedding", F.col("embedding").cast("array<double>")).filter(sound("embedding"))
-    right = right.withColumn("p", F.pmod(F.xxhash64("embedding", *[c for c in ("document_id", "pos", "chunk_id") if c in carried]), F.lit(parts)).cast("int")).withColumn("b", every(blocks))
+    right, parts = _dealt(right, keep)
+    left = left.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("p", every(parts))
+    carried = [c for c in chunks.columns if c != "embedding"]
+    order = [(c, "ascending") for c in ("document_id", "pos", "chunk_id") if c in carried]
 
     def meet(asked: pa.Table, own: pa.Table) -> pa.Table:
-        found = []
+        found = [own.select(carried).slice(0, 0).append_column("query_id", asked.column("query_id").slice(0, 0)).append_column("sim", pa.array([], pa.float64()))]
+        if order and own.num_rows:
+            own = own.take(pa.compute.sort_indices(own, order, null_placement="at_start"))
         sizes = lambda t, c: t.column(c).combine_chunks().value_lengths().to_numpy()
         matrix = lambda t, c, at, n: t.column(c).take(pa.array(at)).combine_chunks().flatten().to_numpy().reshape(-1, n)
+        length = lambda m: np.maximum(np.sqrt((m * m).sum(1)), 0) + (m == 0).all(1)
+        flag = lambda t, c: t.column(c).combine_chunks().fill_null(False).to_numpy(zero_copy_only=False) if c else np.ones(t.num_rows, bool)
         n_asked, n_own = sizes(asked, "query"), sizes(own, "embedding")
         for n in np.intersect1d(n_asked, n_own).tolist():
             i, j = np.flatnonzero(n_asked == n), np.flatnonzero(n_own == n)
             q, c = matrix(asked, "query", i, n), matrix(own, "embedding", j, n)
-            length = lambda m: np.maximum(np.sqrt((m * m).sum(1)), 0) + (m == 0).all(1)
-            sim = np.round(q @ c.T / (length(q)[:, None] * length(c)[None, :]), 12) + 0.0
-            rows = own.select(carried).take(pa.array(np.tile(j, len(i))))
-            found.append(rows.append_column("query_id", asked.column("query_id").take(pa.array(np.repeat(i, len(j))))).append_column("sim", pa.array(sim.ravel())))
-        return pa.concat_tables(found) if found else own.select(carried).slice(0, 0).append_column("query_id", asked.column("query_id").slice(0, 0)).append_column("sim", pa.array([], pa.float64()))
-
+            mine = own.take(pa.array(j))
+            carry, split = mine.select(carried), flag(mine, "rt_split")
+            usable, preferred = (flag(mine, c) for c in ((keep.usable, keep.preferred) if keep else (None, None)))
+            ends = [*np.flatnonzero(_changes(mine.column("document_id").combine_chunks())).tolist(), len(j)] if keep and keep.by_document else []
+            q_length, c_length, step = length(q), length(c), max(1, CELLS // max(1, len(j)))
+            for at in range(0, len(i), step):
+                some = slice(at, at + step)
+                sim = np.round(q[some] @ c.T / (q_length[some, None] * c_length[None, :]), 12) + 0.0
+                ids = asked.column("query_id").take(pa.array(i[some]))
+                if keep is None:
+                    row, col = np.nonzero(np.ones(sim.shape, bool))
+                else:
+                    if keep.unlike:
+                        sim[np.equal.outer(ids.to_numpy(), mine.column(keep.unlike).to_numpy())] = -np.inf
+                    row, col = np.nonzero(selected(sim, keep, list(zip(ends, ends[1:], strict=False)), split, usable, preferred))
+                found.append(carry.take(pa.array(col)).append_column("query_id", ids.take(pa.array(row))).append_column("sim", pa.array(sim[row, col])))
+        return pa.concat_tables(found)
+
+    right = right.withColumn("b", every(blocks))
     schema = T.StructType([f for f in chunks.schema.fields if f.name != "embedding"] + [queries.schema["query_id"], T.StructField("sim", T.DoubleType())])
-    return left.groupBy("b", "p").cogroup(right.groupBy("b", "p")).applyInArrow(meet, schema)
+    return back(left.groupBy("b", "p").cogroup(right.groupBy("b", "p")).applyInArrow(meet, schema))
+
+
+def _changes(column: pa.Array) -> np.ndarray:
+    """Where a sorted column has another value than before; the first is one."""
+    if not len(column):
+        return np.zeros(0, bool)
+    codes = column.dictionary_encode("encode").indices.to_numpy()
+    return np.concatenate([[True], codes[1:] != codes[:-1]])
 
 
 def per_document_top(scored: DataFrame, k: int = 5, tie: str = "pos") -> DataFrame:
@@ -125,18 +242,29 @@ def retrieve(
     """Ranked hits: chunks (document_id, pos, chunk_id, title, text, embedding; the first three are a key) for queries (query_id, query).
 
     documents, if given, restricts the search before a vector is read; if it is empty there are no hits.
-    With edges, hits get expanded_text and n_neighbors. An empty set of queries gives no rows. Texts are
-    joined to the hits that stay. The work is chunks times queries.
+    With edges, hits get expanded_text and n_neighbors. An empty set of queries gives no rows, and of queries of
+    one id one counts. Texts are joined to the hits that stay; own columns of chunks that have the name of one
+    of these give way: query_id, sim, rank, word_count, and with edges those named. The work is chunks times
+    queries, but a task gives out its best only: some k rows a query, and of documents so large that several
+    tasks have pieces of them max(10, 10 k) a piece.
     """
     from marginalia.operators.graph import expand
 
     key = ["document_id", "pos", "chunk_id"]
-    pool = chunks.join(documents.select("document_id"), "document_id", "left_semi") if documents is not None else chunks
-    slim = pool.select(*key, "embedding", word_count("text").alias("word_count"), *([language("text").alias("told")] if language_wanted else []))
-    x = per_document_top(score(slim, queries), k).filter("word_count > 5 AND word_count < 5000")
-    x = language_filter(x, language_wanted, F.col("told")) if language_wanted else x
-    x = top_k(drop_off(x, dropoff) if dropoff is not None else x, k).drop("told").join(chunks.drop("embedding"), key)
-    return expand(x, chunks.drop("embedding"), edges, max_neighbors) if edges is not None else x
+    new = ("query_id", "sim", "rank", "word_count", "expanded_text", "n_neighbors") if edges is not None else ("query_id", "sim", "rank", "word_count")
+    chunks, back = cleared(chunks, new, (*key, "title", "text", "embedding"), "rk_")
+    pool = chunks.join(documents.select("document_id").distinct(), "document_id", "left_semi") if documents is not None else chunks
+    told = language("text") if language_wanted else F.lit("unknown")
+    slim = pool.select(*key, "embedding", word_count("text").alias("word_count"), told.alias("rk_told"))
+    slim = slim.withColumns({"rk_usable": F.expr("word_count > 5 AND word_count < 5000"), "rk_fits": F.col("rk_told").isin(language_wanted or "unknown", "unknown")})
+    keep = Keep(per_document=max(10, 10 * k), share=dropoff, most=k, usable="rk_usable", preferred="rk_fits")
+    x = per_document_top(score(slim, queries, keep), k).filter("rk_usable")
+    x = language_filter(x, language_wanted, F.col("rk_told")) if language_wanted else x
+    x = top_k(drop_off(x, dropoff) if dropoff is not None else x, k).drop("rk_told", "rk_usable", "rk_fits")
+    bodies = chunks.drop("embedding").withColumnsRenamed({c: f"rk_{c}" for c in key})
+    same = [F.col(c).eqNullSafe(F.col(f"rk_{c}")) for c in key]
+    x = x.join(bodies, same).drop(*[f"rk_{c}" for c in key])
+    return back(expand(x, chunks.drop("embedding"), edges, max_neighbors) if edges is not None else x)
 
 
 def context(hits: DataFrame, column: str = "text", sep: str = "\n\n") -> DataFrame:

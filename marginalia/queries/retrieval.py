@@ -10,8 +10,8 @@ from marginalia.operators import retrieval, parsing
 from marginalia.queries.registry import CHUNKS, fingerprint, query, strip_sql, words
 
 
-def _scored(x, *more):
-    return retrieval.score(x.chunks().select("document_id", "pos", "embedding", *more), x.asked())
+def _scored(x, *more, **keep):
+    return retrieval.score(x.chunks().select("document_id", "pos", "embedding", *more), x.asked(), retrieval.Keep(**keep) if keep else None)
 
 
 def _shown(y, *more):
@@ -33,7 +33,7 @@ _TOP = "topped AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY
 
 @query("top1_per_document", f"WITH {CHUNKS}, {_TOP} SELECT query_id, document_id, pos, round(sim, 6) AS sim FROM topped")
 def _(x):
-    return _shown(retrieval.per_document_top(_scored(x), 1))
+    return _shown(retrieval.per_document_top(_scored(x, per_document=10), 1))
 
 
 _GATED = f"gated AS (SELECT *, {words('text')} AS word_count FROM topped WHERE {words('text')} > 5 AND {words('text')} < 5000)"
@@ -41,7 +41,7 @@ _GATED = f"gated AS (SELECT *, {words('text')} AS word_count FROM topped WHERE {
 
 @query("flt4_length_gate", f"WITH {CHUNKS}, {_TOP}, {_GATED} SELECT query_id, document_id, pos, round(sim, 6) AS sim, word_count FROM gated")
 def _(x):
-    return _shown(retrieval.length_gate(retrieval.per_document_top(_scored(x), 1).join(x.chunks().select("document_id", "pos", "text"), ["document_id", "pos"])), "word_count")
+    return _shown(retrieval.length_gate(retrieval.per_document_top(_scored(x, per_document=10), 1).join(x.chunks().select("document_id", "pos", "text"), ["document_id", "pos"])), "word_count")
 
 
 @query("flt5_without_glossary", f"WITH {CHUNKS} SELECT query_id, document_id, pos, round(sim, 6) AS sim FROM scored WHERE NOT contains(lower(title), 'src1')")
@@ -67,13 +67,13 @@ WITH {CHUNKS} SELECT query_id, document_id, pos, round(sim, 6) AS sim FROM score
 QUALIFY (max(sim) OVER (PARTITION BY query_id) > 0 AND (max(sim) OVER (PARTITION BY query_id) - sim) / max(sim) OVER (PARTITION BY query_id) <= 0.2)
   OR row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, document_id, pos) = 1""")
 def _(x):
-    return _shown(retrieval.drop_off(_scored(x).filter("pos <> query_id")))
+    return _shown(retrieval.drop_off(_scored(x, share=0.2, unlike="pos")))
 
 
 @query("top3_top_k", f"""
 WITH {CHUNKS} SELECT query_id, document_id, pos, round(sim, 6) AS sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, document_id, pos)::INTEGER AS rank FROM scored QUALIFY rank <= 5""")
 def _(x):
-    return _shown(retrieval.top_k(_scored(x)), "rank")
+    return _shown(retrieval.top_k(_scored(x, most=5)), "rank")
 
 
 _RANKED = f"""
@@ -82,7 +82,13 @@ near AS (SELECT * FROM gated QUALIFY (max(sim) OVER (PARTITION BY query_id) > 0
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, document_id, pos)::INTEGER AS rank FROM near QUALIFY rank <= 5)"""
 
 
-@query("ret1_retrieve", f"WITH {CHUNKS}, {_RANKED} SELECT query_id, document_id, pos, chunk_id, title, md5(text) AS h, round(sim, 6) AS sim, rank, word_count FROM ranked")
+@query("ret1_retrieve", f"WITH {CHUNKS}, {_RANKED.replace('<= 0.95', '<= 0.2')} SELECT query_id, document_id, pos, chunk_id, title, md5(text) AS h, round(sim, 6) AS sim, rank, word_count FROM ranked")
+def _(x):
+    y = retrieval.retrieve(x.chunks(), x.asked())
+    return y.select("query_id", "document_id", "pos", "chunk_id", "title", fingerprint(F.col("text")).alias("h"), F.round("sim", 6).alias("sim"), "rank", "word_count")
+
+
+@query("ret1_retrieve_wide", f"WITH {CHUNKS}, {_RANKED} SELECT query_id, document_id, pos, chunk_id, title, md5(text) AS h, round(sim, 6) AS sim, rank, word_count FROM ranked")
 def _(x):
     y = retrieval.retrieve(x.chunks(), x.asked(), dropoff=0.95)
     return y.select("query_id", "document_id", "pos", "chunk_id", "title", fingerprint(F.col("text")).alias("h"), F.round("sim", 6).alias("sim"), "rank", "word_count")
