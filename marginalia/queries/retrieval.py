@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 
 from pyspark.sql import functions as F
 
 from marginalia.functions import scoring
-from marginalia.operators import retrieval, parsing
+from marginalia.functions.text import strip
+from marginalia.operators import parsing, requests, retrieval
+from marginalia.plans import generation
 from marginalia.queries.registry import CHUNKS, fingerprint, query, strip_sql, words
 
 
@@ -251,62 +254,62 @@ def _(x):
 
 def _model(model_id, texts):
     """A stand-in for a model: its answer follows from what it is asked."""
-    if model_id == "judge":
-        return ['<think>hm</think><OUTPUT>{"1": 1, "2": %d}</OUTPUT>' % (len(t) % 4) for t in texts]
     if model_id == "broken":
         raise RuntimeError("no answer")
-    if texts and texts[0].startswith("Review"):
-        return [f"<Rating>{len(t) % 10}</Rating><Feedback>fine {model_id}</Feedback>" for t in texts]
-    return [f"<Question>{t.splitlines()[0]}?</Question><Answer>{model_id}</Answer><Question>more</Question>" for t in texts]
+    return [_answer(model_id, t) for t in texts]
+
+
+def _answer(model_id, t):
+    if model_id == "judge":
+        return '<think>hm</think><OUTPUT>{"1": 1, "2": %d}</OUTPUT>' % (len(t) % 4)
+    if t.startswith("Review"):
+        return f"<Rating>{len(t) % 10}</Rating><Feedback>fine {len(t)} {model_id}</Feedback>"
+    if t.startswith("Settle"):
+        proposal, *reviews = t.split("\n\n")[1:]
+        return f"<Question>{proposal[10:18]} by {' and '.join(reviews)}</Question><Answer>{model_id}</Answer><Question>more</Question>"
+    if t.startswith("Source:"):
+        return f"<Question>{hashlib.md5(t.encode()).hexdigest()}</Question>"
+    return f"<Question>{t.splitlines()[0]}?</Question><Answer>{model_id}</Answer><Question>more</Question>"
 
 
 @query("udf2_run_model", """
-SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'Model ''broken'' failed: no answer' ELSE source || '?' END AS question, CASE WHEN doc_id % 4 = 0 THEN 'N/A' ELSE 'm' || doc_id % 3 END AS answer,
-  CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 2 END::INTEGER AS generated_count, doc_id % 2 = 0 AS type_match FROM documents""")
+SELECT doc_id, idx::INTEGER AS idx, CASE WHEN doc_id % 4 = 0 THEN 'Model ''broken'' failed: no answer' WHEN idx = 0 THEN source || '?' ELSE 'more' END AS question,
+  CASE WHEN doc_id % 4 = 0 THEN 'N/A' WHEN idx = 0 THEN 'm' || doc_id % 3 ELSE '' END AS answer,
+  CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 2 END::INTEGER AS generated_count, doc_id % 2 = 0 AS type_match
+FROM (SELECT doc_id, source, unnest(range(CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 2 END)) AS idx FROM documents)""")
 def _(x):
-    from marginalia.plans.generation import single
-
     n = F.col("doc_id")
     asked = x.documents.select(n.alias("request_id"), F.col("source").alias("prompt"), F.when(n % 4 == 0, "broken").otherwise(F.concat(F.lit("m"), (n % 3).cast("string"))).alias("model_id"), F.lit(2).alias("num_questions"), F.when(n % 2 == 0, "Short Answer").otherwise("Long Answer").alias("qtype"))
-    return single(asked, _model).filter("idx = 0").select(F.col("request_id").alias("doc_id"), "question", "answer", "generated_count", "type_match")
+    return generation.single(asked, _model).select(F.col("request_id").alias("doc_id"), "idx", "question", "answer", "generated_count", "type_match")
 
 
 @query("udf3_judge", "SELECT doc_id, round_even((1 + 2 * (length(source) % 4)) / (1 + length(source) % 4), 2)::DOUBLE AS score FROM documents")
 def _(x):
-    from marginalia.plans.generation import judge
-
-    return judge(x.documents.select("doc_id", F.col("source").alias("p")), _model, "judge", "p", (1, 2), "score").drop("p")
+    return generation.judge(x.documents.select("doc_id", F.col("source").alias("p")), _model, "judge", "p", (1, 2), "score").drop("p")
 
 
 @query("ret5_board", """
-SELECT doc_id AS request_id, (j - 1)::INTEGER AS idx, CASE WHEN j = 1 THEN 'Settle on the final questions.?' ELSE 'more' END AS question, CASE WHEN j = 1 THEN 'chair' ELSE '' END AS answer, 2::INTEGER AS n_reviews, 'A,B' AS letters
-FROM (SELECT doc_id, unnest([1, 2]) AS j FROM documents)""")
+SELECT doc_id AS request_id, (j - 1)::INTEGER AS idx, CASE WHEN j = 1 THEN left(source || '?</Question>', 8) || ' by A: fine ' || n || ' a and B: fine ' || n || ' b' ELSE 'more' END AS question, CASE WHEN j = 1 THEN 'chair' ELSE '' END AS answer,
+  (n % 10)::INTEGER AS rating, 'A,B' AS letters
+FROM (SELECT doc_id, source, unnest([1, 2]) AS j, length('Review this proposal.' || '..' || '<Question>' || source || '?</Question><Answer>chair</Answer><Question>more</Question>') AS n FROM documents)""")
 def _(x):
-    from marginalia.plans.generation import board
-
     asked = x.documents.select(F.col("doc_id").alias("request_id"), F.col("source").alias("prompt"), F.lit("chair").alias("chairman"), F.array(F.lit("a"), F.lit("b")).alias("members"), F.lit(2).alias("num_questions"))
-    y = board(asked, _model)
-    return y.select("request_id", "idx", "question", "answer", F.size("reviews").alias("n_reviews"), F.array_join(F.transform("reviews", lambda r: r["letter"]), ",").alias("letters"))
+    y = generation.board(asked, _model)
+    return y.select("request_id", "idx", "question", "answer", F.get("reviews", F.lit(1))["rating"].alias("rating"), F.array_join(F.transform("reviews", lambda r: r["letter"]), ",").alias("letters"))
 
 
-@query("ret6_explore_chat", "SELECT conv_id, 'Source:?' AS question FROM (SELECT DISTINCT conv_id FROM conversations)")
+@query("ret6_explore_chat", """
+SELECT conv_id, md5('Source:' || chr(10) || 'a page' || chr(10) || chr(10) || string_agg(upper(left(role, 1)) || lower(role[2:]) || ': ' || text, chr(10) ORDER BY turn) || chr(10) || chr(10) || 'Assistant:') AS question
+FROM conversations GROUP BY conv_id""")
 def _(x):
-    from marginalia.functions.text import strip
-    from marginalia.operators.requests import whole_transcripts
-    from marginalia.plans.generation import chat
-
-    t = whole_transcripts(x.conversations, "conv_id", "turn").select("conv_id", "transcript", F.lit("a page").alias("chunk_text"), F.lit("m").alias("model_id"))
-    return chat(t, _model).select("conv_id", strip(F.regexp_extract("reply", "<Question>(.*?)</Question>", 1)).alias("question"))
-
-
+    t = requests.whole_transcripts(x.conversations, "conv_id", "turn").select("conv_id", "transcript", F.lit("a page").alias("chunk_text"), F.lit("m").alias("model_id"))
+    return generation.chat(t, _model).select("conv_id", strip(F.regexp_extract("reply", "<Question>(.*?)</Question>", 1)).alias("question"))
 
 
 @query("udf4_score_vector", """
 SELECT doc_id, s AS ncert, s AS dok, 1.0::DOUBLE AS language_score, CASE WHEN s < 1.5 OR 1.0 < 1.5 THEN 0.0 ELSE s END::DOUBLE AS alignment_score
 FROM (SELECT doc_id, round_even((1 + 2 * (length(source) % 4)) / (1 + length(source) % 4), 2)::DOUBLE AS s FROM documents)""")
 def _(x):
-    from marginalia.plans.generation import score
-
     rows = x.documents.select("doc_id", F.lit("123").alias("question"), F.lit("").alias("answer"), F.lit("en").alias("language"), F.col("source").alias("judge_prompt"))
-    y = score(rows, _model, {n: ("judge", (1, 2)) for n in ("ncert", "qtype", "guard", "validity", "dok")})
+    y = generation.score(rows, _model, {n: ("judge", (1, 2)) for n in ("ncert", "qtype", "guard", "validity", "dok")})
     return y.select("doc_id", "ncert", "dok", "language_score", "alignment_score")
