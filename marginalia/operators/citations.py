@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import citation_markers, first_words, is_citation_page, let, locator, squeeze, strip, strip_citations, text, word_count
-
-
-#: Different subjects asked for are broadcast up to this many; beyond, Spark chooses how subjects meet.
-BROADCAST_SUBJECTS = 4096
+from marginalia.operators.containment import containing
 
 
 def citation_pages(pages: DataFrame) -> DataFrame:
@@ -23,11 +20,22 @@ def pick(citations: DataFrame, by: tuple[str, ...], seed: str = "") -> DataFrame
 
     citations has citation_text, or text, quote or citation in its place; the first that is not empty counts.
     """
+    x = _first(citations.withColumn("original", _original(citations)), by, seed)
+    return _cleaned(x, by)
+
+
+def _original(citations: DataFrame) -> Column:
     names = [c for c in ("citation_text", "text", "quote", "citation") if c in citations.columns]
-    raw = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in names], F.lit(""))
-    x = citations.withColumn("original", strip(raw))
-    order = Window.partitionBy(*by).orderBy(F.md5(F.concat(F.lit(seed), F.col("original"))), "original")
-    x = x.withColumn("nth", F.row_number().over(order)).filter("nth = 1")
+    return strip(F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in names], F.lit("")))
+
+
+def _first(x: DataFrame, by: tuple[str, ...], seed: str) -> DataFrame:
+    """by and original, that of least hash with the seed; combined before the shuffle, so groups may be of any size."""
+    least = F.min(F.struct(F.md5(F.concat(F.lit(seed), F.col("original"))).alias("hash"), "original"))
+    return x.groupBy(*by).agg(least.alias("first")).select(*by, F.col("first.original").alias("original"))
+
+
+def _cleaned(x: DataFrame, by: tuple[str, ...]) -> DataFrame:
     cleaned = strip_citations("original")
     return x.select(*by, cleaned.alias("citation"), locator("original").alias("page"), word_count(cleaned).alias("word_count"), F.col("original").alias("citation_original"))
 
@@ -35,16 +43,15 @@ def pick(citations: DataFrame, by: tuple[str, ...], seed: str = "") -> DataFrame
 def of_documents(citations: DataFrame, documents: DataFrame, requests: DataFrame, seed: str = "") -> DataFrame:
     """One citation for each request (request_id, subject) from the documents (document_id, subject) whose subject holds its own.
 
-    citations has document_id. What is asked for otherwise does not steer the choice.
+    citations has document_id. What is asked for otherwise does not steer the choice, so it is made once a
+    subject: of a document's citations, then of those of documents of one subject, then of the subjects that
+    hold the one asked for, which an index of trigrams finds.
     """
-    said = documents.select(F.lower("subject").alias("said")).distinct()
-    asked = requests.select(F.lower("subject").alias("asked")).distinct()
-    if asked.limit(BROADCAST_SUBJECTS + 1).count() <= BROADCAST_SUBJECTS:
-        asked = F.broadcast(asked)
-    fits = said.join(asked, F.col("said").contains(F.col("asked")))  # subjects, not documents or requests
-    wanted = requests.select("request_id", F.lower("subject").alias("asked")).join(fits, "asked")
-    pairs = wanted.join(documents.select("document_id", F.lower("subject").alias("said")), "said").select("request_id", "document_id")
-    return pick(pairs.join(citations, "document_id"), ("request_id",), seed)
+    own = documents.select("document_id", F.lower("subject").alias("said"))
+    best = _first(_first(citations.withColumn("original", _original(citations)), ("document_id",), seed).join(own, "document_id"), ("said",), seed)
+    asked = requests.select("request_id", F.lower("subject").alias("asked"))
+    chosen = _first(containing(own, asked).join(best, "said"), ("asked",), seed)
+    return _cleaned(asked.join(chosen, "asked"), ("request_id",))
 
 
 def of_documents_dual(citations: DataFrame, documents: DataFrame, requests: DataFrame, seed: str = "") -> DataFrame:

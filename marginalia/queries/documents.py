@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marginalia.operators import catalog, chunking, citations, graph
+from marginalia.operators.containment import containing
 from marginalia.queries.registry import MARKED, TREE, fingerprint, query, sanitize_sql, strip_sql, words
 
 _UNITS = rf"""
@@ -334,12 +335,25 @@ def _(x):
 
 
 @query("ret3_dual_citations", rf"""
-WITH c AS (SELECT DISTINCT lang, {strip_sql('text')} AS o FROM documents),
-f AS (SELECT r.lang AS request_id, arg_min(o, md5('topic' || o)) AS a, arg_min(o, md5('theme' || o)) AS b FROM (SELECT DISTINCT lang FROM documents) r JOIN c ON c.lang = r.lang GROUP BY r.lang)
-SELECT request_id, length(a) >= 0 AS has_topic, a = b AS same FROM f""")
-def _(x):
-    cites = x.documents.select(F.col("doc_id").alias("document_id"), F.col("text").alias("citation_text"))
-    docs = x.documents.select(F.col("doc_id").alias("document_id"), F.col("lang").alias("subject"))
-    asked = x.documents.select(F.col("lang").alias("request_id"), F.col("lang").alias("subject")).distinct()
-    y = citations.of_documents_dual(cites, docs, asked)
-    return y.select("request_id", F.col("topic_citation").isNotNull().alias("has_topic"), (F.col("topic_citation") == F.col("theme_citation")).alias("same"))
+WITH c AS (SELECT DISTINCT lang || ' ' || source AS said, {strip_sql('text')} AS o FROM documents),
+r AS (SELECT DISTINCT lang AS request_id, lang AS asked FROM documents UNION SELECT DISTINCT source, right(source, 2) FROM documents UNION SELECT 'none', 'no such' UNION SELECT 'all', '')
+SELECT request_id, md5(arg_min(o, md5('topic' || o))) AS topic, md5(arg_min(o, md5('theme' || o))) AS theme FROM r JOIN c ON contains(said, asked) GROUP BY request_id""")
+def _(x):
+    """Requests ask for languages, ends of sources' names, everything and nothing."""
+    d = x.documents
+    cites = d.select(F.col("doc_id").alias("document_id"), F.col("text").alias("citation_text"))
+    docs = d.select(F.col("doc_id").alias("document_id"), F.concat_ws(" ", "lang", "source").alias("subject"))
+    asked = d.select(F.col("lang").alias("request_id"), F.col("lang").alias("subject")).union(d.select("source", F.right("source", F.lit(2)))).distinct()
+    asked = asked.union(x.spark.createDataFrame([("none", "no such"), ("all", "")], "request_id string, subject string"))
+    a, b = (citations.of_documents(cites, docs, asked, seed).select("request_id", fingerprint(F.col("citation_original")).alias(seed)) for seed in ("topic", "theme"))
+    return a.join(b, "request_id")
+
+
+@query("jn12_subjects_that_hold", """
+SELECT DISTINCT a.source || ' in ' || a.lang AS said, b.asked FROM documents a JOIN (
+  SELECT DISTINCT unnest([source, right(source, 3), lang || '', 'n ' || lang, upper(lang)]) AS asked FROM documents) b ON contains(a.source || ' in ' || a.lang, b.asked)""")
+def _(x):
+    d = x.documents
+    said = d.select(F.concat_ws(" in ", "source", "lang").alias("said"))
+    asked = d.select(F.explode(F.array("source", F.right("source", F.lit(3)), "lang", F.concat(F.lit("n "), "lang"), F.upper("lang"))).alias("asked"))
+    return containing(said, asked)

@@ -92,16 +92,6 @@ def test_numbers_do_not_depend_on_the_ranges(spark):
     assert ordering.numbered(x.limit(0), ("b", "a"), "n").count() == 0
 
 
-def test_requests_beyond_a_broadcast(spark, monkeypatch):
-    cites = spark.createDataFrame([(k, f"citation {k}") for k in range(20)], "document_id int, citation_text string")
-    docs = spark.createDataFrame([(k, f"Course {k % 4}") for k in range(20)], "document_id int, subject string")
-    asked = spark.createDataFrame([(n, f"course {n % 5}") for n in range(30)], "request_id int, subject string")
-    want = citations.of_documents(cites, docs, asked).collect()
-    assert len(want) == 24
-    monkeypatch.setattr(citations, "BROADCAST_SUBJECTS", 2)
-    assert sorted(citations.of_documents(cites, docs, asked).collect()) == sorted(want)
-
-
 def test_null_keys_are_appended_once(spark, tmp_path):
     x = spark.createDataFrame([(1, "a"), (None, "b"), (None, None)], "k int, v string")
     for _ in range(2):
