@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import bisect
+import re
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import citation_markers, first_words, is_citation_page, let, locator, squeeze, strip, strip_citations, text, word_count
+from marginalia.functions.text import citation_markers, is_citation_page, locator, strip, strip_citations, word_count
 from marginalia.operators.containment import containing
 
 
@@ -62,80 +67,77 @@ def of_documents_dual(citations: DataFrame, documents: DataFrame, requests: Data
 
 # Special extractors ----------------------------------------------------------------------------
 
-_SPEAKER = r"(?iU)(?:\A|\n+)((?:Chorus|Creon)[ \t]*|[a-zA-Z]+(?:[ \t]+[a-zA-Z]+)?[ \t]+):"
-_SPEECH_END = r"(?iU)\b(?:analysis|summary)\b|\b\d+\.\d+"
-_VERSE = r"(?iU)(?:\A|\n+)([a-zA-Z]+:[ \t]*\n+|\d+(?:\.\d+)+[ \t]*\n+[ \t]*text[ \t]*\n+(?!\d+(?:\.\d+)+))"
-_VERSE_END = r"(?iU)\bglossary\b"
-_MARK = "\x01"
-
-
-def _starts(body: Column, pattern: str) -> Column:
-    """Array of struct(at, marker): where each match begins (from 0), and its first group."""
-    marker = pattern.replace(r"(?:\A|\n+)", r"\A\n*", 1)
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,marker:string>>").alias("found"))
-
-    def found(parts: Column) -> Column:
-        step = lambda a, p: F.struct(
-            (a["at"] + F.length(p)).alias("at"), F.concat(a["found"], F.array(F.struct(a["at"].alias("at"), F.regexp_extract(p, marker, 1).alias("marker")))).alias("found"))
-        return F.slice(F.aggregate(parts, empty, step)["found"], 2, 1 << 30)
-
-    return let(F.split(F.regexp_replace(body, pattern, _MARK + "$0"), _MARK), found)
-
-
-def _take(body: Column, start: Column, end_pattern: str, skip: Column, capped_at_end: bool, most: int) -> Column:
-    """struct(text, until): the piece from start to the end mark, or its first words."""
-
-    def cut(rest: Column, at: Column, raw: Column, n: Column) -> Column:
-        capped = (n > most) if capped_at_end else (n > most) & (at == 0)
-        stop = F.when(at > 0, start + skip + at - 1).otherwise(F.length(body))
-        long = let(first_words(raw, most), lambda w: F.struct(w["text"].alias("text"), (start + w["end"]).alias("until")))
-        return F.when(capped, long).otherwise(F.struct(strip(raw).alias("text"), stop.alias("until")))
-
-    def piece(rest: Column) -> Column:
-        at = F.regexp_instr(F.substring(rest, skip + 1, F.length(rest)), F.lit(end_pattern))
-        raw = lambda a: F.when(a > 0, F.left(rest, skip + a - 1)).otherwise(rest)
-        return let(at, lambda a: let(raw(a), lambda r: let(word_count(r), lambda n: cut(rest, a, r, n))))
+# What begins and what ends a speech or a verse, and the words that one has at most.
+SPEAKER = r"(?i)(?:\A|\n+)((?:Chorus|Creon)[ \t]*|[a-zA-Z]+(?:[ \t]+[a-zA-Z]+)?[ \t]+):"
+SPEECH_END = r"(?i)\b(?:analysis|summary)\b|\b\d+\.\d+"
+VERSE = r"(?i)(?:\A|\n+)([a-zA-Z]+:[ \t]*\n+|\d+(?:\.\d+)+[ \t]*\n+[ \t]*text[ \t]*\n+(?!\d+(?:\.\d+)+))"
+VERSE_END = r"(?i)\bglossary\b"
+SECTION = r"\d+(?:\.\d+)+"
+MOST_WORDS = 210
 
-    return let(F.substring(body, start + 1, F.length(body)), piece)
+Start = tuple[int, str, int]  # where a piece may begin, its marker, and where an end mark may be first
 
 
-def _greedy(candidates: Column) -> Column:
-    """Of pieces in order of their starts those that begin at or after the end of the piece taken before."""
-    empty = F.struct(F.lit(0).alias("until"), F.filter(candidates, lambda c: F.lit(False)).alias("taken"))
-    step = lambda a, c: F.when(c["at"] >= a["until"], F.struct(c["until"].alias("until"), F.concat(a["taken"], F.array(c)).alias("taken"))).otherwise(a)
-    return F.aggregate(candidates, empty, step)["taken"]
+def covered(body: str, starts: Iterable[Start], ends: list[int], most: int, always: bool) -> Iterator[tuple[str, str]]:
+    """Marker and text of the pieces that are taken from left to right, each from a start that no piece before it covers.
 
-
-def _special(docs: DataFrame, body: Column, pieces: Column) -> DataFrame:
-    x = docs.withColumn("piece", F.explode(let(pieces, _greedy)))
-    x = x.filter("piece.good AND piece.text <> ''")
-    return x.select("block_name", F.lit("Unknown/Full Document").alias("unit_name"), "source_pdf", F.lit("Full Text").alias("pdf_page"), F.lit(1).alias("citations_count"), F.array("piece.marker").alias("matched_markers"), F.col("piece.text").alias("citation_text"))
-
-
-def dialogues(docs: DataFrame, most: int = 210) -> DataFrame:
+    A piece goes to the next end mark, or to the end of the text; where it then has more than most words, these are
+    all of it: always, or only where no mark ends it. The end marks are looked up in their sorted places and a
+    text is cut for pieces that are taken only, so the time is linear in the text, whatever its number of starts.
+    """
+    words, word, free = re.compile(rf"\s*(?:\S+\s+){{0,{most - 1}}}\S+"), re.compile(r"\S"), 0
+    for at, marker, after in starts:
+        if at < free:
+            continue
+        k = bisect.bisect_left(ends, after)
+        free = ends[k] if k < len(ends) else len(body)
+        if always or k == len(ends):
+            head = words.match(body, at, free)
+            if head and word.search(body, head.end(), free):
+                free = head.end()
+        yield marker, body[at:free].strip()
+
+
+def _pieces(docs: DataFrame, found: Callable[[str], Iterator[tuple[str, str]]]) -> DataFrame:
+    """A row for each piece that found, from a text to markers and texts, gives for a document; empty ones are left out."""
+    schema = "block_name string, source_pdf string, marker string, citation_text string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                got = [x for x in found(batch.column("full_text")[k].as_py() or "") if x[1]]
+                own = [pa.array([batch.column(c)[k].as_py()] * len(got), pa.string()) for c in ("block_name", "source_pdf")]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array([x[i] for x in got], pa.string()) for i in (0, 1))], names=["block_name", "source_pdf", "marker", "citation_text"])
+
+    x = docs.select(*[F.col(c).cast("string").alias(c) for c in ("block_name", "source_pdf", "full_text")]).mapInArrow(run, schema)
+    return x.select("block_name", F.lit("Unknown/Full Document").alias("unit_name"), "source_pdf", F.lit("Full Text").alias("pdf_page"), F.lit(1).alias("citations_count"), F.array("marker").alias("matched_markers"), "citation_text")
+
+
+def speeches(body: str, most: int = MOST_WORDS) -> Iterator[tuple[str, str]]:
+    marks = [(m.start(), m[1].strip()) for m in re.finditer(SPEAKER, body)]
+    starts = ((at, f"{who}:", at) for at, who in marks if who.lower() != "analysis")
+    return covered(body, starts, [m.start() for m in re.finditer(SPEECH_END, body)], most, always=True)
+
+
+def stanzas(body: str, most: int = MOST_WORDS) -> Iterator[tuple[str, str]]:
+    starts = []
+    for m in re.finditer(VERSE, body):
+        marker = " ".join(m[1].split())
+        starts.append((m.start(), marker, m.start(1) + len(marker)))
+    for marker, piece in covered(body, starts, [m.start() for m in re.finditer(VERSE_END, body)], most, always=False):
+        if re.match(SECTION, marker) or not re.search(SECTION, piece[:50]):
+            yield marker, piece
+
+
+def dialogues(docs: DataFrame, most: int = MOST_WORDS) -> DataFrame:
     """docs (block_name, source_pdf, full_text) to speeches: from a speaker's line to analysis, a summary, a section number or most words.
 
-    Speakers inside a speech that was taken do not begin one; a speaker called analysis never does.
+    Speakers inside a speech that was taken do not begin one; a speaker called analysis never does. Null and empty
+    texts have none.
     """
-    body = text("full_text")
-    starts = F.filter(_starts(body, _SPEAKER), lambda s: F.lower(strip(s["marker"])) != "analysis")
+    return _pieces(docs, lambda body: speeches(body, most))
 
-    def piece(s: Column) -> Column:
-        taken = _take(body, s["at"], _SPEECH_END, F.lit(0), True, most)
-        return let(taken, lambda t: F.struct(s["at"].alias("at"), F.concat(strip(s["marker"]), F.lit(":")).alias("marker"), t["text"].alias("text"), t["until"].alias("until"), F.lit(True).alias("good")))
 
-    return _special(docs, body, F.transform(starts, piece))
-
-
-def verses(docs: DataFrame, most: int = 210) -> DataFrame:
+def verses(docs: DataFrame, most: int = MOST_WORDS) -> DataFrame:
     """docs to verses: from a header to the glossary, or most words. One with a section number near its start is dropped, unless it begins with one."""
-    body = text("full_text")
-
-    def piece(s: Column) -> Column:
-        marker = strip(squeeze(s["marker"]))
-        newlines = F.length(F.regexp_extract(F.substring(body, s["at"] + 1, F.length(body)), r"\A\n*", 0))
-        taken = _take(body, s["at"], _VERSE_END, newlines + F.length(s["marker"]), False, most)
-        good = lambda t: ~F.left(t["text"], F.lit(50)).rlike(r"(?U)\d+(?:\.\d+)+") | marker.rlike(r"(?U)\A\d+(?:\.\d+)+")
-        return let(taken, lambda t: F.struct(s["at"].alias("at"), marker.alias("marker"), t["text"].alias("text"), t["until"].alias("until"), good(t).alias("good")))
-
-    return _special(docs, body, F.transform(_starts(body, _VERSE), piece))
+    return _pieces(docs, lambda body: stanzas(body, most))

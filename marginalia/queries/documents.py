@@ -324,14 +324,49 @@ def _plays(x, head, mark):
     return x.documents.select(F.col("source").alias("block_name"), F.col("doc_id").cast("string").alias("source_pdf"), body.alias("full_text"))
 
 
-@query("txt11_dialogues")
+def _greedy_sql(head, mark, start, marker, kept, after, end, always, good):
+    """Pieces that are taken from left to right, by next pointers that are followed from each text's first start."""
+    return rf"""
+WITH RECURSIVE play AS (
+  SELECT doc_id, array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, j: CASE WHEN (j - 1) % 3 = 0 THEN '{head}' WHEN (j - 1) % 5 = 4 THEN '{mark}' ELSE '' END || x), chr(10)) AS body FROM documents WHERE text IS NOT NULL),
+part AS (SELECT doc_id, body, unnest(p) AS part, generate_subscripts(p, 1) AS k FROM (SELECT *, string_split(regexp_replace(body, '{start}', chr(1) || '\0', 'gi'), chr(1)) AS p FROM play)),
+begun AS (SELECT *, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY k) - length(part) AS begins, {marker} AS marker FROM part),
+rest AS (SELECT doc_id, length(body) AS n, k, begins, marker, body[begins + 1:] AS rest, {after} AS skip FROM begun WHERE k > 1 AND {kept}),
+stop AS (SELECT *, CASE WHEN regexp_matches(rest[skip + 1:], '{end}', 'i') THEN skip + length(regexp_extract(rest[skip + 1:], '(?s)^(.*?)(?:{end})', 1, 'i')) END AS e FROM rest),
+head AS (SELECT *, left(rest, coalesce(e, n)::BIGINT) AS raw FROM stop),
+piece AS (
+  SELECT doc_id, k, begins, marker, CASE WHEN long THEN cut ELSE raw END AS t, begins + CASE WHEN long THEN length(cut) ELSE length(raw) END AS until
+  FROM (SELECT *, len(regexp_extract_all(raw, '\S+')) > 210 AND {always} AS long, regexp_extract(raw, '^\s*(?:\S+\s+){{0,209}}\S+') AS cut FROM head)),
+link AS (SELECT p.*, q.k AS nxt FROM piece p ASOF LEFT JOIN piece q ON p.doc_id = q.doc_id AND p.until <= q.begins),
+link2 AS (SELECT * EXCLUDE (nxt), CASE WHEN nxt = k THEN (SELECT min(z.k) FROM piece z WHERE z.doc_id = link.doc_id AND z.k > link.k) ELSE nxt END AS nxt FROM link),
+taken AS (
+  SELECT doc_id, k, nxt, marker, t FROM link2 WHERE (doc_id, k) IN (SELECT doc_id, min(k) FROM piece GROUP BY doc_id)
+  UNION ALL SELECT l.doc_id, l.k, l.nxt, l.marker, l.t FROM taken JOIN link2 l ON l.doc_id = taken.doc_id AND l.k = taken.nxt)
+SELECT d.source AS block_name, d.doc_id::VARCHAR AS source_pdf, x.marker, md5(x.s) AS h FROM (SELECT *, {strip_sql('t')} AS s FROM taken) x JOIN documents d USING (doc_id) WHERE s <> '' AND {good}"""
+
+
+def _told(y):
+    return y.select("block_name", "source_pdf", F.get("matched_markers", F.lit(0)).alias("marker"), fingerprint(F.col("citation_text")).alias("h"))
+
+
+_WHO = r"((?:Chorus|Creon)[ \t]*|[a-zA-Z]+(?:[ \t]+[a-zA-Z]+)?[ \t]+)"
+
+
+@query("txt11_dialogues", _greedy_sql(
+    "Old Priest : ", "2.4 ", rf"(?:^|\n+){_WHO}:", f"""{strip_sql(rf"regexp_extract(part, '^\n*{_WHO}:', 1, 'i')")} || ':'""", "lower(marker) <> 'analysis:'", "0", r"\b(?:analysis|summary)\b|\b\d+\.\d+", "true", "true"))
 def _(x):
-    return citations.dialogues(_plays(x, "Old Priest : ", "2.4 "))
+    return _told(citations.dialogues(_plays(x, "Old Priest : ", "2.4 ")))
+
+
+_VERSE_HEAD = r"([a-zA-Z]+:[ \t]*\n+)"
 
 
-@query("txt12_verses")
+@query("txt12_verses", _greedy_sql(
+    "Verse:\n", "Glossary ", rf"(?:^|\n+){_VERSE_HEAD}", strip_sql(rf"regexp_extract(part, '^\n*{_VERSE_HEAD}', 1, 'i')"), "true", r"length(regexp_extract(part, '^\n*')) + length(marker)", r"\bglossary\b", "e IS NULL",
+    r"NOT regexp_matches(left(x.s, 50), '\d+(?:\.\d+)+')"))
 def _(x):
-    return citations.verses(_plays(x, "Verse:\n", "Glossary "))
+    """The tables have no headers of the other kind, a section number above the word text."""
+    return _told(citations.verses(_plays(x, "Verse:\n", "Glossary ")))
 
 
 @query("ret3_dual_citations", rf"""

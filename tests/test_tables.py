@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,6 +134,31 @@ def test_special_citations(spark):
     assert [r["matched_markers"] for r in got] == [["Poem:"]] and got[0]["citation_text"].startswith("Poem:")
 
 
+def test_pieces_of_written_out_texts():
+    """What is taken, word for word."""
+    speech = "intro\nChorus: we sing\nOld Priest : inside\nAnalysis: no\n\nCreon: again\n2.4 section\nAnalysis : not a speaker\nMessenger : the last"
+    assert list(citations.speeches(speech)) == [("Chorus:", "Chorus: we sing\nOld Priest : inside"), ("Creon:", "Creon: again"), ("Messenger:", "Messenger : the last")]
+    assert list(citations.speeches("Creon: one two three four\nChorus: five", most=3)) == [("Creon:", "Creon: one two"), ("Chorus:", "Chorus: five")]
+    assert list(citations.speeches("Creon: one Summary of it")) == [("Creon:", "Creon: one")]
+    assert list(citations.speeches("Summary : all")) == [("Summary:", "")]
+    verse = "Poem:\nline one\nline two\nGlossary: line\n\nText:\n\n2.4 dropped\nglossary\n3.1\ntext\nkept as it begins so"
+    assert list(citations.stanzas(verse)) == [("Poem:", "Poem:\nline one\nline two"), ("3.1 text", "3.1\ntext\nkept as it begins so")]
+    assert list(citations.stanzas("Poem:\na b c d e", most=3)) == [("Poem:", "Poem:\na b")]
+    assert list(citations.stanzas("Poem:\na b c d e glossary", most=3)) == [("Poem:", "Poem:\na b c d e")]
+    assert list(citations.speeches("")) == list(citations.stanzas("no header")) == []
+
+
+def test_many_starts_take_linear_time():
+    """10^5 speakers, and 10^5 verses before one glossary; four times the lines take about four times as long."""
+    took = []
+    for n in (25_000, 100_000):
+        start = time.perf_counter()
+        assert sum(1 for _ in citations.speeches("Old Priest : some words of a line\n" * n)) > n // 40
+        assert len(list(citations.stanzas("Verse:\nline\n" * n + "glossary"))) == 1
+        took.append(time.perf_counter() - start)
+    assert took[1] < 8 * took[0] and took[1] < 20
+
+
 def test_ingest_and_retrieve(spark):
     body = "".join(f"1.{k} Topic {k}\n{words(40, f'k{k}_')}\n" for k in range(1, 5))
     texts = spark.createDataFrame([("s/A/Block 1.pdf", f"Unit 1 One\n{words(90)}\n{body}"), ("s/A/Block 2.pdf", "plain " * 30)], "path string, full_text string")
