@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marginalia.llm.quality import BOTH_SIDES, FINE, PRIOR, REACH
+from marginalia.llm.quality import BOTH_SIDES, FINE, PRIOR, RATES, REACH, SMOOTH
 
 _NEAR = r"""
 WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
@@ -74,9 +74,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 """
 
 #: Where the level of a measure lies; the sketches' buckets are its whole numbers.
-_LEVELS = {
-    "symbol_rate": "(n_symbols + 1)::DOUBLE / (n_words + 1)", "repeat_rate": "(n_repeat_words + 1)::DOUBLE / (n_words + 1)",
-    "dup_line_rate": "(n_dup_lines + 1)::DOUBLE / (n_lines + 1)", "word_length": "word_chars::DOUBLE / nullif(n_words, 0)"}
+_LEVELS = {m: f"({count} + {SMOOTH[m]})::DOUBLE / nullif({n} + {SMOOTH[m]}, 0)" for m, (count, n) in RATES.items()}
 
 
 def _quartiles(by: str) -> str:
@@ -89,7 +87,11 @@ def _drawn(x: str, to: str) -> str:
     return ", ".join(f"({x}.n::DOUBLE * {x}.{c} + {PRIOR} * {to}.{c}) / ({x}.n + {PRIOR}) AS {c}" for c in ("low", "high"))
 
 
-_BEYOND = " OR ".join([f"x.{m} > f.{m}_top" for m in REACH] + [f"x.{m} < f.{m}_bottom" for m in BOTH_SIDES])
+def _due(m: str, side: str) -> str:
+    return f"exp(f.{m}_{side} / {FINE}) * ({RATES[m][1]} + {SMOOTH[m]})"
+
+
+_BEYOND = " OR ".join([f"{RATES[m][0]} + {SMOOTH[m]} > {_due(m, 'top')} + {REACH[m]} * sqrt({_due(m, 'top')} + 1)" for m in REACH] + [f"{RATES[m][0]} + {SMOOTH[m]} < {_due(m, 'bottom')} - {REACH[m]} * sqrt({_due(m, 'bottom')} + 1)" for m in BOTH_SIDES])
 _QUALITY = rf"""
 WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
 t AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),

@@ -2,8 +2,11 @@
 
 Every measure of a text is set against fences that follow from the text's own language and source: the
 quartiles of the group's texts, and beyond them a multiple of the distance between the two. There are
-no fixed cutoffs and no least margins. Rates are taken as logarithms with a smoothing count, so that a
-group in which most texts have none of something still has a spread, that of its texts' lengths.
+no fixed cutoffs. Rates enter the quartiles as logarithms with a smoothing count: a text that has none
+of something stands at the least rate that its length could show. A text is beyond a fence only if its
+count is more (or characters are fewer) than the fence gives in as many words, by as many standard
+deviations of such a count; so a short text is not dropped for what chance brings, and one that has no
+symbols or repeats not for these.
 
 Quartiles come from quantile sketches that merge: counts of texts by logarithmic buckets (each one
 percent wide, so a sketch holds a few hundred counts whatever the group's size). Counts add up in any
@@ -24,6 +27,10 @@ from marginalia.llm.base import WORD, checkpointed, cleared, let, written
 
 #: Measure: how many distances between the quartiles the upper fence lies above the upper quartile.
 REACH = {"symbol_rate": 2.5, "repeat_rate": 3.0, "dup_line_rate": 3.0, "word_length": 3.0}
+#: What a measure counts, and among what.
+RATES = {"symbol_rate": ("n_symbols", "n_words"), "repeat_rate": ("n_repeat_words", "n_words"), "dup_line_rate": ("n_dup_lines", "n_lines"), "word_length": ("word_chars", "n_words")}
+#: The count that a text without any stands for, so that it has a logarithm; every word has a character.
+SMOOTH = {"symbol_rate": 1, "repeat_rate": 1, "dup_line_rate": 1, "word_length": 0}
 #: Measures with a lower fence as well: words may be too short, but there cannot be too few symbols or repeats.
 BOTH_SIDES = ("word_length",)
 #: Texts that a language's quartiles count for in a group's, and the corpus's in a language's.
@@ -92,11 +99,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def with_levels(x: DataFrame) -> DataFrame:
     """x with q_<measure>: the logarithms, in buckets, of the measures that have fences; null for a text without words."""
     some = F.col("n_words") > 0
-    rate = lambda count, n: FINE * F.log((F.col(count) + 1) / (F.col(n) + 1))
-    levels = {
-        "symbol_rate": rate("n_symbols", "n_words"), "repeat_rate": rate("n_repeat_words", "n_words"),
-        "dup_line_rate": rate("n_dup_lines", "n_lines"), "word_length": FINE * F.log(F.col("word_chars") / F.col("n_words")),
-    }
+    levels = {m: FINE * F.log((F.col(count) + SMOOTH[m]) / (F.col(n) + SMOOTH[m])) for m, (count, n) in RATES.items()}
     return x.withColumns({f"q_{m}": F.when(some, v) for m, v in levels.items()})
 
 
@@ -138,6 +141,14 @@ def fences(levels: DataFrame) -> DataFrame:
         *[of(m, F.col("q_low") - 1 - REACH[m] * spread).alias(f"q_bottom_{m}") for m in BOTH_SIDES])
 
 
+def _beyond(measure: str, side: str) -> Column:
+    """Whether a text's count is beyond what the fence gives in a text of its length, chance allowed for."""
+    (count, n), extra = RATES[measure], SMOOTH[measure]
+    due = F.exp(F.col(f"q_{side}_{measure}") / FINE) * (F.col(n) + extra)
+    chance = REACH[measure] * F.sqrt(due + 1)
+    return F.col(count) + extra > due + chance if side == "top" else F.col(count) + extra < due - chance
+
+
 def verdicts(measures: DataFrame, lang_col: str = "lang", source_col: str = "source", min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
     """Rows of measured(), which are read twice, with base_failed and kept; see judge."""
     measures, back = cleared(measures, ("base_failed", "kept"), (lang_col, source_col, *COUNTS), "q_")
@@ -146,7 +157,7 @@ def verdicts(measures: DataFrame, lang_col: str = "lang", source_col: str = "sou
     x = with_levels(measures).withColumns({"q_lang": group(lang_col), "q_source": group(source_col), "base_failed": failed})
     table = checkpointed(fences(x.filter(~failed)))
     table = F.broadcast(table) if table.count() <= BROADCAST_GROUPS else table
-    beyond = [F.col(f"q_{m}") > F.col(f"q_top_{m}") for m in REACH] + [F.col(f"q_{m}") < F.col(f"q_bottom_{m}") for m in BOTH_SIDES]
+    beyond = [_beyond(m, "top") for m in REACH] + [_beyond(m, "bottom") for m in BOTH_SIDES]
     out = x.join(table, ["q_lang", "q_source"], "left").withColumn("kept", ~F.col("base_failed") & ~F.coalesce(reduce(Column.__or__, beyond), F.lit(False)))
     return back(out.drop("q_lang", "q_source", *[f"q_{m}" for m in REACH], *[f"q_top_{m}" for m in REACH], *[f"q_bottom_{m}" for m in BOTH_SIDES]))
 

@@ -72,3 +72,21 @@ def test_groups_of_the_tables_have_fences_of_their_own(spark, sf_dir):
 
 def test_query_against_sql(spark, sf_dir):
     same_rows(queries.op5_quality_rules(spark, sf_dir), oracles.oracle_sql()["op5_quality_rules"], sf_dir)
+
+
+def test_short_clean_texts_are_kept_among_long_ones(spark):
+    """Texts without a symbol or a repeat, of lengths that are rare in their group."""
+    r = random.Random(9)
+    some = lambda n: " ".join(f"w{r.randrange(90000):05d}" for _ in range(n))
+    rows = [(k, some(r.randint(1900, 2100)), "en", "long", 0, None) for k in range(300)]
+    rows += [(1000 + n, some(n), "en", "long", 0, None) for n in (55, 80, 150, 300, 600, 1200, 9000)]
+    rows += [(5000, some(80) + " #" * 30, "en", "long", 0, None), (5001, " ".join("x" for _ in range(300)) + some(20), "en", "long", 0, None)]
+    got = {x["doc_id"]: x["kept"] for x in quality.judge(docs(spark, rows)).collect()}
+    assert {k for k, v in got.items() if not v} == {5000, 5001}
+
+
+def test_a_text_without_any_is_never_beyond_a_rate(spark):
+    rows = [(k, 60 + 40 * (k % 50), "en", "s") for k in range(500)]
+    x = spark.createDataFrame(rows, "doc_id long, n_words long, lang string, source string")
+    x = x.withColumns({"word_chars": F.col("n_words") * 5, "n_symbols": F.lit(0).cast("long"), "n_lines": F.lit(3).cast("long"), "n_dup_lines": F.lit(0).cast("long"), "n_repeat_words": F.lit(0).cast("long")})
+    assert quality.verdicts(x).filter("NOT kept").isEmpty()
