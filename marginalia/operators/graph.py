@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import strip, wrap_label, word_count
+from marginalia.sources.shared import written
 
 #: Relations that make the hierarchy; the graph builder writes the first two.
 RELATIONS = ("HAS_ROOT", "CONTAINS_SUBSECTION", "CONTAINS", "HAS_CHILD")
@@ -69,19 +72,43 @@ def expand(hits: DataFrame, chunks: DataFrame, graph_edges: DataFrame, most: int
 def ancestors(chunks: DataFrame) -> DataFrame:
     """document_id, chunk_id, ancestor_id, distance, up to the root of every tree; parents that make a circle are an error.
 
-    Each step is a checkpoint if the session has a folder for them.
+    By doubling: once the ancestors up to a distance are known, those of the one at that distance give the next as
+    many. So a tree takes as many rounds as its depth has binary digits. Rounds are tables in the shared folder.
     """
-    hold = (lambda x: x.checkpoint()) if chunks.sparkSession.sparkContext.getCheckpointDir() else (lambda x: x.persist())
     link = chunks.select("document_id", "chunk_id", F.col("parent_id").alias("ancestor_id")).filter("ancestor_id IS NOT NULL")
-    link = hold(link)
-    up = link.select("document_id", F.col("chunk_id").alias("at"), F.col("ancestor_id").alias("up"))
-    step = found = link.withColumn("distance", F.lit(1))
-    while True:
-        circle = step.filter("ancestor_id = chunk_id").select("document_id", "chunk_id").first()
+    jump, span = written(link), 1
+    parts = [jump.withColumn("distance", F.lit(1))]
+    while not jump.isEmpty():
+        found = reduce(DataFrame.unionByName, parts)
+        circle = parts[-1].filter("ancestor_id = chunk_id").select("document_id", "chunk_id").first()
         if circle:
             raise ValueError(f"chunk {circle['chunk_id']} of document {circle['document_id']} is its own ancestor")
-        step = step.withColumnRenamed("ancestor_id", "at").join(up, ["document_id", "at"]).select("document_id", "chunk_id", F.col("up").alias("ancestor_id"), (F.col("distance") + 1).alias("distance"))
-        step = hold(step)
-        if step.isEmpty():
-            return found
-        found = found.unionByName(step)
+        at = jump.withColumnRenamed("ancestor_id", "at")
+        more = at.join(found.withColumnRenamed("chunk_id", "at"), ["document_id", "at"])
+        parts.append(written(more.select("document_id", "chunk_id", "ancestor_id", (F.col("distance") + span).alias("distance"))))
+        jump = parts[-1].filter(F.col("distance") == 2 * span).drop("distance")
+        span *= 2
+    return reduce(DataFrame.unionByName, parts)
+
+
+def roots(chunks: DataFrame) -> DataFrame:
+    """document_id, chunk_id, root_id, depth: each chunk's topmost ancestor, itself for a root; a circle is an error.
+
+    By pointer doubling: every chunk points to an ancestor, first its parent, and takes over what that one points
+    to, so paths double with each round. Chunks that point to a top are set aside; a round is a table.
+    """
+    key = ["document_id", "at"]
+    x = chunks.select("document_id", "chunk_id", F.coalesce("parent_id", "chunk_id").alias("at"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).cast("long").alias("depth"))
+    open_, n = written(x), x.count()
+    done = [open_.filter("depth = 0")]
+    open_ = open_.filter("depth > 0")
+    rounds = 0
+    while not open_.isEmpty():
+        if rounds > max(1, n).bit_length():
+            raise ValueError("parents make a circle")
+        known = reduce(DataFrame.unionByName, [*done[1:], open_])  # where each chunk but the tops points to by now
+        up = known.select("document_id", F.col("chunk_id").alias("at"), F.col("at").alias("to"), F.col("depth").alias("more"))
+        x = written(open_.join(up, key, "left").select("document_id", "chunk_id", F.coalesce("to", "at").alias("at"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("to").isNull().alias("top")))
+        done.append(x.filter("top").drop("top"))
+        open_, rounds = x.filter("NOT top").drop("top"), rounds + 1
+    return reduce(DataFrame.unionByName, done).withColumnRenamed("at", "root_id")

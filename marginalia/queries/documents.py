@@ -195,6 +195,15 @@ def _(x):
     return graph.ancestors(x.tree())
 
 
+@query("graph_roots", f"""
+WITH RECURSIVE {TREE}, up AS (
+  SELECT document_id, chunk_id, chunk_id AS root_id, 0 AS depth FROM tree
+  UNION ALL SELECT u.document_id, u.chunk_id, t.parent_id, u.depth + 1 FROM up u JOIN tree t ON t.document_id = u.document_id AND t.chunk_id = u.root_id WHERE t.parent_id IS NOT NULL)
+SELECT document_id, chunk_id, arg_max(root_id, depth) AS root_id, max(depth)::BIGINT AS depth FROM up GROUP BY ALL""")
+def _(x):
+    return graph.roots(x.tree())
+
+
 @query("set5_isolated_nodes", f"WITH {TREE} SELECT t.document_id || ':' || pos AS id FROM tree t WHERE chunk_id NOT IN (SELECT parent_id FROM tree WHERE parent_id IS NOT NULL)")
 def _(x):
     t = x.tree()

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.scoring import score_percent
 from marginalia.functions.text import QUESTION_TYPES
-from marginalia.operators import export, requests, store
+from marginalia.operators import counters, export, ranks, requests, store
 from marginalia.plans import api
 from marginalia.queries.registry import fingerprint, query, strip_sql
+from marginalia.sources.shared import scratch
+from marginalia.streaming import machine
 
 
 def _questions(x):
@@ -59,6 +61,37 @@ def _(x):
     return store.last_wins(_events(x).filter("status IS NOT NULL"), "session_id", "seq").select("session_id", "status")
 
 
+@query("snk7_incremental_progress", f"WITH {_SESSIONS_SQL} {_PROGRESS}")
+def _(x):
+    """The log in three appends, a refresh after each and one for nothing; what was summed up is put together once."""
+    path, log = scratch(x.spark, "counters"), _events(x)
+    for bound in ("seq % 1000 < 0", "seq < 2000", "seq < 5000", "true", "true"):
+        counters.refresh(log.filter(bound), path)
+        if bound == "seq < 5000":
+            counters.compact(x.spark, path)
+    return store.progress(_sessions(x), counters.rows(x.spark, path)).select("id", "total_generated", "status")
+
+
+@query("top5_deep_page", "SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 25 OFFSET (SELECT count(*) * 3 // 4 FROM events)")
+def _(x):
+    path, e = scratch(x.spark, "ranks"), x.events.select("event_id", "user_id", "event_type", "ts")
+    ranks.write(e, path, ("ts", "event_id"), range_rows=1000)
+    return ranks.page(x.spark, path, ("ts", "event_id"), e.count() * 3 // 4).select("event_id", "user_id", "event_type")
+
+
+@query("str1_session_outcomes", """
+WITH e AS (SELECT 's' || user_id || ' ' || strftime(ts, '%Y-%m-%d') AS session_id, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'running' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'completed' END AS status, event_id % 3 AS n, ts, 1 + user_id % 4 AS asked FROM events),
+s AS (SELECT session_id, min(ts) AS started FROM e GROUP BY 1),
+g AS (SELECT session_id, started, arg_max(status, seq) FILTER (status IS NOT NULL) AS said, sum(n)::BIGINT AS total_generated, max(asked)::BIGINT AS total_requested, max(seq)::BIGINT AS last_seq
+  FROM e JOIN s USING (session_id) WHERE ts <= started + INTERVAL 3 HOUR GROUP BY ALL),
+o AS (SELECT *, total_generated >= total_requested AS enough, coalesce(said, '') NOT IN ('completed', 'failed') AND (SELECT max(ts) FROM events) >= started + INTERVAL 3 HOUR AS late FROM g)
+SELECT session_id, CASE WHEN enough THEN 'completed' WHEN late THEN 'failed' ELSE coalesce(said, 'pending') END AS status, CASE WHEN NOT enough AND late THEN 'time limit' END AS reason, total_generated, total_requested, last_seq, started FROM o""")
+def _(x):
+    e = x.events.withColumns({"day": F.date_format("ts", "yyyy-MM-dd"), "total_requested": 1 + F.col("user_id") % 4}).select("event_id", "day", "total_requested")
+    e = _events(x).join(e.withColumnRenamed("event_id", "seq"), "seq").withColumn("session_id", F.concat_ws(" ", "session_id", "day"))
+    return machine.outcomes(e).withColumn("started", F.col("started").cast("timestamp_ntz"))
+
+
 @query("prj20_session_cards", f"WITH {_SESSIONS_SQL}, p AS ({_PROGRESS}) SELECT p.id, round(100.0 * p.total_generated / s.total_requested)::INTEGER AS percent, strftime(s.created_at, '%Y-%m-%d') AS day FROM p JOIN sessions s ON s.id = p.id")
 def _(x):
     return export.session_cards(store.progress(_sessions(x), _events(x))).select("id", "percent", "day")

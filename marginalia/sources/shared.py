@@ -7,7 +7,7 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +32,28 @@ def scratch(spark: SparkSession, what: str) -> str:
     return path
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, read back; its lineage ends there."""
+    path = scratch(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def take_place(spark: SparkSession, hidden: str, path: str) -> None:
+    """Gives what was written under a hidden name its own name, in one step."""
+    name = spark._jvm.org.apache.hadoop.fs.Path
+    if not name(path).getFileSystem(spark._jsc.hadoopConfiguration()).rename(name(hidden), name(path)):
+        raise OSError(f"{hidden} did not become {path}")
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, none if there is no folder."""
+    if not exists(spark, path):
+        return []
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return sorted(f.getPath().getName() for f in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the session may have ended before
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from marginalia.sources.shared import exists
+from marginalia.sources.shared import exists, take_place
 
 
 def write_batch(rows: DataFrame, batch: int, path: str) -> bool:
@@ -25,10 +25,7 @@ def write_batch(rows: DataFrame, batch: int, path: str) -> bool:
         return False
     hidden = f"{path}/_{batch}-{uuid.uuid4().hex}"  # Spark's readers pass over names that begin so
     rows.drop("batch").write.parquet(hidden)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.rename(hadoop(hidden), hadoop(own)):
-        raise OSError(f"{hidden} did not become {own}")
+    take_place(spark, hidden, own)
     return True
 
 
