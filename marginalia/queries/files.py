@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.fs  # noqa: F401
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import word_count
 from marginalia.operators import store
 from marginalia.queries.registry import Tables, clean_page_sql, fingerprint, query, strip_sql, words
-from marginalia.sources import readers, writers
+from marginalia.sources import pages, readers, writers
 from marginalia.sources.shared import scratch
 
 #: Documents of a source that make one file.
@@ -51,6 +53,27 @@ def _(x):
     return _pages(x).select(_folder("path"), "page_no", fingerprint(F.col("text")).alias("h"))
 
 
+class _FormFeeds:
+    """Opens files whose pages end at form feeds."""
+
+    def _texts(self, path: str) -> list[str]:
+        with pa.fs.LocalFileSystem().open_input_stream(path) as f:
+            return f.read().decode().split("\f")[:-1]
+
+    def count(self, path: str) -> int:
+        return len(self._texts(path))
+
+    def read(self, path: str, first: int, last: int) -> list[str]:
+        return self._texts(path)[first:last]
+
+
+@query("src2_page_ranges", f"SELECT folder, row_number() OVER (PARTITION BY folder ORDER BY doc_id)::INTEGER AS page_no, md5(t) AS h FROM ({_CLEAN}) WHERE t <> ''")
+def _(x):
+    """By stretches of 50 pages, each a task."""
+    rows = pages.cleaned(pages.page_rows(x.spark, _archive(x), _FormFeeds(), "*.txt", task_pages=50))
+    return rows.select(_folder("path"), "page_no", fingerprint(F.col("text")).alias("h"))
+
+
 _STRIPPED = strip_sql("text")
 
 
@@ -90,6 +113,18 @@ def _(x):
     return readers.master_index(x.spark, path, lines=True).select("document_id", "store_path", "total_words")
 
 
+@query("src5_one_map", "SELECT 'd' || doc_id AS document_id, source AS store_path, coalesce(left(text, 400), '') AS unit_title FROM documents")
+def _(x):
+    """One file with one map, whose strings hold quotes, braces and commas as the texts do."""
+    path = scratch(x.spark, "map")
+    entry = F.concat(F.to_json(F.struct(F.concat(F.lit("d"), "doc_id").alias("k"))).substr(F.lit(6), F.length(F.concat(F.lit("d"), "doc_id")) + 2), F.lit(": "),
+                     F.to_json(F.struct(F.col("source").alias("store_path"), F.coalesce(F.left("text", F.lit(400)), F.lit("")).alias("unit_title"))))
+    rows = x.documents.select(F.lit(1).alias("at"), F.col("doc_id"), F.concat(F.when(F.row_number().over(Window.orderBy("doc_id")) > 1, ", ").otherwise(""), entry).alias("value"))
+    ends = x.spark.createDataFrame([(0, 0, '{"made": {"by": "a, {b"}, "documents": {'), (2, 0, '}, "n": [1, {"d0": {}}]}')], "at int, doc_id long, value string")
+    rows.unionByName(ends).orderBy("at", "doc_id").select("value").coalesce(1).write.text(path)
+    return readers.master_index(x.spark, path).select("document_id", "store_path", "unit_title")
+
+
 @query("src9_citations", "SELECT source, md5(text) AS h FROM documents WHERE text <> ''")
 def _(x):
     path = scratch(x.spark, "cites")

@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import clean_page, garbage, text
+from marginalia.sources.large_json import map_entries
 
+#: The archive's own folder, which paths do not show; a fixed value.
+OWN_FOLDER = "egyankosh"
 PAGES = "path string, page_no int, text string, error string"
 #: What a master index says of a document.
 ENTRY = (
@@ -19,12 +22,12 @@ ENTRY = (
 )
 
 
-def files(spark: SparkSession, root: str, pattern: str = "*.pdf") -> DataFrame:
-    """path, relative_path, length of the files below root whose names fit, in any folder; the archive's own folder is left out of relative_path."""
+def files(spark: SparkSession, root: str, pattern: str = "*.pdf", own_folder: str = OWN_FOLDER) -> DataFrame:
+    """path, relative_path, length of the files below root whose names fit, in any folder; folders called own_folder are left out of relative_path."""
     x = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path", "length")
     folder = re.sub(r"\Afile:/+", "/", root).rstrip("/")
     below = F.regexp_replace("path", r"\A.*?\Q" + folder + r"\E/?", "")
-    parts = F.filter(F.split(below, "/"), lambda p: (F.lower(p) != "egyankosh") & (p != ""))
+    parts = F.filter(F.split(below, "/"), lambda p: (F.lower(p) != own_folder) & (p != ""))
     return x.withColumn("relative_path", F.array_join(parts, "/"))
 
 
@@ -69,11 +72,14 @@ def full_texts(page_rows: DataFrame, sep: str = "\n\n") -> DataFrame:
 
 
 def master_index(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """A row a document of a master index: one file with a map from id to metadata, or with lines a JSON object a line, for indexes of any size."""
+    """A row a document of a master index: one file with a map from id to metadata under documents, or with lines a JSON object a line.
+
+    Either is read in byte ranges.
+    """
     if lines:
         return spark.read.schema(f"document_id string, {ENTRY}").json(path)
-    x = spark.read.text(path, wholetext=True).select(F.from_json("value", f"documents map<string, struct<{ENTRY}>>").alias("m"))
-    return x.select(F.explode("m.documents").alias("document_id", "d")).select("document_id", "d.*")
+    x = map_entries(spark, path, "documents").select(F.from_json("value", f"map<string, struct<{ENTRY}>>").alias("m"))
+    return x.select(F.explode("m").alias("document_id", "d")).select("document_id", "d.*")
 
 
 def citations(spark: SparkSession, paths: str | list[str]) -> DataFrame:
