@@ -68,12 +68,18 @@ def language_score(question: ColumnOrName, answer: ColumnOrName, wanted: ColumnO
     return F.when(found == _c(wanted), 2.0).when(found == "hien", 1.5).otherwise(1.0)
 
 
+def mean_score(*scores: ColumnOrName) -> Column:
+    """Mean of the scores that are there, to two decimals, half to even; null if none is."""
+    there = F.filter(F.array(*[_c(s).cast("double") for s in scores]), lambda x: x.isNotNull())
+    return F.when(F.size(there) > 0, F.bround(F.aggregate(there, F.lit(0.0), lambda a, x: a + x) / F.size(there), 2))
+
+
 def alignment(level: ColumnOrName, depth: ColumnOrName, *gates: ColumnOrName, enabled: Column | None = None, least: float = 1.5, failed: float = 0.0) -> Column:
     """Mean of two scores to two decimals, half to even; failed (once 0.1) if a gate is below least; null if not enabled."""
     fails = F.lit(False)
     for g in gates:
         fails = fails | (_c(g) < least)
-    score = F.when(fails, failed).otherwise(F.bround((_c(level) + _c(depth)) / 2, 2))
+    score = F.when(fails, failed).otherwise(F.when(_c(level).isNotNull() & _c(depth).isNotNull(), mean_score(level, depth)))
     return score if enabled is None else F.when(enabled, score)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +57,16 @@ def reconcile(truth: DataFrame, held: DataFrame) -> DataFrame:
     return x.withColumns(new).drop("t_id", "t_label", "t_path")
 
 
+def union(**stores: DataFrame) -> DataFrame:
+    """store, then the columns of the stores' catalogs, one behind the other; a column that one lacks is null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [x.select(F.lit(name).alias("store"), "*") for name, x in stores.items()])
+
+
+def distinct_values(rows: DataFrame, column: str) -> DataFrame:
+    """The different values of a column that are neither null nor empty."""
+    return rows.filter(text(column) != "").select(column).distinct()
+
+
 def totals(documents: DataFrame) -> DataFrame:
     """One row about the catalog: total_documents, chunks and words of all."""
     return documents.agg(F.count("*").alias("total_documents"), F.sum("total_chunks").alias("total_chunks"), F.sum("total_words").alias("total_words"))

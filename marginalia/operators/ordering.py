@@ -7,34 +7,25 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that one task numbers, and how many tasks there are at most.
-ROWS_A_TASK, TASKS = 1_000_000, 256
+from marginalia.sources.shared import written
+
+#: Rows that one task numbers, about.
+ROWS_A_TASK = 1_000_000
 
 
 def numbered(df: DataFrame, order: tuple[str, ...], name: str, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
     """df with the place of each row in the order, from 1; rows that are equal in it come in any order, nulls first.
 
-    The order is cut into ranges at keys of a sample, whose size depends on the number of ranges alone. A
-    range is numbered by itself; the counts of the ranges before it are added. Where the cuts lie has no
-    bearing on the numbers.
+    There are as many ranges of the order as the number of rows asks for, cut by Spark's sample, if need be inside
+    rows that are equal. A range is sorted and written as it is, each row with its place in it; the counts of the
+    ranges before are added. Where the cuts lie has no bearing on the numbers.
     """
-    key = F.struct(*order)
-    n = df.count()
-    ranges = min(TASKS, math.ceil(n / rows_a_task))
-    at = F.lit(0)
-    if ranges > 1:
-        kinds = [df.schema[c].dataType for c in order]
-        picked = sorted_keys(df.select(*order).sample(False, min(1.0, 20 * ranges / n), seed=7), order)
-        cuts = picked[:: max(1, len(picked) // ranges)]
-        as_key = lambda r: F.struct(*[F.lit(r[c]).cast(t).alias(c) for c, t in zip(order, kinds, strict=True)])
-        if cuts:
-            at = F.size(F.filter(F.array(*map(as_key, cuts)), lambda c: c <= key))
-    x = df.withColumn("nb_range", at)
+    ranges = math.ceil(df.count() / rows_a_task)
+    if ranges <= 1:
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+    x = df.withColumn("nb_tie", F.monotonically_increasing_id()).repartitionByRange(ranges, *order, "nb_tie").sortWithinPartitions(*order, "nb_tie")
+    x = written(x.withColumn("nb_at", F.monotonically_increasing_id()).drop("nb_tie")).withColumn("nb_range", F.shiftright("nb_at", 33))
     before = Window.orderBy("nb_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
-    ends = x.groupBy("nb_range").agg(F.count("*").alias("nb_n")).select("nb_range", F.coalesce(F.sum("nb_n").over(before), F.lit(0)).alias("nb_before"))
-    place = F.row_number().over(Window.partitionBy("nb_range").orderBy(*order)) + F.col("nb_before")
-    return x.join(F.broadcast(ends), "nb_range").withColumn(name, place).drop("nb_range", "nb_before")
-
-
-def sorted_keys(sample: DataFrame, order: tuple[str, ...]) -> list:
-    return sample.orderBy(*order).collect()
+    ends = x.groupBy("nb_range").agg(F.count("*").alias("nb_n"), F.min("nb_at").alias("nb_first"))
+    ends = ends.select("nb_range", (F.coalesce(F.sum("nb_n").over(before), F.lit(0)) - F.col("nb_first") + 1).alias("nb_add"))
+    return x.join(F.broadcast(ends), "nb_range").withColumn(name, F.col("nb_at") + F.col("nb_add")).drop("nb_range", "nb_at", "nb_add")

@@ -98,6 +98,11 @@ def numbered(x: DataFrame, by: tuple[str, ...], order: str, name: str = "row_no"
     return x.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(order)))
 
 
+def newest_first(x: DataFrame, by: tuple[str, ...], at: str, tie: str, name: str = "place") -> DataFrame:
+    """x with the place of each row in its group, the latest first; of equally late ones by tie."""
+    return x.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(at), tie)))
+
+
 def first_rows(x: DataFrame, by: str, order: str, most: ColumnOrName) -> DataFrame:
     """At most so many rows of each group."""
     return numbered(x, (by,), order, "nth").filter(F.col("nth") <= _c(most)).drop("nth")

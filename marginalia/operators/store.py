@@ -7,6 +7,7 @@ its row_index, given when it is written.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,6 +71,13 @@ def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).filter("nth = 1").drop("nth")
 
 
+def append_once(held: DataFrame, more: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """held and those of more whose key it does not have, one a key; null is a key like others."""
+    keys = held.select(*[F.col(k).alias(f"held_{n}") for n, k in enumerate(key)]).distinct()
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"held_{n}")) for n, k in enumerate(key)])
+    return held.unionByName(more.join(keys, same, "left_anti").dropDuplicates(list(key)))
+
+
 # Reading ---------------------------------------------------------------------------------------
 
 

@@ -197,7 +197,7 @@ def _(x):
 @query("agg8_mean_of_scores", "SELECT doc_id, round_even((doc_id % 17 / 4 + doc_id % 3 / 2) / 2, 2)::DOUBLE AS score FROM documents")
 def _(x):
     n = F.col("doc_id")
-    return x.documents.select("doc_id", F.bround((n % 17 / 4 + n % 3 / 2) / 2, 2).alias("score"))
+    return x.documents.select("doc_id", scoring.mean_score(n % 17 / 4, n % 3 / 2, F.lit(None)).alias("score"))
 
 
 @query("mth4_language_score", r"""

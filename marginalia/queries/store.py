@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.scoring import score_percent
 from marginalia.functions.text import QUESTION_TYPES
-from marginalia.operators import counters, export, ranks, requests, store
+from marginalia.operators import catalog, counters, export, ranks, requests, store
 from marginalia.plans import api
 from marginalia.queries.registry import fingerprint, query, strip_sql
 from marginalia.sources.shared import scratch
@@ -306,15 +306,15 @@ def _(x):
     return requests.joined_deltas(x.conversations, "conv_id", "turn", "text").select("conv_id", fingerprint(F.col("text")).alias("h"))
 
 
-@query("set1_union_catalog", "SELECT lang AS store, source AS course FROM documents WHERE lang = 'en' UNION ALL SELECT lang, source FROM documents WHERE lang = 'fr'")
+@query("set1_union_catalog", "SELECT 'en' AS store, source AS course, doc_id AS pos FROM documents WHERE lang = 'en' UNION ALL SELECT 'hi', source, NULL FROM documents WHERE lang <> 'en'")
 def _(x):
-    d = x.documents.select(F.col("lang").alias("store"), F.col("source").alias("course"))
-    return d.filter("store = 'en'").unionByName(d.filter("store = 'fr'"))
+    d = x.documents.select(F.col("source").alias("course"), F.col("doc_id").alias("pos"), "lang")
+    return catalog.union(en=d.filter("lang = 'en'").drop("lang"), hi=d.filter("lang <> 'en'").select("course"))
 
 
-@query("set2_distinct_sources", "SELECT DISTINCT source FROM documents")
+@query("set2_distinct_sources", "SELECT DISTINCT source FROM documents WHERE source <> ''")
 def _(x):
-    return x.documents.select("source").distinct()
+    return catalog.distinct_values(x.documents, "source")
 
 
 @query("str4_activity_sessions", """
@@ -346,6 +346,14 @@ def _(x):
     return _questions(x).select("row_index", score_percent(F.coalesce("alignment_score", F.lit(0.0))).alias("percent"))
 
 
+@query("api2_session_questions", """
+SELECT 'q' || doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'Bloom level 2' END AS category, md5(text) AS question, doc_id % 3 = 1 AS is_rag, false AS use_citation, CASE WHEN doc_id % 6 > 0 THEN (doc_id % 5)::DOUBLE END AS ncert
+FROM documents WHERE doc_id // 7 = 3""")
+def _(x):
+    y = api.session_questions(_questions(x), "s3")
+    return y.select("id", "category", fingerprint(F.col("question_text")).alias("question"), "is_rag", "use_citation", F.try_element_at("scores", F.lit("ncert")).alias("ncert"))
+
+
 @query("cfg2_chat_form", """
 SELECT doc_id, '{"subject":"' || CASE WHEN doc_id % 3 = 0 THEN 'Maths' WHEN 8 + doc_id % 5 = 10 THEN 'Science' ELSE source END || '","language":"' || lang || '","class_level":' || (8 + doc_id % 5) || ',"chapter":"c","chunk_text":"topic' || CASE WHEN doc_id % 2 = 0 THEN '\\n\\ntheme' ELSE '' END || '"}' AS form,
   greatest(1, least(doc_id % 9, 5))::BIGINT AS page FROM documents""")
@@ -355,15 +363,12 @@ def _(x):
     return x.documents.select("doc_id", form.alias("form"), requests.page_number(n % 9, F.lit(5)).cast("long").alias("page"))
 
 
-@query("set6_append_once", "SELECT doc_id, source FROM documents")
+@query("set6_append_once", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source ELSE lang END AS said FROM documents")
 def _(x):
-    held = x.documents.filter("doc_id % 3 = 0").select("doc_id", "source")
-    more = x.documents.select("doc_id", "source")
-    return held.unionByName(more.join(held.select("doc_id"), "doc_id", "left_anti"))
+    d = x.documents
+    return store.append_once(d.filter("doc_id % 3 = 0").select("doc_id", F.col("source").alias("said")), d.union(d).select("doc_id", F.col("lang").alias("said")), ("doc_id",))
 
 
 @query("top11_newest_first", "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id)::INTEGER AS place FROM events")
 def _(x):
-    from pyspark.sql import Window
-
-    return x.events.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), "event_id"))).select("event_id", "user_id", "place")
+    return requests.newest_first(x.events, ("user_id",), "ts", "event_id").select("event_id", "user_id", "place")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import tempfile
 import uuid
@@ -25,11 +24,24 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="marginalia-")
 
 
+_ROOTS: dict[str, str] = {}
+
+
+def _root(spark: SparkSession) -> str:
+    """This application's folder in the shared folder. Its removal is left to the JVM, which outlives a session that is stopped."""
+    app = spark.sparkContext.applicationId
+    if app not in _ROOTS:
+        _ROOTS[app] = f"{shared_dir(spark)}/marginalia-{app}-{uuid.uuid4().hex[:8]}"
+        folder = spark._jvm.org.apache.hadoop.fs.Path(_ROOTS[app])
+        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(folder)
+        fs.deleteOnExit(folder)
+    return _ROOTS[app]
+
+
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder; what is there when the driver ends is removed."""
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    atexit.register(remove, spark, path)
-    return path
+    """A new path in the shared folder; what is there when the driver ends is removed, whether or not its session was stopped before."""
+    return f"{_root(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
