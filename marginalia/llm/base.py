@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.sources.shared import remove, scratch, shared_dir  # noqa: F401
+from marginalia.operators.names import cleared  # noqa: F401
+from marginalia.sources.shared import remove, scratch, shared_dir, written  # noqa: F401
 
 #: A word is a longest run of characters other than these (space, tab to carriage return).
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -20,43 +21,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the shared folder."""
+    """df with its lineage cut by a reliable checkpoint in the shared folder; what is there goes when the driver ends."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(spark))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(sc.getCheckpointDir())  # Spark's own for this application
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back; the table is removed when the driver ends.
-
-    For wide rows: unlike a checkpoint it is compressed, and later reads take only the columns they use.
-    """
-    path = scratch(df.sparkSession, "table")
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def cleared(df: DataFrame, new: Iterable[str], used: Iterable[str], prefix: str = "") -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """df with nothing in the way of an operator's columns, and what gives its own columns their names back.
-
-    A column that has the name of one of the operator's new columns gives way: the operator's takes its
-    place. Columns whose names begin with the prefix of the operator's working columns are kept under
-    others meanwhile. Names count without regard to case, as Spark has them. The columns that the operator
-    reads must have neither kind of name; that is an error at once.
-    """
-    new, used = {c.lower() for c in new}, {c.lower() for c in used}
-    taken = lambda c: bool(prefix) and c.lower().startswith(prefix)
-    if wrong := sorted(c for c in used if c in new or taken(c)):
-        raise ValueError(f"columns that are read must not have the names of new or working columns: {wrong}")
-    df = df.drop(*[c for c in df.columns if c.lower() in new])
-    away = {c: f"own{k}_{c}" for k, c in enumerate(df.columns) if taken(c)}
-    while set(map(str.lower, away.values())) & {c.lower() for c in df.columns}:
-        away = {c: f"own_{x}" for c, x in away.items()}
-    return df.withColumnsRenamed(away), lambda out: out.withColumnsRenamed({x: c for c, x in away.items()})
-
-
 def whole_numbers(df: DataFrame, column: str) -> None:
     """An error unless the column holds whole numbers of at most 64 bits."""
     kind = df.schema[column].dataType.simpleString()
