@@ -71,7 +71,7 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = secrets.scan(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"), copied_by=5, apart=True)
+    x = secrets.scan(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"), copied_by=5, by_text=True)
     count = lambda *is_: F.size(F.filter("found", lambda s: s["kind"].isin(*is_))).cast("long")
     return x.select(
         "doc_id", *[count(k).alias(f"n_{k}") for k in secrets.BASE], F.sha2(secrets.told(F.col("found"), lambda s: s["base"]), 256).alias("base_sha256"),

@@ -26,8 +26,6 @@ BASE = ("assign", "access", "hex")
 #: Further kinds, after the base ones.
 MORE = ("jwt", "pem", "bearer", "url", "prefix")
 KINDS = BASE + MORE
-#: Characters on either side of a value that tell its copies with a document from its uses elsewhere.
-AROUND = 32
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -84,7 +82,7 @@ def looks_random(value: str, bits: float = 3.0, share: float = 0.85) -> bool:
     return entropy >= min(bits, share * math.log2(len(value))) and classes >= 2
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", copied_by: int = 2, apart: bool = False) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", copied_by: int = 2, by_text: bool = False) -> DataFrame:
     """One row a document: its id, and found, an array of structs in order of start, then kind.
 
     A struct has kind, start, end (code points, end exclusive), owners and repos (how many of each
@@ -92,9 +90,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     value that copied_by owners or more have, else "live" if it looks random, else "weak". A span of
     a further kind is left out if it is copied or weak; spans of the base rules all stay.
 
-    With apart, owners count towards copied_by only where the value stands between other characters
-    (AROUND on either side): copies of a document, or of a passage, are of one owner then, the first in
-    order. The column owners counts them all.
+    With by_text, copies of one text are of one owner, the first in order, when owners are counted towards
+    copied_by: a document that is copied whole makes its keys no examples, while a snippet that texts of
+    many owners hold is one, whatever stands around it. The column owners counts them all.
 
     A null or empty text has none. A null owner is an owner of its own, as is a null repository. Rows
     that repeat are scanned each; they are one repository if they agree in repo_col.
@@ -102,27 +100,27 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
-            out = []
+            out, texts = [], []
             for text in batch.column("text").to_pylist():
                 text = text or ""
                 spans = base_spans(text) + more_spans(text)
-                out.append([{"start": a, "kind": KINDS.index(k), "end": z, "hash": hashlib.blake2b(v.encode(), digest_size=16).digest(), "random": looks_random(v),
-                             "around": hashlib.blake2b(f"{text[max(0, a - AROUND):a]}\0{text[z:z + AROUND]}".encode("utf-8", "surrogatepass"), digest_size=8).digest() if apart else None} for a, k, z, v in spans])
-            spans = pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("hash", pa.binary()), ("random", pa.bool_()), ("around", pa.binary())])))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("owner"), batch.column("repo"), spans], names=["id", "owner", "repo", "spans"])
+                out.append([{"start": a, "kind": KINDS.index(k), "end": z, "hash": hashlib.blake2b(v.encode(), digest_size=16).digest(), "random": looks_random(v)} for a, k, z, v in spans])
+                texts.append(hashlib.blake2b(text.encode(), digest_size=16).digest() if by_text and spans else None)
+            spans = pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("hash", pa.binary()), ("random", pa.bool_())])))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("owner"), batch.column("repo"), spans, pa.array(texts, pa.binary())], names=["id", "owner", "repo", "spans", "whole"])
 
     one = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
     source = docs.select(F.col(id_col).alias("id"), one(owner_col).alias("owner"), one(repo_col).alias("repo"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    scanned = source.mapInArrow(run, f"id {kind}, owner string, repo string, spans array<struct<start:bigint,kind:int,end:bigint,hash:binary,random:boolean,around:binary>>")
+    scanned = source.mapInArrow(run, f"id {kind}, owner string, repo string, spans array<struct<start:bigint,kind:int,end:bigint,hash:binary,random:boolean>>, whole binary")
     scanned = checkpointed(scanned.withColumn("row", F.monotonically_increasing_id()))
-    each = scanned.filter(F.size("spans") > 0).select("row", "owner", "repo", F.explode("spans").alias("s")).select("row", "owner", "repo", "s.*")
+    each = scanned.filter(F.size("spans") > 0).select("row", "owner", "repo", "whole", F.explode("spans").alias("s")).select("row", "owner", "repo", "whole", "s.*")
     held = (
         each.groupBy("hash", "owner", "repo").agg(F.lit(1).alias("one")).groupBy("hash", "owner").agg(F.count("*").alias("repos"))
         .groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
     )
-    if apart:
-        places = each.groupBy("hash", "around").agg(F.min("owner").alias("owner")).groupBy("hash", "owner").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("*").alias("users"))
+    if by_text:
+        places = each.groupBy("hash", "whole").agg(F.min("owner").alias("owner")).groupBy("hash", "owner").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("*").alias("users"))
         held = held.join(places, "hash")
     else:
         held = held.withColumn("users", F.col("owners"))
