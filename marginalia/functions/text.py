@@ -80,16 +80,22 @@ def _where(t: Column, signs: tuple[str, ...], pattern: str, to: str) -> Column:
     return let(t, replaced)
 
 
-#: A line, or lines, of letters, blanks and & that hold three capitals with something after each.
+#: A line, or lines, of letters, blanks and & that hold three capitals with something after each. The language is a fixed value; the
+#: repeated group `([A-Z][a-zA-Z\s&]+){3,}` is written out so that each character can be matched in one way only, as Java's backtracking has no end else.
 HEADLINE = r"(?Umd)^\s*[A-Z][a-zA-Z\s&][a-z\s&]*[A-Z][a-zA-Z\s&][a-z\s&]*[A-Z][a-zA-Z\s&]+$"
 
 
+# Page numbers, dot leaders and notices that pages carry.
+PAGE_NUMBER, LEADERS = r"(?Umd)^\s*\d+\s*$", r"\.{10,}"
+NOTICE = r"(?iUmd)^\s*(Reprint\s*\d{4}-\d{2}|not to be republished)\s*$"
+
+
 def clean_page(x: ColumnOrName) -> Column:
     """A page's text without page numbers, dot leaders, reprint notices and running heads."""
-    t = F.regexp_replace(text(x), r"(?Umd)^\s*\d+\s*$", "")
-    t = F.regexp_replace(t, r"\.{10,}", "")
-    t = F.regexp_replace(t, r"(?iUmd)^\s*(Reprint\s*\d{4}-\d{2}|not to be republished)\s*$", "")
-    return strip(F.regexp_replace(t, HEADLINE, ""))
+    t = text(x)
+    for pattern in (PAGE_NUMBER, LEADERS, NOTICE, HEADLINE):
+        t = F.regexp_replace(t, pattern, "")
+    return strip(t)
 
 
 #: Characters of a page whose font was read rightly: printable ASCII, white space, Devanagari.
@@ -161,6 +167,7 @@ def block_in_text(x: ColumnOrName) -> Column:
     return F.when((label != "") & ~stop, F.concat(F.lit("Block "), label))
 
 
+#: A block's name in capitals up to the next heading. A fixed value.
 _BLOCK = r"(?U)\bBLOCK\s*([\w\s:,-]{1,100}?)(?=\b(?:UNIT|CHAPTER|STRUCTURE|OBJECTIVES|INTRODUCTION|P\d)\b|$)"
 
 
@@ -213,10 +220,19 @@ def unsafe_path(path: ColumnOrName) -> Column:
 
 # Citations -------------------------------------------------------------------------------------
 
+# What counts as a citation's marker, as a reference, and as a locator.
 #: A parenthesis at a line's start that holds a letter and ends in digits, or one of digits anywhere.
 MARKER = r"(?iU)(?:\A|\n)\s*(\(\s*[^)]*[a-z][^)]*\d[\d\s\-,]*\s*\))|(\(\s*(?:p\.?|pp\.?)?\s*[\d\s\-,]+\s*\))"
 
 
+#: Parentheses that give a page or a place in a work, and those that hold only a number.
+REFERENCE = r"(?iU)\s*\((?:[^)]*\b(?:p\.?|pp\.?|page|pg|Prologue|Chapter|Canto|Book)\b[^)]*)\)"
+NUMBER_ONLY = r"(?U)\s*\(\s*\d{1,4}\s*\)"
+#: What a parenthesis says of page or place, and a number after `p.`.
+PLACE = r"(?iU)\(([^)]*(?:\b(?:p\.?|pp\.?|page|pg|canto|book|prologue)\b)[^)]*)\)"
+PAGE = r"(?U)\b[pP]\.\s*(\d{1,4})\b"
+
+
 def citation_markers(x: ColumnOrName, longest: int = 50) -> Column:
     """Citation markers of a page: short, not about a reprint, not a bare year."""
     raw = F.transform(F.regexp_extract_all(text(x), F.lit(MARKER), F.lit(0)), lambda m: strip(m))
@@ -230,14 +246,12 @@ def is_citation_page(markers: Column, most: int = 15) -> Column:
 
 def strip_citations(x: ColumnOrName) -> Column:
     """Without parentheses that give a page or a place in a work, or that hold only a number."""
-    t = F.regexp_replace(text(x), r"(?iU)\s*\((?:[^)]*\b(?:p\.?|pp\.?|page|pg|Prologue|Chapter|Canto|Book)\b[^)]*)\)", "")
-    return strip(F.regexp_replace(t, r"(?U)\s*\(\s*\d{1,4}\s*\)", ""))
+    return strip(F.regexp_replace(F.regexp_replace(text(x), REFERENCE, ""), NUMBER_ONLY, ""))
 
 
 def locator(x: ColumnOrName) -> Column:
     """What a parenthesis says of page or place, else the number after `p.`; null if neither is there."""
-    inside = F.regexp_extract(text(x), r"(?iU)\(([^)]*(?:\b(?:p\.?|pp\.?|page|pg|canto|book|prologue)\b)[^)]*)\)", 1)
-    number = F.regexp_extract(text(x), r"(?U)\b[pP]\.\s*(\d{1,4})\b", 1)
+    inside, number = F.regexp_extract(text(x), PLACE, 1), F.regexp_extract(text(x), PAGE, 1)
     return F.when(inside != "", strip(inside)).otherwise(blank_to_null(number))
 
 
@@ -298,10 +312,14 @@ def type_match(kind: ColumnOrName, question: ColumnOrName) -> Column:
     return F.struct(match.alias("type_match"), reason.alias("type_match_reason"))
 
 
+#: LaTeX commands and the signs that stand for them. Fixed values.
+LATEX = (("cdot", "×"), ("times", "×"), ("Delta", "Δ"), ("neq", "≠"), ("leq", "≤"), ("geq", "≥"))
+
+
 def latex_to_text(x: ColumnOrName) -> Column:
     """Plain text for common LaTeX commands."""
     t = F.regexp_replace(text(x), r"\\frac\{([^}]+)\}\{([^}]+)\}", "($1/$2)")
-    for command, sign in (("cdot", "×"), ("times", "×"), ("Delta", "Δ"), ("neq", "≠"), ("leq", "≤"), ("geq", "≥")):
+    for command, sign in LATEX:
         t = F.replace(t, F.lit(f"\\{command}"), F.lit(sign))
     return F.replace(F.regexp_replace(t, r"\\text\{([^}]+)\}", "$1"), F.lit("$"), F.lit(""))
 

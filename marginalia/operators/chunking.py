@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.text import ColumnOrName, _c, let, sanitize, squeeze, strip, text, unit_id, word_count
 
+# Headers of units and sections, what front matter says, and titles that say nothing.
 _TITLE = r"(?:[ \t]+([^\n]{1,180})|[ \t]*\n[ \t]*([^\n]{1,180}))?"
 UNIT = r"[ \t]*((?:unit|chapter)\s+\d+[a-zA-Z0-9-]*)" + _TITLE
 SECTION = (
