@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,13 +20,18 @@ from pyspark.sql import types as T
 
 from marginalia.functions.text import contains_ci, language, word_count
 from marginalia.operators.names import cleared
+from marginalia.sources.shared import written
 
 #: Queries that a task meets, and chunks, about.
 QUERY_BLOCK, PART_CHUNKS = 4096, 1 << 15
 #: Chunks of a document from which on it is dealt out in pieces of so many.
 SPLIT = 1 << 13
+#: Ids of queries that are broadcast at most.
+BROADCAST_IDS = 1_000_000
 #: Scores that a task has in hand at a time.
-CELLS = 1 << 21
+CELLS = 1 << 20
+#: Rows and bytes, about, that a task gives out at a time.
+OUT_ROWS, OUT_BYTES = 1 << 16, 1 << 24
 
 
 @dataclass(frozen=True)
@@ -155,20 +161,23 @@ def score(chunks: DataFrame, queries: DataFrame, keep: Keep | None = None) -> Da
     carried = [c for c in chunks.columns if c != "embedding"]
     order = [(c, "ascending") for c in ("document_id", "pos", "chunk_id") if c in carried]
 
-    def meet(asked: pa.Table, own: pa.Table) -> pa.Table:
-        found = [own.select(carried).slice(0, 0).append_column("query_id", asked.column("query_id").slice(0, 0)).append_column("sim", pa.array([], pa.float64()))]
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Both sides of a group, whose pairs leave it in pieces: what is held does not grow with their number."""
+        both = pa.Table.from_batches(batches)
+        asked, own = (both.filter(pa.compute.equal(both.column("rt_side"), side)) for side in (0, 1))
         if order and own.num_rows:
             own = own.take(pa.compute.sort_indices(own, order, null_placement="at_start"))
         sizes = lambda t, c: t.column(c).combine_chunks().value_lengths().to_numpy()
         matrix = lambda t, c, at, n: t.column(c).take(pa.array(at)).combine_chunks().flatten().to_numpy().reshape(-1, n)
         length = lambda m: np.maximum(np.sqrt((m * m).sum(1)), 0) + (m == 0).all(1)
         flag = lambda t, c: t.column(c).combine_chunks().fill_null(False).to_numpy(zero_copy_only=False) if c else np.ones(t.num_rows, bool)
-        n_asked, n_own = sizes(asked, "query"), sizes(own, "embedding")
+        n_asked, n_own = sizes(asked, "rt_vector"), sizes(own, "rt_vector")
         for n in np.intersect1d(n_asked, n_own).tolist():
             i, j = np.flatnonzero(n_asked == n), np.flatnonzero(n_own == n)
-            q, c = matrix(asked, "query", i, n), matrix(own, "embedding", j, n)
+            q, c = matrix(asked, "rt_vector", i, n), matrix(own, "rt_vector", j, n)
             mine = own.take(pa.array(j))
             carry, split = mine.select(carried), flag(mine, "rt_split")
+            rows = min(OUT_ROWS, max(1, OUT_BYTES // (1 + carry.nbytes // len(j))))
             usable, preferred = (flag(mine, c) for c in ((keep.usable, keep.preferred) if keep else (None, None)))
             ends = [*np.flatnonzero(_changes(mine.column("document_id").combine_chunks())).tolist(), len(j)] if keep and keep.by_document else []
             q_length, c_length, step = length(q), length(c), max(1, CELLS // max(1, len(j)))
@@ -182,12 +191,14 @@ def score(chunks: DataFrame, queries: DataFrame, keep: Keep | None = None) -> Da
                     if keep.unlike:
                         sim[np.equal.outer(ids.to_numpy(), mine.column(keep.unlike).to_numpy())] = -np.inf
                     row, col = np.nonzero(selected(sim, keep, list(zip(ends, ends[1:], strict=False)), split, usable, preferred))
-                found.append(carry.take(pa.array(col)).append_column("query_id", ids.take(pa.array(row))).append_column("sim", pa.array(sim[row, col])))
-        return pa.concat_tables(found)
+                for k in range(0, len(row), rows):
+                    r, o = row[k : k + rows], col[k : k + rows]
+                    yield from carry.take(pa.array(o)).append_column("query_id", ids.take(pa.array(r))).append_column("sim", pa.array(sim[r, o])).combine_chunks().to_batches()
 
-    right = right.withColumn("b", every(blocks))
     schema = T.StructType([f for f in chunks.schema.fields if f.name != "embedding"] + [queries.schema["query_id"], T.StructField("sim", T.DoubleType())])
-    return back(left.groupBy("b", "p").cogroup(right.groupBy("b", "p")).applyInArrow(meet, schema))
+    left = left.select("b", "p", F.lit(0).alias("rt_side"), "query_id", F.col("query").alias("rt_vector"))
+    right = right.withColumn("b", every(blocks)).withColumn("rt_side", F.lit(1)).withColumnRenamed("embedding", "rt_vector")
+    return back(left.unionByName(right, allowMissingColumns=True).groupBy("b", "p").applyInArrow(meet, schema))
 
 
 def _changes(column: pa.Array) -> np.ndarray:
@@ -213,12 +224,20 @@ def without_glossary(x: DataFrame, title: str = "title") -> DataFrame:
     return x.filter(~F.coalesce(contains_ci(title, "glossary"), F.lit(False)))
 
 
-def language_filter(x: DataFrame, wanted: str | None, told: Column | None = None) -> DataFrame:
-    """Hits in the wanted or an unknown language; all of a query's hits if there are none. told is the language, the text's own by default."""
+def language_filter(x: DataFrame, wanted: str | None, told: Column | None = None, twice: bool = False) -> DataFrame:
+    """Hits in the wanted or an unknown language; all of a query's hits if there are none. told is the language, the text's own by default.
+
+    With twice, for hits as many as pairs, x is worked out twice and not shuffled: first for the queries that have
+    fitting hits, which are written, then for the hits. So it must give the same rows again.
+    """
     if not wanted:
         return x
     x = x.withColumn("fits", (language("text") if told is None else told).isin(wanted, "unknown"))
-    return x.withColumn("any_fits", F.max("fits").over(Window.partitionBy("query_id"))).filter("fits OR NOT any_fits").drop("fits", "any_fits")
+    if not twice:
+        return x.withColumn("any_fits", F.max("fits").over(Window.partitionBy("query_id"))).filter("fits OR NOT any_fits").drop("fits", "any_fits")
+    some = written(x.filter("fits").select(F.col("query_id").alias("fitting"), F.lit(True).alias("any_fits")).distinct())
+    some = F.broadcast(some) if some.count() <= BROADCAST_IDS else some
+    return x.join(some, F.col("query_id").eqNullSafe(F.col("fitting")), "left").filter("fits OR any_fits IS NULL").drop("fits", "fitting", "any_fits")
 
 
 def drop_off(x: DataFrame, most: float = 0.20, tie: tuple[str, ...] = ("document_id", "pos")) -> DataFrame:

@@ -20,11 +20,11 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def chunks(self) -> DataFrame:
-        """Vectors with the text of the document of their number; labels play documents."""
-        d = self.documents.select(F.col("doc_id").alias("vec_id"), "text", "source")
+    def chunks(self, *more: Column) -> DataFrame:
+        """Vectors with the text of the document of their number; labels play documents. more of documents is worked out before they are joined."""
+        d = self.documents.select(F.col("doc_id").alias("vec_id"), "text", "source", *more)
         return self.embeddings.join(d, "vec_id").select(
-            F.col("label").alias("document_id"), F.col("vec_id").alias("pos"), F.concat(F.lit("c"), F.col("vec_id").cast("string")).alias("chunk_id"), F.col("source").alias("title"), "text", "embedding")
+            F.col("label").alias("document_id"), F.col("vec_id").alias("pos"), F.concat(F.lit("c"), F.col("vec_id").cast("string")).alias("chunk_id"), F.col("source").alias("title"), "text", "embedding", *[c for c in d.columns if c not in ("vec_id", "text", "source")])
 
     def asked(self) -> DataFrame:
         """The stated set of queries, which grows with the table."""
