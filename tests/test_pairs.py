@@ -23,3 +23,22 @@ def test_the_language_query_neither_carries_texts_nor_shuffles_pairs(spark, sf_d
     shown = plan(QUERIES["flt6_language_filter"](spark, sf_dir))
     scores = next(line for line in shown.splitlines() if "InArrow" in line)
     assert "Window" not in shown and "text" not in scores.split(", [")[-1]
+
+
+def test_the_glossary_is_left_out_before_vectors_are_compared(spark, sf_dir):
+    shown = plan(QUERIES["flt5_without_glossary"](spark, sf_dir)).splitlines()
+    scores = next(k for k, line in enumerate(shown) if "InArrow" in line)
+    assert "title" not in shown[scores] and "source" not in shown[scores]
+    assert any("glossary" in line for line in shown[scores:]) and not any("glossary" in line for line in shown[:scores])
+
+
+def test_pairs_leave_a_task_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "OUT_ROWS", 7)
+    rows = [(k % 3, k, [1.0, float(k)]) for k in range(40)]
+    chunks = spark.createDataFrame(rows, "document_id int, pos long, embedding array<double>")
+    asked = spark.createDataFrame([(q, [float(q), 1.0]) for q in range(5)], "query_id long, query array<double>")
+    scores = retrieval.score(chunks, asked)
+    assert "CoGroup" not in plan(scores)  # a cogroup's function has to give out all its rows at once
+    got = {(r["query_id"], r["pos"]): r["sim"] for r in scores.collect()}
+    want = {(q, k): round((q + k) / ((q * q + 1) ** 0.5 * (1 + k * k) ** 0.5), 12) for q in range(5) for k in range(40)}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-11 for x in want)
