@@ -7,6 +7,8 @@ All orders are total: (document, position).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ _BEFORE, _AFTER = "\x01", "\x02"
 def _header(part: Column, pattern: str) -> tuple[Column, Column]:
     """Marker and title of a part that begins with a header."""
     at = r"(?iUmd)\A" + pattern
-    inline, after = F.regexp_extract(part, at, 2), F.regexp_extract(part, at, 3)
+    inline, after = F.regexp_extract(part, at, 2), F.regexp_extract(part, at, 3) if re.compile(pattern).groups > 2 else F.lit("")
     return strip(F.regexp_extract(part, at, 1)), strip(F.when(inline != "", inline).otherwise(after))
 
 
@@ -76,12 +78,12 @@ def split_units(docs: DataFrame, min_words: int = 80) -> DataFrame:
     return x.select("base_id", "unit_idx", "u.*")
 
 
-def _sections(body: ColumnOrName) -> Column:
+def _sections(body: ColumnOrName, header: str = SECTION) -> Column:
     """array of struct(marker, title, body) of the sections in a unit's text."""
-    marked = F.regexp_replace(_c(body), r"(?iUmd)^" + SECTION, _BEFORE + "$0" + _AFTER)
+    marked = F.regexp_replace(_c(body), r"(?iUmd)^" + header, _BEFORE + "$0" + _AFTER)
 
     def section(part: Column) -> Column:
-        marker, title = _header(F.substring_index(part, _AFTER, 1), SECTION)
+        marker, title = _header(F.substring_index(part, _AFTER, 1), header)
         return F.struct(marker.alias("marker"), strip(F.concat_ws(" ", marker, title)).alias("title"), strip(F.substring_index(part, _AFTER, -1)).alias("body"))
 
     return F.transform(F.slice(F.split(marked, _BEFORE), 2, 1 << 30), section)
@@ -91,9 +93,14 @@ def _is_section() -> Column:
     return ~is_contents("marker", "body", "title") & ~is_front_matter("body", "title")
 
 
-def split_sections(units: DataFrame, keys: tuple[str, ...] = ("base_id", "unit_idx")) -> DataFrame:
-    """units to the sections in them: the keys, pos, marker, title, body; contents and front matter are left out."""
-    x = units.select(*keys, F.posexplode(_sections("text")).alias("pos", "s"))
+def split_sections(units: DataFrame, keys: tuple[str, ...] = ("base_id", "unit_idx"), header: str = SECTION) -> DataFrame:
+    """units to the sections in them: the keys, pos, marker, title, body; contents and front matter are left out.
+
+    header is the pattern of a section's header: the marker, the title behind it and, if there is a third group,
+    the title on a line below. By the default any decimals that begin a line are one, an IP address as well; a
+    corpus that knows its headers says so.
+    """
+    x = units.select(*keys, F.posexplode(_sections("text", header)).alias("pos", "s"))
     return x.select(*keys, "pos", "s.*").filter(_is_section())
 
 
@@ -124,16 +131,16 @@ def with_parents(sections: DataFrame, keys: tuple[str, ...], id_col: str, none:
     return sections.withColumn("parent_id", parent)
 
 
-def chunk(docs: DataFrame, most: int = 800) -> DataFrame:
+def chunk(docs: DataFrame, most: int = 800, header: str = SECTION) -> DataFrame:
     """docs (document_id, full_text) to chunks: chunk_id, document_id, pos, text, title, level, parent_id, word_count.
 
     A root, and for each unit that is no front matter its first 1200 characters and its sections. Units
-    and sections go through the windows together, so that a text is parsed once.
+    and sections go through the windows together, so that a text is parsed once. header is as in split_sections.
     """
     units = split_units(docs).filter(~is_front_matter(F.left("text", F.lit(1500)), "title"))
     title = F.when(F.col("title") == "", F.concat(F.lit("Unit "), (F.col("unit_idx") + 1).cast("string"))).otherwise(F.col("title"))
     head = F.struct(F.lit("").alias("marker"), title.alias("title"), F.left("text", F.lit(1200)).alias("body"))
-    x = units.select("base_id", "unit_idx", F.posexplode(F.concat(F.array(head), _sections("text"))).alias("pos", "s")).select("base_id", "unit_idx", "pos", "s.*")
+    x = units.select("base_id", "unit_idx", F.posexplode(F.concat(F.array(head), _sections("text", header))).alias("pos", "s")).select("base_id", "unit_idx", "pos", "s.*")
     is_head = F.col("pos") == 0
     x = merge_titles(x.filter(is_head | _is_section()), most=most, plain=is_head)
     unit = F.concat(F.col("base_id"), F.lit("_unit_"), F.col("unit_idx").cast("string"))
