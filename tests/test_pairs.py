@@ -42,3 +42,8 @@ def test_pairs_leave_a_task_in_pieces(spark, monkeypatch):
     got = {(r["query_id"], r["pos"]): r["sim"] for r in scores.collect()}
     want = {(q, k): round((q + k) / ((q * q + 1) ** 0.5 * (1 + k * k) ** 0.5), 12) for q in range(5) for k in range(40)}
     assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-11 for x in want)
+
+
+def test_the_flagship_gives_as_many_hits_as_are_within_its_wide_share(spark, sf_dir):
+    got = QUERIES["ret1_retrieve"](spark, sf_dir)
+    assert got.count() == QUERIES["ret1_retrieve_wide"](spark, sf_dir).count() == 5 * got.select("query_id").distinct().count()
