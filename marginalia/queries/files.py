@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 import pyarrow.fs  # noqa: F401
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import word_count
@@ -115,13 +115,14 @@ def _(x):
 
 @query("src5_one_map", "SELECT 'd' || doc_id AS document_id, source AS store_path, coalesce(left(text, 400), '') AS unit_title FROM documents")
 def _(x):
-    """One file with one map, whose strings hold quotes, braces and commas as the texts do."""
+    """One map in parts, whose strings hold quotes, braces and commas as the texts do. Rows end with the brace that ends their line."""
     path = scratch(x.spark, "map")
     entry = F.concat(F.to_json(F.struct(F.concat(F.lit("d"), "doc_id").alias("k"))).substr(F.lit(6), F.length(F.concat(F.lit("d"), "doc_id")) + 2), F.lit(": "),
                      F.to_json(F.struct(F.col("source").alias("store_path"), F.coalesce(F.left("text", F.lit(400)), F.lit("")).alias("unit_title"))))
-    rows = x.documents.select(F.lit(1).alias("at"), F.col("doc_id"), F.concat(F.when(F.row_number().over(Window.orderBy("doc_id")) > 1, ", ").otherwise(""), entry).alias("value"))
-    ends = x.spark.createDataFrame([(0, 0, '{"made": {"by": "a, {b"}, "documents": {'), (2, 0, '}, "n": [1, {"d0": {}}]}')], "at int, doc_id long, value string")
-    rows.unionByName(ends).orderBy("at", "doc_id").select("value").coalesce(1).write.text(path)
+    first, head, tail = x.documents.agg(F.min("doc_id").alias("first")), '{"made": {"by": "a, {b"}, "documents": {', '}, "n": [1, {"d0": {}}]}'
+    rows = x.documents.join(F.broadcast(first)).select(F.lit(1).alias("at"), "doc_id", F.concat(F.when(F.col("doc_id") == F.col("first"), head).otherwise(", "), entry).alias("value"))
+    end = first.select(F.lit(2).alias("at"), F.lit(0).alias("doc_id"), F.concat(F.when(F.col("first").isNull(), head).otherwise(""), F.lit(tail)).alias("value"))
+    rows.unionByName(end).orderBy("at", "doc_id").select(F.expr("left(value, length(value) - 1)").alias("value")).write.option("lineSep", "}").text(path)
     return readers.master_index(x.spark, path).select("document_id", "store_path", "unit_title")
 
 

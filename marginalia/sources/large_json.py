@@ -1,6 +1,8 @@
 """The entries of one large JSON map, read in byte ranges.
 
-Spark reads the file in splits, cut behind closing braces. Whether a split begins inside a string, and at what
+The map is one file, or a folder of files that are its text when they are put together in the order of their
+names, as a sorted table of lines is written; all but the last end with a closing brace.
+Spark reads files in splits, cut behind closing braces. Whether a split begins inside a string, and at what
 depth of nesting, follows from the splits before it: a first pass notes for each split the parity of its quotes
 and by how much the depth changes inside and outside of strings, a few numbers a split that are added up in
 order. A second pass cuts each split at the borders of entries. An entry that lies across splits is put
@@ -20,17 +22,18 @@ from pyspark.sql import functions as F
 
 from marginalia.sources.shared import written
 
-_PIECE = "block bigint, nth bigint, begun boolean, ended boolean, wanted boolean, last boolean, text string"
+_PIECE = "block string, nth bigint, begun boolean, ended boolean, wanted boolean, last boolean, text string"
 
 
-def _splits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, bytes]]:
-    """Where the split begins, whether it is a new one, and the next of its bytes."""
+def _splits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bool, bytes]]:
+    """Which split it is, whether it is a new one, and the next of its bytes."""
     before = None
     for batch in batches:
-        starts = batch.column("block").to_numpy()
+        block_of = batch.column("block").dictionary_encode()
+        starts = block_of.indices.to_numpy()
         for at in np.flatnonzero(np.concatenate([[True], starts[1:] != starts[:-1]])).tolist() if len(starts) else ():
-            block = int(starts[at])
-            rows = batch.column("value").slice(at, int((starts[at:] == block).sum())).to_pylist()
+            block = block_of[at].as_py()
+            rows = batch.column("value").slice(at, int((starts[at:] == starts[at]).sum())).to_pylist()
             yield block, block != before, "".join(f"{r}}}" for r in rows).encode()
             before = block
 
@@ -49,7 +52,7 @@ def _scan(data: bytes, in_string: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 def _noted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each split the parity of its quotes and the changes of depth, for either beginning."""
-    found: dict[int, list[int]] = {}
+    found: dict[str, list[int]] = {}
     for block, _, data in _splits(batches):
         note = found.setdefault(block, [0, 0, 0])
         x, inside, step = _scan(data, note[0])
@@ -57,10 +60,10 @@ def _noted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         note[1], note[2] = note[1] + flat, note[2] + deep
         note[0] = int(inside[-1]) if len(x) else note[0]
     names = ("block", "parity", "outside", "within")
-    yield pa.RecordBatch.from_pydict({n: pa.array([k if n == "block" else v[i - 1] for k, v in found.items()], pa.int64()) for i, n in enumerate(names)})
+    yield pa.RecordBatch.from_pydict({n: pa.array([k if n == "block" else v[i - 1] for k, v in found.items()], pa.string() if n == "block" else pa.int64()) for i, n in enumerate(names)})
 
 
-def _cutter(begins: dict[int, tuple[int, int]], key: str):
+def _cutter(begins: dict[str, tuple[int, int]], key: str):
     """The function that cuts splits at the borders of entries; begins: of each split whether it begins in a string, and the depth."""
     opening = re.compile(rb'"' + re.escape(key.encode()) + rb'"\s*:\s*\Z')
 
@@ -71,7 +74,7 @@ def _cutter(begins: dict[int, tuple[int, int]], key: str):
             rows.append((block, nth, begun, ended, wanted, last, b"".join(held).decode()))
 
         def table() -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string())
+            kinds = (pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string())
             out = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(7)], names=[c.split(" ")[0] for c in _PIECE.split(", ")])
             rows.clear()
             return out
@@ -110,10 +113,12 @@ def _cutter(begins: dict[int, tuple[int, int]], key: str):
 def map_entries(spark: SparkSession, path: str, key: str) -> DataFrame:
     """value: a map of one entry, as JSON, for each entry of the map that the file's map has under key.
 
-    The file is one JSON map in UTF-8, of any size; an entry must fit in memory. Its other values are passed over.
+    The file, or the files of the folder together, are one JSON map in UTF-8, of any size; an entry must fit in memory.
+    Its other values are passed over.
     """
-    lines = spark.read.option("lineSep", "}").text(path).select(F.col("_metadata.file_block_start").alias("block"), "value")
-    notes = sorted(lines.mapInArrow(_noted, "block bigint, parity bigint, outside bigint, within bigint").collect())  # a row a split
+    block = F.concat("_metadata.file_name", F.lit(" "), F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0"))
+    lines = spark.read.option("lineSep", "}").text(path).select(block.alias("block"), "value")
+    notes = sorted(lines.mapInArrow(_noted, "block string, parity bigint, outside bigint, within bigint").collect())  # a row a split
     begins, in_string, depth = {}, 0, 0
     for n in notes:
         begins[n.block] = (in_string, depth)

@@ -72,7 +72,7 @@ def full_texts(page_rows: DataFrame, sep: str = "\n\n") -> DataFrame:
 
 
 def master_index(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """A row a document of a master index: one file with a map from id to metadata under documents, or with lines a JSON object a line.
+    """A row a document of a master index: one file, or a folder of its parts in order, with a map from id to metadata under documents, or with lines a JSON object a line.
 
     Either is read in byte ranges.
     """
