@@ -1,6 +1,6 @@
 """Pages of an archive by ranges: a data source whose input partitions are stretches of a file's pages.
 
-So a file of many pages is many tasks, a lost executor costs a stretch, and a stream of the archive reads the
+So a file of many pages is many tasks, files of few pages share one, and a stream of the archive reads the
 files that have arrived since its checkpoint. What opens files is passed in.
 """
 
@@ -23,8 +23,10 @@ from marginalia.functions.text import clean_page
 
 #: A page as it is read: its place in the file from 0; a stretch that fails is one row with the error.
 ROW = "path string, place int, text string, error string"
-#: Files that the driver opens at a time to count their pages.
+#: Files that a stream's driver opens at a time to count their pages.
 OPENERS = 16
+#: Bytes of whole files that one task reads, about, and files that one task counts.
+PACK_BYTES, COUNTED = 1 << 24, 256
 
 
 class PageReader(Protocol):
@@ -47,46 +49,73 @@ class Stretch(InputPartition):
     error: str | None = None
 
 
-def listed(root: str, pattern: str) -> list[tuple[int, str]]:
-    """Time of change in nanoseconds and path of the files below root whose names fit, in any folder, in that order."""
+@dataclass
+class Pack(InputPartition):
+    """Stretches that one task reads."""
+
+    stretches: list[Stretch]
+
+
+def listed(root: str, pattern: str) -> list[tuple[int, str, int]]:
+    """Time of change in nanoseconds, path and bytes of the files below root whose names fit, in any folder, in that order."""
     fs, folder = pa.fs.FileSystem.from_uri(root)
     found = fs.get_file_info(pa.fs.FileSelector(folder, recursive=True))
-    return sorted((f.mtime_ns or 0, f.path) for f in found if f.is_file and fnmatch.fnmatch(f.base_name, pattern))
+    return sorted((f.mtime_ns or 0, f.path, f.size or 0) for f in found if f.is_file and fnmatch.fnmatch(f.base_name, pattern))
+
+
+def _counted(reader: PageReader, path: str) -> tuple[int, str | None]:
+    """The number of a file's pages, or why it could not be opened: one bad file must not end the run."""
+    try:
+        return reader.count(path), None
+    except Exception as e:
+        return 0, f"{type(e).__name__}: {e}"
+
+
+def packed(files: list[tuple[str, int, int, str | None]], task_pages: int) -> list[Pack]:
+    """Files (path, bytes, pages, error) as tasks: one for task_pages pages of a file of more, else one for whole files of PACK_BYTES."""
+    packs, held, size = [], [], 0
+    for path, length, n, error in files:
+        if n > task_pages:
+            packs += [Pack([Stretch(path, at, min(n, at + task_pages))]) for at in range(0, n, task_pages)]
+        elif n or error:
+            if held and size + length > PACK_BYTES:
+                packs.append(Pack(held))
+                held, size = [], 0
+            held.append(Stretch(path, 0, n, error))
+            size += length
+    return [*packs, *([Pack(held)] if held else [])]
 
 
 class _Pages:
     def __init__(self, reader: PageReader, options: dict):
         self.reader, self.root, self.pattern, self.task_pages = reader, options["root"], options["pattern"], int(options["task_pages"])
 
-    def stretches(self, paths: list[str]) -> list[Stretch]:
-        def cut(path: str) -> list[Stretch]:
-            try:
-                n = self.reader.count(path)
-            except Exception as e:  # one bad file must not end the run
-                return [Stretch(path, 0, 0, f"{type(e).__name__}: {e}")]
-            return [Stretch(path, at, min(n, at + self.task_pages)) for at in range(0, n, self.task_pages)]
-
-        with ThreadPoolExecutor(OPENERS) as pool:
-            return [s for found in pool.map(cut, paths) for s in found]
+    def read(self, partition: Pack) -> Iterator[tuple]:
+        for stretch in partition.stretches:
+            yield from self.pages(stretch)
 
-    def read(self, partition: Stretch) -> Iterator[tuple]:
-        error = partition.error
+    def pages(self, stretch: Stretch) -> Iterator[tuple]:
+        error = stretch.error
         if error is None:
             try:
-                texts = self.reader.read(partition.path, partition.first, partition.last)
-                yield from ((partition.path, place, text, None) for place, text in enumerate(texts, partition.first))
+                texts = self.reader.read(stretch.path, stretch.first, stretch.last)
+                yield from ((stretch.path, place, text, None) for place, text in enumerate(texts, stretch.first))
             except Exception as e:
                 error = f"{type(e).__name__}: {e}"
         if error is not None:
-            yield partition.path, -1, None, error
+            yield stretch.path, -1, None, error
 
 
 class _Batch(_Pages, DataSourceReader):
-    def partitions(self) -> list[Stretch]:
-        return self.stretches([path for _, path in listed(self.root, self.pattern)]) or [Stretch("", 0, 0, "")]
+    def __init__(self, reader: PageReader, options: dict, packs: list[Pack]):
+        super().__init__(reader, options)
+        self.packs = packs
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"packs": []}  # tasks need their own only
 
-    def read(self, partition: Stretch) -> Iterator[tuple]:
-        return iter(()) if partition.error == "" else super().read(partition)
+    def partitions(self) -> list[Pack]:
+        return self.packs or [Pack([])]
 
 
 class _Stream(_Pages, DataSourceStreamReader):
@@ -96,15 +125,18 @@ class _Stream(_Pages, DataSourceStreamReader):
         return {"changed": -1, "path": ""}
 
     def latestOffset(self) -> dict:  # noqa: N802
-        changed, path = max(listed(self.root, self.pattern), default=(-1, ""))
+        changed, path, _ = max(listed(self.root, self.pattern), default=(-1, "", 0))
         return {"changed": changed, "path": path}
 
-    def partitions(self, start: dict, end: dict) -> list[Stretch]:
+    def partitions(self, start: dict, end: dict) -> list[Pack]:
         at = lambda o: (o["changed"], o["path"])
-        return self.stretches([f[1] for f in listed(self.root, self.pattern) if at(start) < f <= at(end)])
+        new = [f[1:] for f in listed(self.root, self.pattern) if at(start) < f[:2] <= at(end)]
+        with ThreadPoolExecutor(OPENERS) as pool:
+            counts = list(pool.map(lambda f: _counted(self.reader, f[0]), new))
+        return packed([(*f, *c) for f, c in zip(new, counts, strict=True)], self.task_pages)
 
 
-def _source(reader: PageReader) -> type[DataSource]:
+def _source(reader: PageReader, packs: list[Pack]) -> type[DataSource]:
     called = f"pages_{uuid.uuid4().hex[:8]}"
 
     class Pages(DataSource):
@@ -116,7 +148,7 @@ def _source(reader: PageReader) -> type[DataSource]:
             return ROW
 
         def reader(self, schema) -> DataSourceReader:
-            return _Batch(reader, self.options)
+            return _Batch(reader, self.options, packs)
 
         def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802  Spark's name
             return _Stream(reader, self.options)
@@ -124,13 +156,24 @@ def _source(reader: PageReader) -> type[DataSource]:
     return Pages
 
 
+def _planned(spark: SparkSession, root: str, reader: PageReader, pattern: str, task_pages: int) -> list[Pack]:
+    """The tasks of a batch; pages are counted by Spark, a row a file."""
+    files = [f[1:] for f in listed(root, pattern)]
+    if not files:
+        return []
+    tasks = max(1, min(len(files), max(spark.sparkContext.defaultParallelism, len(files) // COUNTED)))
+    counted = spark.sparkContext.parallelize(files, tasks).map(lambda f: (*f, *_counted(reader, f[0]))).collect()
+    return packed(counted, task_pages)
+
+
 def page_rows(spark: SparkSession, root: str, reader: PageReader, pattern: str = "*.pdf", task_pages: int = 64, stream: bool = False) -> DataFrame:
     """ROW of the files below root, a task for task_pages pages of a file; with stream, of those that arrive.
 
     A stream takes a file for new if it was changed after those it knows, so put files in place by a write or a
-    move that sets their time. The driver lists the folder and counts pages, OPENERS files at a time.
+    move that sets their time. The driver lists the folder; tasks count the pages, or for a stream the driver does,
+    OPENERS files at a time. What a batch reads is what was there when this was called.
     """
-    source = _source(reader)
+    source = _source(reader, [] if stream else _planned(spark, root, reader, pattern, task_pages))
     spark.dataSource.register(source)
     return (spark.readStream if stream else spark.read).format(source.name()).options(root=root, pattern=pattern, task_pages=str(task_pages)).load()
 

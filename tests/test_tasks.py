@@ -3,8 +3,8 @@
 import json
 
 from marginalia.operators.ordering import numbered
-from marginalia.queries import QUERIES
-from marginalia.sources import large_json
+from marginalia.queries import QUERIES, files
+from marginalia.sources import large_json, pages
 
 
 def test_long_texts_are_numbered_in_several_tasks(spark):
@@ -33,8 +33,6 @@ def test_a_map_in_several_files(spark, tmp_path):
 
 
 def test_the_map_is_written_by_several_tasks(spark, sf_dir, monkeypatch):
-    from marginalia.queries import files
-
     paths, scratch = [], files.scratch
     monkeypatch.setattr(files, "scratch", lambda *a: paths.append(scratch(*a)) or paths[-1])
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
@@ -43,3 +41,11 @@ def test_the_map_is_written_by_several_tasks(spark, sf_dir, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(spark.read.text(paths[0]).inputFiles()) > 1
+
+
+def test_files_of_few_pages_share_a_task(spark, tmp_path):
+    for k in range(60):
+        (tmp_path / f"f{k}.txt").write_bytes(f"page of {k}\f".encode() * (200 if k == 7 else 3))
+    rows = pages.page_rows(spark, str(tmp_path), files._FormFeeds(), "*.txt", task_pages=50)
+    assert rows.rdd.getNumPartitions() == 4 + 1
+    assert rows.count() == 59 * 3 + 200 and rows.filter("text <> concat('page of ', regexp_extract(path, 'f([0-9]+)', 1))").isEmpty()
