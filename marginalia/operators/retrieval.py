@@ -23,13 +23,13 @@ from marginalia.operators.names import cleared
 from marginalia.sources.shared import written
 
 #: Queries that a task meets, and chunks, about.
-QUERY_BLOCK, PART_CHUNKS = 4096, 1 << 15
+QUERY_BLOCK, PART_CHUNKS = 1 << 14, 1 << 13
 #: Chunks of a document from which on it is dealt out in pieces of so many.
 SPLIT = 1 << 13
 #: Ids of queries that are broadcast at most.
 BROADCAST_IDS = 1_000_000
 #: Scores that a task has in hand at a time.
-CELLS = 1 << 20
+CELLS = 1 << 19
 #: Rows and bytes, about, that a task gives out at a time.
 OUT_ROWS, OUT_BYTES = 1 << 16, 1 << 24
 
@@ -145,7 +145,8 @@ def score(chunks: DataFrame, queries: DataFrame, keep: Keep | None = None) -> Da
     A stated set of queries against all chunks: without keep a row a pair, with keep those that a ranking by
     it may need, as each task selects from its scores before it gives out a row. Queries are dealt into blocks
     of about QUERY_BLOCK rows and chunks into parts of about PART_CHUNKS; a part meets a block in one task as
-    products of matrices. So any number of queries is one plan, and nothing is broadcast that grows with them.
+    products of matrices. So any number of queries is one plan, and nothing is broadcast that grows with them;
+    what a task holds is bounded by a block and a part. Vectors of floats are sent as such and widened there.
     Vectors are compared with those of their length; a zero vector is like nothing. Null vectors and vectors
     with nulls take no part. Of queries of one id one counts, that of the largest vector. Own columns called
     query_id or sim give way; what chunks carry is copied to every hit, so join texts to those that stay.
@@ -153,9 +154,10 @@ def score(chunks: DataFrame, queries: DataFrame, keep: Keep | None = None) -> Da
     chunks, back = cleared(chunks, ("query_id", "sim", "p", "b"), ("embedding",), "rt_")
     sound = lambda c: F.col(c).isNotNull() & F.forall(c, lambda x: x.isNotNull())
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("query_id", F.col("query").cast("array<double>").alias("query")).filter(sound("query")).groupBy("query_id").agg(F.max("query").alias("query"))
+    kind = "array<float>" if {queries.schema["query"].dataType.elementType, chunks.schema["embedding"].dataType.elementType} == {T.FloatType()} else "array<double>"
+    left = queries.select("query_id", F.col("query").cast(kind).alias("query")).filter(sound("query")).groupBy("query_id").agg(F.max("query").alias("query"))
     blocks = max(1, -(-left.count() // QUERY_BLOCK))
-    right = chunks.withColumn("embedding", F.col("embedding").cast("array<double>")).filter(sound("embedding"))
+    right = chunks.withColumn("embedding", F.col("embedding").cast(kind)).filter(sound("embedding"))
     right, parts = _dealt(right, keep)
     left = left.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("p", every(parts))
     carried = [c for c in chunks.columns if c != "embedding"]
@@ -163,28 +165,38 @@ def score(chunks: DataFrame, queries: DataFrame, keep: Keep | None = None) -> Da
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Both sides of a group, whose pairs leave it in pieces: what is held does not grow with their number."""
-        both = pa.Table.from_batches(batches)
-        asked, own = (both.filter(pa.compute.equal(both.column("rt_side"), side)) for side in (0, 1))
+        sides: tuple[list, list] = ([], [])
+        for x in batches:
+            for side, rows in enumerate(sides):
+                if (some := x.filter(pa.compute.equal(x.column("rt_side"), side))).num_rows:
+                    rows.append(some.select(["query_id", "rt_vector"] if side == 0 else [*carried, "rt_split", "rt_vector"]))
+        if not all(sides):
+            return
+        asked, own = (pa.Table.from_batches(rows) for rows in sides)
         if order and own.num_rows:
             own = own.take(pa.compute.sort_indices(own, order, null_placement="at_start"))
         sizes = lambda t, c: t.column(c).combine_chunks().value_lengths().to_numpy()
-        matrix = lambda t, c, at, n: t.column(c).take(pa.array(at)).combine_chunks().flatten().to_numpy().reshape(-1, n)
+        matrix = lambda t, c, at, n: t.column(c).take(pa.array(at)).combine_chunks().flatten().to_numpy().reshape(-1, n).astype(float)
         length = lambda m: np.maximum(np.sqrt((m * m).sum(1)), 0) + (m == 0).all(1)
         flag = lambda t, c: t.column(c).combine_chunks().fill_null(False).to_numpy(zero_copy_only=False) if c else np.ones(t.num_rows, bool)
         n_asked, n_own = sizes(asked, "rt_vector"), sizes(own, "rt_vector")
         for n in np.intersect1d(n_asked, n_own).tolist():
             i, j = np.flatnonzero(n_asked == n), np.flatnonzero(n_own == n)
-            q, c = matrix(asked, "rt_vector", i, n), matrix(own, "rt_vector", j, n)
+            c = matrix(own, "rt_vector", j, n)
             mine = own.take(pa.array(j))
             carry, split = mine.select(carried), flag(mine, "rt_split")
             rows = min(OUT_ROWS, max(1, OUT_BYTES // (1 + carry.nbytes // len(j))))
             usable, preferred = (flag(mine, c) for c in ((keep.usable, keep.preferred) if keep else (None, None)))
             ends = [*np.flatnonzero(_changes(mine.column("document_id").combine_chunks())).tolist(), len(j)] if keep and keep.by_document else []
-            q_length, c_length, step = length(q), length(c), max(1, CELLS // max(1, len(j)))
+            c_length, step = length(c), max(1, CELLS // max(1, len(j)))
             for at in range(0, len(i), step):
-                some = slice(at, at + step)
-                sim = np.round(q[some] @ c.T / (q_length[some, None] * c_length[None, :]), 12) + 0.0
-                ids = asked.column("query_id").take(pa.array(i[some]))
+                some = i[at : at + step]
+                q = matrix(asked, "rt_vector", some, n)
+                sim = q @ c.T
+                sim /= length(q)[:, None] * c_length
+                np.round(sim, 12, out=sim)
+                sim += 0.0
+                ids = asked.column("query_id").take(pa.array(some))
                 if keep is None:
                     row, col = np.nonzero(np.ones(sim.shape, bool))
                 else:

@@ -47,3 +47,19 @@ def test_pairs_leave_a_task_in_pieces(spark, monkeypatch):
 def test_the_flagship_gives_as_many_hits_as_are_within_its_wide_share(spark, sf_dir):
     got = QUERIES["ret1_retrieve"](spark, sf_dir)
     assert got.count() == QUERIES["ret1_retrieve_wide"](spark, sf_dir).count() == 5 * got.select("query_id").distinct().count()
+
+
+def test_what_a_scoring_task_holds_does_not_grow(spark):
+    """Parts and blocks end at a fixed size, and floats are sent as floats; scores are those of doubles all the same."""
+    ids = spark.range(4 * 8192 * 8 * 2).select((F.col("id") % 3).alias("document_id"), F.col("id").alias("pos"))
+    dealt, parts = retrieval._dealt(ids, None)
+    assert dealt.groupBy("p").count().agg(F.max("count")).first()[0] < 10_000 and parts >= 64
+    rows = [(k % 3, k, [0.1, float(k), 0.3]) for k in range(40)]
+    asked = [(q, [float(q), 0.7, 0.1]) for q in range(5)]
+    scores = {}
+    for kind in ("float", "double"):
+        c = spark.createDataFrame(rows, "document_id int, pos long, embedding array<float>").withColumn("embedding", F.col("embedding").cast(f"array<{kind}>"))
+        y = retrieval.score(c, spark.createDataFrame(asked, "query_id long, query array<float>"))
+        assert "as array<double>" not in plan(y) or kind == "double"
+        scores[kind] = {(r["query_id"], r["pos"]): r["sim"] for r in y.collect()}
+    assert len(scores["float"]) == 200 and scores["float"] == scores["double"]
