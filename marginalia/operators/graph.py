@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import strip, wrap_label, word_count
-from marginalia.sources.shared import written
+from marginalia.sources.shared import few_first, written
 
 #: Relations that make the hierarchy; the graph builder writes the first two.
 RELATIONS = ("HAS_ROOT", "CONTAINS_SUBSECTION", "CONTAINS", "HAS_CHILD")
@@ -47,21 +47,32 @@ def _titled(title: Column, body: Column) -> Column:
     return F.when(title == "", body).otherwise(F.concat(F.lit("["), title, F.lit("]\n"), body))
 
 
-def expand(hits: DataFrame, chunks: DataFrame, graph_edges: DataFrame, most: int = 6, least_words: int = 5) -> DataFrame:
+def expand(hits: DataFrame, chunks: DataFrame, graph_edges: DataFrame, most: int = 6, least_words: int = 5, texts: DataFrame | None = None) -> DataFrame:
     """hits (document_id, chunk_id, text) with expanded_text and n_neighbors.
 
     Neighbours are parents, then children, each in edge order; short, missing, repeated ones and the
-    hit itself do not count towards most. Only edges of the hits' documents are read.
+    hit itself do not count towards most. Only edges of the hits' documents are read. texts, if given, holds
+    title and text by those of document_id, pos and chunk_id that it has, and chunks (with these) hold none; then
+    neighbours are chosen by counts of words, and texts are joined to those that stay.
     """
     hit = hits.select("document_id", "chunk_id").distinct()
     up = graph_edges.select("document_id", F.col("dst").alias("chunk_id"), F.col("src").alias("near"), F.lit(0).alias("side"), "ord")
     down = graph_edges.select("document_id", F.col("src").alias("chunk_id"), F.col("dst").alias("near"), F.lit(1).alias("side"), "ord")
     near = hit.join(up.unionByName(down), ["document_id", "chunk_id"]).filter("near <> chunk_id")
     near = near.groupBy("document_id", "chunk_id", "near").agg(F.min(F.struct("side", "ord")).alias("at"))
-    body = chunks.select("document_id", F.col("chunk_id").alias("near"), strip("title").alias("t"), strip("text").alias("b")).filter(word_count("b") > least_words)
-    near = near.join(body, ["document_id", "near"])
+    body = [strip("title").alias("t"), strip("text").alias("b")]
+    if texts is None:
+        nodes = chunks.select("document_id", F.col("chunk_id").alias("near"), *body).filter(word_count("b") > least_words)
+    else:
+        on = [c for c in ("document_id", "pos", "chunk_id") if c in texts.columns]
+        long = texts.filter(word_count(strip("text")) > least_words).select(*on)
+        nodes = chunks.join(long, on).select("document_id", F.col("chunk_id").alias("near"), *[F.col(c).alias(f"gx_{c}") for c in on])
+    near = near.join(nodes, ["document_id", "near"])
     order = Window.partitionBy("document_id", "chunk_id").orderBy("at", "near")
     near = near.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most)
+    if texts is not None:
+        bodies = texts.select(*[F.col(c).alias(f"gy_{c}") for c in on], *body)
+        near = few_first(near, bodies, [F.col(f"gx_{c}") == F.col(f"gy_{c}") for c in on])
     joined = near.groupBy("document_id", "chunk_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("nth", _titled(F.col("t"), F.col("b")).alias("x")))), lambda s: s["x"]).alias("blocks"))
     x = hits.join(joined, ["document_id", "chunk_id"], "left")

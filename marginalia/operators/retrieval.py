@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from marginalia.functions.text import contains_ci, language, word_count
 from marginalia.operators.names import cleared
-from marginalia.sources.shared import written
+from marginalia.sources.shared import few_first, written
 
 #: Queries that a task meets, and chunks, about.
 QUERY_BLOCK, PART_CHUNKS = 1 << 14, 1 << 13
@@ -69,7 +69,9 @@ def selected(sim: np.ndarray, keep: Keep, documents: list[tuple[int, int]], spli
     """Which of the scores (queries by chunks, in order of document and position) a ranking by keep may need.
 
     documents are the stretches of one document each. Chunks of a document that other tasks have pieces of
-    (split) are kept as far as the document's best go, as their places among these are known only later.
+    (split) are kept as far as the document's best go, as their places among these are known only later; but
+    once most usable, preferred ones are above, the rest of a piece can be neither among the query's best nor
+    push out one that is.
     """
     stays = sim > -np.inf
     if keep.by_document:
@@ -79,6 +81,12 @@ def selected(sim: np.ndarray, keep: Keep, documents: list[tuple[int, int]], spli
     if keep.share is None and keep.most is None:
         return stays
     later = stays & split
+    if keep.most is not None and later.any():
+        most = max(1, keep.most)
+        for a, b in documents:
+            if split[a] and b - a > most:
+                x = np.where(later[:, a:b] & usable[a:b] & preferred[a:b], sim[:, a:b], -np.inf)
+                later[:, a:b] &= sim[:, a:b] >= np.partition(x, b - a - most, axis=1)[:, b - a - most, None]
     open_ = stays & usable & ~split
     first = open_ & preferred
     open_ = np.where(first.any(1, keepdims=True), first, open_)
@@ -268,16 +276,20 @@ def top_k(x: DataFrame, k: int = 5, tie: tuple[str, ...] = ("document_id", "pos"
 
 
 def retrieve(
-    chunks: DataFrame, queries: DataFrame, documents: DataFrame | None = None, k: int = 5, language_wanted: str | None = None, dropoff: float | None = 0.20, edges: DataFrame | None = None, max_neighbors: int = 6
+    chunks: DataFrame, queries: DataFrame, documents: DataFrame | None = None, k: int = 5, language_wanted: str | None = None, dropoff: float | None = 0.20, edges: DataFrame | None = None, max_neighbors: int = 6,
+    texts: DataFrame | None = None,
 ) -> DataFrame:
     """Ranked hits: chunks (document_id, pos, chunk_id, title, text, embedding; the first three are a key) for queries (query_id, query).
 
+    texts, if given, holds title and text of chunks by those of the key's columns that it has, and chunks hold none.
+    Then words are counted and languages told before these join the vectors, and of the texts themselves only
+    those of hits are sent, as hits, which are few, are written and go to the texts.
     documents, if given, restricts the search before a vector is read; if it is empty there are no hits.
     With edges, hits get expanded_text and n_neighbors. An empty set of queries gives no rows, and of queries of
     one id one counts. Texts are joined to the hits that stay; own columns of chunks that have the name of one
     of these give way: query_id, sim, rank, word_count, and with edges those named. The work is chunks times
     queries, but a task gives out its best only: some k rows a query, and of documents so large that several
-    tasks have pieces of them max(10, 10 k) a piece.
+    tasks have pieces of them what stands above the piece's k-th usable chunk, at most max(10, 10 k) a piece.
     """
     from marginalia.operators.graph import expand
 
@@ -285,17 +297,21 @@ def retrieve(
     new = ("query_id", "sim", "rank", "word_count", "expanded_text", "n_neighbors") if edges is not None else ("query_id", "sim", "rank", "word_count")
     chunks, back = cleared(chunks, new, (*key, "title", "text", "embedding"), "rk_")
     pool = chunks.join(documents.select("document_id").distinct(), "document_id", "left_semi") if documents is not None else chunks
-    told = language("text") if language_wanted else F.lit("unknown")
-    slim = pool.select(*key, "embedding", word_count("text").alias("word_count"), told.alias("rk_told"))
+    about = [word_count("text").alias("word_count"), (language("text") if language_wanted else F.lit("unknown")).alias("rk_told")]
+    if texts is None:
+        on, slim = key, pool.select(*key, "embedding", *about)
+    else:
+        on, pool = [c for c in key if c in texts.columns], pool.drop("title", "text")
+        slim = pool.join(texts.select(*on, *about), on)
     slim = slim.withColumns({"rk_usable": F.expr("word_count > 5 AND word_count < 5000"), "rk_fits": F.col("rk_told").isin(language_wanted or "unknown", "unknown")})
     keep = Keep(per_document=max(10, 10 * k), share=dropoff, most=k, usable="rk_usable", preferred="rk_fits")
     x = per_document_top(score(slim, queries, keep), k).filter("rk_usable")
     x = language_filter(x, language_wanted, F.col("rk_told")) if language_wanted else x
     x = top_k(drop_off(x, dropoff) if dropoff is not None else x, k).drop("rk_told", "rk_usable", "rk_fits")
-    bodies = chunks.drop("embedding").withColumnsRenamed({c: f"rk_{c}" for c in key})
-    same = [F.col(c).eqNullSafe(F.col(f"rk_{c}")) for c in key]
-    x = x.join(bodies, same).drop(*[f"rk_{c}" for c in key])
-    return back(expand(x, chunks.drop("embedding"), edges, max_neighbors) if edges is not None else x)
+    bodies = chunks.drop("embedding") if texts is None else texts.select(*on, "title", "text")
+    bodies = bodies.withColumnsRenamed({c: f"rk_{c}" for c in on})
+    x = few_first(x, bodies, [F.col(c).eqNullSafe(F.col(f"rk_{c}")) for c in on]).drop(*[f"rk_{c}" for c in on])
+    return back(expand(x, chunks.drop("embedding"), edges, max_neighbors, texts=texts) if edges is not None else x)
 
 
 def context(hits: DataFrame, column: str = "text", sep: str = "\n\n") -> DataFrame:

@@ -26,6 +26,14 @@ class Tables:
         return self.embeddings.join(d, "vec_id").select(
             F.col("label").alias("document_id"), F.col("vec_id").alias("pos"), F.concat(F.lit("c"), F.col("vec_id").cast("string")).alias("chunk_id"), F.col("source").alias("title"), "text", "embedding", *[c for c in d.columns if c not in ("vec_id", "text", "source")])
 
+    def vectors(self) -> DataFrame:
+        """The same without texts, which texts() has by pos."""
+        n = F.col("vec_id")
+        return self.embeddings.select(F.col("label").alias("document_id"), n.alias("pos"), F.concat(F.lit("c"), n.cast("string")).alias("chunk_id"), "embedding")
+
+    def texts(self) -> DataFrame:
+        return self.documents.select(F.col("doc_id").alias("pos"), F.col("source").alias("title"), "text")
+
     def asked(self) -> DataFrame:
         """The stated set of queries, which grows with the table."""
         return self.embeddings.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))

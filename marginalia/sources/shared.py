@@ -6,7 +6,11 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows without texts that are broadcast at most.
+FEW = 250_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,6 +55,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few_first(few: DataFrame, many: DataFrame, on: list[Column]) -> DataFrame:
+    """few joined to many rows with texts. few is written and counted, and goes to the others if it has at most FEW rows, so that texts stay where they are."""
+    few = written(few)
+    return (F.broadcast(few) if few.count() <= FEW else few).join(many, on)
+
+
 def take_place(spark: SparkSession, hidden: str, path: str) -> None:
     """Gives what was written under a hidden name its own name, in one step."""
     name = spark._jvm.org.apache.hadoop.fs.Path

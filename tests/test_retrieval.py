@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 
 from marginalia.operators import retrieval
+from marginalia.queries import QUERIES
+from marginalia.sources import shared
 
 SCHEMA = "document_id int, pos long, chunk_id string, title string, text string, embedding array<double>"
 
@@ -90,3 +92,47 @@ def test_clashing_columns_repeated_queries_and_null_keys(spark):
 def test_best_takes_the_first_of_equals():
     x = np.array([[1.0, 3.0, 3.0, 3.0, 2.0], [-np.inf, -np.inf, 1.0, -np.inf, -np.inf], [5.0, 5.0, 5.0, 5.0, 5.0]])
     assert retrieval.best(x, 2).tolist() == [[False, True, True, False, False], [False, False, True, False, False], [True, True, False, False, False]]
+
+
+@pytest.mark.parametrize(("k", "share", "wanted"), [(5, 0.2, None), (2, 0.95, "hi"), (3, None, None)])
+def test_texts_apart_give_the_same(spark, monkeypatch, k, share, wanted):
+    for name, value in {"QUERY_BLOCK": 3, "PART_CHUNKS": 40, "SPLIT": 25}.items():
+        monkeypatch.setattr(retrieval, name, value)
+    chunks = spark.createDataFrame([r for r in corpus() if r[0] is not None], SCHEMA)
+    asked = spark.createDataFrame([(q, [random.Random(q).gauss(0, 1) for _ in range(5)]) for q in range(12)], "query_id long, query array<double>")
+    edges = spark.createDataFrame([(r[0], r[2], f"c{r[1] + d}", "r", d) for r in corpus() if r[0] is not None for d in (2, 3, 6, 9)], "document_id int, src string, dst string, relation string, ord int")
+    how = {"k": k, "dropoff": share, "language_wanted": wanted, "edges": edges, "max_neighbors": 2}
+    one = retrieval.retrieve(chunks, asked, **how)
+    for few in (250_000, 0):  # hits go to the texts, or both are shuffled
+        monkeypatch.setattr(shared, "FEW", few)
+        two = retrieval.retrieve(chunks.drop("title", "text"), asked, **how, texts=chunks.select("pos", "title", "text"))
+        assert set(map(tuple, two.select(one.columns).collect())) == set(map(tuple, one.collect()))
+    assert one.filter("n_neighbors > 0").count() > 0
+
+
+def test_pieces_of_a_document_give_out_what_can_count(spark, monkeypatch):
+    """Of a piece what stands above its fifth usable chunk, not 50 rows; the ranking is brute force's, short chunks on top or not."""
+    for name, value in {"PART_CHUNKS": 200, "SPLIT": 200}.items():
+        monkeypatch.setattr(retrieval, name, value)
+    r = random.Random(3)
+    rows = [(1, n, f"c{n}", "t", " ".join(["word"] * (3 if n % 5 == 0 or 300 < n < 360 else 7)), [r.gauss(3, 1) if 300 < n < 360 else r.gauss(0, 1) for _ in range(4)]) for n in range(2000)]
+    asked = [(q, [random.Random(q).gauss(0.5, 1) for _ in range(4)]) for q in range(20)]
+    chunks, queries = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(asked, "query_id long, query array<double>")
+    slim = chunks.selectExpr("document_id", "pos", "embedding", "size(split(text, ' ')) > 5 AS long")
+    _, parts = retrieval._dealt(slim, retrieval.Keep(per_document=50))
+    given = retrieval.score(slim, queries, retrieval.Keep(per_document=50, most=5, usable="long")).count()
+    assert parts > 4 and given < 20 * 10 * 25
+    got = retrieval.retrieve(chunks, queries, k=5, dropoff=None).collect()
+    assert {(x["query_id"], x["rank"]): (x["chunk_id"], x["sim"]) for x in got} == brute(rows, asked, 5, None, None)
+
+
+@pytest.mark.parametrize("name", ["ret1_retrieve_expanded"])
+def test_no_text_is_shuffled_but_those_of_hits(spark, sf_dir, name):
+    """Ranked hits are written and go to the texts."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shown = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not any("InArrow" in line for line in shown)  # ranked hits were written before
+    assert name == "flt3_no_match" or any("leftHint=(strategy=broadcast)" in line for line in shown)
