@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from marginalia.functions.text import contains_ci, language, word_count
 from marginalia.operators.names import cleared
-from marginalia.sources.shared import few_first, written
+from marginalia.sources.shared import among, few_first, written
 
 #: Queries that a task meets, and chunks, about.
 QUERY_BLOCK, PART_CHUNKS = 1 << 14, 1 << 13
@@ -282,7 +282,7 @@ def retrieve(
     """Ranked hits: chunks (document_id, pos, chunk_id, title, text, embedding; the first three are a key) for queries (query_id, query).
 
     texts, if given, holds title and text of chunks by those of the key's columns that it has, and chunks hold none.
-    Then words are counted and languages told before these join the vectors, and of the texts themselves only
+    Then words are counted and languages told, for texts of chunks alone, before these join the vectors, and of the texts themselves only
     those of hits are sent, as hits, which are few, are written and go to the texts.
     documents, if given, restricts the search before a vector is read; if it is empty there are no hits.
     With edges, hits get expanded_text and n_neighbors. An empty set of queries gives no rows, and of queries of
@@ -302,7 +302,7 @@ def retrieve(
         on, slim = key, pool.select(*key, "embedding", *about)
     else:
         on, pool = [c for c in key if c in texts.columns], pool.drop("title", "text")
-        slim = pool.join(texts.select(*on, *about), on)
+        slim = pool.join(among(texts, pool.select(*on)).select(*on, *about), on)
     slim = slim.withColumns({"rk_usable": F.expr("word_count > 5 AND word_count < 5000"), "rk_fits": F.col("rk_told").isin(language_wanted or "unknown", "unknown")})
     keep = Keep(per_document=max(10, 10 * k), share=dropoff, most=k, usable="rk_usable", preferred="rk_fits")
     x = per_document_top(score(slim, queries, keep), k).filter("rk_usable")

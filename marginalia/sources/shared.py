@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows without texts that are broadcast at most.
-FEW = 250_000
+#: Rows without texts, and keys alone, that are broadcast at most.
+FEW, KEYS = 250_000, 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,6 +61,11 @@ def few_first(few: DataFrame, many: DataFrame, on: list[Column]) -> DataFrame:
     return (F.broadcast(few) if few.count() <= FEW else few).join(many, on)
 
 
+def among(many: DataFrame, keys: DataFrame) -> DataFrame:
+    """many without rows of other keys, so that their texts are not looked at; if keys are more than are broadcast, a join that follows leaves those out."""
+    return many.join(F.broadcast(keys), keys.columns, "left_semi") if keys.count() <= KEYS else many
+
+
 def take_place(spark: SparkSession, hidden: str, path: str) -> None:
     """Gives what was written under a hidden name its own name, in one step."""
     name = spark._jvm.org.apache.hadoop.fs.Path

@@ -105,6 +105,7 @@ def test_texts_apart_give_the_same(spark, monkeypatch, k, share, wanted):
     one = retrieval.retrieve(chunks, asked, **how)
     for few in (250_000, 0):  # hits go to the texts, or both are shuffled
         monkeypatch.setattr(shared, "FEW", few)
+        monkeypatch.setattr(shared, "KEYS", few)
         two = retrieval.retrieve(chunks.drop("title", "text"), asked, **how, texts=chunks.select("pos", "title", "text"))
         assert set(map(tuple, two.select(one.columns).collect())) == set(map(tuple, one.collect()))
     assert one.filter("n_neighbors > 0").count() > 0
@@ -136,3 +137,13 @@ def test_no_text_is_shuffled_but_those_of_hits(spark, sf_dir, name):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert not any("InArrow" in line for line in shown)  # ranked hits were written before
     assert name == "flt3_no_match" or any("leftHint=(strategy=broadcast)" in line for line in shown)
+
+
+def test_only_texts_of_chunks_are_looked_at(spark, sf_dir, monkeypatch):
+    """Texts of no chunk are left out by their keys before words are counted."""
+    plans, score = [], retrieval.score
+    monkeypatch.setattr(retrieval, "score", lambda c, *a: plans.append(c._jdf.queryExecution().optimizedPlan().toString().splitlines()) or score(c, *a))
+    QUERIES["ret1_retrieve"](spark, sf_dir)
+    (shown,) = plans
+    at = {w: next(k for k, line in enumerate(shown) if w in line) for w in ("regexp_extract_all", "LeftSemi")}  # counting words is that
+    assert at["regexp_extract_all"] < at["LeftSemi"]
