@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import strip, wrap_label, word_count
-from marginalia.sources.shared import few_first, written
+from marginalia.sources.shared import among, few_first, written
 
 #: Relations that make the hierarchy; the graph builder writes the first two.
 RELATIONS = ("HAS_ROOT", "CONTAINS_SUBSECTION", "CONTAINS", "HAS_CHILD")
@@ -65,9 +65,13 @@ def expand(hits: DataFrame, chunks: DataFrame, graph_edges: DataFrame, most: int
         nodes = chunks.select("document_id", F.col("chunk_id").alias("near"), *body).filter(word_count("b") > least_words)
     else:
         on = [c for c in ("document_id", "pos", "chunk_id") if c in texts.columns]
-        long = texts.filter(word_count(strip("text")) > least_words).select(*on)
-        nodes = chunks.join(long, on).select("document_id", F.col("chunk_id").alias("near"), *[F.col(c).alias(f"gx_{c}") for c in on])
+        nodes = chunks.select("document_id", F.col("chunk_id").alias("near"), *[F.col(c).alias(f"gx_{c}") for c in on])
     near = near.join(nodes, ["document_id", "near"])
+    if texts is not None:
+        near = written(near)
+        keyed = texts.select("text", *[F.col(c).alias(f"gx_{c}") for c in on])
+        keys = [f"gx_{c}" for c in on]
+        near = near.join(among(keyed, near.select(*keys)).filter(word_count(strip("text")) > least_words).select(*keys), keys)
     order = Window.partitionBy("document_id", "chunk_id").orderBy("at", "near")
     near = near.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most)
     if texts is not None:
