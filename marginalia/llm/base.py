@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.operators.names import cleared  # noqa: F401
@@ -18,6 +18,8 @@ from marginalia.sources.shared import remove, scratch, shared_dir, written  # no
 #: A word is a longest run of characters other than these (space, tab to carriage return).
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of the rows that a Python worker is sent together, unless one row has more. By default Spark sends 10,000 rows, which may be tens of MB of text in the JVM and in the worker.
+ARROW_BYTES = 8 << 20
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -31,6 +33,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """From now on the session sends its Python workers batches of at most ARROW_BYTES; no result depends on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def whole_numbers(df: DataFrame, column: str) -> None:
     """An error unless the column holds whole numbers of at most 64 bits."""
     kind = df.schema[column].dataType.simpleString()

@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from marginalia.llm.base import cleared, row_schema, sliced, strung, units_of, with_columns
+from marginalia.llm.base import cleared, row_schema, sliced, strung, tidy, units_of, with_columns
 
 #: White space as Unicode has it; fixed values.
 _ODD_SPACE = "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -34,13 +34,13 @@ _SPACE = r"\t-\r\x20" + _ODD_SPACE
 _UNIT = re.compile(rf"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 _ODD = re.compile(b"|".join(c.encode() for c in _ODD_SPACE))
 #: Units that a worker remembers; those not met while half as many others came are forgotten.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 #: Bytes of text that are encoded together, unless one text has more.
-BATCH_BYTES = 3 << 20
+BATCH_BYTES = 1 << 20
 #: Rounds of one recursive query; longer pieces take several.
 ROUNDS = 48
 #: Bytes of the pieces of one recursive query, unless a single piece has more.
-QUERY_BYTES = 1 << 20
+QUERY_BYTES = 1 << 17
 
 #: A longer piece is encoded in windows that begin so many bytes apart, a number that the lengths of most repeating tokens divide.
 STRIDE = 960
@@ -55,9 +55,9 @@ WITH RECURSIVE step(n, piece, toks) AS (
   SELECT CASE WHEN tok IS NULL THEN -1 ELSE n + 1 END, s.piece,
          CASE WHEN tok IS NULL THEN toks ELSE list_concat(toks[1:place - 1], [tok], toks[place + 2:len(toks)]) END
   FROM step s LEFT JOIN (
-    SELECT piece, min((m.rank << 32) | place) AS best, best & 4294967295 AS place, best >> 32 AS tok
+    SELECT piece, min((m.rank << 32) | place) AS best, best & 4294967295 AS place, (best >> 32)::INTEGER AS tok
     FROM (
-      SELECT piece, place, (toks[place] << 20) | toks[place + 1] AS pair
+      SELECT piece, place, (toks[place]::BIGINT << 20) | toks[place + 1] AS pair
       FROM (SELECT piece, toks, unnest(range(1, len(toks))) AS place FROM step WHERE n BETWEEN 0 AND {ROUNDS - 1}))
     JOIN merges m USING (pair) GROUP BY piece) b ON b.piece = s.piece
   WHERE n BETWEEN 0 AND {ROUNDS - 1})
@@ -75,17 +75,19 @@ class Vocabulary:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.pattern = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^{_SPACE}\p{{L}}\p{{N}}]").replace(r"\S", rf"[^{_SPACE}]").replace(r"\s", rf"[{_SPACE}]"))
-        self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.units: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
-        pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
-        a, b, r = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
+        cuts = ((t[:k], t[k:], r) for t, r in self.ranks.items() for k in range(1, len(t)))
+        pairs = np.fromiter((x for a, b, r in cuts if a in self.ranks and b in self.ranks for x in (self.ranks[a] << 20 | self.ranks[b], r)), np.int64).reshape(-1, 2)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         self.db.execute("SET temp_directory = ''")
-        self._fill("merges", pa.table({"pair": a << 20 | b, "rank": r}))
+        self._fill("merges", pa.table({"pair": pairs[:, 0], "rank": pairs[:, 1]}))
         ids = sorted(self.ranks.items(), key=lambda x: x[1])
-        self.sizes = {r: len(t) for t, r in ids}
+        self.sizes = np.zeros(ids[-1][1] + 1, np.int64)
+        self.sizes[[r for _, r in ids]] = [len(t) for t, _ in ids]
         self._fill("vocabulary", pa.table({"tok": pa.array([r for _, r in ids], pa.int32()), "hex": [t.hex() for t, _ in ids]}))
+        tidy()
 
     def _fill(self, name: str, rows: pa.Table) -> None:
         self.db.register("arrow_rows", rows)
@@ -113,11 +115,7 @@ class Vocabulary:
 
     def _ends(self, ids: bytes, start: int) -> list[int]:
         """Where the tokens of a window that begins at start end."""
-        out = []
-        for tok in np.frombuffer(ids, "<u4").tolist():
-            start += self.sizes[tok]
-            out.append(start)
-        return out
+        return (start + np.cumsum(self.sizes[np.frombuffer(ids, "<u4")])).tolist()
 
     def _joined(self, piece: bytes, parts: list[bytes]) -> bytes:
         """Ids of a piece from those of its windows."""

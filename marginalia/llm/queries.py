@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import bpe, chat, codes, html_text, line_dedup, mixing, near_dup, packed, periodic, quality, secrets, sharding, topk
-from marginalia.llm.base import WORD, checkpointed, let, n_words, scratch
+from marginalia.llm.base import WORD, checkpointed, let, modest_batches, n_words, scratch
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -46,6 +46,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    modest_batches(spark)
     x = bpe.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN, bytes_col="decoded")
     return x.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

@@ -1,6 +1,8 @@
 import base64
 import hashlib
 import random
+import subprocess
+import sys
 import time
 import zlib
 
@@ -12,7 +14,8 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from marginalia.llm import bpe, packed, queries
+import corpus_pipeline
+from marginalia.llm import base, bpe, packed, queries
 from tests.llm.fixtures import SCHEMA, awkward, docs
 
 PATH = P.path("byte_bpe_50k.tiktoken")
@@ -64,6 +67,39 @@ def test_bpe_of_long_pieces(reference):
     assert took[1] <= 4 * 2 * took[0] + 0.5
 
 
+MEMORY = """
+import random, re
+import public_tokenizers as P
+import pyarrow as pa
+from marginalia.llm import base, bpe
+r, word = random.Random(3), lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+texts = [" ".join(word(r.randint(3, 12)) for _ in range(400)) for _ in range(1200)] + [word(1000) for _ in range(600)]
+own = bpe.vocabulary(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+for b in base.sliced(iter([pa.record_batch({"text": texts})]), "text", bpe.BATCH_BYTES):
+    ids, ends = own.encode(b.column("text"))
+    assert own.decode(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view("<i4")))) == [t.encode() for t in b.column("text").to_pylist()]
+said = open("/proc/self/status").read()
+print((int(re.search(r"VmHWM:\\s+(\\d+)", said)[1]) - int(re.search(r"RssFile:\\s+(\\d+)", said)[1])) // 1024)
+"""
+
+
+def test_bpe_in_bounded_memory():
+    """MB that a worker takes at most, mapped files apart, over texts of which no word comes again and long pieces."""
+    done = subprocess.run([sys.executable, "-c", MEMORY], capture_output=True, text=True, check=True)
+    assert int(done.stdout) < 310
+
+
+def test_bpe_gets_batches_of_bounded_bytes(spark, reference):
+    """Long texts come to a worker in several batches, not 10,000 rows at once."""
+    def sizes(batches):
+        yield from (pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]}) for b in batches)
+
+    long = spark.range(0, 40, 1, 1).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.repeat(F.lit("word and "), 100_000).alias("text"))
+    corpus_pipeline.token_ids(spark, long.limit(0), "").count()
+    got = long.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r["n"] for r in got) == 40 and max(r["size"] for r in got) < 2 * base.ARROW_BYTES
+
+
 def test_bpe_query(spark, sf_dir, reference):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for r in queries.op6_byte_bpe(spark, sf_dir).collect():
