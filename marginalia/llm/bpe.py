@@ -34,13 +34,13 @@ _SPACE = r"\t-\r\x20" + _ODD_SPACE
 _UNIT = re.compile(rf"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 _ODD = re.compile(b"|".join(c.encode() for c in _ODD_SPACE))
 #: Units that a worker remembers; those not met while half as many others came are forgotten.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: Bytes of text that are encoded together, unless one text has more.
 BATCH_BYTES = 1 << 20
 #: Rounds of one recursive query; longer pieces take several.
 ROUNDS = 48
 #: Bytes of the pieces of one recursive query, unless a single piece has more.
-QUERY_BYTES = 1 << 17
+QUERY_BYTES = 1 << 18
 
 #: A longer piece is encoded in windows that begin so many bytes apart, a number that the lengths of most repeating tokens divide.
 STRIDE = 960
