@@ -30,6 +30,8 @@ SPLIT = 1 << 13
 BROADCAST_IDS = 1_000_000
 #: Scores that a task has in hand at a time.
 CELLS = 1 << 19
+#: Pairs that a task has in order at a time, of eight bytes each.
+PAIRS = 1 << 24
 #: Rows and bytes, about, that a task gives out at a time.
 OUT_ROWS, OUT_BYTES = 1 << 16, 1 << 24
 
@@ -101,6 +103,30 @@ def selected(sim: np.ndarray, keep: Keep, documents: list[tuple[int, int]], spli
     return open_ | later
 
 
+def in_order(slices: Iterator[tuple[int, np.ndarray]], width: int, most: int, digits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All pairs of slices of scores (number of the first query, queries by width chunks; most pairs in all) as queries, chunks and scores, by score.
+
+    Scores are rounded as SQL rounds them, halves away from zero. A pair is one number of score and place, sorted
+    where it lies. What is no cosine (not a number, or from vectors so short that their squares vanish) goes ahead as it comes.
+    """
+    unit, bits = 10**digits, max(1, most - 1).bit_length()
+    keys, n = np.empty(most, np.int64), 0
+    for at, sim in slices:
+        whole = np.copysign(np.floor(np.abs(sim) * unit + 0.5), sim).ravel()
+        place = np.arange(at * width, at * width + len(whole))
+        if not (fits := np.abs(whole) <= unit).all():
+            odd = place[~fits]
+            yield odd // width, odd % width, whole[~fits] / unit + 0.0
+            whole, place = whole[fits], place[fits]
+        keys[n : n + len(whole)] = (whole.astype(np.int64) + unit << bits) | place
+        n += len(whole)
+    keys = keys[:n]
+    keys.sort()
+    for at in range(0, n, OUT_ROWS):
+        place, whole = keys[at : at + OUT_ROWS] & ((1 << bits) - 1), (keys[at : at + OUT_ROWS] >> bits) - unit
+        yield place // width, place % width, whole / unit
+
+
 def route(requests: DataFrame, hindi: tuple[str, ...]) -> DataFrame:
     """requests with store_lang and fallback: subjects that hold one of the course codes go to the Hindi store, English behind it."""
     hit = F.lit(False)
@@ -147,7 +173,7 @@ def _dealt(chunks: DataFrame, keep: Keep | None) -> tuple[DataFrame, int]:
     return x.drop("rt_document", "rt_pieces"), parts
 
 
-def score(chunks: DataFrame, queries: DataFrame, keep: Keep | None = None) -> DataFrame:
+def score(chunks: DataFrame, queries: DataFrame, keep: Keep | None = None, digits: int | None = None) -> DataFrame:
     """chunks (…, embedding) for each of queries (query_id, query): query_id and sim, the cosine to 12 digits, so that equal vectors tie.
 
     A stated set of queries against all chunks: without keep a row a pair, with keep those that a ranking by
@@ -156,15 +182,21 @@ def score(chunks: DataFrame, queries: DataFrame, keep: Keep | None = None) -> Da
     products of matrices. So any number of queries is one plan, and nothing is broadcast that grows with them;
     what a task holds is bounded by a block and a part. Vectors of floats are sent as such and widened there.
     Vectors are compared with those of their length; a zero vector is like nothing. Null vectors and vectors
-    with nulls take no part. Of queries of one id one counts, that of the largest vector. Own columns called
-    query_id or sim give way; what chunks carry is copied to every hit, so join texts to those that stay.
+    with nulls take no part. With digits (and no keep) sim is rounded to so many, and a task gives out pairs in order
+    of sim, some PAIRS at a time: equal scores lie together, so that a result as large as all pairs is written in
+    about half the bytes. There a block has about PAIRS / PART_CHUNKS queries and meets a part in a task of its own.
+    Of queries of one id one counts, that of the largest vector. Own columns called query_id or sim give way; what
+    chunks carry is copied to every hit, so join texts to those that stay.
     """
     chunks, back = cleared(chunks, ("query_id", "sim", "p", "b"), ("embedding",), "rt_")
     sound = lambda c: F.col(c).isNotNull() & F.forall(c, lambda x: x.isNotNull())
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     kind = "array<float>" if {queries.schema["query"].dataType.elementType, chunks.schema["embedding"].dataType.elementType} == {T.FloatType()} else "array<double>"
+    if digits is not None and (keep is not None or not 0 <= digits <= 9):
+        raise ValueError("digits, 0 to 9, are for all pairs")
+    block = QUERY_BLOCK if digits is None else min(QUERY_BLOCK, max(1, PAIRS // PART_CHUNKS))
     left = queries.select("query_id", F.col("query").cast(kind).alias("query")).filter(sound("query")).groupBy("query_id").agg(F.max("query").alias("query"))
-    blocks = max(1, -(-left.count() // QUERY_BLOCK))
+    blocks = max(1, -(-left.count() // block))
     right = chunks.withColumn("embedding", F.col("embedding").cast(kind)).filter(sound("embedding"))
     right, parts = _dealt(right, keep)
     left = left.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("p", every(parts))
@@ -197,13 +229,32 @@ def score(chunks: DataFrame, queries: DataFrame, keep: Keep | None = None) -> Da
             usable, preferred = (flag(mine, c) for c in ((keep.usable, keep.preferred) if keep else (None, None)))
             ends = [*np.flatnonzero(_changes(mine.column("document_id").combine_chunks())).tolist(), len(j)] if keep and keep.by_document else []
             c_length, step = length(c), max(1, CELLS // max(1, len(j)))
-            for at in range(0, len(i), step):
-                some = i[at : at + step]
+
+            def scores(some: np.ndarray) -> np.ndarray:
                 q = matrix(asked, "rt_vector", some, n)
                 sim = q @ c.T
                 sim /= length(q)[:, None] * c_length
                 np.round(sim, 12, out=sim)
                 sim += 0.0
+                return sim
+
+            def given(ids: pa.Array, row: np.ndarray, col: np.ndarray, sim: np.ndarray) -> Iterator[pa.RecordBatch]:
+                for k in range(0, len(row), rows):
+                    r, o = row[k : k + rows], col[k : k + rows]
+                    yield from carry.take(pa.array(o)).append_column("query_id", ids.take(pa.array(r))).append_column("sim", pa.array(sim[k : k + rows])).combine_chunks().to_batches()
+
+            if digits is not None:
+                many = max(1, PAIRS // len(j))
+                for at in range(0, len(i), many):
+                    some = i[at : at + many]
+                    ids = asked.column("query_id").take(pa.array(some))
+                    slices = ((k, scores(some[k : k + step])) for k in range(0, len(some), step))
+                    for found in in_order(slices, len(j), len(some) * len(j), digits):
+                        yield from given(ids, *found)
+                continue
+            for at in range(0, len(i), step):
+                some = i[at : at + step]
+                sim = scores(some)
                 ids = asked.column("query_id").take(pa.array(some))
                 if keep is None:
                     row, col = np.nonzero(np.ones(sim.shape, bool))
@@ -211,14 +262,16 @@ def score(chunks: DataFrame, queries: DataFrame, keep: Keep | None = None) -> Da
                     if keep.unlike:
                         sim[np.equal.outer(ids.to_numpy(), mine.column(keep.unlike).to_numpy())] = -np.inf
                     row, col = np.nonzero(selected(sim, keep, list(zip(ends, ends[1:], strict=False)), split, usable, preferred))
-                for k in range(0, len(row), rows):
-                    r, o = row[k : k + rows], col[k : k + rows]
-                    yield from carry.take(pa.array(o)).append_column("query_id", ids.take(pa.array(r))).append_column("sim", pa.array(sim[r, o])).combine_chunks().to_batches()
+                yield from given(ids, row, col, sim[row, col])
 
     schema = T.StructType([f for f in chunks.schema.fields if f.name != "embedding"] + [queries.schema["query_id"], T.StructField("sim", T.DoubleType())])
     left = left.select("b", "p", F.lit(0).alias("rt_side"), "query_id", F.col("query").alias("rt_vector"))
     right = right.withColumn("b", every(blocks)).withColumn("rt_side", F.lit(1)).withColumnRenamed("embedding", "rt_vector")
-    return back(left.unionByName(right, allowMissingColumns=True).groupBy("b", "p").applyInArrow(meet, schema))
+    both = left.unionByName(right, allowMissingColumns=True)
+    if digits is None:
+        return back(both.groupBy("b", "p").applyInArrow(meet, schema))
+    both = both.withColumn("rt_group", F.col("b") * parts + F.col("p")).repartitionById(blocks * parts, "rt_group")
+    return back(both.groupBy("rt_group").applyInArrow(meet, schema))
 
 
 def _changes(column: pa.Array) -> np.ndarray:
